@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from assay.llm import arrow_shards, licenses, mixing, packing, telephony, url_rules
+from assay.llm import arrow_shards, embedding_dups, licenses, mixing, packing, shingle_join, telephony, url_rules
 from assay.llm.tokens import tokenizer_path
 
 RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
@@ -35,11 +35,19 @@ def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(table(spark, sf_dir, "documents"))
 
 
+def op8_shingle_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shingle_join.link_documents(table(spark, sf_dir, "documents"))
+
+
+def op9_embedding_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dups.link_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op10_arrow_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return arrow_shards.token_files(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op2_telephony, op4_mixing, op5_url_rules, op6_packing, op7_licenses, op10_arrow_shards)}
+QUERIES = {f.__name__: f for f in (op2_telephony, op4_mixing, op5_url_rules, op6_packing, op7_licenses, op8_shingle_join, op9_embedding_dups, op10_arrow_shards)}
 
 
 def quoted(text: str) -> str:
