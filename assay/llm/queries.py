@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from assay.llm import arrow_shards, embedding_dups, licenses, mixing, packing, shingle_join, telephony, url_rules
+from assay.llm import arrow_shards, embedding_dups, licenses, mixing, packing, page_text, shingle_join, telephony, toxicity, url_rules
 from assay.llm.tokens import tokenizer_path
 
 RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
@@ -14,10 +14,18 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op1_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return page_text.extract_pages(table(spark, sf_dir, "pages"))
+
+
 def op2_telephony(spark: SparkSession, sf_dir: str) -> DataFrame:
     return telephony.media_table(table(spark, sf_dir, "documents"))
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -47,7 +55,7 @@ def op10_arrow_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return arrow_shards.token_files(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op2_telephony, op4_mixing, op5_url_rules, op6_packing, op7_licenses, op8_shingle_join, op9_embedding_dups, op10_arrow_shards)}
+QUERIES = {f.__name__: f for f in (op1_page_text, op2_telephony, op3_toxicity, op4_mixing, op5_url_rules, op6_packing, op7_licenses, op8_shingle_join, op9_embedding_dups, op10_arrow_shards)}
 
 
 def quoted(text: str) -> str:
