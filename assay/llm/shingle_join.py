@@ -13,11 +13,11 @@ Steps, none of which collects documents or pairs to the driver or caps a list:
 2. Shingles are dealt by hash to buckets, as binary blocks of one batch of documents and bucket each, where their document
    counts are found. A shingle of one document can't match: a document with as many of these as its prefix is long has no
    partner and goes. Others keep the shingles with counts over 1 alone, which is all that order, prefix and intersection need.
-3. Documents that share a min-hash are verified against the smallest id among them: rows in proportion to documents, which
-   ties most groups of near copies together. Components of these links follow.
-4. Prefixes are joined, but only across components, as links inside one change nothing; shingles whose documents are all
-   in one component go before the join. So a group of near copies, however large, makes no pairs.
-5. Pairs that match often enough are verified on the kept shingles; links of both kinds give the components.
+3. Documents that share a min-hash are verified against the one among them with the fewest shingles of its own, the most
+   central one: rows in proportion to documents, which ties most groups of near copies together. Components follow.
+4. Prefixes are joined, but only across components, as links inside one change nothing, and where the shingles that a
+   document shares with any other could be enough; shingles whose documents are all in one component go before the join. So a group of near copies, however large, makes no pairs.
+5. Pairs whose prefixes match often enough are verified on the kept shingles; links of both kinds give the components.
 
 Null, empty and wordless texts have no shingles and link with nothing; with fewer than five words the whole sequence is
 the one shingle. Repeated rows and equal texts link. Very long texts are hashed in one piece. An empty table gives no rows.
@@ -37,6 +37,8 @@ from pyspark.sql import functions as F
 
 from assay.llm.common import components, saved, ship, text_of
 
+#: Shingles of its prefix that each row carries.
+HEAD = 24
 BASE = 0x9E3779B97F4A7C15 | 1
 _space = np.zeros(256, bool)
 _space[[0x20, *range(0x09, 0x0E)]] = True
@@ -205,18 +207,25 @@ def link_documents(docs: DataFrame, percent: int = 75, words: int = 5, most_dept
                 held = held[np.lexsort((held["shingle"], held["documents"]))]
                 depth = prefix_depth(held["documents"], short, most_depth)
                 mins = [int(mixed(held["shingle"] ^ np.uint64(j + 1)).min() >> np.uint64(1)) for j in range(hashes)]
-                out.append((doc_id, n, short, depth, held["shingle"].tobytes(), mins))
-            yield pd.DataFrame(out, columns=["doc_id", "n", "short", "depth", "shingles", "mins"])
-
-    left = saved(some.mapInPandas(keep, "doc_id long, n long, short int, depth int, shingles binary, mins array<long>"), "kept")
-
-    # Against the smallest id of each min-hash.
-    named = left.select("doc_id", F.posexplode("mins").alias("j", "min"))
-    leaders = saved(named.groupBy("j", "min").agg(F.min("doc_id").alias("leader"), F.count("*").alias("many")).where("many > 1").drop("many"), "leaders")
-    tied = named.join(leaders, ["j", "min"]).where("doc_id <> leader").select(F.col("leader").alias("a"), F.col("doc_id").alias("b")).distinct()
-    links = saved(verified(saved(tied, "tied"), left, percent), "links-near")
+                out.append((doc_id, n, len(held), short, depth, held["shingle"].tobytes(), mins))
+            yield pd.DataFrame(out, columns=["doc_id", "n", "common", "short", "depth", "shingles", "mins"])
+
+    left = saved(some.mapInPandas(keep, "doc_id long, n long, common long, short int, depth int, shingles binary, mins array<long>"), "kept")
+
+    # Against the document with the fewest shingles of its own of each min-hash.
+    named = left.select("doc_id", (F.col("n") - F.col("common")).alias("own"), F.posexplode("mins").alias("j", "min"))
+    leaders = saved(named.groupBy("j", "min").agg(F.min_by("doc_id", F.struct("own", "doc_id")).alias("leader"), F.count("*").alias("many")).where("many > 1").drop("many"), "leaders")
+    own = saved(named.join(leaders, ["j", "min"]).select("doc_id", "j", "leader"), "own-leaders")
+    tied = own.where("doc_id <> leader").select(F.col("leader").alias("a"), F.col("doc_id").alias("b")).distinct()
+    near = saved(measured(saved(tied, "tied"), left, percent), "near")
+    links = near.where("linked").select("a", "b")
     parts = components(links, "a", "b")
-    placed = left.join(parts.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+    told = own.join(near.select(F.col("a").alias("leader"), F.col("b").alias("doc_id"), "shared"), ["leader", "doc_id"], "left")
+    told = told.groupBy("doc_id").agg(*(f(F.when(F.col("j") == j, F.col(c))).alias(f"{c}{j}") for c, f in (("leader", F.max), ("shared", F.max)) for j in range(hashes)))
+    placed = left.join(parts.withColumnRenamed("node", "doc_id"), "doc_id", "left").join(told, "doc_id", "left")
+    # Without a leader a document is its own, with all its shingles.
+    placed = placed.withColumns({"component": F.coalesce("component", "doc_id")} | {f"leader{j}": F.coalesce(f"leader{j}", "doc_id") for j in range(hashes)} | {f"shared{j}": F.coalesce(f"shared{j}", "common") for j in range(hashes)})
+    ties = [f"{c}{j}" for c in ("leader", "shared") for j in range(hashes)]
 
     def prefixes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -226,18 +235,19 @@ def link_documents(docs: DataFrame, percent: int = 75, words: int = 5, most_dept
                 ends = [min(len(s), short + depth - 1) for s, short, depth in zip(shingles, part["short"], part["depth"], strict=True)]
                 taken = [s[:e] for s, e in zip(shingles, ends, strict=True)]
                 level = [np.maximum(1, np.arange(e) - (short - 1) + 1) for e, short in zip(ends, part["short"], strict=True)]
+                heads = [np.resize(t, HEAD).astype("<i8").tobytes() for t in taken]
                 if taken:
-                    yield pd.DataFrame({"shingle": np.concatenate(taken), "level": np.concatenate(level).astype(np.int32), **{c: np.repeat(part[c].to_numpy(), ends) for c in ("doc_id", "component", "n", "depth")}})
+                    yield pd.DataFrame({"shingle": np.concatenate(taken), "level": np.concatenate(level).astype(np.int32), "place": np.concatenate([np.arange(e, dtype=np.int32) for e in ends]), "head": np.repeat(np.array(heads, object), ends), **{c: np.repeat(part[c].to_numpy(), ends) for c in ("doc_id", "component", "n", "common", "depth", *ties)}})
 
-    ahead = placed.select("doc_id", "component", "n", "short", "depth", "shingles").mapInPandas(prefixes, "shingle long, level int, doc_id long, component long, n long, depth int")
+    ahead = placed.select("doc_id", "component", "n", "common", "short", "depth", "shingles", *ties).mapInPandas(prefixes, "shingle long, level int, place int, head binary, doc_id long, component long, n long, common long, depth int, " + ", ".join(f"{t} long" for t in ties))
     ahead = saved(ahead, "prefixes")
     across = ahead.groupBy("shingle").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("shingle")
     ahead = ahead.join(saved(across, "across"), "shingle", "left_semi")
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ahead = ahead.repartition(tasks, "shingle").sortWithinPartitions("shingle", "component", "doc_id")
-    met = ahead.mapInPandas(lambda batches: crossing(batches, percent), "a long, b long, hits int, need int")
-    pairs = met.groupBy("a", "b").agg(F.sum("hits").alias("hits"), F.max("need").alias("need")).where("hits >= need").select("a", "b")
-    links = links.union(verified(saved(pairs, "candidates"), left, percent))
+    met = ahead.mapInPandas(lambda batches: crossing(batches, percent, hashes), "a long, b long")
+    pairs = met.distinct()
+    links = links.union(measured(saved(pairs, "candidates"), left, percent, True).where("linked").select("a", "b"))
     parts = components(links, "a", "b").withColumnRenamed("node", "rep")
 
     known = firsts.select("mark", "rep").join(sizes, "rep", "left").join(parts, "rep", "left")
@@ -246,15 +256,18 @@ def link_documents(docs: DataFrame, percent: int = 75, words: int = 5, most_dept
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
-def crossing(batches: Iterator[pd.DataFrame], percent: int) -> Iterator[pd.DataFrame]:
+def crossing(batches: Iterator[pd.DataFrame], percent: int, hashes: int) -> Iterator[pd.DataFrame]:
     """Over rows sorted by shingle and component: the pairs of documents of different components that share a shingle in
-    both's prefixes, sized so that they can link. need: the smaller depth; hits: 1 if the shingle is in both prefixes of
-    that depth."""
+    both's prefixes of the smaller depth, if they can link: what they share is bounded by how many of their shingles other
+    documents have too, and, beside the same leader, by what one shares with it and what the other has beyond it. A pair
+    that the first shingles of both, which each row carries, show to meet at an earlier shingle is left to that one."""
     held: list[pd.DataFrame] = []
 
     def pairs(part: pd.DataFrame) -> Iterator[pd.DataFrame]:
         shingle = part["shingle"].to_numpy()
-        doc, comp, n, level, depth = (part[c].to_numpy() for c in ("doc_id", "component", "n", "level", "depth"))
+        doc, comp, n, common, level, depth, place = (part[c].to_numpy() for c in ("doc_id", "component", "n", "common", "level", "depth", "place"))
+        head = np.frombuffer(b"".join(part["head"]), "<i8").reshape(-1, HEAD)
+        ties = [(part[f"leader{j}"].to_numpy(), part[f"shared{j}"].to_numpy()) for j in range(hashes)]
         new_shingle = np.append(True, shingle[1:] != shingle[:-1])
         new_comp = new_shingle | np.append(True, comp[1:] != comp[:-1])
         # Each row meets all rows of its shingle that come after its own component.
@@ -265,14 +278,21 @@ def crossing(batches: Iterator[pd.DataFrame], percent: int) -> Iterator[pd.DataF
             rows = np.repeat(np.arange(at.start, at.stop), many[at])
             starts = np.repeat(own_end[at] - np.append(0, np.cumsum(many[at])[:-1]), many[at])
             others = starts + np.arange(len(rows))
-            fits = 100 * np.minimum(n[rows], n[others]) >= percent * np.maximum(n[rows], n[others])
+            most = np.minimum(common[rows], common[others])
+            for leader, shared in ties:
+                beside = np.minimum(shared[rows] + common[others] - shared[others], shared[others] + common[rows] - shared[rows])
+                most = np.where(leader[rows] == leader[others], np.minimum(most, beside), most)
+            fits = 100 * most >= percent * (n[rows] + n[others] - most)
             rows, others = rows[fits], others[fits]
-            need = np.minimum(depth[rows], depth[others])
-            hits = np.maximum(level[rows], level[others]) <= need
-            rows, others, need = rows[hits], others[hits], need[hits]
+            inside = np.maximum(level[rows], level[others]) <= np.minimum(depth[rows], depth[others])
+            rows, others = rows[inside], others[inside]
+            met = np.zeros(len(rows), bool)
+            for i in range(HEAD):
+                for j in range(HEAD):
+                    met |= (head[rows, i] == head[others, j]) & (i < place[rows]) & (j < place[others])
+            rows, others = rows[~met], others[~met]
             if len(rows):
-                key = pd.DataFrame({"a": np.minimum(doc[rows], doc[others]), "b": np.maximum(doc[rows], doc[others]), "hits": np.int32(1), "need": need.astype(np.int32)})
-                yield key.groupby(["a", "b", "need"], as_index=False)["hits"].sum()[["a", "b", "hits", "need"]].astype({"hits": "int32"})
+                yield pd.DataFrame({"a": np.minimum(doc[rows], doc[others]), "b": np.maximum(doc[rows], doc[others])}).drop_duplicates()
 
     for batch in batches:
         if not len(batch):
@@ -298,21 +318,25 @@ def _chunks(many: np.ndarray, most: int) -> Iterator[slice]:
         yield slice(a, b)
 
 
-def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Those of pairs (a, b) whose sets link, by the whole sets: shingles that were dropped are in one document only."""
-    one = sets.select(F.col("doc_id").alias("a"), F.col("n").alias("n_a"), F.col("shingles").alias("s_a"))
-    two = sets.select(F.col("doc_id").alias("b"), F.col("n").alias("n_b"), F.col("shingles").alias("s_b"))
-    both = pairs.join(two, "b").where("n_b is not null").join(one, "a").where(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)")
+def measured(pairs: DataFrame, sets: DataFrame, percent: int, prefixed: bool = False) -> DataFrame:
+    """pairs (a, b) with shared and linked, by the whole sets: shingles that were dropped are in one document only. With
+    prefixed, pairs whose prefixes of the smaller depth k share fewer than k are told unlinked without that."""
+    side = lambda s: sets.select(F.col("doc_id").alias(s), *(F.col(c).alias(f"{c}_{s}") for c in ("n", "short", "depth", "shingles")))
+    both = pairs.join(side("b"), "b").join(side("a"), "a")
 
     def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            good = []
-            for n_a, s_a, n_b, s_b in zip(batch["n_a"], batch["s_a"], batch["n_b"], batch["s_b"], strict=True):
-                common = len(np.intersect1d(np.frombuffer(s_a, "<u8"), np.frombuffer(s_b, "<u8"), assume_unique=True))
-                good.append(100 * common >= percent * (n_a + n_b - common))
-            yield batch.loc[np.array(good, bool), ["a", "b"]]
-
-    return both.select("a", "b", "n_a", "s_a", "n_b", "s_b").mapInPandas(check, "a long, b long")
+            shared = []
+            for x, y, short_x, short_y, k_x, k_y in zip(*(batch[c] for c in ("shingles_a", "shingles_b", "short_a", "short_b", "depth_a", "depth_b")), strict=True):
+                one, two, k = np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8"), min(k_x, k_y)
+                if prefixed and k > 1 and len(np.intersect1d(one[: short_x + k - 1], two[: short_y + k - 1], assume_unique=True)) < k:
+                    shared.append(0)
+                else:
+                    shared.append(len(np.intersect1d(one, two, assume_unique=True)))
+            counts = np.array(shared, np.int64)
+            yield batch[["a", "b"]].assign(shared=counts, linked=100 * counts >= percent * (batch["n_a"] + batch["n_b"] - counts))
+
+    return both.mapInPandas(check, "a long, b long, shared long, linked boolean")
 
 
 def keep_one_each(docs: DataFrame, id_column: str = "doc_id", **options) -> DataFrame:
