@@ -10,8 +10,8 @@ so none below the threshold is linked.
 Equal vectors of a label are one row from the first step on, so a vector that a third of all rows repeat costs as much as
 any other. Buckets of more than ``block`` vectors are compared as pairs of blocks, each a task's row group, so no bucket is
 one task and none is cut short. A pair that meets in several tables counts in the first of them alone, which both
-vectors' bucket numbers tell: no table of pairs is made or shuffled, only each vector's count and, for components, a
-spanning forest of each block.
+vectors' bucket numbers tell: no table of pairs is made or shuffled, only each vector's count and, for components, the
+smallest id that it reaches in each block.
 
 Null labels, and vectors that are null, empty, zero or hold null or non-finite components link with nothing; vectors of
 different lengths never link. Repeated rows with one id are linked as any equal vectors are; each row is returned. An empty
@@ -30,8 +30,6 @@ from pyspark.sql import functions as F
 
 from assay.llm.common import components, saved, ship
 
-ROW = "rep long, copies long, vector binary, keys binary"
-
 
 def bucket_numbers(vectors: np.ndarray, tables: int, width: int, step: float, seed: int) -> np.ndarray:
     """(vectors, tables) of int64."""
@@ -60,48 +58,79 @@ def unit(values) -> np.ndarray | None:
     return x / np.sqrt(x @ x)
 
 
-def forest(near: np.ndarray, first: np.ndarray, second: np.ndarray) -> list[tuple[int, int]]:
-    """Links of a spanning forest of those that near (first x second) holds."""
-    parent: dict[int, int] = {}
-
-    def root(x: int) -> int:
-        while (up := parent.setdefault(x, x)) != x:
-            parent[x] = parent[up]
-            x = up
-        return x
-
-    out = []
-    for i, j in zip(*np.nonzero(near), strict=True):
-        a, b = int(first[i]), int(second[j])
-        if (x := root(a)) != (y := root(b)):
-            parent[max(x, y)] = min(x, y)
-            out.append((a, b))
-    return out
-
-
-def compare(pdf: pd.DataFrame, least: float) -> pd.DataFrame:
-    """One pair of blocks of one bucket. Rows (a, b, links): counts have b null, links of the forest have links 0."""
-    table, low, high = int(pdf["table"].iloc[0]), int(pdf["low"].iloc[0]), int(pdf["high"].iloc[0])
-
-    def side(at: int):
-        rows = pdf[pdf["block"] == at].sort_values("rep")
-        keys = np.frombuffer(b"".join(rows["keys"]), "<i8").reshape(len(rows), -1)
-        return rows["rep"].to_numpy(), rows["copies"].to_numpy(), np.frombuffer(b"".join(rows["vector"]), "<f8").reshape(len(rows), -1), keys
-
-    a = side(low)
-    b = a if low == high else side(high)
-    if not len(a[0]) or not len(b[0]):
-        return pd.DataFrame({"a": [], "b": [], "links": []}).astype("Int64")
-    near = a[2] @ b[2].T >= least
-    for t in range(table):  # met before
-        near &= a[3][:, t, None] != b[3][None, :, t]
-    if low == high:
+def smallest_reachable(near: np.ndarray, first: np.ndarray, second: np.ndarray) -> list[tuple[int, int]]:
+    """(id, smallest id reachable) of those that near (first x second) links: labels fall to the smallest neighbour's until
+    none changes, which links the same components with one pair for each vector."""
+    rows, columns = near.any(axis=1), near.any(axis=0)
+    near, first, second = near[rows][:, columns], first[rows], second[columns]
+    if not len(first):
+        return []
+    most = np.iinfo(np.int64).max
+    one, two = first.copy(), second.copy()
+    while True:
+        new_two = np.minimum(two, np.where(near, one[:, None], most).min(axis=0))
+        new_one = np.minimum(one, np.where(near, new_two[None, :], most).min(axis=1))
+        if (new_one == one).all() and (new_two == two).all():
+            break
+        one, two = new_one, new_two
+    pairs = {*zip(first.tolist(), one.tolist(), strict=True), *zip(second.tolist(), two.tolist(), strict=True)}
+    return [p for p in pairs if p[0] != p[1]]
+
+
+def compare(table: int, one: slice, other: slice, ids: np.ndarray, copies: np.ndarray, vectors: np.ndarray, keys: np.ndarray, least: float) -> tuple[list, list]:
+    """One block of a bucket with itself or another: (id, links) and (id, smallest id reachable)."""
+    near = vectors[one] @ vectors[other].T >= least
+    if near.size * table <= 1 << 18:
+        near &= ~(keys[one][:, None, :table] == keys[other][None, :, :table]).any(axis=2)  # met before
+    else:
+        for t in range(table):
+            near &= keys[one][:, t, None] != keys[other][None, :, t]
+    if one == other:
         near = np.triu(near, 1)
-    counts = [(a[0], near @ b[1]), (b[0], a[1] @ near)]
-    links = forest(near, a[0], b[0])
-    out = [pd.DataFrame({"a": ids, "b": None, "links": n})[n > 0] for ids, n in counts]
-    out.append(pd.DataFrame({"a": [x for x, _ in links], "b": [y for _, y in links], "links": 0}))
-    return pd.concat(out, ignore_index=True).astype("Int64")
+    if not near.any():
+        return [], []
+    weight = near.astype(np.float64)
+    counts = [(ids[one], weight @ copies[other]), (ids[other], copies[one] @ weight)]
+    links = [(i, int(n)) for who, many in counts for i, n in zip(who.tolist(), many.tolist(), strict=True) if n]
+    return links, smallest_reachable(near, ids[one], ids[other])
+
+
+def compare_runs(batches: Iterator[pd.DataFrame], least: float) -> Iterator[pd.DataFrame]:
+    """Over rows sorted by run (a bucket's pair of blocks). Rows (a, b, links): counts have b null; the others links 0."""
+    held: list[pd.DataFrame] = []
+
+    def done(part: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        for _, same in part.groupby(part["vector"].map(len), sort=False):
+            ids, copies = same["rep"].to_numpy(), same["copies"].to_numpy().astype(np.float64)
+            vectors = np.frombuffer(b"".join(same["vector"]), "<f8").reshape(len(same), -1)
+            keys = np.frombuffer(b"".join(same["keys"]), "<i8").reshape(len(same), -1)
+            run, block, low, high, table = (same[c].to_numpy() for c in ("run", "block", "low", "high", "table"))
+            cuts = np.flatnonzero(np.append(True, run[1:] != run[:-1]))
+            counts, links = [], []
+            for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(same)], strict=True):
+                if low[a] == high[a]:
+                    one = other = slice(a, b)
+                else:  # sorted by block
+                    middle = a + int((block[a:b] == low[a]).sum())
+                    one, other = slice(a, middle), slice(middle, b)
+                c, n = compare(int(table[a]), one, other, ids, copies, vectors, keys, least)
+                counts += c
+                links += n
+            rows = [(i, None, n) for i, n in counts] + [(i, j, 0) for i, j in links]
+            if rows:
+                yield pd.DataFrame(rows, columns=["a", "b", "links"]).astype("Int64").groupby(["a", "b"], dropna=False, as_index=False)["links"].sum()
+
+    for batch in batches:
+        if not len(batch):
+            continue
+        tail = (batch["run"] == batch["run"].iloc[-1]).to_numpy()
+        if tail.all():
+            held.append(batch)
+            continue
+        yield from done(pd.concat([*held, batch[~tail]], ignore_index=True))
+        held = [batch[tail]]
+    if held:
+        yield from done(pd.concat(held, ignore_index=True))
 
 
 def link_vectors(vectors: DataFrame, least: float = 0.93, tables: int = 24, width: int = 8, step: float = 1.5, seed: int = 11, block: int = 1024, id_column: str = "vec_id", vector_column: str = "embedding", label_column: str = "label") -> DataFrame:
@@ -135,7 +164,10 @@ def link_vectors(vectors: DataFrame, least: float = 0.93, tables: int = 24, widt
     meet = meet.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     meet = meet.select("rep", "label", "bytes", "table", "bucket", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
     meet = meet.join(reps.select("rep", "copies", "vector", "keys"), "rep")
-    found = meet.groupBy("label", "bytes", "table", "bucket", "low", "high").applyInPandas(lambda pdf: compare(pdf, least), "a long, b long, links long")
+    meet = meet.withColumn("run", F.xxhash64("label", "bytes", "table", "bucket", "low", "high")).drop("label", "bytes", "bucket")
+    tasks = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    meet = meet.repartition(tasks, "run").sortWithinPartitions("run", "block", "rep")
+    found = meet.mapInPandas(lambda batches: compare_runs(batches, least), "a long, b long, links long")
     found = saved(found, "found")
     counts = found.where("links > 0").groupBy(F.col("a").alias("rep")).agg(F.sum("links").alias("links"))
     parts = components(found.where("b is not null"), "a", "b").withColumnRenamed("node", "rep")
