@@ -94,7 +94,7 @@ def histogram_entropy(df: DataFrame, names: list[str] | None = None) -> DataFram
     ends = ends.withColumn("bins", F.greatest(F.lit(2), F.least(F.lit(10), F.floor(F.col("n") / 10))).cast("int"))
     values = own.select(F.inline(F.array(*(F.struct(F.lit(n).alias("column"), col(n).alias("x")) for n in names))))
     placed = values.join(F.broadcast(ends), "column")  # a row for each column of the table
-    place = F.when(F.col("high") == F.col("low"), F.lit(1)).otherwise(F.least(F.floor((F.col("x") - F.col("low")) / (F.col("high") - F.col("low")) * F.col("bins")) + 1, F.col("bins")))
+    place = F.when(F.col("high") == F.col("low"), F.lit(1)).otherwise(F.least(F.floor(F.try_divide(F.col("x") - F.col("low"), F.col("high") - F.col("low")) * F.col("bins")) + 1, F.col("bins")))
     counts = placed.groupBy("column", "bins", place.alias("bin")).agg(F.count("*").alias("k"))
     return counts.groupBy("column", "bins").agg(F.abs(F.log(F.sum("k")) - F.sum(F.col("k") * F.log("k")) / F.sum("k")).alias("entropy"))
 
@@ -106,7 +106,7 @@ def correlations(df: DataFrame, names: list[str] | None = None) -> DataFrame:
     pairs = list(combinations(range(len(names)), 2))
     if not pairs:
         return df.sparkSession.createDataFrame([], "a string, b string, r double")
-    sums = [F.struct(F.lit(names[i]).alias("a"), F.lit(names[j]).alias("b"), F.when((F.stddev_pop(col(names[i])) > 0) & (F.stddev_pop(col(names[j])) > 0), F.corr(col(names[i]), col(names[j]))).alias("r")).alias(f"c{k}") for k, (i, j) in enumerate(pairs)]
+    sums = [F.struct(F.lit(names[i]).alias("a"), F.lit(names[j]).alias("b"), F.try_divide(F.covar_pop(col(names[i]), col(names[j])), F.stddev_pop(col(names[i])) * F.stddev_pop(col(names[j]))).alias("r")).alias(f"c{k}") for k, (i, j) in enumerate(pairs)]
     return own.agg(*sums).select(F.inline(F.array(*(F.col(f"c{k}") for k in range(len(pairs))))))
 
 
