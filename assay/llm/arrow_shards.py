@@ -1,8 +1,8 @@
 """Token ids as Arrow IPC files of fixed-size-list batches, and back.
 
 Documents are dealt to shards by ranges of doc_id, sorted, and each shard is one stream of ids cut into sequences of equal
-length: a file with the columns ids (fixed_size_list<uint16 or uint32>[length]) and mask (fixed_size_list<uint8>[length],
-0 where the last sequence is filled up), in batches of ``rows`` sequences. Sequence i is row i % rows of batch i // rows, so
+length: a file with the columns ids (fixed_size_list<uint16 or uint32>[length]) and mask (fixed_size_list<bool>[length], a
+bit for each id, false where the last sequence is filled up; lengths are multiples of 8), in batches of ``rows`` sequences. Sequence i is row i % rows of batch i // rows, so
 a memory-mapped reader reaches it without copying or reading the rest. A second file of the shard, with the ending
 .index.arrow, has (doc_id, start, n_tokens) of its documents. A task that is run again writes files of its own name; only
 those of the run that counted are read.
@@ -39,8 +39,10 @@ class ShardWriter:
         self.store, path = place(uri)
         self.store.create_dir(path.rpartition("/")[0], recursive=True)
         self.path, self.length, self.rows = path, length, rows
+        if length % 8:
+            raise ValueError("the length must be a multiple of 8")
         kind = pa.from_numpy_dtype(np.dtype(dtype))
-        self.dtype, self.schema = dtype, pa.schema([("ids", pa.list_(kind, length)), ("mask", pa.list_(pa.uint8(), length))])
+        self.dtype, self.schema = dtype, pa.schema([("ids", pa.list_(kind, length)), ("mask", pa.list_(pa.bool_(), length))])
         self.sink = self.store.open_output_stream(path)
         self.file = ipc.new_file(self.sink, self.schema)
         self.waiting, self.held, self.total = [], 0, 0
@@ -59,9 +61,9 @@ class ShardWriter:
         flat = np.concatenate(self.waiting) if self.waiting else np.zeros(0, self.dtype)
         while len(flat) >= each or last and len(flat):
             part, flat = flat[:each], flat[each:]
-            mask = np.ones(len(part), np.uint8)
+            mask = np.ones(len(part), bool)
             if spare := -len(part) % self.length:
-                part, mask = np.concatenate([part, np.zeros(spare, self.dtype)]), np.concatenate([mask, np.zeros(spare, np.uint8)])
+                part, mask = np.concatenate([part, np.zeros(spare, self.dtype)]), np.concatenate([mask, np.zeros(spare, bool)])
             columns = [pa.FixedSizeListArray.from_arrays(pa.array(x), self.length) for x in (part, mask)]
             self.file.write_batch(pa.record_batch(columns, schema=self.schema))
         self.waiting, self.held = [flat] if len(flat) else [], len(flat)
@@ -88,9 +90,13 @@ class Shard:
         self.rows = self.file.get_batch(0).num_rows if self.file.num_record_batches else 1
 
     def sequence(self, i: int) -> tuple[np.ndarray, np.ndarray]:
-        """Views of the ids and the mask of sequence i."""
+        """Views of the ids and of the mask's bits (eight in a byte, the first the lowest) of sequence i."""
         batch, at = self.file.get_batch(i // self.rows), i % self.rows * self.length
-        return tuple(batch.column(k).values.to_numpy(zero_copy_only=True)[at : at + self.length] for k in (0, 1))
+        bits = np.frombuffer(batch.column(1).values.buffers()[1], np.uint8)
+        return batch.column(0).values.to_numpy(zero_copy_only=True)[at : at + self.length], bits[at // 8 : (at + self.length) // 8]
+
+    def mask(self, i: int) -> np.ndarray:
+        return np.unpackbits(self.sequence(i)[1], bitorder="little").astype(bool)
 
     def documents(self) -> Iterator[tuple[int | None, int, np.ndarray]]:
         """(doc_id, start, ids) of each document, one batch in memory at a time."""

@@ -240,8 +240,10 @@ def test_arrow_shards(spark, corpus):
     first = shards.orderBy("shard").first()
     whole = np.frombuffer(b"".join(ids), "<u4")
     shard = arrow_shards.Shard(first.path)
-    tokens, mask = shard.sequence(5)
-    assert (tokens == whole[80:96]).all() and mask.all() and not tokens.flags.owndata
+    tokens, bits = shard.sequence(5)
+    assert (tokens == whole[80:96]).all() and shard.mask(5).all() and not tokens.flags.owndata and not bits.flags.owndata
+    last = -(-first.n_tokens // 16) - 1
+    assert shard.mask(last).sum() == first.n_tokens - 16 * last
     assert arrow_shards.token_files(docs.limit(0), path).count() == 0
 
 
