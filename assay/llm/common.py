@@ -1,70 +1,22 @@
-"""What the corpus operators share: the shared folder, ranges of string keys, connected components."""
+"""What the corpus operators share: texts and urls as columns, ranges of string keys; and from the rest of the package the
+shared folder, connected components and shipping."""
 
 from __future__ import annotations
 
-import atexit
 import bisect
-import os
-import tempfile
-import uuid
-import zipfile
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Words are runs of anything but the six ASCII white-space characters.
-WORD = r"[^\x20\x09-\x0D]+"
+from assay.functions.graph import components
+from assay.functions.shipping import ship
+from assay.functions.storage import new_path, saved, shared_folder
 
+__all__ = ["WORD", "components", "new_path", "range_bounds", "range_number", "reversed_host", "saved", "shared_folder", "ship", "text_of", "url_host", "url_path"]
 
-def ship(spark: SparkSession) -> None:
-    """Gives the executors this package, once for each context, so that their workers can import it."""
-    context = spark.sparkContext
-    if getattr(context, "_assay_shipped", False):
-        return
-    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-    path = os.path.join(tempfile.mkdtemp(), "assay.zip")
-    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
-        for folder, _, names in os.walk(root):
-            for name in names:
-                if name.endswith(".py"):
-                    full = os.path.join(folder, name)
-                    z.write(full, os.path.join("assay", os.path.relpath(full, root)))
-    context.addPyFile(path)
-    context._assay_shipped = True
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, which driver and executors share; one of our own where it is unset."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        at = "file:///tmp/checkpoints/assay"
-        if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-            spark.sparkContext.setCheckpointDir(at)
-    return at.rstrip("/")
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    """A path in the shared folder; what is there goes when the driver ends."""
-    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    atexit.register(remove, spark, path)
-    return path
-
-
-def remove(spark: SparkSession, path: str) -> None:
-    try:
-        jvm = spark.sparkContext._jvm
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-    except Exception:  # the driver's JVM may be gone already
-        return
-
-
-def saved(df: DataFrame, name: str) -> DataFrame:
-    """df written once to the shared folder and read again: later steps neither repeat its work nor depend on executors."""
-    path = new_path(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+#: Words are runs of anything but the six ASCII white-space characters.
+WORD = r"[^\x20\x09-\x0D]+"
 
 
 def text_of(name: str = "text") -> Column:
@@ -102,7 +54,7 @@ def range_number(bounds: list[str], key: Column) -> Column:
     """The number of the range that a key is in: how many bounds are not above it."""
     if not bounds:
         return F.lit(0)
-    sent = df_broadcast(bounds)
+    sent = SparkSession.getActiveSession().sparkContext.broadcast(bounds)
 
     @F.pandas_udf("int")
     def number(keys: pd.Series) -> pd.Series:
@@ -110,36 +62,3 @@ def range_number(bounds: list[str], key: Column) -> Column:
         return keys.map(lambda k: bisect.bisect_right(b, k)).astype("int32")
 
     return number(key)
-
-
-def df_broadcast(value):
-    return SparkSession.getActiveSession().sparkContext.broadcast(value)
-
-
-def components(links: DataFrame, a: str, b: str, most_rounds: int = 60) -> DataFrame:
-    """The connected components of links: (node, component), component the smallest node. Nodes without links are absent.
-
-    Alternates the large-star and small-star steps of Kiveris et al. (2014): each node's neighbours are tied to its
-    smallest one, so that after a number of rounds that grows with the logarithm of the longest path only stars are left.
-    Every round is a grouped minimum (combined before the shuffle) and an equi-join, and is cut off with a written table.
-    """
-    pairs = links.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v")
-    pairs = saved(pairs.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "links")
-    said = None
-    for _ in range(most_rounds):
-        both = pairs.union(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        # Written, so that the join deals both sides itself and can split a node with very many neighbours.
-        least = saved(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "least")
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.where("u <> v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
-        pairs = saved(small.where("u <> v").distinct(), "links")
-        now = tuple(pairs.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % 1000003), F.sum(F.xxhash64("v", "u") % 1000033)).first())
-        if now == said:
-            break
-        said = now
-    else:
-        raise RuntimeError("the components did not settle")
-    leaves = pairs.select(F.col("u").alias("node"), F.col("v").alias("component"))
-    return leaves.union(leaves.select(F.col("component").alias("node"), "component").distinct())
