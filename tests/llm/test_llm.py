@@ -302,6 +302,13 @@ def test_page_differencing(spark):
     assert got == {i: f"Text number {i} {'long ' * i}".strip() for i in range(6)}
 
 
+def test_pages_of_one_host_are_read_in_parts(spark):
+    rows = [(i, f"http://h/{1000 + i}", page(f"<p>Site</p><p>Text {i}</p><p>{'Odd' if i % 2 else 'Even'}</p><p>Text {i // 3}</p>"), 0) for i in range(700)]
+    got = {r.page_id: r.text for r in page_text.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string, part int"), rows_each=10_000).collect()}
+    want = page_text.main_texts([page_text.lines_of(r[2]) for r in rows], 4)
+    assert got == {i: t for i, (t, _) in enumerate(want)}
+
+
 def test_common_lines_like_dynamic_programming():
     r = random.Random(3)
     for _ in range(60):
