@@ -16,7 +16,7 @@ from itertools import filterfalse
 import numpy as np
 
 #: Pieces that a worker keeps; when the table is full it starts anew.
-KEPT = 1_000_000
+KEPT = 800_000
 
 #: White space other than single blanks and line feeds between other characters; marks that could be special tokens.
 UNSURE_BYTES = re.compile(r"\A\s|\s\Z|\s\s|[^\S \n]|[\x01\x1c-\x1f\x85]|<\|")
