@@ -3,8 +3,11 @@
 Pages are sorted by host, path and id and dealt to key ranges, so a page's neighbours on its host stand beside it and a
 host with a third of all pages is still many tasks. Each page's text lines (one for each block) are aligned with those of
 its nearest neighbour by longest common subsequence; lines that both have are the site's, not the page's, and are deleted.
-A neighbour that is a copy (shares nine tenths of the text outside marked-up boilerplate) says nothing about the site and
-is passed over for the next, up to ``reach`` places away.
+A neighbour that is a copy says nothing about the site and is passed over for the next. Copies have equal unmarked texts, or
+nine tenths of the page's text in lines that are rare on the host (that no more than half of its different texts have).
+Pages with equal texts side by side count as one place. Pages up to ``reach`` places away are looked at first; hosts with a
+page that has only copies there are read again with a longer reach, until a page that isn't a copy or the host's end.
+Ranges also get the pages of their first and last host that lie beyond their bounds, so results don't depend on the bounds.
 
 Differencing alone is wrong where pages of a host share passages of their articles, and it can't see adverts or comments
 that differ from page to page. So structure goes first: lines in elements that aren't article text (by tag, role, class or
@@ -20,17 +23,18 @@ html are not read.
 
 from __future__ import annotations
 
+import hashlib
 import html as entities
 import re
 from bisect import bisect_left
-from collections import defaultdict
+from collections import Counter, defaultdict, deque
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from assay.llm.common import range_bounds, range_number, ship, url_host, url_path
+from assay.llm.common import range_bounds, range_number, saved, ship, url_host, url_path
 
 TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)""", re.S)
 ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
@@ -48,6 +52,8 @@ STARTS = ("advert", "breadcrumb", "comment", "cookie", "navig", "newsletter", "s
 TITLES = {"article", "content", "entry", "post", "story"}
 ARTICLE, PLAIN, BOILER = 2, 1, 0
 AT_ONCE = 256
+WIDER = 8  # how many times as far pages are looked for if all nearer ones are copies
+SITE, NEAR, OWN = 0, 1, 2
 
 
 def marked(name: str, attributes: str, within: bool) -> bool:
@@ -182,59 +188,200 @@ def common_lines(one: list[str], other: list[str], most_pairs: int = 2_000_000)
     return out[::-1]
 
 
-def main_texts(pages: list[list[tuple[str, int]]], reach: int, first: int = 0, end: int | None = None) -> list[tuple[str, int]]:
-    """(text, lines deleted by differencing) of pages first to end among neighbouring pages of one host, in url order."""
-    bare = [[line for line, _ in p] for p in pages]
-    out = []
-    for i, page in enumerate(pages[:end]):
-        if i < first:
-            continue
-        plain = sum(len(line) for line, kind in page if kind != BOILER)
-        shared: set[int] = set()
-        for j in sorted((j for j in range(max(0, i - reach), min(len(pages), i + reach + 1)) if j != i), key=lambda j: (abs(j - i), j)):
-            common = common_lines(bare[i], bare[j])
-            if 10 * sum(len(page[k][0]) for k in common if page[k][1] != BOILER) < 9 * plain:
-                shared = set(common)
-                break
-            if not plain:
+def line_number(line: str) -> int:
+    return int.from_bytes(hashlib.blake2b(line.encode("utf-8", "replace"), digest_size=8).digest(), "little", signed=True)
+
+
+def text_number(page: list[tuple[str, int]]) -> int:
+    """Equal for pages with equal unmarked texts."""
+    return line_number("\n".join(line for line, kind in page if kind != BOILER))
+
+
+def site_lines(pages: list[list[tuple[str, int]]]) -> set[int]:
+    """Numbers of the unmarked lines that more than half of the different texts have."""
+    texts = {text_number(p): {line for line, kind in p if kind != BOILER} for p in pages}
+    seen = Counter(line for lines in texts.values() for line in lines)
+    return {line_number(line) for line, n in seen.items() if 2 * n > len(texts)}
+
+
+class Run:
+    """Pages with equal unmarked texts that stand side by side; rows are (role, page_id, url) and the page's lines."""
+
+    def __init__(self, number: int):
+        self.number, self.rows = number, []
+
+
+def is_copy(run: Run, rare: dict[str, int], other: Run, page: list[tuple[str, int]]) -> bool:
+    """Whether another page has nine tenths of the text that is rare on the host, or all of the unmarked text."""
+    if run.number == other.number:
+        return True
+    there = {line for line, _ in page}
+    return bool(rare) and 10 * sum(n for line, n in rare.items() if line in there) >= 9 * sum(rare.values())
+
+
+def differenced(runs: list[Run], common: set[int], texts: int, reach: int, first: int, end: int) -> Iterator[tuple[tuple, str, int, bool]]:
+    """(row, text, lines deleted by differencing, settled) of the pages of runs first to end. Not settled: all texts up to
+    reach places away are copies, and the host has more."""
+    for i in range(first, end):
+        run = runs[i]
+        page = run.rows[0][1]
+        rare: Counter[str] = Counter()
+        for line, kind in page:
+            if kind != BOILER and line_number(line) not in common:
+                rare[line] += len(line)
+        near = sorted((j for j in range(max(0, i - reach), min(len(runs), i + reach + 1)) if j != i), key=lambda j: (abs(j - i), j))
+        other = None
+        for j in near:
+            lines = runs[j].rows[-1 if j < i else 0][1]
+            if not is_copy(run, rare, runs[j], lines):
+                other = [line for line, _ in lines]
                 break
-        kept = [line for k, (line, kind) in enumerate(page) if kind == ARTICLE or kind == PLAIN and k not in shared]
-        out.append(("\n\n".join(kept), sum(page[k][1] != ARTICLE for k in shared)))
+        settled = other is not None or len({runs[j].number for j in near} | {run.number}) >= texts
+        for row, page in run.rows:
+            shared = set(common_lines([line for line, _ in page], other)) if other is not None else set()
+            kept = [line for k, (line, kind) in enumerate(page) if kind == ARTICLE or kind == PLAIN and k not in shared]
+            yield row, "\n\n".join(kept), sum(page[k][1] != ARTICLE for k in shared), settled
+
+
+def runs_of(pages: list[list[tuple[str, int]]]) -> list[Run]:
+    runs: list[Run] = []
+    for p in pages:
+        number = text_number(p)
+        if not runs or runs[-1].number != number:
+            runs.append(Run(number))
+        runs[-1].rows.append(((), p))
+    return runs
+
+
+def main_texts(pages: list[list[tuple[str, int]]], reach: int) -> list[tuple[str, int]]:
+    """(text, lines deleted by differencing) of all pages of one host, in url order."""
+    runs, common = runs_of(pages), site_lines(pages)
+    while True:
+        out = list(differenced(runs, common, len({r.number for r in runs}), reach, 0, len(runs)))
+        if all(settled for *_, settled in out):
+            return [(text, n) for _, text, n, _ in out]
+        reach *= WIDER
+
+
+def edge_runs(pages: DataFrame, parts: int, reach: int) -> dict[int, list[list[tuple]]]:
+    """The first and the last reach + 1 runs of each range: (host, number, key of the page at the range's bound)."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        heads: dict[int, list[tuple]] = {}
+        tails: dict[int, deque[tuple]] = {}
+        for batch in batches:
+            for part, host, number, key in zip(batch["part"], batch["host"], batch["number"], batch["key"], strict=True):
+                head, tail = heads.setdefault(part, []), tails.setdefault(part, deque(maxlen=reach + 1))
+                if tail and tail[-1][:2] == (host, number):
+                    tail[-1] = (host, number, key)
+                    continue
+                if len(head) <= reach:
+                    head.append((host, number, key))
+                tail.append((host, number, key))
+        rows = [(part, side, i, *x) for side, found in enumerate((heads, tails)) for part, held in found.items() for i, x in enumerate(held)]
+        yield pd.DataFrame(rows, columns=["part", "side", "place", "host", "number", "key"])
+
+    own = pages.select("part", "host", "number", "key", "url", "body").withColumn("body", F.xxhash64("body"))
+    own = own.repartition(parts, "part").sortWithinPartitions("part", "host", "key", "url", "number", "body")
+    out: dict[int, list[list[tuple]]] = {}
+    for r in sorted(own.mapInPandas(run, "part int, side int, place int, host string, number long, key string").collect()):
+        out.setdefault(r.part, [[], []])[r.side].append((r.host, r.number, r.key))
+    return out
+
+
+def beyond_bounds(edges: dict[int, list[list[tuple]]], reach: int) -> list[tuple[str, int, int]]:
+    """(key, number, range) of the pages that a range needs from others: reach + 1 runs of its first and last host."""
+    order, out = sorted(edges), []
+    for at, part in enumerate(order):
+        for side, others in ((1, reversed(order[:at])), (0, order[at + 1 :])):
+            host, found = edges[part][1 - side][-1 if side == 0 else 0][0], []
+            more = iter(x for p in others for x in (reversed(edges[p][1]) if side else edges[p][0]))
+            for h, number, key in more:
+                if h != host or len(found) > reach:
+                    break
+                if not found or found[-1][1] != number:
+                    found.append((key, number, part))
+            out += found
     return out
 
 
 def extract_pages(pages: DataFrame, rows_each: int = 512, reach: int = 4, id_column: str = "page_id", url_column: str = "url", html_column: str = "html") -> DataFrame:
     """Returns page_id, url, text, n_chars and n_shared (lines that the neighbour has too and that aren't the article's)."""
-    ship(pages.sparkSession)
+    spark = pages.sparkSession
+    ship(spark)
     url = F.col(url_column).cast("string")
     own = pages.select(F.col(id_column).cast("long").alias("page_id"), url.alias("url"), F.coalesce(F.col(html_column).cast("string"), F.lit("")).alias("html"), url_host(url).alias("host"), url_path(url).alias("path"))
     own = own.withColumn("key", F.concat("host", F.lit("\x01"), "path", F.lit("\x01"), F.coalesce(F.col("page_id").cast("string"), F.lit("")))).drop("path")
-    bounds = range_bounds(own, "key", rows_each)
-    own = own.withColumn("part", range_number(bounds, F.col("key")))
-    own = own.repartition(len(bounds) + 1, "part").sortWithinPartitions("part", "key", "url", "html")
+
+    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            read = [lines_of(page) for page in batch["html"]]
+            out = batch[["page_id", "url", "host", "key"]].assign(page_id=batch["page_id"].astype("Int64"))
+            yield out.assign(body=["\n".join(f"{kind}{line}" for line, kind in p) for p in read], number=[text_number(p) for p in read], lines=[list({line_number(line) for line, kind in p if kind != BOILER}) for p in read])
+
+    parsed = saved(own.mapInPandas(parse, "page_id long, url string, host string, key string, body string, number long, lines array<long>"), "pages")
+    bounds = range_bounds(parsed, "key", rows_each)
+    parsed = parsed.withColumn("part", range_number(bounds, F.col("key")))
+    texts = parsed.select("host", "number", "lines").dropDuplicates(["host", "number"])
+    sizes = saved(texts.groupBy("host").agg(F.count("*").alias("texts")), "hosts")
+    seen = texts.select("host", F.explode("lines").alias("line")).groupBy("host", "line").agg(F.count("*").alias("n")).where("n > 1")
+    common = seen.join(sizes, "host").where("2 * n > texts").groupBy("host").agg(F.collect_list("line").alias("lines"))
+    sites = saved(sizes.join(common, "host", "left"), "sites")
+    parsed = parsed.drop("lines")
 
     def extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Holds no more than AT_ONCE pages and their neighbours."""
-        held: list[tuple] = []
-        at, first = None, 0
+        """Holds no more than AT_ONCE runs of pages and their neighbours."""
+        runs: list[Run] = []
+        common: set[int] = set()
+        at, first, texts = None, 0, 0
 
         def done(end: int) -> pd.DataFrame:
-            texts, rows = main_texts([x[2] for x in held], reach, first, end), held[first:end]
-            return pd.DataFrame({"page_id": pd.array([x[0] for x in rows], "Int64"), "url": [x[1] for x in rows], "text": [t for t, _ in texts], "n_chars": [len(t) for t, _ in texts], "n_shared": [n for _, n in texts]})
+            rows = [(*row[1:], text, len(text), n, at[1], settled) for row, text, n, settled in differenced(runs, common, texts, wide, first, end) if row[0] == OWN]
+            out = pd.DataFrame(rows, columns=["page_id", "url", "text", "n_chars", "n_shared", "host", "settled"])
+            return out.assign(page_id=pd.array(out["page_id"], "Int64"))
 
         for batch in batches:
-            for page_id, url, page, host, part in zip(batch["page_id"].astype("Int64"), batch["url"], batch["html"], batch["host"], batch["part"], strict=True):
+            ids = batch["page_id"].astype("Int64")
+            for part, host, role, page_id, url, body, number, n, lines in zip(batch["part"], batch["host"], batch["role"], ids, batch["url"], batch["body"], batch["number"], batch["texts"], batch["lines"], strict=True):
                 if (part, host) != at:
-                    if len(held) > first:
-                        yield done(len(held))
-                    held, first, at = [], 0, (part, host)
-                elif len(held) >= first + AT_ONCE + reach:
-                    end = len(held) - reach
-                    yield done(end)
-                    keep = max(0, end - reach)
-                    held, first = held[keep:], end - keep
-                held.append((page_id, url, lines_of(page)))
-        if len(held) > first:
-            yield done(len(held))
-
-    return own.mapInPandas(extract, "page_id long, url string, text string, n_chars long, n_shared long")
+                    if len(runs) > first:
+                        yield done(len(runs))
+                    runs, first, at = [], 0, (part, host)
+                if role == SITE:
+                    common, texts = set() if lines is None else set(lines), int(n)
+                    continue
+                if not runs or runs[-1].number != number:
+                    if len(runs) >= first + AT_ONCE + wide:
+                        end = len(runs) - wide
+                        yield done(end)
+                        keep = max(0, end - wide)
+                        runs, first = runs[keep:], end - keep
+                    runs.append(Run(number))
+                runs[-1].rows.append(((role, page_id, url), [(line[1:], int(line[0])) for line in body.split("\n")] if body else []))
+        if len(runs) > first:
+            yield done(len(runs))
+
+    columns = ["part", "host", "role", "key", "page_id", "url", "body", "number"]
+    none = [F.lit(None).cast("long").alias("texts"), F.lit(None).cast("array<long>").alias("lines")]
+    done: list[DataFrame] = []
+    todo, wide = parsed, reach
+    while True:
+        rows = todo.withColumn("role", F.lit(OWN)).select(*columns, *none)
+        if bounds:
+            needed = beyond_bounds(edge_runs(todo, len(bounds) + 1, wide), wide)
+            sent = F.broadcast(spark.createDataFrame(needed, "key string, number long, part int"))
+            rows = rows.union(todo.drop("part").dropDuplicates(["key", "number"]).join(sent, ["key", "number"]).withColumn("role", F.lit(NEAR)).select(*columns, *none) if needed else rows.limit(0))
+        site = todo.select("part", "host").distinct().join(sites, "host").select("part", "host", F.lit(SITE).alias("role"), F.lit("").alias("key"), F.lit(0).cast("long").alias("page_id"), F.lit("").alias("url"), F.lit("").alias("body"), F.lit(0).cast("long").alias("number"), "texts", "lines")
+        rows = rows.union(site).withColumn("at", F.xxhash64("body"))
+        rows = rows.repartition(len(bounds) + 1, "part").sortWithinPartitions("part", "host", (F.col("role") != SITE), "key", "url", "number", "at", "body").drop("at")
+        got = saved(rows.mapInPandas(extract, "page_id long, url string, text string, n_chars long, n_shared long, host string, settled boolean"), "texts")
+        open_hosts = saved(got.where("not settled").select("host").distinct(), "open")
+        if open_hosts.isEmpty():
+            done.append(got)
+            break
+        done.append(got.join(open_hosts, "host", "left_anti"))
+        todo, wide = todo.join(open_hosts, "host", "left_semi"), wide * WIDER
+    out = done[0]
+    for more in done[1:]:
+        out = out.union(more.select(out.columns))
+    return out.select("page_id", "url", "text", "n_chars", "n_shared")

@@ -309,6 +309,25 @@ def test_pages_of_one_host_are_read_in_parts(spark):
     assert got == {i: t for i, (t, _) in enumerate(want)}
 
 
+def texts_of_pages(spark, rows, **options):
+    return {r.page_id: (r.text, r.n_shared) for r in page_text.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string"), **options).collect()}
+
+
+def test_boilerplate_heavier_than_the_text_goes(spark):
+    menu = "".join(f"<p>Section {k} {'of the shop ' * 8}</p>" for k in range(20))
+    rows = [(i, f"http://h/{i}", page(f"{menu}<p>Own text {i} {'word ' * 20}</p>")) for i in range(6)]
+    assert {i: t for i, (t, _) in texts_of_pages(spark, rows).items()} == {i: f"Own text {i} {'word ' * 20}".strip() for i in range(6)}
+
+
+def test_pages_beyond_many_copies_are_found(spark):
+    story = "".join(f"<p>Paragraph {k} of the story {'tells ' * 20}</p>" for k in range(6))
+    rows = [(i, f"http://h/{100 + i}", page(f"<p>Site</p>{story}<p>Seen {i if i % 2 else 0} times</p>")) for i in range(60)]
+    rows += [(i, f"http://h/{100 + i}", page(f"<p>Site</p><p>Other text {i}</p>")) for i in range(60, 200)]
+    got = texts_of_pages(spark, rows)
+    for i in range(60):
+        assert got[i][0].startswith("Paragraph 0") and got[i][0].count("Paragraph") == 6, i
+
+
 def test_common_lines_like_dynamic_programming():
     r = random.Random(3)
     for _ in range(60):
