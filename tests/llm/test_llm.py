@@ -328,6 +328,18 @@ def test_pages_beyond_many_copies_are_found(spark):
         assert got[i][0].startswith("Paragraph 0") and got[i][0].count("Paragraph") == 6, i
 
 
+def test_page_texts_do_not_depend_on_range_bounds(spark):
+    story = "".join(f"<p>Paragraph {k} of the story {'tells ' * 20}</p>" for k in range(3))
+    rows = [(i, f"http://{'abcdefgh'[i // 2]}.org/{i}", page(f"<p>Site {i // 2}</p><p>Text {i}</p>")) for i in range(16)]
+    rows += [(i, f"http://i/{100 + i}", page(f"<p>Site</p><p>Text {i % 5}</p><p>{'Odd' if i % 2 else 'Even'}</p>")) for i in range(16, 40)]
+    rows += [(i, f"http://j/{100 + i}", page("<p>Site</p><p>Not found</p>")) for i in range(40, 70)]
+    rows += [(i, f"http://j/{100 + i}", page(f"<p>Site</p>{story}<p>Seen {i} times</p>")) for i in range(70, 85)]
+    rows += [(i, f"http://j/{100 + i}", page(f"<p>Site</p><p>Text {i}</p>")) for i in range(85, 200)]
+    got = texts_of_pages(spark, rows, rows_each=3)
+    assert got == texts_of_pages(spark, rows, rows_each=10_000)
+    assert [got[i][0] for i in range(16)] == [f"Text {i}" for i in range(16)] and got[40][0] == "Not found"
+
+
 def test_common_lines_like_dynamic_programming():
     r = random.Random(3)
     for _ in range(60):
