@@ -16,8 +16,8 @@ outside it go. Differencing decides for the lines of all other pages.
 
 White space in a block is one space, br is white space, blocks are joined by two line feeds. Null and empty html gives an
 empty text; a page alone on its host keeps its unshared lines. Urls that are null or have no host form one host. Repeated
-rows each get a row. Very long pages are aligned in time that follows the number of equal pairs of lines; above two million
-such pairs, the k-th of equal lines meets the k-th alone. An empty table gives no rows. Columns other than id, url and
+rows each get a row. Pages are aligned in time that follows the number of equal pairs of lines; above two million such
+pairs, by halves and bits in memory that follows the pages' lengths, to the same length. An empty table gives no rows. Columns other than id, url and
 html are not read.
 """
 
@@ -30,6 +30,7 @@ from bisect import bisect_left
 from collections import Counter, defaultdict, deque
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -162,17 +163,14 @@ def common_lines(one: list[str], other: list[str], most_pairs: int = 2_000_000)
     in_one: dict[str, int] = defaultdict(int)
     for line in one:
         in_one[line] += 1
-    paired = sum(n * len(places.get(line, ())) for line, n in in_one.items()) > most_pairs
-    seen: dict[str, int] = defaultdict(int)
+    if sum(n * len(places.get(line, ())) for line, n in in_one.items()) > most_pairs:
+        return halved(one, other, most_pairs)
     ends: list[int] = []
     nodes: list[tuple] = []
     for i, line in enumerate(one):
         at = places.get(line)
         if not at:
             continue
-        if paired:
-            at = at[seen[line] : seen[line] + 1]
-            seen[line] += 1
         for j in reversed(at):
             k = bisect_left(ends, j)
             node = (i, nodes[k - 1] if k else None)
@@ -188,6 +186,50 @@ def common_lines(one: list[str], other: list[str], most_pairs: int = 2_000_000)
     return out[::-1]
 
 
+def halved(one: list[str], other: list[str], most_pairs: int) -> list[int]:
+    """common_lines by Hirschberg's halves: memory in proportion to the pages, however many pairs are equal."""
+    size = min(len(one), len(other))
+    a = 0
+    while a < size and one[a] == other[a]:
+        a += 1
+    z = 0
+    while z < size - a and one[-1 - z] == other[-1 - z]:
+        z += 1
+    mid_one, mid_other = one[a : len(one) - z], other[a : len(other) - z]
+    ends = list(range(a)), list(range(len(one) - z, len(one)))
+    if not mid_one or not mid_other:
+        return ends[0] + ends[1]
+    if len(mid_one) == 1:
+        return ends[0] + [a] * (mid_one[0] in mid_other) + ends[1]
+    half = len(mid_one) // 2
+    both = lengths(mid_one[:half], mid_other) + lengths(mid_one[half:][::-1], mid_other[::-1])[::-1]
+    cut = int(both.argmax())
+    left = common_lines(mid_one[:half], mid_other[:cut], most_pairs)
+    right = common_lines(mid_one[half:], mid_other[cut:], most_pairs)
+    return ends[0] + [a + i for i in left] + [a + half + i for i in right] + ends[1]
+
+
+def lengths(one: list[str], other: list[str]) -> np.ndarray:
+    """The length of a longest common subsequence of one with the first 0, 1, ... lines of other (bit-parallel)."""
+    n = len(other)
+    raw: dict[str, bytearray] = {line: bytearray() for line in one}
+    for j, line in enumerate(other):
+        if line in raw:
+            bits = raw[line]
+            if len(bits) <= j >> 3:
+                bits.extend(bytes((j >> 3) + 1 - len(bits)))
+            bits[j >> 3] |= 1 << (j & 7)
+    places = {line: int.from_bytes(bits, "little") for line, bits in raw.items() if bits}
+    full = (1 << n) - 1
+    row = full
+    for line in one:
+        if line in places:
+            met = row & places[line]
+            row = ((row + met) | (row - met)) & full
+    bits = np.unpackbits(np.frombuffer(row.to_bytes(-(-n // 8), "little"), np.uint8), bitorder="little")[:n]
+    return np.append(0, np.cumsum(1 - bits.astype(np.int64)))
+
+
 def line_number(line: str) -> int:
     return int.from_bytes(hashlib.blake2b(line.encode("utf-8", "replace"), digest_size=8).digest(), "little", signed=True)
 

@@ -352,6 +352,18 @@ def test_common_lines_like_dynamic_programming():
         assert len(got) == best[-1][-1] and got == sorted(got)
 
 
+def test_common_lines_of_many_equal_pairs():
+    one, other = ["x"] * 1500 + ["s"] + ["x"] * 1500, ["x"] * 100 + ["s"] + ["x"] * 1500
+    got = page_text.common_lines(one, other)
+    assert len(got) == 1601 and 1500 in got
+    r = random.Random(5)
+    for _ in range(200):
+        a, b = ([r.choice("abc") for _ in range(r.randrange(20))] for _ in range(2))
+        got = page_text.common_lines(a, b, 3)
+        rest = iter(b)
+        assert len(got) == len(page_text.common_lines(a, b)) and got == sorted(set(got)) and all(a[i] in rest for i in got)
+
+
 def test_toxicity(spark):
     r = random.Random(8)
     plain = ["the", "river", "house", "green", "walks", "under", "light", "stone", "table", "morning"]
