@@ -323,8 +323,7 @@ def edge_runs(pages: DataFrame, parts: int, reach: int) -> dict[int, list[list[t
         rows = [(part, side, i, *x) for side, found in enumerate((heads, tails)) for part, held in found.items() for i, x in enumerate(held)]
         yield pd.DataFrame(rows, columns=["part", "side", "place", "host", "number", "key"])
 
-    own = pages.select("part", "host", "number", "key", "url", "body").withColumn("body", F.xxhash64("body"))
-    own = own.repartition(parts, "part").sortWithinPartitions("part", "host", "key", "url", "number", "body")
+    own = pages.select("part", "host", "number", "key", "at").repartition(parts, "part").sortWithinPartitions("part", "host", "key", "number", "at")
     out: dict[int, list[list[tuple]]] = {}
     for r in sorted(own.mapInPandas(run, "part int, side int, place int, host string, number long, key string").collect()):
         out.setdefault(r.part, [[], []])[r.side].append((r.host, r.number, r.key))
@@ -361,15 +360,18 @@ def extract_pages(pages: DataFrame, rows_each: int = 512, reach: int = 4, id_col
             out = batch[["page_id", "url", "host", "key"]].assign(page_id=batch["page_id"].astype("Int64"))
             yield out.assign(body=["\n".join(f"{kind}{line}" for line, kind in p) for p in read], number=[text_number(p) for p in read], lines=[list({line_number(line) for line, kind in p if kind != BOILER}) for p in read])
 
-    parsed = saved(own.mapInPandas(parse, "page_id long, url string, host string, key string, body string, number long, lines array<long>"), "pages")
-    bounds = range_bounds(parsed, "key", rows_each)
-    parsed = parsed.withColumn("part", range_number(bounds, F.col("key")))
-    texts = parsed.select("host", "number", "lines").dropDuplicates(["host", "number"])
+    # Pages are read twice, as their texts would take more disk than numbers of their lines.
+    parsed = own.mapInPandas(parse, "page_id long, url string, host string, key string, body string, number long, lines array<long>").withColumn("at", F.xxhash64("body"))
+    narrow = saved(parsed.select("host", "key", "number", "at", "lines"), "pages")
+    bounds = range_bounds(narrow, "key", rows_each)
+    part = range_number(bounds, F.col("key"))
+    parsed, narrow = parsed.drop("lines").withColumn("part", part), narrow.withColumn("part", part)
+    texts = narrow.select("host", "number", "lines").dropDuplicates(["host", "number"])
     sizes = saved(texts.groupBy("host").agg(F.count("*").alias("texts")), "hosts")
     seen = texts.select("host", F.explode("lines").alias("line")).groupBy("host", "line").agg(F.count("*").alias("n")).where("n > 1")
     common = seen.join(sizes, "host").where("2 * n > texts").groupBy("host").agg(F.collect_list("line").alias("lines"))
     sites = saved(sizes.join(common, "host", "left"), "sites")
-    parsed = parsed.drop("lines")
+    narrow = narrow.drop("lines")
 
     def extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """Holds no more than AT_ONCE runs of pages and their neighbours."""
@@ -403,26 +405,26 @@ def extract_pages(pages: DataFrame, rows_each: int = 512, reach: int = 4, id_col
         if len(runs) > first:
             yield done(len(runs))
 
-    columns = ["part", "host", "role", "key", "page_id", "url", "body", "number"]
+    columns = ["part", "host", "role", "key", "page_id", "url", "body", "number", "at"]
     none = [F.lit(None).cast("long").alias("texts"), F.lit(None).cast("array<long>").alias("lines")]
     done: list[DataFrame] = []
     todo, wide = parsed, reach
     while True:
         rows = todo.withColumn("role", F.lit(OWN)).select(*columns, *none)
         if bounds:
-            needed = beyond_bounds(edge_runs(todo, len(bounds) + 1, wide), wide)
+            needed = beyond_bounds(edge_runs(narrow, len(bounds) + 1, wide), wide)
             sent = F.broadcast(spark.createDataFrame(needed, "key string, number long, part int"))
-            rows = rows.union(todo.drop("part").dropDuplicates(["key", "number"]).join(sent, ["key", "number"]).withColumn("role", F.lit(NEAR)).select(*columns, *none) if needed else rows.limit(0))
-        site = todo.select("part", "host").distinct().join(sites, "host").select("part", "host", F.lit(SITE).alias("role"), F.lit("").alias("key"), F.lit(0).cast("long").alias("page_id"), F.lit("").alias("url"), F.lit("").alias("body"), F.lit(0).cast("long").alias("number"), "texts", "lines")
-        rows = rows.union(site).withColumn("at", F.xxhash64("body"))
-        rows = rows.repartition(len(bounds) + 1, "part").sortWithinPartitions("part", "host", (F.col("role") != SITE), "key", "url", "number", "at", "body").drop("at")
+            rows = rows.union(todo.drop("part").join(sent, ["key", "number"]).dropDuplicates(["key", "number", "part"]).withColumn("role", F.lit(NEAR)).select(*columns, *none) if needed else rows.limit(0))
+        site = narrow.select("part", "host").distinct().join(sites, "host").select("part", "host", F.lit(SITE).alias("role"), F.lit("").alias("key"), F.lit(0).cast("long").alias("page_id"), F.lit("").alias("url"), F.lit("").alias("body"), F.lit(0).cast("long").alias("number"), F.lit(0).cast("long").alias("at"), "texts", "lines")
+        rows = rows.union(site)
+        rows = rows.repartition(len(bounds) + 1, "part").sortWithinPartitions("part", "host", (F.col("role") != SITE), "key", "number", "at", "url").drop("at")
         got = saved(rows.mapInPandas(extract, "page_id long, url string, text string, n_chars long, n_shared long, host string, settled boolean"), "texts")
         open_hosts = saved(got.where("not settled").select("host").distinct(), "open")
         if open_hosts.isEmpty():
             done.append(got)
             break
         done.append(got.join(open_hosts, "host", "left_anti"))
-        todo, wide = todo.join(open_hosts, "host", "left_semi"), wide * WIDER
+        todo, narrow, wide = todo.join(open_hosts, "host", "left_semi"), narrow.join(open_hosts, "host", "left_semi"), wide * WIDER
     out = done[0]
     for more in done[1:]:
         out = out.union(more.select(out.columns))
