@@ -1,9 +1,12 @@
 """Toxicity scores of texts whose words may be disguised.
 
 Disguises are a noisy channel: letters become digits or signs (1d10t), are set apart (i d i o t, i-d-i-o-t), repeated
-(idiooot) or masked (id*ot). Each suspicious piece of a text is a character lattice whose edges keep, replace, drop or
-separate signs at a cost, and the cheapest path under a trigram model of characters, which counts all texts of the corpus,
-is what was written (Viterbi). Pieces of plain letters have one path only and are read as they are.
+(idiooot) or masked (id*ot). Each piece of a text with a digit, a sign that can stand for a letter, a separator or a doubled
+letter is a character lattice whose edges keep, replace, drop or separate signs at a cost, and the cheapest path under a
+trigram model of characters, which counts all texts of the corpus, is what was written (Viterbi over all pairs of signs, as
+long as the piece). The plain reading counts too if it differs. Pieces of other plain letters have one path only. Words set
+apart by white space are joined where three or more single signs follow each other, or where pieces make up one of the
+typical words and the cheapest path joins them; pieces with signs in them are joined with others only if they are single.
 
 The score is a logistic regression on how often a text has each of the words that are typical of toxic texts, disguised or
 not. Words are chosen and weights fitted on labelled rows whose crc32(doc_id as text) mod 5 is not 0, at most ``most_rows``
@@ -11,8 +14,8 @@ of them by a hash of the id (the bound also lets them be broadcast); equal texts
 ranked by distributed counts; the driver gets at most ``most_rows`` rows of word numbers and ``most_words`` words.
 
 Null and empty texts have the score of a text without any such word. Repeated rows and ids each get a row. Without
-labelled rows, all scores are 0; with one label only, they are its smoothed share. Very long texts are read whole; very
-long pieces without white space are decoded in runs of 40 signs. Null labels don't count. An empty table gives no rows.
+labelled rows, all scores are 0; with one label only, they are its smoothed share. Very long texts and pieces are read
+whole. Null labels don't count. An empty table gives no rows.
 Columns other than the id and the text, and doc_id and toxic of the labels, are not read.
 """
 
@@ -45,9 +48,9 @@ ALIKE = dict(zip("аеорсухіѕԁһјкмтвнαορνικτ", "aeopcyxisd
 MASKS = "*#"
 SEPARATORS = " .-_'’/,·"
 REPLACED, DROPPED, JOINED, PARTED, REPEATED, DOUBLED, MASKED, UNMASKED = 0.5, 12.0, 0.5, 3.0, 0.5, 8.0, 1.0, 8.0
-RUN, BEAM = 40, 32
-TRIPLE = re.compile(r"([a-z])\1\1")
+DOUBLE = re.compile(r"([a-z])\1")
 PARTS = re.compile(r"[-'’/.,_]")
+EDGE = "".join(c for c in string.punctuation if c not in LEET and c not in MASKS)  # no letter can be meant by these
 
 
 def count_grams(texts: DataFrame, text_column: str = "text") -> DataFrame:
@@ -82,7 +85,13 @@ class Decoder:
         single = (one + 1) / (one.sum() + SIGNS)
         pair = (two + 20 * single) / (two.sum(axis=1, keepdims=True) + 20)
         self.first = (-np.log(pair[0])).tolist()
-        self.cost = (-np.log((n + 20 * pair[None]) / (n.sum(axis=2, keepdims=True) + 20))).tolist()
+        after = -np.log((n + 20 * pair[None]) / (n.sum(axis=2, keepdims=True) + 20))
+        self.cost = after.tolist()
+        self.ends = after[:, :, 0].copy()
+        self.ends[:, 0] = 0.0
+        self.steps = after.copy()
+        self.steps[:, 0, :] = self.first
+        self.steps[:, 0, 0] = np.inf
 
     def edges(self, raw: str, i: int) -> list[tuple[str, float]]:
         """(what is written, cost) for sign i; the empty string drops it."""
@@ -107,45 +116,70 @@ class Decoder:
 
     def decode(self, raw: str) -> str:
         """What was written: words of a to z between single blanks; ~ for other letters."""
-        if len(raw) > RUN:
-            return "".join(self.decode(raw[i : i + RUN]) for i in range(0, len(raw), RUN))
-        states = {(0, 0): (0.0, "")}
+        if sum(raw.count(c) for c in MASKS) > 1:
+            return self.decode_masked(raw)
+        states: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}
         for i in range(len(raw)):
-            new: dict[tuple[int, int], tuple[float, str]] = {}
+            new: dict[tuple[int, int], tuple[float, tuple | None]] = {}
             for sign, edge in self.edges(raw, i):
                 code = LETTERS.index(sign) if sign else -1
                 for (a, b), (cost, said) in states.items():
                     if code < 0 or code == 0 and b == 0:
-                        key, total, text = (a, b), cost + edge, said
+                        key, total, path = (a, b), cost + edge, said
                     else:
                         step = self.first[code] if b == 0 else self.cost[a][b][code]
-                        key, total, text = (b, code), cost + edge + step, said + sign
+                        key, total, path = (b, code), cost + edge + step, (sign, said)
                     if key not in new or total < new[key][0]:
-                        new[key] = (total, text)
-            if len(new) > BEAM:
-                new = dict(sorted(new.items(), key=lambda x: x[1][0])[:BEAM])
+                        new[key] = (total, path)
             states = new
-        ended = ((cost + (self.cost[a][b][0] if b else 0.0), said) for (a, b), (cost, said) in states.items())
-        return min(ended)[1].strip()
+        _, node = min(((cost + (self.cost[a][b][0] if b else 0.0), said) for (a, b), (cost, said) in states.items()), key=lambda x: x[0])
+        out = []
+        while node:
+            out.append(node[0])
+            node = node[1]
+        return "".join(out[::-1]).strip()
+
+    def decode_masked(self, raw: str) -> str:
+        """The same search with all pairs of signs as states in arrays, as masked letters reach nearly all of them."""
+        stay = 255
+        cost = np.full((SIGNS, SIGNS), np.inf)
+        cost[0, 0] = 0.0
+        back = np.full((len(raw), SIGNS, SIGNS), stay, np.uint8)
+        for i in range(len(raw)):
+            new = np.full((SIGNS, SIGNS), np.inf)
+            for sign, edge in self.edges(raw, i):
+                if sign in ("", " "):
+                    kept = cost + edge
+                    if sign:
+                        kept[:, 1:] = np.inf
+                    better = kept < new
+                    new[better], back[i][better] = kept[better], stay
+                if sign:
+                    code = LETTERS.index(sign)
+                    total = cost + self.steps[:, :, code] + edge
+                    best = total.argmin(axis=0)
+                    least = total[best, np.arange(SIGNS)]
+                    better = least < new[:, code]
+                    new[better, code], back[i, better, code] = least[better], best[better]
+            cost = new
+        a, b = divmod(int((cost + self.ends).argmin()), SIGNS)
+        out = []
+        for i in range(len(raw) - 1, -1, -1):
+            if back[i, a, b] != stay:
+                out.append(LETTERS[b])
+                a, b = int(back[i, a, b]), a
+        return "".join(out[::-1]).strip()
 
 
 def strip_and_sort(piece: str) -> tuple[list[str], str]:
-    """(words that can be read as they are, what must be decoded) of a piece in lower case that isn't plain letters."""
+    """(words as they are, what must be decoded too) of a piece in lower case."""
     inner = piece.strip(string.punctuation)
-    if inner.isalpha():
-        at = piece.index(inner)
-        lead, tail = piece[:at], piece[at + len(inner) :]
-        if lead and lead[-1] in "@$!|(" and lead[-1] * 2 not in lead and not (lead[-1] == "(" or lead == "!"):
-            return [inner], lead[-1] + inner
-        if len(tail) == 1 and tail in "+@$|":
-            return [inner], inner + tail
-        return [inner], inner if not inner.isascii() and any(c in ALIKE for c in inner) else ""
-    if not any(c.isalpha() for c in inner):
-        return [], ""
-    parts = PARTS.split(inner)
-    if all(p.isalpha() or not p for p in parts) and any(len(p) > 1 for p in parts):
-        return [p for p in parts if p], ""
-    return [], inner
+    parts = [p for p in PARTS.split(inner) if p]
+    plain = parts if all(p.isalpha() for p in parts) else []
+    odd = piece.strip(EDGE)
+    if len(odd) < 2 or odd.isalpha() and not DOUBLE.search(odd) and (odd.isascii() or not any(c in ALIKE for c in odd)):
+        return plain, ""
+    return plain, odd
 
 
 class Reader:
@@ -165,18 +199,15 @@ class Reader:
     def words(self, text: str) -> list[str]:
         low = text.lower()
         pieces = low.split()
-        out = [p for p in pieces if p.isalpha()]
-        if len(out) < len(pieces):
-            for p in pieces:
-                if not p.isalpha():
-                    plain, odd = strip_and_sort(p)
-                    out += plain
-                    if odd:
-                        out += self.restored(odd)
-        if TRIPLE.search(low):
-            for p in pieces:
-                if TRIPLE.search(p) and (inner := p.strip(string.punctuation)).isalpha():
-                    out += self.restored(inner)
+        out = []
+        for p in pieces:
+            if p.isalpha() and p.isascii() and not DOUBLE.search(p):
+                out.append(p)
+                continue
+            plain, odd = strip_and_sort(p)
+            out += plain
+            if odd:
+                out += [w for w in self.restored(odd) if w not in plain]
         short = [i for i, p in enumerate(pieces) if len(p) == 1]
         if len(short) > 2:
             a = 0
@@ -187,6 +218,21 @@ class Reader:
                     a = b
         return out
 
+    def joined(self, text: str, known: dict[str, int], most: int) -> list[str]:
+        """Known words, of most letters at most, that the text has in two or more pieces (st upid)."""
+        out = []
+        pieces = [p.strip(EDGE) for p in text.lower().split()]
+        for i, p in enumerate(pieces):
+            if p in known:
+                continue
+            j, whole = i + 1, p
+            while j < len(pieces) and len(whole) + len(pieces[j]) <= most and pieces[j] not in known:
+                whole += pieces[j]
+                j += 1
+                if whole in known and any(len(x) > 1 for x in pieces[i:j]) and self.restored(" ".join(pieces[i:j])) == [whole]:
+                    out.append(whole)
+        return out
+
 
 class Scorer:
     """A fitted model; what executors get."""
@@ -201,11 +247,13 @@ class Scorer:
         if self._reader is None:
             self._reader = Reader(Decoder(self.grams))
             self._number = {w: i for i, w in enumerate(self.words)}
+            self._most = max(map(len, self.words), default=0)
         return self._reader
 
     def hits(self, text: str) -> dict[int, int]:
-        words = self.reader().words(text)
+        reader = self.reader()
         number = self._number
+        words = reader.words(text) + reader.joined(text, number, self._most)
         return Counter(number[w] for w in words if w in number)
 
     def score(self, text: str) -> float:

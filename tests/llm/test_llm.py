@@ -389,6 +389,36 @@ def test_toxicity(spark):
     assert toxicity.score_documents(docs.limit(0), known).count() == 0
 
 
+DISGUISED = ["a$$", "4$$", "455", "f***", "!diot", "(rap", "stu-pid", "st.u.p.i.d", "stuupid", "st upid", "st up id", "іdiot"]
+
+
+def test_each_disguise_is_found(spark):
+    r = random.Random(8)
+    plain = ["the", "river", "house", "green", "walks", "under", "light", "stone", "table", "morning"]
+    toxic = ["idiot", "stupid", "ass", "fool", "crap"]
+    texts = [" ".join([r.choice(plain) for _ in range(30)] + (r.sample(toxic, 3) * 8 if i % 3 == 0 else [])) for i in range(300)]
+    known = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(300)], "doc_id long, toxic int")
+    model = toxicity.fit(docs_of(spark, texts + [f"the river {x} house" for x in DISGUISED]), known)
+    assert {x for x in DISGUISED if not model.hits(f"the river {x} house")} == set()
+    assert not model.hits("the river house under 12 light, morning!")
+
+
+def grams_of(text):
+    s = [0, *toxicity._symbols[np.frombuffer(text.encode(), np.uint8)].tolist(), 0]
+    return Counter((a * toxicity.SIGNS + b) * toxicity.SIGNS + c for a, b, c in zip(s, s[1:], s[2:], strict=False))
+
+
+def test_long_pieces_are_decoded_whole():
+    decoder = toxicity.Decoder(grams_of(" ".join(["moron idiot loser stupid the house was red"] * 5)))
+    for n in (30, 36, 37, 38):
+        raw = "." * n + "m0r0n"
+        assert decoder.decode(raw) == "moron", n
+    assert decoder.decode("-".join("i d i o t".split() * 12)) == decoder.decode_masked("-".join("i d i o t".split() * 12))
+    assert decoder.decode("s**p*d") == "stupid"
+    for raw in ("m0r*n", "st.u.p1d", "l0$er", "idiooot", "th3-h0us3"):
+        assert decoder.decode(raw) == decoder.decode_masked(raw)
+
+
 @pytest.mark.parametrize("raw, want", [("m0r0n", "moron"), ("i d i o t", "idiot"), ("l.o.s.e.r", "loser"), ("stuuuupid", "stupid"), ("$tupid", "stupid")])
 def test_viterbi(raw, want):
     text = " ".join(["moron idiot loser stupid the house was red"] * 5)
