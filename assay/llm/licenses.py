@@ -1,6 +1,6 @@
 """Whole-text licence scan by canonical digest, in DataFrame functions only.
 
-A text's canonical form: lower case, without copyright and all-rights-reserved lines, everything but letters and digits
+A text's canonical form: lower case, without copyright (unless it is licence prose) and all-rights-reserved lines, everything but letters and digits
 turned into single spaces, equivalent spellings made one. Its SHA-256 is hash-joined to the digests of known licences, so
 the work is one pass over the texts however many licences are known, and a licence text that half of the documents repeat
 costs no more than any other: the join's small side decides its strategy, and a skewed key of the large side can be split.
@@ -42,6 +42,8 @@ SPELLINGS = (
     ("wilful", "willful"),
 )
 COPYRIGHT_LINE = r"(?m)^[^a-z0-9\n]*(?:copyright(?: |\t|:)|\(c\)|©|all rights reserved)[^\n]*$"
+# As COPYRIGHT_LINE, but not lines of licence prose that happen to begin with the word.
+COPYRIGHT_NOTICE = r"(?m)^[^a-z0-9\n]*(?:copyright[ \t:](?![ \t]*(?:notices?|holders?|owners?|laws?|licen[cs]es?|statements?|permission|interest|rights?|protection|treaty|and|or|in|to|is|of|the|as|for|by|this)\b)|\(c\)|©|all rights reserved)[^\n]*$"
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 # Public licence texts, without their copyright lines.
@@ -65,9 +67,27 @@ Permission is granted to anyone to use this software for any purpose, including
 3. This notice may not be removed or altered from any source distribution.""",
 }
 
+# Known too, but not in the SQL.
+MORE = {
+    "Unlicense": """This is free and unencumbered software released into the public domain.
+Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.
+In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law.
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.
+For more information, please refer to <https://unlicense.org>""",
+}
+TITLES = {
+    "0BSD": ("BSD Zero Clause License", "Zero-Clause BSD", "0BSD"),
+    "BSD-2-Clause": ("BSD 2-Clause License", "The 2-Clause BSD License", 'BSD 2-Clause "Simplified" License'),
+    "BSD-3-Clause": ("BSD 3-Clause License", "The 3-Clause BSD License", 'BSD 3-Clause "New" or "Revised" License'),
+    "ISC": ("ISC License", "The ISC License", "ISC License (ISC)"),
+    "MIT": ("MIT License", "The MIT License", "The MIT License (MIT)"),
+    "Unlicense": ("The Unlicense", "Unlicense"),
+    "Zlib": ("zlib License", "The zlib License", "zlib/libpng license"),
+}
+
 
 def canonical(text: Column) -> Column:
-    form = F.regexp_replace(F.lower(text), COPYRIGHT_LINE, "")
+    form = F.regexp_replace(F.lower(text), COPYRIGHT_NOTICE, "")
     form = F.trim(F.regexp_replace(form, NOT_WORD, " "))
     for one, other in SPELLINGS:
         form = F.replace(form, F.lit(one), F.lit(other))
@@ -75,8 +95,11 @@ def canonical(text: Column) -> Column:
 
 
 def known_licenses(spark: SparkSession, texts: dict[str, str] | None = None) -> DataFrame:
-    """(license, digest) of licence texts by name."""
-    rows = spark.createDataFrame(sorted((texts or KNOWN).items()), "license string, text string")
+    """(license, digest) of licence texts by name; by default of those above, each also after its usual title lines."""
+    known = sorted((texts or KNOWN | MORE).items())
+    if not texts:
+        known += [(name, f"{title}\n{(KNOWN | MORE)[name]}") for name, titles in TITLES.items() for title in titles]
+    rows = spark.createDataFrame(known, "license string, text string")
     return rows.groupBy(F.sha2(canonical(F.col("text")), 256).alias("digest")).agg(F.min("license").alias("license"))
 
 

@@ -435,5 +435,13 @@ def test_licenses(spark):
     assert licenses.scan_licenses(docs_of(spark, texts).limit(0)).count() == 0
 
 
+def test_titles_and_wrapped_lines_of_licenses(spark):
+    bsd = licenses.KNOWN["BSD-3-Clause"]
+    wrapped = bsd.replace("above copyright notice", "above\ncopyright notice").replace("THE COPYRIGHT HOLDER", "THE\nCOPYRIGHT HOLDER")
+    texts = [f"MIT License\n\nCopyright (c) 2020 Someone\n\n{licenses.KNOWN['MIT']}", f"BSD 3-Clause License\n\nCopyright Some One\nAll rights reserved.\n\n{wrapped}", licenses.MORE["Unlicense"], wrapped]
+    got = {r.doc_id: r.license for r in licenses.scan_licenses(docs_of(spark, texts)).collect()}
+    assert got == {0: "MIT", 1: "BSD-3-Clause", 2: "Unlicense", 3: "BSD-3-Clause"}
+
+
 def test_saved_reads_again(spark):
     assert sorted(r.id for r in saved(spark.range(3), "x").collect()) == [0, 1, 2]
