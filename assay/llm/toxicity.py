@@ -116,7 +116,7 @@ class Decoder:
 
     def decode(self, raw: str) -> str:
         """What was written: words of a to z between single blanks; ~ for other letters."""
-        if sum(raw.count(c) for c in MASKS) > 1:
+        if sum(raw.count(c) for c in MASKS) > 1 or sum(not "a" <= c <= "z" for c in raw) > 5:
             return self.decode_masked(raw)
         states: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}
         for i in range(len(raw)):
@@ -140,13 +140,14 @@ class Decoder:
         return "".join(out[::-1]).strip()
 
     def decode_masked(self, raw: str) -> str:
-        """The same search with all pairs of signs as states in arrays, as masked letters reach nearly all of them."""
+        """The same search with all pairs of signs as states in arrays, as masked letters and many signs reach nearly all of them."""
         stay = 255
         cost = np.full((SIGNS, SIGNS), np.inf)
         cost[0, 0] = 0.0
         back = np.full((len(raw), SIGNS, SIGNS), stay, np.uint8)
         for i in range(len(raw)):
             new = np.full((SIGNS, SIGNS), np.inf)
+            signs: dict[float, list[int]] = {}
             for sign, edge in self.edges(raw, i):
                 if sign in ("", " "):
                     kept = cost + edge
@@ -155,12 +156,13 @@ class Decoder:
                     better = kept < new
                     new[better], back[i][better] = kept[better], stay
                 if sign:
-                    code = LETTERS.index(sign)
-                    total = cost + self.steps[:, :, code] + edge
-                    best = total.argmin(axis=0)
-                    least = total[best, np.arange(SIGNS)]
-                    better = least < new[:, code]
-                    new[better, code], back[i, better, code] = least[better], best[better]
+                    signs.setdefault(edge, []).append(LETTERS.index(sign))
+            for edge, codes in signs.items():
+                total = cost[:, :, None] + self.steps[:, :, codes] + edge
+                best, least = total.argmin(axis=0), total.min(axis=0)
+                better = least < new[:, codes]
+                new[:, codes] = np.where(better, least, new[:, codes])
+                back[i][:, codes] = np.where(better, best, back[i][:, codes])
             cost = new
         a, b = divmod(int((cost + self.ends).argmin()), SIGNS)
         out = []

@@ -398,7 +398,7 @@ def test_each_disguise_is_found(spark):
     toxic = ["idiot", "stupid", "ass", "fool", "crap"]
     texts = [" ".join([r.choice(plain) for _ in range(30)] + (r.sample(toxic, 3) * 8 if i % 3 == 0 else [])) for i in range(300)]
     known = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(300)], "doc_id long, toxic int")
-    model = toxicity.fit(docs_of(spark, texts + [f"the river {x} house" for x in DISGUISED]), known)
+    model = toxicity.fit(docs_of(spark, texts), known)
     assert {x for x in DISGUISED if not model.hits(f"the river {x} house")} == set()
     assert not model.hits("the river house under 12 light, morning!")
 
