@@ -26,6 +26,7 @@ import string
 import unicodedata
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -40,13 +41,16 @@ _symbols = np.zeros(256, np.uint8)
 _symbols[97:123] = np.arange(1, 27)
 _symbols[0xDF:0xF7] = _symbols[0xF8:0x100] = OTHER
 LETTERS = " abcdefghijklmnopqrstuvwxyz~"
+_bytes = np.frombuffer(f"{LETTERS}\0".encode(), np.uint8)  # -1 is nothing
 
 # Letters that a digit or sign can stand for.
 LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l", "¡": "i", "¢": "c"}
 # Letters of other scripts that look like these.
 ALIKE = dict(zip("аеорсухіѕԁһјкмтвнαορνικτ", "aeopcyxisdhjkmtbhaopvikt", strict=True))
 MASKS = "*#"
+MASKED_LETTER = re.compile(r"[*#]")
 SEPARATORS = " .-_'’/,·"
+SIGNS_AT_ONCE, STEPS_HELD, LONGEST_TAIL, TAILS_KEPT = 1 << 20, 4096, 32, 2000
 REPLACED, DROPPED, JOINED, PARTED, REPEATED, DOUBLED, MASKED, UNMASKED = 0.5, 12.0, 0.5, 3.0, 0.5, 8.0, 1.0, 8.0
 DOUBLE = re.compile(r"([a-z])\1")
 PARTS = re.compile(r"[-'’/.,_]")
@@ -72,8 +76,76 @@ def count_grams(texts: DataFrame, text_column: str = "text") -> DataFrame:
     return own.mapInPandas(run, "gram int, n long").groupBy("gram").agg(F.sum("n").alias("n"))
 
 
+def edges(c: str, same: bool = False, three: bool = False) -> list[tuple[int, float]]:
+    """(what is written, cost) for a sign; -1 drops it. same: it follows an equal sign; three: three equal ones in a row."""
+    if "a" <= c <= "z":
+        return [(LETTERS.index(c), 0.0)] + [(-1, REPEATED if three else DOUBLED)] * same
+    if c in LEET:
+        return [(LETTERS.index(x), REPLACED) for x in LEET[c]] + [(-1, REPEATED if same else DROPPED)]
+    if c in MASKS:
+        return [(x, MASKED) for x in range(1, 27)] + [(-1, UNMASKED)]
+    if c in SEPARATORS:
+        return [(-1, JOINED), (0, PARTED)]
+    if c in ALIKE:
+        return [(LETTERS.index(ALIKE[c]), 0.0)]
+    if c.isalpha():
+        return [(OTHER, 0.0)] + [(LETTERS.index(x), REPLACED) for x in base_letter(c)]
+    return [(-1, PARTED), (0, PARTED)]
+
+
+@lru_cache(maxsize=4096)
+def base_letter(c: str) -> str:
+    """The letter of a to z below a letter's accents; empty if there is none."""
+    base = unicodedata.normalize("NFKD", c)[0].lower()
+    return base if "a" <= base <= "z" else ""
+
+
+def least_of_equal(keys: np.ndarray, costs: np.ndarray) -> np.ndarray:
+    """The place of the least cost of each key (the first of equals), in the order of keys."""
+    order = np.argsort(keys, kind="stable")
+    keys, costs = keys[order], costs[order]
+    new = np.append(True, keys[1:] != keys[:-1])
+    group = np.cumsum(new) - 1
+    least = np.flatnonzero(costs == np.minimum.reduceat(costs, np.flatnonzero(new))[group])
+    return order[least[np.append(True, np.diff(group[least]) > 0)]]
+
+
+class Tail:
+    """The end of pieces from a masked letter on, solved backwards for all states, as many pieces end alike (***)."""
+
+    def __init__(self, raw: str, steps: np.ndarray, ends: np.ndarray):
+        self.choices: list[np.ndarray] = []
+        self.edges = [edges(c, i > 0 and raw[i - 1] == c, raw[max(0, i - 2) : i + 1] == 3 * c or raw[i - 1 : i + 2] == 3 * c) for i, c in enumerate(raw)]
+        step = steps.reshape(SIGNS, SIGNS, SIGNS)
+        costs = ends.reshape(SIGNS, SIGNS)
+        for choices in self.edges[::-1]:
+            ways = np.empty((SIGNS, SIGNS, len(choices)))
+            for k, (code, price) in enumerate(choices):
+                ways[:, :, k] = price + (costs if code < 0 else step[:, :, code] + costs[:, code])
+                if code == 0:
+                    ways[:, 0, k] = price + costs[:, 0]
+            self.choices.append(ways.argmin(axis=2).astype(np.uint8).ravel())
+            costs = ways.min(axis=2)
+        self.costs = costs.ravel()
+        self.known: dict[int, str] = {}
+
+    def said(self, state: int) -> str:
+        if state in self.known:
+            return self.known[state]
+        out, start = [], state
+        for choices, choice in zip(self.edges, self.choices[::-1], strict=True):
+            code, last = choices[choice[state]][0], state % SIGNS
+            if code > 0 or code == 0 and last:
+                out.append(LETTERS[code])
+                state = last * SIGNS + code
+        self.known[start] = "".join(out)
+        return self.known[start]
+
+
 class Decoder:
-    """Viterbi decoding of suspicious pieces."""
+    """Viterbi over the lattices of many pieces at once. The states of all pieces, each the last two letters written, are
+    rows of arrays; a step reads the next sign of every piece, and of equal states of a piece the cheapest stays. Ends of
+    pieces that begin with a masked letter, where nearly all states are reached, are solved once for all pieces."""
 
     def __init__(self, grams: dict[int, int]):
         n = np.zeros(SIGNS**3)
@@ -84,156 +156,205 @@ class Decoder:
         one = two.sum(axis=0)
         single = (one + 1) / (one.sum() + SIGNS)
         pair = (two + 20 * single) / (two.sum(axis=1, keepdims=True) + 20)
-        self.first = (-np.log(pair[0])).tolist()
         after = -np.log((n + 20 * pair[None]) / (n.sum(axis=2, keepdims=True) + 20))
-        self.cost = after.tolist()
+        self.steps = after.copy()
+        self.steps[:, 0, :] = -np.log(pair[0])  # a word's first letter
+        self.steps = self.steps.reshape(SIGNS * SIGNS, SIGNS)
         self.ends = after[:, :, 0].copy()
         self.ends[:, 0] = 0.0
-        self.steps = after.copy()
-        self.steps[:, 0, :] = self.first
-        self.steps[:, 0, 0] = np.inf
-
-    def edges(self, raw: str, i: int) -> list[tuple[str, float]]:
-        """(what is written, cost) for sign i; the empty string drops it."""
-        c = raw[i]
-        if "a" <= c <= "z":
-            if not i or c != raw[i - 1]:
-                return [(c, 0.0)]
-            return [(c, 0.0), ("", REPEATED if c * 3 in raw[max(0, i - 2) : i + 3] else DOUBLED)]
-        if c in LEET:
-            dropped = [("", REPEATED)] if i and c == raw[i - 1] else []
-            return [(x, REPLACED) for x in LEET[c]] + dropped + [("", DROPPED)] * (not dropped)
-        if c in MASKS:
-            return [(x, MASKED) for x in LETTERS[1:27]] + [("", UNMASKED)]
-        if c in SEPARATORS:
-            return [("", JOINED), (" ", PARTED)]
-        if c in ALIKE:
-            return [(ALIKE[c], 0.0)]
-        if c.isalpha():
-            base = unicodedata.normalize("NFKD", c)[0].lower()
-            return [("~", 0.0)] + ([(base, REPLACED)] if "a" <= base <= "z" else [])
-        return [("", PARTED), (" ", PARTED)]
+        self.ends = self.ends.ravel()
+        self.tails: dict[str, Tail] = {}
 
     def decode(self, raw: str) -> str:
-        """What was written: words of a to z between single blanks; ~ for other letters."""
-        if sum(raw.count(c) for c in MASKS) > 1 or sum(not "a" <= c <= "z" for c in raw) > 5:
-            return self.decode_masked(raw)
-        states: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}
-        for i in range(len(raw)):
-            new: dict[tuple[int, int], tuple[float, tuple | None]] = {}
-            for sign, edge in self.edges(raw, i):
-                code = LETTERS.index(sign) if sign else -1
-                for (a, b), (cost, said) in states.items():
-                    if code < 0 or code == 0 and b == 0:
-                        key, total, path = (a, b), cost + edge, said
-                    else:
-                        step = self.first[code] if b == 0 else self.cost[a][b][code]
-                        key, total, path = (b, code), cost + edge + step, (sign, said)
-                    if key not in new or total < new[key][0]:
-                        new[key] = (total, path)
-            states = new
-        _, node = min(((cost + (self.cost[a][b][0] if b else 0.0), said) for (a, b), (cost, said) in states.items()), key=lambda x: x[0])
-        out = []
-        while node:
-            out.append(node[0])
-            node = node[1]
-        return "".join(out[::-1]).strip()
-
-    def decode_masked(self, raw: str) -> str:
-        """The same search with all pairs of signs as states in arrays, as masked letters and many signs reach nearly all of them."""
-        stay = 255
-        cost = np.full((SIGNS, SIGNS), np.inf)
-        cost[0, 0] = 0.0
-        back = np.full((len(raw), SIGNS, SIGNS), stay, np.uint8)
-        for i in range(len(raw)):
-            new = np.full((SIGNS, SIGNS), np.inf)
-            signs: dict[float, list[int]] = {}
-            for sign, edge in self.edges(raw, i):
-                if sign in ("", " "):
-                    kept = cost + edge
-                    if sign:
-                        kept[:, 1:] = np.inf
-                    better = kept < new
-                    new[better], back[i][better] = kept[better], stay
-                if sign:
-                    signs.setdefault(edge, []).append(LETTERS.index(sign))
-            for edge, codes in signs.items():
-                total = cost[:, :, None] + self.steps[:, :, codes] + edge
-                best, least = total.argmin(axis=0), total.min(axis=0)
-                better = least < new[:, codes]
-                new[:, codes] = np.where(better, least, new[:, codes])
-                back[i][:, codes] = np.where(better, best, back[i][:, codes])
-            cost = new
-        a, b = divmod(int((cost + self.ends).argmin()), SIGNS)
-        out = []
-        for i in range(len(raw) - 1, -1, -1):
-            if back[i, a, b] != stay:
-                out.append(LETTERS[b])
-                a, b = int(back[i, a, b]), a
-        return "".join(out[::-1]).strip()
+        return self.decode_all([raw])[0]
+
+    def decode_all(self, raws: list[str]) -> list[str]:
+        """What was written in each: words of a to z between single blanks; ~ for other letters."""
+        cut = []
+        for raw in raws:
+            m = MASKED_LETTER.search(raw)
+            cut.append(m.start() if m and len(raw) - m.start() <= LONGEST_TAIL else len(raw))
+        heads, tails = [x[:n] for x, n in zip(raws, cut, strict=True)], [self.tail(x[n:]) if n < len(x) else None for x, n in zip(raws, cut, strict=True)]
+        out = [tail.said(0).strip() if tail else "" for tail in tails]
+        order = sorted((i for i, x in enumerate(heads) if x), key=lambda i: -len(heads[i]))
+        at = 0
+        while at < len(order):
+            longest = len(heads[order[at]])
+            to = at + 1
+            while to < len(order) and 2 * len(heads[order[to]]) >= longest and (to - at + 1) * longest <= SIGNS_AT_ONCE:
+                to += 1
+            some = order[at:to]
+            for i, said in zip(some, self._cheapest([heads[i] for i in some], [tails[i] for i in some]), strict=True):
+                out[i] = said.strip()
+            at = to
+        return out
+
+    def tail(self, raw: str) -> Tail:
+        if raw not in self.tails:
+            if len(self.tails) >= TAILS_KEPT:
+                self.tails = {}
+            self.tails[raw] = Tail(raw, self.steps, self.ends)
+        return self.tails[raw]
+
+    def _cheapest(self, raws: list[str], tails: list[Tail | None]) -> list[str]:
+        """raws: the longest first; what follows each, if anything."""
+        kinds = list(dict.fromkeys(tails))
+        ends = np.array([tail.costs if tail else self.ends for tail in kinds])
+        number = {tail: i for i, tail in enumerate(kinds)}
+        kind = np.array([number[tail] for tail in tails])
+        lengths = np.array([len(x) for x in raws])
+        starts = np.cumsum(lengths) - lengths
+        signs = np.frombuffer("".join(raws).encode("utf-32-le", "surrogatepass"), "<u4")
+        known, which = np.unique(signs, return_inverse=True)
+        same = np.append(False, signs[1:] == signs[:-1])
+        same[starts] = False
+        three = same & (np.append(False, same[:-1]) | np.append(same[1:], False))
+        lattice = [edges(chr(c), *how) for c in known for how in ((False, False), (True, False), (True, True))]
+        first = np.append(0, np.cumsum([len(x) for x in lattice]))
+        code, price = (np.array([e[k] for x in lattice for e in x]) for k in (0, 1))
+        row = which * 3 + same + three
+        alive = len(raws) - np.searchsorted(lengths[::-1], np.arange(lengths[0]), side="right")
+
+        word, key, cost = np.arange(len(raws)), np.zeros(len(raws), np.int64), np.zeros(len(raws))
+        at, last_key = np.zeros(len(raws), np.int64), np.zeros(len(raws), np.int64)  # of finished pieces: their cheapest state
+        said = np.zeros((len(raws), int(lengths[0])), np.uint8)
+        backs: list[tuple[np.ndarray, np.ndarray]] = []
+        told = 0  # steps whose signs are in said already
+
+        def finish(since: int) -> None:
+            best = least_of_equal(word[since:], cost[since:] + ends[kind[word[since:]], key[since:]]) + since
+            at[word[best]], last_key[word[best]] = best, key[best]
+
+        for t in range(len(alive)):
+            if alive[t] < word[-1] + 1:
+                cut = int(np.searchsorted(word, alive[t]))
+                finish(cut)
+                word, key, cost = word[:cut], key[:cut], cost[:cut]
+            sign = row[starts[word] + t]
+            edge, many = first[sign], first[sign + 1] - first[sign]
+            parent = np.arange(len(word))
+            if many.max() > 1:
+                parent = np.repeat(parent, many)
+                edge = edge[parent] + np.arange(len(parent)) - np.repeat(np.cumsum(many) - many, many)
+            written, before = code[edge], key[parent]
+            last = before % SIGNS
+            stays = (written < 0) | (written == 0) & (last == 0)
+            cost = cost[parent] + price[edge] + np.where(stays, 0.0, self.steps[before, np.maximum(written, 0)])
+            key, word = np.where(stays, before, last * SIGNS + written), word[parent]
+            written = np.where(stays, -1, written)
+            if len(word) > alive[t]:
+                order = least_of_equal(word * (SIGNS * SIGNS) + key, cost)
+                word, key, cost, parent, written = word[order], key[order], cost[order], parent[order], written[order]
+            backs.append((parent.astype(np.int32), written.astype(np.int8)))
+            if len(raws) == 1 and len(backs) >= STEPS_HELD:
+                told = self._tell_settled(backs, said[0], told)
+        finish(0)
+        for t in range(len(alive) - 1, told - 1, -1):
+            parent, written = backs[t - told]
+            now = at[: alive[t]]
+            said[: alive[t], t] = _bytes[written[now]]
+            at[: alive[t]] = parent[now]
+        flat, width = said.tobytes(), said.shape[1]
+        heads = (flat[i : i + width].replace(b"\0", b"").decode() for i in range(0, len(flat), width))
+        return [head + tail.said(state) if tail else head for head, tail, state in zip(heads, tails, last_key.tolist(), strict=True)]
+
+    @staticmethod
+    def _tell_settled(backs: list[tuple[np.ndarray, np.ndarray]], said: np.ndarray, told: int) -> int:
+        """Writes the steps that all paths of a long piece have in common, and forgets them."""
+        states = np.arange(len(backs[-1][0]))
+        for t in range(len(backs) - 1, -1, -1):
+            states = np.unique(backs[t][0][states])
+            if len(states) == 1 and t:
+                at = int(states[0])
+                for k in range(t - 1, -1, -1):
+                    parent, written = backs[k]
+                    said[told + k], at = _bytes[written[at]], int(parent[at])
+                del backs[:t]
+                return told + t
+        return told
+
+
+def is_plain(piece: str) -> bool:
+    """Whether a piece's lattice has one path only."""
+    return piece.isalpha() and piece.isascii() and not DOUBLE.search(piece)
 
 
 def strip_and_sort(piece: str) -> tuple[list[str], str]:
     """(words as they are, what must be decoded too) of a piece in lower case."""
+    odd = piece.strip(EDGE)
+    if is_plain(odd):
+        return [odd], ""
     inner = piece.strip(string.punctuation)
     parts = [p for p in PARTS.split(inner) if p]
     plain = parts if all(p.isalpha() for p in parts) else []
-    odd = piece.strip(EDGE)
-    if len(odd) < 2 or odd.isalpha() and not DOUBLE.search(odd) and (odd.isascii() or not any(c in ALIKE for c in odd)):
+    if len(odd) < 2 or odd.isalpha() and not DOUBLE.search(odd) and not any(c in ALIKE or base_letter(c) for c in odd if c > "\x7f"):
         return plain, ""
     return plain, odd
 
 
+def pieces_of(text: str) -> list[str]:
+    """Runs of anything but white space, in lower case and in compatible forms (fullwidth letters become plain)."""
+    low = text.lower()
+    return (low if low.isascii() else unicodedata.normalize("NFKC", low).lower()).split()
+
+
 class Reader:
-    """The words of texts, restored."""
-
-    def __init__(self, decoder: Decoder, most_kept: int = 200_000):
-        self.decoder, self.most, self.kept = decoder, most_kept, {}
-
-    def restored(self, piece: str) -> list[str]:
-        found = self.kept.get(piece)
-        if found is None:
-            if len(self.kept) >= self.most:
-                self.kept.clear()
-            found = self.kept[piece] = self.decoder.decode(piece).split()
-        return found
-
-    def words(self, text: str) -> list[str]:
-        low = text.lower()
-        pieces = low.split()
-        out = []
+    """The words of texts, restored. Words of short pieces are kept for the next texts, ``most_kept`` at most."""
+
+    def __init__(self, decoder: Decoder, most_kept: int = 300_000, longest_kept: int = 64):
+        self.decoder, self.most, self.longest, self.kept = decoder, most_kept, longest_kept, {}
+
+    def restored(self, pieces: set[str]) -> dict[str, list[str]]:
+        some = sorted(pieces)
+        return {p: said.split() for p, said in zip(some, self.decoder.decode_all(some), strict=True)}
+
+    def words_by_piece(self, pieces: set[str]) -> dict[str, list[str]]:
+        """The words of pieces, without those that are one plain word as they stand."""
+        out, odd, kept = {}, {}, self.kept
         for p in pieces:
-            if p.isalpha() and p.isascii() and not DOUBLE.search(p):
-                out.append(p)
-                continue
-            plain, odd = strip_and_sort(p)
-            out += plain
-            if odd:
-                out += [w for w in self.restored(odd) if w not in plain]
-        short = [i for i, p in enumerate(pieces) if len(p) == 1]
-        if len(short) > 2:
-            a = 0
-            for b in range(1, len(short) + 1):
-                if b == len(short) or short[b] != short[b - 1] + 1:
-                    if b - a > 2:
-                        out += self.restored(" ".join(pieces[short[a] : short[b - 1] + 1]))
-                    a = b
-        return out
+            if p in kept:
+                out[p] = kept[p]
+            elif not is_plain(p):
+                odd[p] = strip_and_sort(p)
+        said = self.restored({x for _, x in odd.values() if x})
+        for p, (plain, x) in odd.items():
+            odd[p] = plain + [w for w in said[x] if w not in plain] if x else plain
+        if len(kept) + len(odd) > self.most:
+            self.kept = {}
+        self.kept.update((p, words) for p, words in odd.items() if len(p) <= self.longest)
+        return out | odd
+
+    def words(self, texts: list[str]) -> list[list[str]]:
+        """Of each text, without words that are joined from longer pieces."""
+        cut = [pieces_of(t) for t in texts]
+        known = self.words_by_piece(set().union(*cut))
+        runs = [single_runs([(i, p) for i, p in enumerate(c) if len(p) == 1]) for c in cut]
+        said = self.restored({r for found in runs for r in found})
+        return [[w for p in c for w in known.get(p, (p,))] + [w for r in found for w in said[r]] for c, found in zip(cut, runs, strict=True)]
+
+
+def single_runs(singles: list[tuple[int, str]]) -> list[str]:
+    """Three or more single signs that stand side by side, each run with blanks between."""
+    out, a = [], 0
+    for b in range(1, len(singles) + 1):
+        if b == len(singles) or singles[b][0] != singles[b - 1][0] + 1:
+            if b - a > 2:
+                out.append(" ".join(p for _, p in singles[a:b]))
+            a = b
+    return out
 
-    def joined(self, text: str, known: dict[str, int], most: int) -> list[str]:
-        """Known words, of most letters at most, that the text has in two or more pieces (st upid)."""
-        out = []
-        pieces = [p.strip(EDGE) for p in text.lower().split()]
-        for i, p in enumerate(pieces):
-            if p in known:
-                continue
-            j, whole = i + 1, p
-            while j < len(pieces) and len(whole) + len(pieces[j]) <= most and pieces[j] not in known:
-                whole += pieces[j]
-                j += 1
-                if whole in known and any(len(x) > 1 for x in pieces[i:j]) and self.restored(" ".join(pieces[i:j])) == [whole]:
-                    out.append(whole)
-        return out
+
+def in_chunks(texts: list[str], most: int = 2_000_000) -> Iterator[list[str]]:
+    """texts by about ``most`` characters."""
+    chunk, n = [], 0
+    for t in texts:
+        if chunk and n + len(t) > most:
+            yield chunk
+            chunk, n = [], 0
+        chunk.append(t)
+        n += len(t)
+    if chunk:
+        yield chunk
 
 
 class Scorer:
@@ -249,17 +370,66 @@ class Scorer:
         if self._reader is None:
             self._reader = Reader(Decoder(self.grams))
             self._number = {w: i for i, w in enumerate(self.words)}
-            self._most = max(map(len, self.words), default=0)
+            self._starts = {w[:n] for w in self.words for n in range(1, len(w) + 1)}
+            self._inside = {w[a:b] for w in self.words for a in range(len(w)) for b in range(a, len(w) + 1)}
         return self._reader
 
-    def hits(self, text: str) -> dict[int, int]:
+    def hits(self, texts: list[str]) -> list[dict[int, int]]:
+        """How often each text has each word, counting words in two or more pieces (st upid)."""
         reader = self.reader()
-        number = self._number
-        words = reader.words(text) + reader.joined(text, number, self._most)
-        return Counter(number[w] for w in words if w in number)
+        number, inside = self._number, self._inside
+        cut = [pieces_of(t) for t in texts]
+        # Of each piece that matters: the numbers of its words, what it can be a part of a word as, whether it is a single.
+        seen: dict[str, tuple[list[int], str | None, bool]] = {}
+        pieces = set().union(*cut)
+        said = reader.words_by_piece(pieces)
+        for piece in pieces:
+            words = said.get(piece)
+            ids = [number[w] for w in words if w in number] if words is not None else [number[piece]] if piece in number else []
+            part = piece if words is None else piece.strip(EDGE)
+            if part not in inside or part in number:
+                part = None
+            if ids or part is not None or len(piece) == 1:
+                seen[piece] = ids, part, len(piece) == 1
+        get, out, later = seen.get, [], []
+        for k, pieces in enumerate(cut):
+            some = [(i, x) for i, x in enumerate(map(get, pieces)) if x]
+            out.append(Counter(n for _, (ids, _, _) in some for n in ids))
+            later += [(k, run, None) for run in single_runs([(i, pieces[i]) for i, x in some if x[2]])]
+            later += [(k, parts, whole) for parts, whole in self.joined(some)]
+        said = reader.restored({x for _, x, _ in later})
+        for k, parts, whole in later:
+            if whole is None:
+                out[k].update(number[w] for w in said[parts] if w in number)
+            elif said[parts] == [whole]:
+                out[k][number[whole]] += 1
+        return out
 
-    def score(self, text: str) -> float:
-        return float(1 / (1 + np.exp(-rowwise([self.hits(text)], len(self.words)) @ self.weights))[0]) if len(self.weights) else 0.0
+    def joined(self, some: list[tuple[int, tuple]]) -> Iterator[tuple[str, str]]:
+        """(pieces with blanks between, word) of words in two or more pieces that stand side by side."""
+        for a, (_, (_, whole, _)) in enumerate(some):
+            if not whole:
+                continue
+            parts = [whole]
+            for b in range(a + 1, len(some)):
+                part = some[b][1][1]
+                if some[b][0] != some[b - 1][0] + 1 or part is None or whole + part not in self._starts:
+                    break
+                whole += part
+                parts.append(part)
+                if whole in self._number and any(len(p) > 1 for p in parts):
+                    yield " ".join(parts), whole
+
+    def scores(self, texts: list[str]) -> dict[str, float]:
+        """By text; equal ones are scored once."""
+        known: dict[str, float] = {}
+        for chunk in in_chunks(list(dict.fromkeys(texts))):
+            if len(self.weights):
+                z = rowwise(self.hits(chunk), len(self.words)) @ self.weights
+                known.update(zip(chunk, (1 / (1 + np.exp(-z))).tolist(), strict=True))
+            else:
+                known.update(dict.fromkeys(chunk, 0.0))
+        return known
 
 
 def rowwise(hits: list[dict[int, int]], words: int) -> np.ndarray:
@@ -307,9 +477,11 @@ def fit(docs: DataFrame, labels: DataFrame, most_rows: int = 20_000, most_words:
     def words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             found: dict[str, list[int]] = {}
-            for text, toxic in zip(batch["text"], batch["toxic"], strict=True):
-                for w in set(blank.reader().words(text)):
-                    found.setdefault(w, [0, 0])[toxic] += 1
+            at = iter(batch["toxic"])
+            for chunk in in_chunks(batch["text"].tolist()):
+                for words_of, toxic in zip(blank.reader().words(chunk), at, strict=False):
+                    for w in set(words_of):
+                        found.setdefault(w, [0, 0])[toxic] += 1
             yield pd.DataFrame([(w, a, b) for w, (a, b) in found.items()], columns=["word", "n0", "n1"])
 
     counts = rows.mapInPandas(words, "word string, n0 long, n1 long").groupBy("word").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
@@ -322,7 +494,7 @@ def fit(docs: DataFrame, labels: DataFrame, most_rows: int = 20_000, most_words:
 
     def numbers(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            hits = [model.hits(t) for t in batch["text"]]
+            hits = [h for chunk in in_chunks(batch["text"].tolist()) for h in model.hits(chunk)]
             yield pd.DataFrame({"toxic": batch["toxic"], "word": [list(h) for h in hits], "n": [list(h.values()) for h in hits]})
 
     seen = rows.mapInPandas(numbers, "toxic int, word array<int>, n array<int>").collect()  # at most most_rows
@@ -336,11 +508,7 @@ def score_column(model: Scorer, text: Column) -> Column:
     @F.pandas_udf("double")
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
-            known: dict[str, float] = {}
-            for t in texts:
-                if t not in known:
-                    known[t] = model.score(t)
-            yield texts.map(known).astype("float64")
+            yield texts.map(model.scores(texts.tolist())).astype("float64")
 
     return score(text)
 
@@ -356,4 +524,4 @@ def score_documents(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id
 def keep_clean(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text", **options) -> DataFrame:
     """docs without the rows that are predicted to be toxic, in docs' columns."""
     model = fit(docs, labels, id_column=id_column, text_column=text_column, **options)
-    return docs.withColumn("__score", score_column(model, text_of(text_column))).where("__score < 0.5").drop("__score")
+    return docs.where(score_column(model, text_of(text_column)) < 0.5)

@@ -389,7 +389,7 @@ def test_toxicity(spark):
     assert toxicity.score_documents(docs.limit(0), known).count() == 0
 
 
-DISGUISED = ["a$$", "4$$", "455", "f***", "!diot", "(rap", "stu-pid", "st.u.p.i.d", "stuupid", "st upid", "st up id", "іdiot"]
+DISGUISED = ["a$$", "4$$", "455", "f***", "!diot", "(rap", "stu-pid", "st.u.p.i.d", "stuupid", "st upid", "st up id", "іdiot", "ｉｄｉｏｔ", "ІDIОT", "ïdíöt", "id*ot", "i d i o t", "st-upid", "f o o l"]
 
 
 def test_each_disguise_is_found(spark):
@@ -399,8 +399,8 @@ def test_each_disguise_is_found(spark):
     texts = [" ".join([r.choice(plain) for _ in range(30)] + (r.sample(toxic, 3) * 8 if i % 3 == 0 else [])) for i in range(300)]
     known = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(300)], "doc_id long, toxic int")
     model = toxicity.fit(docs_of(spark, texts), known)
-    assert {x for x in DISGUISED if not model.hits(f"the river {x} house")} == set()
-    assert not model.hits("the river house under 12 light, morning!")
+    assert {x for x in DISGUISED if not model.hits([f"the river {x} house"])[0]} == set()
+    assert model.hits(["the river house under 12 light, morning!", ""]) == [{}, {}]
 
 
 def grams_of(text):
@@ -411,12 +411,40 @@ def grams_of(text):
 def test_long_pieces_are_decoded_whole():
     decoder = toxicity.Decoder(grams_of(" ".join(["moron idiot loser stupid the house was red"] * 5)))
     for n in (30, 36, 37, 38):
-        raw = "." * n + "m0r0n"
-        assert decoder.decode(raw) == "moron", n
-    assert decoder.decode("-".join("i d i o t".split() * 12)) == decoder.decode_masked("-".join("i d i o t".split() * 12))
+        assert decoder.decode("." * n + "m0r0n") == "moron", n
     assert decoder.decode("s**p*d") == "stupid"
-    for raw in ("m0r*n", "st.u.p1d", "l0$er", "idiooot", "th3-h0us3"):
-        assert decoder.decode(raw) == decoder.decode_masked(raw)
+    long = "m0r0n.st*pid-l0$er " * 700
+    whole = decoder.decode(long)
+    assert whole.replace(" ", "") == "moronstupidloser" * 700
+    held, toxicity.STEPS_HELD = toxicity.STEPS_HELD, 50
+    try:
+        assert decoder.decode(long) == whole
+    finally:
+        toxicity.STEPS_HELD = held
+    assert decoder.decode_all([]) == [] and decoder.decode_all(["", "***", "m0r0n"]) == ["", decoder.decode("***"), "moron"]
+
+
+def cheapest_path(decoder, raw):
+    """By trying all paths of the lattice."""
+    paths = [((0, 0), 0.0, "")]
+    for i, c in enumerate(raw):
+        same = i > 0 and raw[i - 1] == c
+        new = []
+        for (a, b), cost, said in paths:
+            for code, price in toxicity.edges(c, same, same and 3 * c in raw[max(0, i - 2) : i + 2]):
+                if code < 0 or code == 0 and b == 0:
+                    new.append(((a, b), cost + price, said))
+                else:
+                    new.append(((b, code), cost + price + decoder.steps[a * toxicity.SIGNS + b, code], said + toxicity.LETTERS[code]))
+        paths = new
+    return min((cost + decoder.ends[a * toxicity.SIGNS + b], said) for (a, b), cost, said in paths)[1].strip()
+
+
+def test_viterbi_finds_the_cheapest_path_of_all():
+    decoder = toxicity.Decoder(grams_of(" ".join(["moron idiot loser stupid the house was red all too"] * 5)))
+    r = random.Random(6)
+    raws = ["".join(r.choice("aelost001!$.- tt*éх") for _ in range(r.randrange(1, 7))) for _ in range(300)] + ["looool", "sss", "0000", "a**", "*", "é*0"]
+    assert decoder.decode_all(raws) == [cheapest_path(decoder, x) for x in raws]
 
 
 @pytest.mark.parametrize("raw, want", [("m0r0n", "moron"), ("i d i o t", "idiot"), ("l.o.s.e.r", "loser"), ("stuuuupid", "stupid"), ("$tupid", "stupid")])
