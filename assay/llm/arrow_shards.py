@@ -49,6 +49,8 @@ class ShardWriter:
         self.index: list[tuple] = []
 
     def add(self, doc_id, ids: np.ndarray) -> None:
+        if len(ids) and int(ids.max()) > np.iinfo(self.dtype).max:
+            raise ValueError(f"an id is too large for {self.dtype}")
         self.index.append((doc_id, self.total, len(ids)))
         self.waiting.append(ids.astype(self.dtype))
         self.held += len(ids)

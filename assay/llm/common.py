@@ -4,6 +4,8 @@ shared folder, connected components and shipping."""
 from __future__ import annotations
 
 import bisect
+import ctypes
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,11 +15,33 @@ from assay.functions.graph import components
 from assay.functions.shipping import ship
 from assay.functions.storage import new_path, saved, shared_folder
 
-__all__ = ["WORD", "components", "new_path", "range_bounds", "range_number", "reversed_host", "saved", "shared_folder", "ship", "text_of", "url_host", "url_path"]
+__all__ = ["WORD", "components", "new_path", "range_bounds", "range_number", "reversed_host", "saved", "shared_folder", "ship", "text_of", "url_host", "url_path", "worker_cache"]
 
 #: Words are runs of anything but the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
 
+_held: dict[str, dict] = {}
+
+
+def worker_cache(owner: str, key: tuple, make: Callable[[], object]) -> object:
+    """make()'s result, kept in this Python worker until a task of another owner asks: workers outlive stages, and what an
+    earlier stage kept is of no use to a later one."""
+    if owner not in _held:
+        release_worker()
+        _held[owner] = {}
+    if key not in _held[owner]:
+        _held[owner][key] = make()
+    return _held[owner][key]
+
+
+def release_worker() -> None:
+    """Forgets what this worker kept and gives free memory back."""
+    _held.clear()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        return
+
 
 def text_of(name: str = "text") -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))

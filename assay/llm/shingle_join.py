@@ -27,18 +27,20 @@ take part in no link; their size is that of an equal text with an id, or 0.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from assay.llm.common import components, saved, ship, text_of
+from assay.llm.common import components, saved, ship, text_of, worker_cache
 
 #: Shingles of its prefix that each row carries.
 HEAD = 24
+#: Bytes of text that are hashed at once.
+BLOCK = 1 << 20
 BASE = 0x9E3779B97F4A7C15 | 1
 _space = np.zeros(256, bool)
 _space[[0x20, *range(0x09, 0x0E)]] = True
@@ -49,9 +51,15 @@ for _c in range(0x09, 0x0E):
     _codes[_c] = _codes[0x20]
 
 
-@lru_cache(maxsize=4)
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """BASE ** i and BASE ** -i, modulo 2 ** 64."""
+    """BASE ** i and BASE ** -i, modulo 2 ** 64, for i below n. The usual number is kept in the worker."""
+    if n <= 2 * BLOCK:
+        ups, downs = worker_cache("shingles", ("powers",), lambda: made_powers(2 * BLOCK))
+        return ups[:n], downs[:n]
+    return made_powers(n)
+
+
+def made_powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     ups, downs = np.full(n, BASE, np.uint64), np.full(n, pow(BASE, -1, 1 << 64), np.uint64)
     ups[0] = downs[0] = 1
     return np.cumprod(ups, dtype=np.uint64), np.cumprod(downs, dtype=np.uint64)
@@ -64,20 +72,42 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 
 def shingle_sets(texts: list[str], words: int = 5) -> list[np.ndarray]:
-    """The sorted distinct shingle hashes of each text, by differences of one running polynomial over all bytes."""
-    out: list[np.ndarray] = []
-    at = 0
+    """The sorted distinct shingle hashes of each text, by differences of one running polynomial over all bytes of a block.
+    A hash depends on its words alone, so long texts go in parts that overlap by all but one word of a shingle."""
     raw = [t.encode() for t in texts]
-    while at < len(raw):
+    out: list[np.ndarray | None] = [None] * len(raw)
+    short = [i for i, x in enumerate(raw) if len(x) <= BLOCK]
+    for i in set(range(len(raw))) - set(short):
+        out[i] = _long(raw[i], words)
+    at = 0
+    while at < len(short):
         n, to = 0, at
-        while to < len(raw) and (to == at or n + len(raw[to]) < 1 << 20):
-            n += len(raw[to]) + 1
+        while to < len(short) and (to == at or n + len(raw[short[to]]) < BLOCK):
+            n += len(raw[short[to]]) + 1
             to += 1
-        out += _block(raw[at:to], words)
+        for i, found in zip(short[at:to], _block([raw[i] for i in short[at:to]], words), strict=True):
+            out[i] = found
         at = to
     return out
 
 
+def _long(raw: bytes, words: int) -> np.ndarray:
+    """A word that is longer than a block counts by its digest."""
+    own = [w if len(w) <= BLOCK else b"\0" + hashlib.blake2b(w.lower()).hexdigest().encode() for w in raw.split()]
+    if len(own) < words:
+        return _block([b" ".join(own)], words)[0]
+    found, part, n = [], [], 0
+    for i, w in enumerate(own):
+        part.append(w)
+        n += len(w) + 1
+        if n > BLOCK and len(part) >= words or i == len(own) - 1:
+            if len(part) >= words:
+                found += _block([b" ".join(part)], words)
+            part = part[len(part) - words + 1 :]
+            n = sum(map(len, part)) + len(part)
+    return np.unique(np.concatenate(found))
+
+
 def _block(raw: list[bytes], words: int) -> list[np.ndarray]:
     data = np.frombuffer(b" ".join(raw) + b" ", np.uint8)
     ends = np.cumsum([len(x) + 1 for x in raw])
@@ -91,7 +121,7 @@ def _block(raw: list[bytes], words: int) -> list[np.ndarray]:
     starts = place[np.flatnonzero(first)]
     owner = np.searchsorted(ends, np.flatnonzero(first), side="right")
     size = int(place[-1]) + 1 if len(place) else 0
-    up, down = powers(1 << max(12, (size + 1).bit_length()))
+    up, down = powers(size + 1)
     running = np.zeros(size + 1, np.uint64)
     np.cumsum(_codes[data[kept]] * up[:size], dtype=np.uint64, out=running[1:])
     stops = np.append(starts[1:], size)  # with the space after the word

@@ -33,7 +33,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from assay.llm.common import saved, ship, text_of
+from assay.llm.common import saved, ship, text_of, worker_cache
 
 SIGNS = 28  # between words, a to z, any other letter
 OTHER = 27
@@ -368,6 +368,7 @@ class Scorer:
 
     def reader(self) -> Reader:
         if self._reader is None:
+            worker_cache("toxicity", (), dict)  # what earlier stages kept goes
             self._reader = Reader(Decoder(self.grams))
             self._number = {w: i for i, w in enumerate(self.words)}
             self._starts = {w[:n] for w in self.words for n in range(1, len(w) + 1)}

@@ -10,9 +10,11 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from assay.llm import arrow_shards, embedding_dups, licenses, mixing, packing, page_text, shingle_join, telephony, toxicity, url_rules
 from assay.llm.common import new_path, saved
+from assay.llm import tokens
 from assay.llm.tokens import Encoder, tokenizer_path
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, part string, bucket int, key string"
@@ -189,8 +191,24 @@ def test_url_rules(spark):
 def test_fast_encoding_is_exact(file, rule, corpus):
     encoder = Encoder(tokenizer_path(file), rule)
     texts = [t or "" for t in corpus[:20]] + ["a  b", " a", "a ", "a\n\nb", "x\ty", "it's we're\n'll", "İ ΑΣ ß ñandú", "日本 語\nテ", "\x1c a", "5 ́", "a.b,c 1,5. end.", "!!,. x", "\n", "ab\x01c", "naïve, café. À"]
-    assert encoder.encode(texts) == encoder.whole(texts)
-    assert encoder.encode(texts) == encoder.whole(texts)
+    texts += ["hi <|endoftext|> ok", "<|startoftext|>a", "x<|endoftext|>", "<|endo", "a\u3000b", "Ünïcode. ŐK, ª.º", "a.b.c,d", "'s.x", "x" * 50 + " y." + "z" * 40]
+    plain = Tokenizer.from_file(tokenizer_path(file))
+    want = [np.array(plain.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    assert encoder.encode(texts) == want
+    assert encoder.encode(texts[::-1] + texts) == want[::-1] + want
+    as_text = Encoder(tokenizer_path(file), rule, specials_as_text=True)
+    plain.encode_special_tokens = True
+    assert as_text.encode(texts) == [np.array(plain.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts] != want
+    assert encoder.encode([]) == [] and encoder.encode(["", ""]) == [b"", b""]
+
+
+def test_the_table_of_pieces_is_bounded(monkeypatch):
+    monkeypatch.setattr(tokens, "KEPT", 50)
+    encoder = Encoder(tokenizer_path("byte_bpe_50k.json"), "bytes")
+    texts = [" ".join(words(40, seed)) for seed in range(30)]
+    for t in texts:
+        assert encoder.encode([t]) == encoder.whole([t])
+        assert len(encoder.kept) <= 50 + 40 and len(encoder.older) <= 50 + 40
 
 
 def test_packing(spark, corpus):
