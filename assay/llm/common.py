@@ -63,8 +63,8 @@ def reversed_host(host: Column) -> Column:
     return F.array_join(F.reverse(F.split(host, r"\.")), "\x02")
 
 
-def range_bounds(df: DataFrame, key: str, rows_each: int, sample: int = 8192) -> list[str]:
-    """Keys that cut df into ranges of about rows_each rows, 1024 at most. Only where ranges begin depends on the sample of
+def range_bounds(df: DataFrame, key: str, rows_each: int, sample: int = 1 << 15) -> list[str]:
+    """Keys that cut df into ranges of about rows_each rows, 4096 at most. Only where ranges begin depends on the sample of
     about ``sample`` different keys, chosen by their hashes where the table is scanned, so the driver gets no more of a
     larger table."""
     n = df.count()

@@ -1,4 +1,4 @@
-"""Main text of web pages: page structure, and differencing against the page with the nearest url.
+"""Main text of web pages: differencing against the page with the nearest url, and page structure as its evidence.
 
 Pages are sorted by host, path and id and dealt to key ranges, so a page's neighbours on its host stand beside it and a
 host with a third of all pages is still many tasks. Each page's text lines (one for each block) are aligned with those of
@@ -9,16 +9,20 @@ Pages with equal texts side by side count as one place. Pages up to ``reach`` pl
 page that has only copies there are read again with a longer reach, until a page that isn't a copy or the host's end.
 Ranges also get the pages of their first and last host that lie beyond their bounds, so results don't depend on the bounds.
 
-Differencing alone is wrong where pages of a host share passages of their articles, and it can't see adverts or comments
-that differ from page to page. So structure goes first: lines in elements that aren't article text (by tag, role, class or
-id) always go, and lines in an article element (or, without one, a main element) always stay; if a page has either, lines
-outside it go. Differencing decides for the lines of all other pages.
+Differencing alone is wrong where articles of a host share passages, and it can't see adverts or comments that differ from
+page to page. So shared lines are deleted unless structure proves them text: lines in a heading, paragraph, list, quote,
+table or the like within an article element (or, without one, a main element) stay. Lines in elements that aren't article
+text (by tag, role, class or id) always go, and if a page has an article or main element, lines outside it go. If only class
+names and ids speak against all text of an article, they are not believed.
 
-White space in a block is one space, br is white space, blocks are joined by two line feeds. Null and empty html gives an
-empty text; a page alone on its host keeps its unshared lines. Urls that are null or have no host form one host. Repeated
-rows each get a row. Pages are aligned in time that follows the number of equal pairs of lines; above two million such
-pairs, by halves and bits in memory that follows the pages' lengths, to the same length. An empty table gives no rows. Columns other than id, url and
-html are not read.
+What is aligned and moved between machines are 64-bit numbers of lines, with their lengths; texts stay where they are read,
+and are joined with the deleted places at the end (broadcast if these are few, else by page).
+
+White space in a block is one space, br is white space, blocks are joined by two line feeds; an inline element that is left
+out doesn't part its block. Null and empty html gives an empty text; a page alone on its host keeps its unshared lines. Urls
+that are null or have no host form one host. Repeated rows each get a row. Pages are aligned in time that follows the number
+of equal pairs of lines; above two million such pairs, by halves and bits in memory that follows the pages' lengths, to the
+same length. An empty table gives no rows. Columns other than id, url and html are not read.
 """
 
 from __future__ import annotations
@@ -28,7 +32,7 @@ import html as entities
 import re
 from bisect import bisect_left
 from collections import Counter, defaultdict, deque
-from collections.abc import Iterator
+from collections.abc import Hashable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -51,45 +55,73 @@ MARKS = {
 }
 STARTS = ("advert", "breadcrumb", "comment", "cookie", "navig", "newsletter", "sidebar", "sponsor", "subscri")
 TITLES = {"article", "content", "entry", "post", "story"}
+# Words that make a class name tell of a state (with-sidebar, comments-open), not of what an element is.
+STATE_STARTS, STATE_ENDS = {"has", "hide", "is", "no", "show", "with", "without"}, {"closed", "disabled", "enabled", "hidden", "off", "on", "open"}
+PROVEN = {"blockquote", "caption", "dd", "dt", "figcaption", "h1", "h2", "h3", "h4", "h5", "h6", "li", "p", "pre", "td", "th", "tr"}
 ARTICLE, PLAIN, BOILER = 2, 1, 0
 AT_ONCE = 256
 WIDER = 8  # how many times as far pages are looked for if all nearer ones are copies
 SITE, NEAR, OWN = 0, 1, 2
+LINE = np.dtype([("number", "<i8"), ("size", "<i4"), ("kind", "u1")])
 
 
-def marked(name: str, attributes: str, within: bool) -> bool:
-    """Whether an element is boilerplate. within: it is in an article or main element."""
+def marked(name: str, attributes: str, within: bool, by_name: bool = True) -> bool:
+    """Whether an element is boilerplate. within: it is in an article or main element; by_name: class and id count."""
     if name in DROPPED or name == "header" and not within:
         return True
     if not attributes.strip() or name in ("html", "body"):
         return False
-    words: set[str] = set()
+    titled, against, header = False, False, False
     for key, value in ATTRIBUTE.findall(attributes):
         key, value = key.lower(), value.strip("\"'")
         if key == "hidden" or key == "aria-hidden" and value.lower() == "true" or key == "style" and re.search(r"display\s*:\s*none", value, re.I) or key == "role" and value.lower() in ROLES:
             return True
-        if key in ("class", "id"):
-            words.update(re.findall(r"[a-z]+", re.sub(r"(?<=[a-z])(?=[A-Z])", " ", value).lower()))
-    if words & MARKS or any(w.startswith(STARTS) for w in words):
-        return not (name in ("article", "main") and words & TITLES)
-    return "header" in words and not words & TITLES and not within
+        if key not in ("class", "id") or not by_name:
+            continue
+        for token in value.split():
+            words = re.findall(r"[a-z]+", re.sub(r"(?<=[a-z])(?=[A-Z])", " ", token).lower())
+            if not words or len(words) > 1 and (words[0] in STATE_STARTS or words[-1] in STATE_ENDS):
+                continue
+            if any(w in MARKS or w.startswith(STARTS) for w in words):
+                against = True
+            titled |= not set(words) - TITLES or name in ("article", "main") and bool(TITLES & set(words))
+            header |= "header" in words
+    return (against or header and not within) and not titled
 
 
 def lines_of(page: str) -> list[tuple[str, int]]:
     """The text lines of a page, each with ARTICLE, PLAIN or BOILER."""
+    found, within = parsed_lines(page, True)
+    if within and all(kind == BOILER for _, kind in found):
+        found, _ = parsed_lines(page, False)
+    return found
+
+
+def parsed_lines(page: str, by_name: bool) -> tuple[list[tuple[str, int]], bool]:
+    """The lines, and whether class names or ids marked text in an article or main element."""
     text: list[str] = []
+    held: list[str] | None = None  # of the block around an inline element that is left out
     skipped: list[str] = []  # open elements from the outermost that is boilerplate on
     articles = mains = 0
+    proven = named = False
     at, end = 0, len(page)
-    found: list[tuple[str, int, bool]] = []
+    found: list[tuple[str, int, bool, bool]] = []  # line, kind, in an article, proven to be text
 
     def close_line() -> None:
         if text:
             line = " ".join(entities.unescape("".join(text)).split())
             if line:
-                found.append((line, BOILER if skipped else PLAIN if not articles and not mains else ARTICLE, articles > 0))
+                found.append((line, BOILER if skipped else PLAIN if not articles and not mains else ARTICLE, articles > 0, proven))
             text.clear()
 
+    def end_skip() -> None:
+        nonlocal held
+        close_line()
+        skipped.clear()
+        if held is not None:
+            text.extend(held)
+            held = None
+
     while at < end:
         m = TAG.search(page, at)
         if not m:
@@ -107,7 +139,10 @@ def lines_of(page: str) -> list[tuple[str, int]]:
             at = gone.end()
             continue
         if name in BLOCKS:
+            if held is not None and closing and name not in skipped:  # the block around ends, the inline element was never closed
+                end_skip()
             close_line()
+            proven = name in PROVEN and not closing
         elif name in ("br", "td", "th"):
             text.append(" ")
         if name in VOID:
@@ -115,52 +150,56 @@ def lines_of(page: str) -> list[tuple[str, int]]:
         if closing:
             if skipped:
                 if name in skipped:
-                    while skipped and skipped.pop() != name:
-                        pass
+                    while skipped[-1] != name:
+                        skipped.pop()
+                    if len(skipped) == 1:
+                        end_skip()
+                    else:
+                        skipped.pop()
                 elif name in ("body", "html"):
-                    skipped.clear()
-                if not skipped:
-                    close_line_as_boiler(text, found)
+                    end_skip()
             elif name == "article":
                 articles = max(0, articles - 1)
             elif name == "main":
                 mains = max(0, mains - 1)
             continue
         if skipped:
-            if name in ("article", "main") and not articles and not mains and not marked(name, attributes, False) and "article" not in skipped:
-                skipped.clear()  # an element that was never closed
+            if name in ("article", "main") and not articles and not mains and not marked(name, attributes, False, by_name) and "article" not in skipped:
+                end_skip()  # an element that was never closed
             else:
                 skipped.append(name)
                 continue
-        if marked(name, attributes, articles + mains > 0):
-            if text and name not in BLOCKS:
-                close_line()
+        within = articles + mains > 0
+        if marked(name, attributes, within, by_name):
+            named |= within and not marked(name, attributes, within, False)
+            if name not in BLOCKS:
+                held = text.copy()
+                text.clear()
             skipped.append(name)
         elif name == "article":
             articles += 1
         elif name == "main":
             mains += 1
     close_line()
-    if any(a for _, k, a in found if k == ARTICLE):
-        return [(line, ARTICLE if k == ARTICLE and a else BOILER) for line, k, a in found]
-    if any(k == ARTICLE for _, k, _ in found):
-        return [(line, k if k == ARTICLE else BOILER) for line, k, _ in found]
-    return [(line, k) for line, k, _ in found]
-
-
-def close_line_as_boiler(text: list[str], found: list[tuple[str, int, bool]]) -> None:
-    line = " ".join(entities.unescape("".join(text)).split())
-    if line:
-        found.append((line, BOILER, False))
-    text.clear()
-
-
-def common_lines(one: list[str], other: list[str], most_pairs: int = 2_000_000) -> list[int]:
+    if skipped:
+        end_skip()
+        close_line()
+    in_article = any(a for _, k, a, _ in found if k == ARTICLE)
+    in_main = any(k == ARTICLE for _, k, _, _ in found)
+    out = []
+    for line, kind, a, proven in found:
+        if in_article and not a or in_main and kind == PLAIN:
+            kind = BOILER
+        out.append((line, PLAIN if kind == ARTICLE and not proven else kind))
+    return out, named
+
+
+def common_lines(one: list, other: list, most_pairs: int = 2_000_000) -> list[int]:
     """Places in one of a longest common subsequence with other (Hunt and Szymanski)."""
-    places: dict[str, list[int]] = defaultdict(list)
+    places: dict[Hashable, list[int]] = defaultdict(list)
     for j, line in enumerate(other):
         places[line].append(j)
-    in_one: dict[str, int] = defaultdict(int)
+    in_one: dict[Hashable, int] = defaultdict(int)
     for line in one:
         in_one[line] += 1
     if sum(n * len(places.get(line, ())) for line, n in in_one.items()) > most_pairs:
@@ -186,7 +225,7 @@ def common_lines(one: list[str], other: list[str], most_pairs: int = 2_000_000)
     return out[::-1]
 
 
-def halved(one: list[str], other: list[str], most_pairs: int) -> list[int]:
+def halved(one: list, other: list, most_pairs: int) -> list[int]:
     """common_lines by Hirschberg's halves: memory in proportion to the pages, however many pairs are equal."""
     size = min(len(one), len(other))
     a = 0
@@ -209,10 +248,10 @@ def halved(one: list[str], other: list[str], most_pairs: int) -> list[int]:
     return ends[0] + [a + i for i in left] + [a + half + i for i in right] + ends[1]
 
 
-def lengths(one: list[str], other: list[str]) -> np.ndarray:
+def lengths(one: list, other: list) -> np.ndarray:
     """The length of a longest common subsequence of one with the first 0, 1, ... lines of other (bit-parallel)."""
     n = len(other)
-    raw: dict[str, bytearray] = {line: bytearray() for line in one}
+    raw: dict[Hashable, bytearray] = {line: bytearray() for line in one}
     for j, line in enumerate(other):
         if line in raw:
             bits = raw[line]
@@ -231,7 +270,11 @@ def lengths(one: list[str], other: list[str]) -> np.ndarray:
 
 
 def line_number(line: str) -> int:
-    return int.from_bytes(hashlib.blake2b(line.encode("utf-8", "replace"), digest_size=8).digest(), "little", signed=True)
+    return line_number_of(line.encode("utf-8", "replace"))
+
+
+def line_number_of(raw: bytes) -> int:
+    return int.from_bytes(hashlib.blake2b(raw, digest_size=8).digest(), "little", signed=True)
 
 
 def text_number(page: list[tuple[str, int]]) -> int:
@@ -239,69 +282,95 @@ def text_number(page: list[tuple[str, int]]) -> int:
     return line_number("\n".join(line for line, kind in page if kind != BOILER))
 
 
-def site_lines(pages: list[list[tuple[str, int]]]) -> set[int]:
-    """Numbers of the unmarked lines that more than half of the different texts have."""
-    texts = {text_number(p): {line for line, kind in p if kind != BOILER} for p in pages}
+class Numbers:
+    """A page as differencing sees it: its lines' numbers, kinds and lengths, and the number of its unmarked text."""
+
+    def __init__(self, numbers: list[int], kinds: list[int], sizes: list[int], text: int):
+        self.numbers, self.kinds, self.sizes, self.text = numbers, kinds, sizes, text
+
+    @classmethod
+    def of(cls, page: list[tuple[str, int]]) -> Numbers:
+        return cls([line_number(line) for line, _ in page], [kind for _, kind in page], [len(line) for line, _ in page], text_number(page))
+
+    def packed(self) -> bytes:
+        return np.array(list(zip(self.numbers, self.sizes, self.kinds, strict=True)), LINE).tobytes()
+
+    @classmethod
+    def unpacked(cls, raw: bytes, text: int) -> Numbers:
+        held = np.frombuffer(raw, LINE)
+        return cls(held["number"].tolist(), held["kind"].tolist(), held["size"].tolist(), text)
+
+    def unmarked(self) -> set[int]:
+        return {n for n, kind in zip(self.numbers, self.kinds, strict=True) if kind != BOILER}
+
+
+def site_lines(pages: list[Numbers]) -> set[int]:
+    """The unmarked lines that more than half of the different texts have."""
+    texts = {p.text: p.unmarked() for p in pages}
     seen = Counter(line for lines in texts.values() for line in lines)
-    return {line_number(line) for line, n in seen.items() if 2 * n > len(texts)}
+    return {line for line, n in seen.items() if 2 * n > len(texts)}
 
 
 class Run:
-    """Pages with equal unmarked texts that stand side by side; rows are (role, page_id, url) and the page's lines."""
+    """Pages with equal unmarked texts that stand side by side; rows are (role, key, at) and the page."""
 
     def __init__(self, number: int):
         self.number, self.rows = number, []
 
 
-def is_copy(run: Run, rare: dict[str, int], other: Run, page: list[tuple[str, int]]) -> bool:
+def is_copy(run: Run, rare: dict[int, int], other: Run, page: Numbers) -> bool:
     """Whether another page has nine tenths of the text that is rare on the host, or all of the unmarked text."""
     if run.number == other.number:
         return True
-    there = {line for line, _ in page}
+    there = set(page.numbers)
     return bool(rare) and 10 * sum(n for line, n in rare.items() if line in there) >= 9 * sum(rare.values())
 
 
-def differenced(runs: list[Run], common: set[int], texts: int, reach: int, first: int, end: int) -> Iterator[tuple[tuple, str, int, bool]]:
-    """(row, text, lines deleted by differencing, settled) of the pages of runs first to end. Not settled: all texts up to
-    reach places away are copies, and the host has more."""
+def differenced(runs: list[Run], common: set[int], texts: int, reach: int, first: int, end: int) -> Iterator[tuple[tuple, list[int], bool]]:
+    """(row, places of deleted lines, settled) of the pages of runs first to end. Not settled: all texts up to reach places
+    away are copies, and the host has more."""
     for i in range(first, end):
         run = runs[i]
         page = run.rows[0][1]
-        rare: Counter[str] = Counter()
-        for line, kind in page:
-            if kind != BOILER and line_number(line) not in common:
-                rare[line] += len(line)
+        rare: Counter[int] = Counter()
+        for line, kind, size in zip(page.numbers, page.kinds, page.sizes, strict=True):
+            if kind != BOILER and line not in common:
+                rare[line] += size
         near = sorted((j for j in range(max(0, i - reach), min(len(runs), i + reach + 1)) if j != i), key=lambda j: (abs(j - i), j))
         other = None
         for j in near:
-            lines = runs[j].rows[-1 if j < i else 0][1]
-            if not is_copy(run, rare, runs[j], lines):
-                other = [line for line, _ in lines]
+            there = runs[j].rows[-1 if j < i else 0][1]
+            if not is_copy(run, rare, runs[j], there):
+                other = there.numbers
                 break
         settled = other is not None or len({runs[j].number for j in near} | {run.number}) >= texts
         for row, page in run.rows:
-            shared = set(common_lines([line for line, _ in page], other)) if other is not None else set()
-            kept = [line for k, (line, kind) in enumerate(page) if kind == ARTICLE or kind == PLAIN and k not in shared]
-            yield row, "\n\n".join(kept), sum(page[k][1] != ARTICLE for k in shared), settled
+            shared = common_lines(page.numbers, other) if other is not None else []
+            yield row, [k for k in shared if page.kinds[k] == PLAIN], settled
 
 
-def runs_of(pages: list[list[tuple[str, int]]]) -> list[Run]:
+def runs_of(pages: list[Numbers]) -> list[Run]:
     runs: list[Run] = []
     for p in pages:
-        number = text_number(p)
-        if not runs or runs[-1].number != number:
-            runs.append(Run(number))
+        if not runs or runs[-1].number != p.text:
+            runs.append(Run(p.text))
         runs[-1].rows.append(((), p))
     return runs
 
 
+def kept_text(page: list[tuple[str, int]], deleted: list[int]) -> str:
+    gone = set(deleted)
+    return "\n\n".join(line for k, (line, kind) in enumerate(page) if kind != BOILER and k not in gone)
+
+
 def main_texts(pages: list[list[tuple[str, int]]], reach: int) -> list[tuple[str, int]]:
     """(text, lines deleted by differencing) of all pages of one host, in url order."""
-    runs, common = runs_of(pages), site_lines(pages)
+    numbers = [Numbers.of(p) for p in pages]
+    runs, common = runs_of(numbers), site_lines(numbers)
     while True:
         out = list(differenced(runs, common, len({r.number for r in runs}), reach, 0, len(runs)))
         if all(settled for *_, settled in out):
-            return [(text, n) for _, text, n, _ in out]
+            return [(kept_text(page, gone), len(gone)) for page, (_, gone, _) in zip(pages, out, strict=True)]
         reach *= WIDER
 
 
@@ -346,32 +415,48 @@ def beyond_bounds(edges: dict[int, list[list[tuple]]], reach: int) -> list[tuple
     return out
 
 
-def extract_pages(pages: DataFrame, rows_each: int = 512, reach: int = 4, id_column: str = "page_id", url_column: str = "url", html_column: str = "html") -> DataFrame:
-    """Returns page_id, url, text, n_chars and n_shared (lines that the neighbour has too and that aren't the article's)."""
+def extract_pages(pages: DataFrame, rows_each: int = 2048, reach: int = 4, broadcast_bytes: int = 1 << 25, id_column: str = "page_id", url_column: str = "url", html_column: str = "html") -> DataFrame:
+    """Returns page_id, url, text, n_chars and n_shared (lines that were deleted as the neighbour has them too)."""
     spark = pages.sparkSession
     ship(spark)
     url = F.col(url_column).cast("string")
     own = pages.select(F.col(id_column).cast("long").alias("page_id"), url.alias("url"), F.coalesce(F.col(html_column).cast("string"), F.lit("")).alias("html"), url_host(url).alias("host"), url_path(url).alias("path"))
     own = own.withColumn("key", F.concat("host", F.lit("\x01"), "path", F.lit("\x01"), F.coalesce(F.col("page_id").cast("string"), F.lit("")))).drop("path")
 
-    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def number(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            read = [Numbers.of(lines_of(page)) for page in batch["html"]]
+            raw = [p.packed() for p in read]
+            yield batch[["host", "key"]].assign(number=[p.text for p in read], at=[line_number_of(x) for x in raw], body=raw, lines=[list(p.unmarked()) for p in read])
+
+    # Pages are read twice, as their texts would take more disk than the numbers of their lines.
+    numbered = saved(own.select("host", "key", "html").mapInPandas(number, "host string, key string, number long, at long, body binary, lines array<long>"), "pages")
+    deleted = deleted_lines(numbered, rows_each, reach)
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            read = [lines_of(page) for page in batch["html"]]
-            out = batch[["page_id", "url", "host", "key"]].assign(page_id=batch["page_id"].astype("Int64"))
-            yield out.assign(body=["\n".join(f"{kind}{line}" for line, kind in p) for p in read], number=[text_number(p) for p in read], lines=[list({line_number(line) for line, kind in p if kind != BOILER}) for p in read])
-
-    # Pages are read twice, as their texts would take more disk than numbers of their lines.
-    parsed = own.mapInPandas(parse, "page_id long, url string, host string, key string, body string, number long, lines array<long>").withColumn("at", F.xxhash64("body"))
-    narrow = saved(parsed.select("host", "key", "number", "at", "lines"), "pages")
-    bounds = range_bounds(narrow, "key", rows_each)
-    part = range_number(bounds, F.col("key"))
-    parsed, narrow = parsed.drop("lines").withColumn("part", part), narrow.withColumn("part", part)
-    texts = narrow.select("host", "number", "lines").dropDuplicates(["host", "number"])
+            found = [lines_of(page) for page in batch["html"]]
+            out = batch[["page_id", "url", "key"]].assign(page_id=batch["page_id"].astype("Int64"))
+            yield out.assign(at=[line_number_of(Numbers.of(p).packed()) for p in found], lines=[[None if kind == BOILER else line for line, kind in p] for p in found])
+
+    texts = own.mapInPandas(read, "page_id long, url string, key string, at long, lines array<string>")
+    size = deleted.agg(F.sum(F.length("key") + 4 * F.size("deleted") + 32)).first()[0] or 0
+    texts = texts.join(F.broadcast(deleted) if size <= broadcast_bytes else deleted, ["key", "at"], "left")
+    kept = F.when(F.col("deleted").isNull(), F.col("lines")).otherwise(F.filter("lines", lambda _, i: ~F.array_contains("deleted", i)))
+    texts = texts.select("page_id", "url", F.array_join(F.filter(kept, lambda x: x.isNotNull()), "\n\n").alias("text"), F.coalesce(F.array_size("deleted"), F.lit(0)).cast("long").alias("n_shared"))
+    return texts.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), "n_shared")
+
+
+def deleted_lines(numbered: DataFrame, rows_each: int, reach: int) -> DataFrame:
+    """(key, at, deleted) of the pages that lose lines, deleted being their places. numbered: a table."""
+    spark = numbered.sparkSession
+    bounds = range_bounds(numbered, "key", rows_each)
+    numbered = numbered.withColumn("part", range_number(bounds, F.col("key")))
+    texts = numbered.select("host", "number", "lines").dropDuplicates(["host", "number"])
     sizes = saved(texts.groupBy("host").agg(F.count("*").alias("texts")), "hosts")
     seen = texts.select("host", F.explode("lines").alias("line")).groupBy("host", "line").agg(F.count("*").alias("n")).where("n > 1")
     common = seen.join(sizes, "host").where("2 * n > texts").groupBy("host").agg(F.collect_list("line").alias("lines"))
     sites = saved(sizes.join(common, "host", "left"), "sites")
-    narrow = narrow.drop("lines")
 
     def extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """Holds no more than AT_ONCE runs of pages and their neighbours."""
@@ -380,13 +465,11 @@ def extract_pages(pages: DataFrame, rows_each: int = 512, reach: int = 4, id_col
         at, first, texts = None, 0, 0
 
         def done(end: int) -> pd.DataFrame:
-            rows = [(*row[1:], text, len(text), n, at[1], settled) for row, text, n, settled in differenced(runs, common, texts, wide, first, end) if row[0] == OWN]
-            out = pd.DataFrame(rows, columns=["page_id", "url", "text", "n_chars", "n_shared", "host", "settled"])
-            return out.assign(page_id=pd.array(out["page_id"], "Int64"))
+            rows = [(*row[1:], gone, at[1], settled) for row, gone, settled in differenced(runs, common, texts, wide, first, end) if row[0] == OWN and (gone or not settled)]
+            return pd.DataFrame(rows, columns=["key", "at", "deleted", "host", "settled"])
 
         for batch in batches:
-            ids = batch["page_id"].astype("Int64")
-            for part, host, role, page_id, url, body, number, n, lines in zip(batch["part"], batch["host"], batch["role"], ids, batch["url"], batch["body"], batch["number"], batch["texts"], batch["lines"], strict=True):
+            for part, host, role, key, mark, body, number, n, lines in zip(batch["part"], batch["host"], batch["role"], batch["key"], batch["at"], batch["body"], batch["number"], batch["texts"], batch["lines"], strict=True):
                 if (part, host) != at:
                     if len(runs) > first:
                         yield done(len(runs))
@@ -401,31 +484,28 @@ def extract_pages(pages: DataFrame, rows_each: int = 512, reach: int = 4, id_col
                         keep = max(0, end - wide)
                         runs, first = runs[keep:], end - keep
                     runs.append(Run(number))
-                runs[-1].rows.append(((role, page_id, url), [(line[1:], int(line[0])) for line in body.split("\n")] if body else []))
+                runs[-1].rows.append(((role, key, mark), Numbers.unpacked(body, number)))
         if len(runs) > first:
             yield done(len(runs))
 
-    columns = ["part", "host", "role", "key", "page_id", "url", "body", "number", "at"]
+    columns = ["part", "host", "role", "key", "body", "number", "at"]
     none = [F.lit(None).cast("long").alias("texts"), F.lit(None).cast("array<long>").alias("lines")]
-    done: list[DataFrame] = []
-    todo, wide = parsed, reach
+    out: DataFrame | None = None
+    todo, wide = numbered.drop("lines"), reach
     while True:
         rows = todo.withColumn("role", F.lit(OWN)).select(*columns, *none)
         if bounds:
-            needed = beyond_bounds(edge_runs(narrow, len(bounds) + 1, wide), wide)
+            needed = beyond_bounds(edge_runs(todo, len(bounds) + 1, wide), wide)
             sent = F.broadcast(spark.createDataFrame(needed, "key string, number long, part int"))
             rows = rows.union(todo.drop("part").join(sent, ["key", "number"]).dropDuplicates(["key", "number", "part"]).withColumn("role", F.lit(NEAR)).select(*columns, *none) if needed else rows.limit(0))
-        site = narrow.select("part", "host").distinct().join(sites, "host").select("part", "host", F.lit(SITE).alias("role"), F.lit("").alias("key"), F.lit(0).cast("long").alias("page_id"), F.lit("").alias("url"), F.lit("").alias("body"), F.lit(0).cast("long").alias("number"), F.lit(0).cast("long").alias("at"), "texts", "lines")
+        site = todo.select("part", "host").distinct().join(sites, "host").select("part", "host", F.lit(SITE).alias("role"), F.lit("").alias("key"), F.lit(None).cast("binary").alias("body"), F.lit(0).cast("long").alias("number"), F.lit(0).cast("long").alias("at"), "texts", "lines")
         rows = rows.union(site)
-        rows = rows.repartition(len(bounds) + 1, "part").sortWithinPartitions("part", "host", (F.col("role") != SITE), "key", "number", "at", "url").drop("at")
-        got = saved(rows.mapInPandas(extract, "page_id long, url string, text string, n_chars long, n_shared long, host string, settled boolean"), "texts")
+        rows = rows.repartition(len(bounds) + 1, "part").sortWithinPartitions("part", "host", (F.col("role") != SITE), "key", "number", "at")
+        got = saved(rows.mapInPandas(extract, "key string, at long, deleted array<int>, host string, settled boolean"), "deleted")
         open_hosts = saved(got.where("not settled").select("host").distinct(), "open")
-        if open_hosts.isEmpty():
-            done.append(got)
-            break
-        done.append(got.join(open_hosts, "host", "left_anti"))
-        todo, narrow, wide = todo.join(open_hosts, "host", "left_semi"), narrow.join(open_hosts, "host", "left_semi"), wide * WIDER
-    out = done[0]
-    for more in done[1:]:
-        out = out.union(more.select(out.columns))
-    return out.select("page_id", "url", "text", "n_chars", "n_shared")
+        last = open_hosts.isEmpty()
+        some = (got if last else got.join(open_hosts, "host", "left_anti")).where("size(deleted) > 0").select("key", "at", "deleted")
+        out = some if out is None else out.union(some)
+        if last:
+            return out.dropDuplicates(["key", "at"])
+        todo, wide = todo.join(open_hosts, "host", "left_semi"), wide * WIDER

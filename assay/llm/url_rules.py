@@ -4,12 +4,12 @@ A host and all its subdomains are one interval of reversed-host keys (org\x02exa
 Rules and urls are dealt to the same key ranges, each rule to every range that its interval touches, and sorted; one sweep
 over each range keeps a stack of the rules whose intervals are open, nested as the hosts are. Keys end in path and id, so
 one host, or one url, with a third of all rows still fills many ranges. Nothing is broadcast but the range bounds (at most
-1024 keys), so the rules may be as many as the urls.
+4096 keys), so the rules may be as many as the urls.
 
 Null urls and urls without :// have an empty host and path and fit no rule. Rules with a null or empty host fit nothing; a
 null path is empty. Repeated rows each get a row; repeated rules count once (of those that differ in verdict only, block
 wins). Of rules that fit, the one with the longest host and path together wins, then the one with the longer host.
-An empty table gives an empty result. Columns other than the id and the url are not read.
+Very long urls are read whole. An empty table gives an empty result. Columns other than the id and the url are not read.
 """
 
 from __future__ import annotations
@@ -82,8 +82,9 @@ def judge_urls(pages: DataFrame, rules: DataFrame, id_column: str = "page_id", u
     bounds = range_bounds(own, "key", rows_each)
     own = own.withColumn("part", range_number(bounds, F.col("key"))).select("part", "key", F.lit(1).alias("kind"), "page_id", "host", "path", F.lit(None).cast("string").alias("verdict"))
 
-    name = reversed_host(F.lower("host"))
-    held = rules.where(F.coalesce("host", F.lit("")) != "").select(F.concat(name, F.lit(FIRST)).alias("key"), F.lower("host").alias("host"), F.coalesce("path", F.lit("")).alias("path"), "verdict").distinct()
+    lower = F.translate("host", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")  # as in urls
+    name = reversed_host(lower)
+    held = rules.where(F.coalesce("host", F.lit("")) != "").select(F.concat(name, F.lit(FIRST)).alias("key"), lower.alias("host"), F.coalesce("path", F.lit("")).alias("path"), "verdict").distinct()
     held = held.withColumn("last", F.concat(F.expr("substring(key, 1, length(key) - 1)"), F.lit(PAST)))
     held = held.withColumn("part", F.explode(F.sequence(range_number(bounds, F.col("key")), range_number(bounds, F.col("last")))))
     held = held.select("part", "key", F.lit(0).alias("kind"), F.lit(None).cast("long").alias("page_id"), "host", "path", "verdict")

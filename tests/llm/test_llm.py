@@ -358,6 +358,69 @@ def test_page_texts_do_not_depend_on_range_bounds(spark):
     assert [got[i][0] for i in range(16)] == [f"Text {i}" for i in range(16)] and got[40][0] == "Not found"
 
 
+def test_shared_lines_of_articles_go_unless_proven(spark):
+    rows = [(i, f"http://h/{i}", page(f"<main><article><h1>Same title</h1><div>Read more on our site</div><p>Own {i}</p><div>Loose {i}</div><p>Same words</p></article></main>")) for i in range(5)]
+    rows += [(9, "http://alone/", rows[0][2])]
+    got = texts_of_pages(spark, rows)
+    assert got == {i: (f"Same title\n\nOwn {i}\n\nLoose {i}\n\nSame words", 1) for i in range(5)} | {9: ("Same title\n\nRead more on our site\n\nOwn 0\n\nLoose 0\n\nSame words", 0)}
+
+
+@pytest.mark.parametrize(
+    "body, want",
+    [
+        ("<article><p>one <svg><text>x</text></svg> two</p></article>", "one two"),
+        ('<article><p>one<span class="share"> tweet </span> two</p></article>', "one two"),
+        ('<article><p>one <span class="ad">buy</p><p>two</p></article>', "one\n\ntwo"),
+        ('<article><div class="content with-sidebar"><p>one</p></div></article>', "one"),
+        ('<article><div class="entry comments-open"><p>one</p></div><div class="comments"><p>no</p></div></article>', "one"),
+        ('<article><div class="widget"><p>one</p></div></article>', "one"),
+        ('<article><div class="post-comments"><p>no</p></div><p>one</p></article>', "one"),
+        ('<div class="sidebar"><p>no</p></div><p>one</p>', "one"),
+        ("<nav>only</nav>", ""),
+        ("<article><p>a<button>b", "a"),
+    ],
+)
+def test_marks(body, want):
+    assert page_text.kept_text(page_text.lines_of(page(body)), []) == want
+
+
+def longest_common(a, b):
+    best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+    for i, x in enumerate(a):
+        for j, y in enumerate(b):
+            best[i + 1][j + 1] = best[i][j] + 1 if x == y else max(best[i][j + 1], best[i + 1][j])
+    return best[-1][-1]
+
+
+def test_hosts_with_and_without_articles_against_brute_force(spark):
+    """Lines differ within a page, so those of all other pages' texts that come in order are the longest common ones."""
+    r = random.Random(12)
+    rows, want = [], {}
+    for i in range(60):
+        host, article = "abc"[i // 20], i // 20 == 1
+        site = [f"Site {host} {k}" for k in range(4)]
+        own = [f"Own {i} {k} {r.random()}" for k in range(r.randrange(3, 6))]
+        lines = [*site[:2], *own, *site[2:]]
+        body = "".join(f"<div>{x}</div>" for x in lines)
+        rows.append((i, f"http://{host}.org/{100 + i}", page(f"<article>{body}<p>{site[0]}</p></article>" if article else body)))
+        want[i] = (lines + [site[0]] if article else lines, own + [site[0]] if article else own)
+    for rows_each in (1, 7, 1000):
+        got = texts_of_pages(spark, rows, rows_each=rows_each)
+        for i, (lines, text) in want.items():
+            j = i + 1 if i % 20 == 0 else i - 1
+            assert got[i] == ("\n\n".join(text), longest_common(lines, want[j][0]) - (20 <= i < 40)), (rows_each, i)
+    joined = texts_of_pages(spark, rows, broadcast_bytes=0)
+    assert joined == got
+    assert texts_of_pages(spark, [], rows_each=1) == {}
+
+
+def test_very_long_pages_and_repeated_rows(spark):
+    long = "".join(f"<div>Line {k}</div>" for k in range(5000))
+    rows = [(1, "http://h/1", page(f"<div>Site</div>{long}")), (2, "http://h/2", page("<div>Site</div><div>Two</div>"))] * 2
+    got = sorted(tuple(r)[:3] for r in page_text.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect())
+    assert got == [(1, "http://h/1", "\n\n".join(f"Line {k}" for k in range(5000)))] * 2 + [(2, "http://h/2", "Two")] * 2
+
+
 def test_common_lines_like_dynamic_programming():
     r = random.Random(3)
     for _ in range(60):
