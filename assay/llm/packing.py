@@ -108,7 +108,7 @@ def slots_of(kinds: list[tuple[list[int], int]]) -> dict[int, np.ndarray]:
     return {k: np.array(v, dtype=np.int64) for k, v in out.items()}
 
 
-def pack_pieces(pieces: DataFrame, capacity: int = 2048, rows_each: int = 20_000) -> DataFrame:
+def pack_pieces(pieces: DataFrame, capacity: int = 2048, rows_each: int = 1000) -> DataFrame:
     """pieces with sequence_id and offset. pieces must be cheap to read again: a table."""
     spark = pieces.sparkSession
     counts = {r[0]: r[1] for r in pieces.groupBy("length").count().collect()}  # at most capacity rows

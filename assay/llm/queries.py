@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import textwrap
+
 from pyspark.sql import DataFrame, SparkSession
 
 from assay.llm import arrow_shards, embedding_dups, licenses, mixing, packing, page_text, shingle_join, telephony, toxicity, url_rules
@@ -62,18 +64,42 @@ def quoted(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
 
-def licenses_sql() -> str:
+def license_layouts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Known licences as files have them: under a title and copyright lines, as a comment, in capitals, wrapped."""
+    return licenses.scan_licenses(spark.createDataFrame(list(enumerate(layouts())), "doc_id long, text string"))
+
+
+def layouts() -> list[str]:
+    out = []
+    for name, body in sorted(licenses.KNOWN.items()):
+        out.append(f"{licenses.TITLES[name][0]}\n\nCopyright (c) 1999-2024, Some One <one@example.org>\nAll rights reserved.\n\n{body}\n")
+        out.append("\n".join(f" * {line}" for line in f"Copyright 2001 by Some One\n\n{body}".split("\n")))
+        out.append(body.upper().replace('"', "\u201c"))
+        out.append(textwrap.fill(body, 40))
+        out.append(body + " More.")
+    return out
+
+
+QUERIES["license_layouts"] = license_layouts
+
+
+def licenses_sql(own: str) -> str:
+    """own: a query with doc_id and text."""
+
     def canonical(text: str) -> str:
-        form = f"regexp_replace(lower({text}), {quoted(licenses.COPYRIGHT_LINE)}, '', 'g')"
-        form = f"trim(regexp_replace({form}, {quoted(licenses.NOT_WORD)}, ' ', 'g'))"
+        form = f"regexp_replace({text}, {quoted(licenses.PROSE)}, 'copyright \\1', 'g')"
+        form = f"lower(regexp_replace({form}, {quoted(licenses.NOTICE)}, '\\1', 'g'))"
+        form = f"trim(regexp_replace(regexp_replace({form}, {quoted(licenses.ITEM)}, ' ', 'g'), {quoted(licenses.NOT_WORD)}, ' ', 'g'))"
         for one, other in licenses.SPELLINGS:
             form = f"replace({form}, {quoted(one)}, {quoted(other)})"
         return form
 
-    known = ", ".join(f"({quoted(k)}, {quoted(v)})" for k, v in sorted(licenses.KNOWN.items()))
+    texts = ", ".join(f"({quoted(k)}, {quoted(v)})" for k, v in licenses.known_texts())
+    digests = ", ".join(f"({quoted(k)}, {quoted(v)})" for k, v in sorted(licenses.DIGESTS.items()))
     return f"""
-WITH known AS (SELECT min(name) AS license, sha256({canonical("body")}) AS digest FROM (VALUES {known}) AS k(name, body) GROUP BY 2),
-own AS (SELECT doc_id, {canonical("coalesce(text, '')")} AS form FROM documents)
+WITH each AS (SELECT name, sha256({canonical("body")}) AS digest FROM (VALUES {texts}) AS k(name, body) UNION ALL SELECT * FROM (VALUES {digests}) AS d(name, digest)),
+known AS (SELECT min(name) AS license, digest FROM each GROUP BY digest),
+own AS (SELECT doc_id, {canonical("coalesce(text, '')")} AS form FROM ({own}))
 SELECT doc_id, length(form) AS n_canonical, sha256(form) AS digest, license FROM own LEFT JOIN known ON sha256(form) = known.digest"""
 
 
@@ -87,5 +113,6 @@ fits AS (
   SELECT page_id, host, path, arg_max(rule_host || rule_path, length(rule_host || rule_path)) AS rule, arg_max(verdict, length(rule_host || rule_path)) AS verdict
   FROM own JOIN rules ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path) GROUP BY ALL)
 SELECT own.page_id, own.host, own.path, fits.rule, coalesce(fits.verdict, 'allow') AS verdict FROM own LEFT JOIN fits ON own.page_id = fits.page_id""",
-    "op7_licenses": licenses_sql(),
+    "op7_licenses": licenses_sql("SELECT doc_id, text FROM documents"),
+    "license_layouts": licenses_sql("SELECT * FROM (VALUES " + ", ".join(f"({i}, {quoted(x)})" for i, x in enumerate(layouts())) + ") AS l(doc_id, text)"),
 }

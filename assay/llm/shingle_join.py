@@ -11,7 +11,9 @@ Steps, none of which collects documents or pairs to the driver or caps a list:
 
 1. Equal texts become one representative (the smallest id), before anything is compared.
 2. Shingles are dealt by hash to buckets, as binary blocks of one batch of documents and bucket each, where their document
-   counts are found. A shingle of one document can't match: a document with as many of these as its prefix is long has no
+   counts are found. Those that a sample of documents shows to be common (half a percent or more) have their counts
+   estimated from it and stay with their documents, so no bucket grows with one shingle; any counts that all documents
+   agree on serve, as they only order shingles and price prefixes. A shingle of one document can't match: a document with as many of these as its prefix is long has no
    partner and goes. Others keep the shingles with counts over 1 alone, which is all that order, prefix and intersection need.
 3. Documents that share a min-hash are verified against the one among them with the fewest shingles of its own, the most
    central one: rows in proportion to documents, which ties most groups of near copies together. Components follow.
@@ -20,9 +22,10 @@ Steps, none of which collects documents or pairs to the driver or caps a list:
 5. Pairs whose prefixes match often enough are verified on the kept shingles; links of both kinds give the components.
 
 Null, empty and wordless texts have no shingles and link with nothing; with fewer than five words the whole sequence is
-the one shingle. Repeated rows and equal texts link. Very long texts are hashed in one piece. An empty table gives no rows.
-Columns other than the id and the text are not read. Rows with one id must not differ in text. Rows with a null id
-take part in no link; their size is that of an equal text with an id, or 0.
+the one shingle. Repeated rows and equal texts link. Very long texts are hashed in parts. An empty table gives no rows.
+Columns other than the id and the text are not read. Rows with one id and different texts are each compared; a row's
+component is that of its own text. Rows with a null id take part in no link and have a null component; their size is that
+of an equal text with an id, or 0.
 """
 
 from __future__ import annotations
@@ -32,13 +35,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from assay.llm.common import components, saved, ship, text_of, worker_cache
 
 #: Shingles of its prefix that each row carries.
 HEAD = 24
+PAIR = np.dtype([("shingle", "<u8"), ("documents", "<u4")])
 #: Bytes of text that are hashed at once.
 BLOCK = 1 << 20
 BASE = 0x9E3779B97F4A7C15 | 1
@@ -140,46 +144,70 @@ def _block(raw: list[bytes], words: int) -> list[np.ndarray]:
     return out
 
 
-def deal(doc_ids: list[int], sets: list[np.ndarray], buckets: int) -> Iterator[tuple]:
-    """Rows (bucket, docs, sizes, counts, shingles): the shingles of some documents by hash. A document's size is negative
-    in one bucket alone, that of its first shingle."""
+def deal(doc_ids: list[int], sets: list[np.ndarray], buckets: int, hot: np.ndarray) -> Iterator[tuple]:
+    """Rows (bucket, docs, sizes, counts, shingles, hots, hot): the shingles of some documents by hash. Each document has a
+    home, by its id, with its size negative and, in place of shingles, those that are in hot (PAIR, with their documents)."""
     pairs = [(i, s) for i, s in zip(doc_ids, sets, strict=True) if len(s)]
     if not pairs:
         return
     ids, sets = np.array([i for i, _ in pairs], np.int64), [s for _, s in pairs]
     sizes = np.array([len(s) for s in sets], np.int32)
     flat, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
+    place = np.minimum(np.searchsorted(hot["shingle"], flat), max(0, len(hot) - 1))
+    is_hot = hot["shingle"][place] == flat if len(hot) else np.zeros(len(flat), bool)
+    held, many = hot[place[is_hot]], np.bincount(owner[is_hot], minlength=len(ids)).astype(np.int32)
+    cuts = np.append(0, np.cumsum(many))
+    home = (mixed(ids.view(np.uint64)) >> np.uint64(32)).astype(np.int64) % buckets
+    for b in np.unique(home).tolist():
+        who = np.flatnonzero(home == b)
+        yield b, ids[who].tobytes(), (-sizes[who]).tobytes(), np.zeros(len(who), np.int32).tobytes(), b"", many[who].tobytes(), b"".join(held[cuts[i] : cuts[i + 1]].tobytes() for i in who)
+    flat, owner = flat[~is_hot], owner[~is_hot]
     bucket = (flat >> np.uint64(32)).astype(np.int64) % buckets
-    home = bucket[np.cumsum(sizes) - sizes]
     order = np.argsort(bucket * len(sets) + owner, kind="stable")
     flat, owner, bucket = flat[order], owner[order], bucket[order]
     cuts = np.flatnonzero(np.diff(bucket)) + 1
     for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(flat)], strict=True):
-        who, n = np.unique(owner[a:b], return_counts=True)
-        own = np.where(home[who] == bucket[a], -sizes[who], sizes[who])
-        yield int(bucket[a]), ids[who].tobytes(), own.astype(np.int32).tobytes(), n.astype(np.int32).tobytes(), flat[a:b].tobytes()
+        if a < b:
+            who, n = np.unique(owner[a:b], return_counts=True)
+            yield int(bucket[a]), ids[who].tobytes(), sizes[who].tobytes(), n.astype(np.int32).tobytes(), flat[a:b].tobytes(), np.zeros(len(who), np.int32).tobytes(), b""
 
 
 def counted(pdf: pd.DataFrame) -> pd.DataFrame:
     """One bucket: rows (doc_id, n, home, some) of documents with shingles that more than one document has, with the counts
     of their documents, and of those whose home this bucket is."""
-    ids, sizes, counts = (np.frombuffer(b"".join(pdf[c]), t) for c, t in (("docs", "<i8"), ("sizes", "<i4"), ("counts", "<i4")))
-    flat = np.frombuffer(b"".join(pdf["shingles"]), "<u8")
+    ids, sizes, counts, hots = (np.frombuffer(b"".join(pdf[c]), t) for c, t in (("docs", "<i8"), ("sizes", "<i4"), ("counts", "<i4"), ("hots", "<i4")))
+    flat, hot = np.frombuffer(b"".join(pdf["shingles"]), "<u8"), np.frombuffer(b"".join(pdf["hot"]), PAIR)
     order = np.argsort(flat, kind="stable")
     ordered = flat[order]
-    new = np.empty(len(flat), bool)
-    new[0], new[1:] = True, ordered[1:] != ordered[:-1]
-    at = np.flatnonzero(new)
+    at = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1])[: len(flat)])
     many = np.diff(np.append(at, len(flat)))
     documents = np.empty(len(flat), np.int64)
     documents[order] = np.repeat(many, many)
     shared = documents > 1
     owner = np.repeat(np.arange(len(ids)), counts)[shared]
-    pairs = np.empty(len(owner), np.dtype([("shingle", "<u8"), ("documents", "<u4")]))
+    pairs = np.empty(len(owner), PAIR)
     pairs["shingle"], pairs["documents"] = flat[shared], np.minimum(documents[shared], (1 << 32) - 1)
-    cuts = np.searchsorted(owner, np.arange(len(ids) + 1))
+    cuts, hot_cuts = np.searchsorted(owner, np.arange(len(ids) + 1)), np.append(0, np.cumsum(hots))
     rows = np.flatnonzero((np.diff(cuts) > 0) | (sizes < 0))
-    return pd.DataFrame({"doc_id": ids[rows], "n": np.abs(sizes[rows]).astype(np.int64), "home": sizes[rows] < 0, "some": [pairs[a:b].tobytes() for a, b in zip(cuts[rows], cuts[rows + 1], strict=True)]})
+    some = [pairs[a:b].tobytes() if n > 0 else hot[c:d].tobytes() for n, a, b, c, d in zip(sizes[rows], cuts[rows], cuts[rows + 1], hot_cuts[rows], hot_cuts[rows + 1], strict=True)]
+    return pd.DataFrame({"doc_id": ids[rows], "n": np.abs(sizes[rows]).astype(np.int64), "home": sizes[rows] < 0, "some": some})
+
+
+def hot_shingles(docs: DataFrame, n: int, words: int, sample: int, share: float) -> np.ndarray:
+    """PAIRs, sorted: shingles that at least ``share`` of about ``sample`` documents (by hash of the id) have, with their
+    documents estimated. There are no more of them than the mean size of a set / share."""
+    every = max(1, n // sample)
+
+    def seen(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            sets = shingle_sets(batch["text"].tolist(), words)
+            flat, many = np.unique(np.concatenate(sets), return_counts=True) if sets else (np.zeros(0, np.uint64), np.zeros(0))
+            yield pd.DataFrame({"shingle": flat.view(np.int64), "n": many.astype(np.int64)})
+
+    some = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(every)) == 0).select("text")
+    found = some.mapInPandas(seen, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n")).where(F.col("n") >= max(20, share * min(n, sample))).collect()
+    out = np.array([(r[0] & ((1 << 64) - 1), min(r[1] * every, (1 << 32) - 1)) for r in found], PAIR)
+    return out[np.argsort(out["shingle"])]
 
 
 def needed(n: int, percent: int) -> int:
@@ -195,41 +223,58 @@ def prefix_depth(documents: np.ndarray, short: int, most: int, verify: float = 8
     return int((rows * (1 + verify / np.arange(1, len(rows) + 1))).argmin()) + 1
 
 
-def link_documents(docs: DataFrame, percent: int = 75, words: int = 5, most_depth: int = 16, hashes: int = 3, shingles_each: int = 1 << 20, broadcast_ids: int = 1 << 20, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """Returns doc_id, n_shingles and component_id, a row for each row of docs."""
+def link_documents(docs: DataFrame, **options) -> DataFrame:
+    """Returns doc_id, n_shingles and component_id, a row for each row of docs. Options are those of ``linked``."""
+    return linked(docs, **options)[0].select("doc_id", "n_shingles", "component_id")
+
+
+def linked(docs: DataFrame, percent: int = 75, words: int = 5, most_depth: int = 16, hashes: int = 3, shingles_each: int = 1 << 18, hot_sample: int = 4000, hot_share: float = 0.005, broadcast_ids: int = 1 << 20, id_column: str = "doc_id", text_column: str = "text") -> tuple[DataFrame, bool]:
+    """doc_id, mark (of the text), n_shingles, component_id and part (equal within a component), a row for each row of docs;
+    and whether some id may have several texts."""
     spark = docs.sparkSession
     ship(spark)
     own = docs.select(F.col(id_column).cast("long").alias("doc_id"), text_of(text_column).alias("text"))
     marks = saved(own.select("doc_id", F.md5("text").alias("mark"), F.length("text").cast("long").alias("length")), "marks")
     firsts = saved(marks.groupBy("mark").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.max("length").alias("length")), "firsts")
-    text_length = firsts.agg(F.sum("length")).first()[0]
+    n_marks, text_length = firsts.agg(F.count("*"), F.sum("length")).first()
     buckets = max(64, -(-(text_length or 0) // (6 * shingles_each)))  # about one shingle for six characters
 
     # Rows that are not their group's representative go before any text is dealt.
     extra = saved(marks.join(firsts.where("copies > 1"), "mark").where("doc_id > rep").select("doc_id").distinct(), "copies")
     n_extra, (n_rows, n_ids) = extra.count(), marks.agg(F.count("doc_id"), F.countDistinct("doc_id")).first()
     kept = own.join(F.broadcast(extra) if n_extra <= broadcast_ids else extra, "doc_id", "left_anti") if n_extra else own
-    kept = kept.dropDuplicates(["doc_id"]) if n_rows > n_ids else kept
+    firsts, torn = firsts.withColumn("node", F.col("rep")), n_rows > n_ids
+    if torn:
+        # Texts whose smallest id has other texts too get a number of their own, below all ids.
+        many = marks.groupBy("doc_id").agg(F.count_distinct("mark").alias("texts")).where("texts > 1")
+        part = F.conv(F.substring("mark", 1, 3), 16, 10).cast("long")
+        place = F.row_number().over(Window.partitionBy(part).orderBy("mark"))
+        own_node = saved(firsts.join(many, firsts["rep"] == many["doc_id"], "left_semi").select("mark", "rep", (F.lit(-(1 << 62)) - place * 4096 - part).alias("own")), "torn")
+        firsts = saved(firsts.join(own_node.select("mark", "own"), "mark", "left").select("mark", "rep", "copies", "length", F.coalesce("own", "node").alias("node")), "nodes")
+        ids = own_node.select(F.col("rep").alias("doc_id")).distinct()
+        loose = own.join(ids, "doc_id", "left_semi").withColumn("mark", F.md5("text"))
+        loose = loose.join(own_node, (loose["mark"] == own_node["mark"]) & (F.col("doc_id") == F.col("rep"))).select(F.col("own").alias("doc_id"), "text")
+        kept = kept.join(ids, "doc_id", "left_anti").union(loose).dropDuplicates(["doc_id"])
+    kept = kept.where("doc_id is not null")  # before pandas, which would make other ids floating
+    hot = spark.sparkContext.broadcast(hot_shingles(kept, n_marks, words, hot_sample, hot_share))
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            batch = batch[batch["doc_id"].notna()]
             for at in range(0, len(batch), 2000):
                 part = batch.iloc[at : at + 2000]
                 sets = shingle_sets(part["text"].tolist(), words)
-                yield pd.DataFrame(list(deal(part["doc_id"].astype(np.int64).tolist(), sets, buckets)), columns=["bucket", "docs", "sizes", "counts", "shingles"])
+                yield pd.DataFrame(list(deal(part["doc_id"].astype(np.int64).tolist(), sets, buckets, hot.value)), columns=["bucket", "docs", "sizes", "counts", "shingles", "hots", "hot"])
 
-    dealt = kept.mapInPandas(cut, "bucket long, docs binary, sizes binary, counts binary, shingles binary")
+    dealt = kept.mapInPandas(cut, "bucket long, docs binary, sizes binary, counts binary, shingles binary, hots binary, hot binary")
     some = saved(dealt.groupBy("bucket").applyInPandas(counted, "doc_id long, n long, home boolean, some binary"), "counted")
     sizes = some.where("home").select(F.col("doc_id").alias("rep"), "n")
     some = some.where("length(some) > 0").groupBy("doc_id").agg(F.max("n").alias("n"), F.collect_list("some").alias("some"))
 
     def keep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        kind = np.dtype([("shingle", "<u8"), ("documents", "<u4")])
         for batch in batches:
             out = []
             for doc_id, n, parts in zip(batch["doc_id"].tolist(), batch["n"].tolist(), batch["some"], strict=True):
-                held = np.frombuffer(b"".join(parts), kind)
+                held = np.frombuffer(b"".join(parts), PAIR)
                 single = n - len(held)
                 short = n - needed(n, percent) + 1 - single  # shingles with partners in the 1-prefix
                 if short < 1:
@@ -278,12 +323,15 @@ def link_documents(docs: DataFrame, percent: int = 75, words: int = 5, most_dept
     met = ahead.mapInPandas(lambda batches: crossing(batches, percent, hashes), "a long, b long")
     pairs = met.distinct()
     links = links.union(measured(saved(pairs, "candidates"), left, percent, True).where("linked").select("a", "b"))
-    parts = components(links, "a", "b").withColumnRenamed("node", "rep")
-
-    known = firsts.select("mark", "rep").join(sizes, "rep", "left").join(parts, "rep", "left")
-    known = saved(known.select("mark", F.coalesce("n", F.lit(0)).cast("long").alias("n"), F.coalesce("component", "rep").alias("component")), "known")
-    out = marks.join(known, "mark")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"))
+    parts = components(links, "a", "b")
+    known = firsts.select("mark", "rep", "node").join(sizes.withColumnRenamed("rep", "node"), "node", "left").join(parts, "node", "left")
+    known = saved(known.select("mark", "rep", F.coalesce("n", F.lit(0)).cast("long").alias("n"), F.coalesce("component", "node").alias("part")), "known")
+    known = known.withColumn("component", F.col("part"))
+    if torn:  # parts are called by their smallest node; what counts is the smallest id
+        known = known.join(known.groupBy("part").agg(F.min("rep").alias("least")), "part", "left").withColumn("component", F.col("least"))
+    out = marks.join(known.select("mark", "n", "part", "component"), "mark")
+    component = F.when(F.col("doc_id").isNull() | (F.col("n") == 0), F.col("doc_id")).otherwise(F.col("component"))
+    return out.select("doc_id", "mark", F.col("n").alias("n_shingles"), component.alias("component_id"), "part"), torn
 
 
 def crossing(batches: Iterator[pd.DataFrame], percent: int, hashes: int) -> Iterator[pd.DataFrame]:
@@ -369,14 +417,22 @@ def measured(pairs: DataFrame, sets: DataFrame, percent: int, prefixed: bool = F
     return both.mapInPandas(check, "a long, b long, shared long, linked boolean")
 
 
-def keep_one_each(docs: DataFrame, id_column: str = "doc_id", **options) -> DataFrame:
-    """docs without the documents that have a smaller id in their component; of repeated rows of one id, one stays. Rows
-    with a null id all stay."""
-    found = link_documents(docs, id_column=id_column, **options)
-    drop = found.where("doc_id <> component_id").select(F.col("doc_id").alias(id_column)).distinct()
-    rest = docs.join(drop, id_column, "left_anti").select(*docs.columns)
-    nameless = rest.where(F.col(id_column).isNull())
-    return rest.where(F.col(id_column).isNotNull()).dropDuplicates([id_column]).union(nameless)
+def keep_one_each(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", **options) -> DataFrame:
+    """docs with one document of each component: the one with the smallest id, of repeated rows one. Rows with a null id
+    all stay."""
+    found, torn = linked(docs, id_column=id_column, text_column=text_column, **options)
+    nameless = docs.where(F.col(id_column).isNull())
+    if not torn:
+        drop = found.where("doc_id <> component_id").select(F.col("doc_id").alias(id_column)).distinct()
+        rest = docs.join(drop, id_column, "left_anti").select(*docs.columns)
+        return rest.where(F.col(id_column).isNotNull()).dropDuplicates([id_column]).union(nameless)
+    # Rows without shingles link with nothing; each text of an id stays once.
+    alone = F.when(F.col("n_shingles") > 0, F.col("part").cast("string")).otherwise(F.concat_ws("|", F.lit("alone"), "doc_id", "mark"))
+    stay = found.where("doc_id is not null").groupBy(alone.alias("part")).agg(F.min(F.struct("doc_id", "mark")).alias("least")).select("least.*")
+    place = F.row_number().over(Window.partitionBy(F.col(id_column).cast("long"), F.md5(text_of(text_column))).orderBy(F.lit(0)))
+    named = docs.where(F.col(id_column).isNotNull()).select(F.struct(*docs.columns).alias("row"), F.col(id_column).cast("long").alias("k_id"), F.md5(text_of(text_column)).alias("k_mark"), place.alias("k_place"))
+    rest = named.where("k_place = 1").join(stay, (F.col("k_id") == stay["doc_id"]) & (F.col("k_mark") == stay["mark"]), "left_semi")
+    return rest.select("row.*").union(nameless)
 
 
 def exact_jaccard_links(texts: dict[int, str], percent: int = 75, words: int = 5) -> set[tuple[int, int]]:

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import hashlib
+import os
 import random
+import textwrap
 import zlib
 from collections import Counter, defaultdict
 
@@ -12,7 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from assay.llm import arrow_shards, embedding_dups, licenses, mixing, packing, page_text, shingle_join, telephony, toxicity, url_rules
+from assay.llm import arrow_shards, embedding_dups, licenses, mixing, packing, page_text, queries, shingle_join, telephony, toxicity, url_rules
 from assay.llm.common import new_path, saved
 from assay.llm import tokens
 from assay.llm.tokens import Encoder, tokenizer_path
@@ -83,6 +85,31 @@ def test_repeated_rows_link(spark):
     assert sorted((r.doc_id, r.component_id) for r in got) == [(0, 0), (0, 0), (1, 1), (1, 1)]
 
 
+def test_ids_with_several_texts_and_null_ids(spark):
+    a, b, c = "a b c d e f g h", "one two three four five six", "a b c d e f g h i"
+    rows = [(5, a), (5, b), (7, a), (2, b), (5, c), (None, a), (None, "x"), (9, None), (9, ""), (9, "q"), (11, "q")]
+    docs = spark.createDataFrame([(i, t, "m", 3) for i, t in rows], "doc_id long, text string, mark string, part int")
+    got = Counter((r.doc_id, r.n_shingles, r.component_id) for r in shingle_join.link_documents(docs).collect())
+    assert got == Counter([(5, 4, 5), (5, 2, 2), (7, 4, 5), (2, 2, 2), (5, 5, 5), (None, 4, None), (None, 0, None), (9, 0, 9), (9, 0, 9), (9, 1, 9), (11, 1, 9)])
+    kept = Counter((r.doc_id, r.text) for r in shingle_join.keep_one_each(docs).collect())
+    assert sum(n for (i, t), n in kept.items() if t in (a, c) and i == 5) == 1 and kept[2, b] == kept[9, "q"] == kept[None, a] == 1
+    assert (5, b) not in kept and (7, a) not in kept and (11, "q") not in kept
+
+
+def test_hot_shingles_and_long_texts(spark, monkeypatch):
+    r = random.Random(3)
+    shared = " ".join(words(30, 77))
+    texts = [f"{' '.join(words(20, i))} {shared if i % 3 else ''} {' '.join(words(r.randrange(60), 900 + i // 2))}" for i in range(150)]
+    texts += ["w " * 700_000 + "end", "w  " * 700_000 + "end", f"x {'y' * 1_500_000} a b c", f"x {'Y' * 1_500_000} A b c"]
+    want = components_of(range(154), shingle_join.exact_jaccard_links(dict(enumerate(texts))))
+    for sample in (4000, 40):
+        got = {x.doc_id: x.component_id for x in shingle_join.link_documents(docs_of(spark, texts), hot_sample=sample, hot_share=0.2).collect()}
+        assert got == want
+    assert len(shingle_join.hot_shingles(docs_of(spark, texts), 154, 5, 4000, 0.2)) >= 20
+    monkeypatch.setattr(shingle_join, "BLOCK", 64)
+    assert [sorted(s) for s in map(list, shingle_join.shingle_sets(texts[:5]))] == [sorted(shingle_join._block([t.encode()], 5)[0]) for t in texts[:5]]
+
+
 def test_embedding_links(spark):
     r = np.random.default_rng(2)
     base = r.normal(size=(6, 16))
@@ -547,10 +574,32 @@ def test_licenses(spark):
 def test_titles_and_wrapped_lines_of_licenses(spark):
     bsd = licenses.KNOWN["BSD-3-Clause"]
     wrapped = bsd.replace("above copyright notice", "above\ncopyright notice").replace("THE COPYRIGHT HOLDER", "THE\nCOPYRIGHT HOLDER")
-    texts = [f"MIT License\n\nCopyright (c) 2020 Someone\n\n{licenses.KNOWN['MIT']}", f"BSD 3-Clause License\n\nCopyright Some One\nAll rights reserved.\n\n{wrapped}", licenses.MORE["Unlicense"], wrapped]
+    texts = [f"MIT License\n\nCopyright (c) 2020 Someone\n\n{licenses.KNOWN['MIT']}", f"BSD 3-Clause License\n\nCopyright Some One\nAll rights reserved.\n\n{wrapped}", licenses.KNOWN["Unlicense"], wrapped]
     got = {r.doc_id: r.license for r in licenses.scan_licenses(docs_of(spark, texts)).collect()}
     assert got == {0: "MIT", 1: "BSD-3-Clause", 2: "Unlicense", 3: "BSD-3-Clause"}
 
 
+def test_common_layouts_of_licenses(spark):
+    got = {r.doc_id: r.license for r in queries.license_layouts(spark, "").collect()}
+    want = [name if k < 4 else None for name in sorted(licenses.KNOWN) for k in range(5)]
+    assert [got[i] for i in range(len(want))] == want
+    marked = licenses.KNOWN["BSD-2-Clause"]
+    texts = [marked.replace("\n1. ", "\n(1) ").replace("\n2. ", "\n  b) "), marked.replace("\n1. ", "\n* ").replace("\n2. ", "\n* "), "  ".join(marked.split()), f"x{marked}", "l'été © 2001", marked * 2]
+    docs = docs_of(spark, texts)
+    assert [r.license for r in licenses.scan_licenses(docs.union(docs)).orderBy("doc_id").collect()] == ["BSD-2-Clause"] * 6 + [None] * 6
+
+
+COMMON = "/usr/share/common-licenses"
+
+
+@pytest.mark.skipif(not os.path.isdir(COMMON), reason="no licence files")
+def test_digests_of_long_licenses(spark):
+    names = {"Apache-2.0": "Apache-2.0", "CC0-1.0": "CC0-1.0", "GPL-2": "GPL-2.0", "GPL-3": "GPL-3.0", "LGPL-2.1": "LGPL-2.1", "LGPL-3": "LGPL-3.0", "MPL-2.0": "MPL-2.0"}
+    texts = [open(f"{COMMON}/{f}").read() for f in names]
+    texts += [textwrap.fill(texts[0], 60), texts[2].upper(), f"{texts[1]} x"]
+    got = {r.doc_id: r.license for r in licenses.scan_licenses(docs_of(spark, texts)).collect()}
+    assert [got[i] for i in range(7)] == list(names.values()) and got[9] is None
+
+
 def test_saved_reads_again(spark):
     assert sorted(r.id for r in saved(spark.range(3), "x").collect()) == [0, 1, 2]
