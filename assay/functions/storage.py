@@ -9,12 +9,19 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, which driver and executors share; one of our own where it is unset."""
+    """The folder in spark.checkpoint.dir, or else the context's checkpoint folder, which driver and executors share. Where
+    neither is set, a session on this machine alone gets one of our own; a cluster is refused."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        held = spark.sparkContext._jsc.sc().getCheckpointDir()
+        at = held.get() if held.isDefined() else None
+    if not at:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         at = "file:///tmp/checkpoints/assay"
-        if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-            spark.sparkContext.setCheckpointDir(at)
+        spark.sparkContext.setCheckpointDir(at)
+        return at
     return at.rstrip("/")
 
 

@@ -21,14 +21,14 @@ RESULT = "check string, constraint_type string, columns string, severity string,
 
 # What values of each kind look like, in the order in which they are tried.
 PATTERNS = (
-    ("email", r"^[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}$"),
-    ("phone", r"^\+?[0-9][0-9 ().-]{8,}$"),
-    ("url", r"^https?://[^\s]+$"),
-    ("date_iso", r"^[0-9]{4}-[0-9]{2}-[0-9]{2}$"),
-    ("uuid", r"^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$"),
+    ("email", r"^[\w\.-]+@[\w\.-]+\.\w+$"),
+    ("phone", r"^[\d\-\+\(\)\s]{7,20}$"),
+    ("url", r"^https?://[\w\.-]+"),
+    ("date_iso", r"^\d{4}-\d{2}-\d{2}"),
+    ("uuid", r"^[a-f0-9]{8}-[a-f0-9]{4}-[a-f0-9]{4}-[a-f0-9]{4}-[a-f0-9]{12}$"),
 )
-# Parts of names that say that one date can't be after another.
-DATE_PAIRS = (("start", "end"), ("created", "updated"), ("birth", "death"), ("order", "ship"), ("hire", "termination"))
+# Names of two dates of which the first can't be after the second, and parts of names of shares and counts.
+DATE_PAIRS = (("start_date", "end_date"), ("created_at", "updated_at"), ("birth_date", "death_date"), ("order_date", "ship_date"), ("hire_date", "termination_date"))
 SHARE_NAMES = ("percent", "pct", "ratio", "rate")
 COUNT_NAMES = ("count", "quantity", "qty", "amount", "price", "cost", "age", "size")
 COMPARE = {"<=": lambda a, b: a <= b, "<": lambda a, b: a < b, ">=": lambda a, b: a >= b, ">": lambda a, b: a > b, "==": lambda a, b: a == b}
@@ -122,7 +122,7 @@ def detected_patterns(df: DataFrame, key: str | None = None, names: list[str] |
     own = df.orderBy(col(key)).limit(rows) if rows and key else df
     marks = []
     for n in names:
-        hits = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(k).alias("pattern"), (F.count_if(col(n).rlike(f"(?i){p}")) / F.count(col(n))).alias("ratio")) for i, (k, p) in enumerate(PATTERNS)))
+        hits = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(k).alias("pattern"), (F.count_if(col(n).rlike(f"(?iuU){p}")) / F.count(col(n))).alias("ratio")) for i, (k, p) in enumerate(PATTERNS)))
         marks.append(F.struct(F.lit(n).alias("column"), F.when(F.count(col(n)) > 0, hits).alias("hits")))
     found = own.agg(F.array(*marks).alias("marks")).select(F.inline("marks"))
     best = F.filter("hits", lambda h: h["ratio"] > DETECTED)[0]
@@ -131,8 +131,8 @@ def detected_patterns(df: DataFrame, key: str | None = None, names: list[str] |
 
 def date_pairs(names: list[str]) -> list[tuple[str, str]]:
     found = []
-    for first, last in DATE_PAIRS:
-        plain = {n: n.lower().replace("_", "") for n in names}
+    plain = {n: n.lower().replace("_", "") for n in names}
+    for first, last in ((x.replace("_", ""), y.replace("_", "")) for x, y in DATE_PAIRS):
         found += [(a, b) for a in names if first in plain[a] for b in names if last in plain[b] and a != b]
     return list(dict.fromkeys(found))
 

@@ -5,6 +5,7 @@ Probability tables have (key, label, p): label a number from 0, p an array with
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from itertools import chain
 
 from pyspark.sql import Column, DataFrame, Window
@@ -153,24 +154,51 @@ def calibrated(fitted, training: DataFrame, out: DataFrame) -> DataFrame:
     return own.select("key", "label", F.array(1 - F.col("prediction"), F.col("prediction")).alias("p"))
 
 
-def permutation_test(probs: DataFrame, rounds: int = PERMUTATIONS, least: int = 5) -> dict:
+def shuffled_labels(own: DataFrame, rounds: int, rows_each: int = 10_000, seed: int = 42) -> DataFrame:
+    """(round, key, label): the labels of (key, label), each round in another order. Keys and labels are ranked by hashes
+    that have nothing in common, in cells of about rows_each rows, and meet by rank: all rounds are one plan."""
+    cells = max(1, own.count() // rows_each)
+    every = own.select("key", "label", F.explode(F.sequence(F.lit(0), F.lit(rounds - 1))).alias("round"))
+
+    def ranked(side: int) -> DataFrame:
+        mark = F.xxhash64(F.lit(seed), F.lit(side), F.col("round"), F.col("key"))
+        placed = every.withColumn("mark", mark).withColumn("cell", F.pmod("mark", F.lit(cells)))
+        sizes = placed.groupBy("round", "cell").agg(F.count("*").alias("n"))  # rounds * cells rows
+        before = sizes.select("round", "cell", (F.sum("n").over(Window.partitionBy("round").orderBy("cell")) - F.col("n")).alias("before"))
+        place = F.row_number().over(Window.partitionBy("round", "cell").orderBy("mark", "key"))
+        return placed.withColumn("place", place).join(before, ["round", "cell"]).withColumn("rank", F.col("place") + F.col("before"))
+
+    keys, labels = ranked(1).select("round", "rank", "key"), ranked(2).select("round", "rank", "label")
+    return keys.join(labels, ["round", "rank"]).select("round", "key", "label")
+
+
+def permutation_test(probs: DataFrame, rounds: int = PERMUTATIONS, least: int = 5, refit: Callable[[DataFrame], DataFrame] | None = None) -> dict:
     """Share of shuffles of the labels that leave no more flagged rows than the labels themselves do, and how far the
-    observed ratio is from theirs. All shuffles are dealt in one job: labels in the order of a hash meet keys in order."""
+    observed ratio is from theirs. Without refit, the labels move and the probabilities stay, in one job for all rounds.
+    refit makes probabilities for shuffled labels (key, label), which costs a fit of the ensemble for each round."""
+    nothing = {"p_value": None, "significant": None, "null_mean": None, "null_std": None, "effect_size": None}
+    if rounds < least:
+        return nothing
     own = saved(probs.select("key", "label", "p"), "permute")
-    observed = own.transform(noise_scores).agg(F.avg(F.col("flagged").cast("double"))).first()[0] or 0.0
-    found = []
-    for r in range(rounds):
-        cells = 256
-        left = own.select("key", "p", F.pmod(F.xxhash64("key", F.lit(r)), F.lit(cells)).alias("cell"))
-        left = left.withColumn("at", F.row_number().over(Window.partitionBy("cell").orderBy(F.xxhash64("key", F.lit(-1 - r)), "key")))
-        right = own.select("label", F.pmod(F.xxhash64("key", F.lit(r)), F.lit(cells)).alias("cell"), F.xxhash64("key", F.lit(1000 + r)).alias("h"), "key")
-        right = right.select("label", "cell", F.row_number().over(Window.partitionBy("cell").orderBy("h", "key")).alias("at"))
-        found.append(left.join(right, ["cell", "at"]).transform(noise_scores).agg(F.avg(F.col("flagged").cast("double"))).first()[0] or 0.0)
+    ratio = lambda df: df.agg(F.avg(F.col("flagged").cast("double"))).first()[0] or 0.0
+    observed = ratio(noise_scores(own))
+    moved = shuffled_labels(own.select("key", "label"), rounds)
+    if refit is None:
+        scored = noise_scores(moved.join(own.select("key", "p"), "key").withColumn("key", F.col("round")))
+        found = [r[1] for r in scored.groupBy("key").agg(F.avg(F.col("flagged").cast("double"))).collect()]  # a row for each round
+    else:
+        moved, found = saved(moved, "shuffled"), []
+        for k in range(rounds):
+            try:
+                found.append(ratio(noise_scores(refit(moved.where(F.col("round") == k).select("key", "label")))))
+            except Exception:  # a shuffle that can't be fitted leaves the others
+                continue
     if len(found) < least:
-        return {"p_value": None, "effect_size": None}
+        return nothing
     mean = sum(found) / len(found)
     spread = (sum((x - mean) ** 2 for x in found) / len(found)) ** 0.5
-    return {"p_value": sum(x <= observed for x in found) / len(found), "effect_size": (mean - observed) / (spread + 1e-10)}
+    p = sum(x <= observed for x in found) / len(found)
+    return {"p_value": p, "significant": p < 0.05, "null_mean": mean, "null_std": spread, "effect_size": (observed - mean) / (spread + 1e-10)}
 
 
 def why_skipped(df: DataFrame, target: str | None, least_rows: int = 10) -> str | None:

@@ -6,7 +6,7 @@ from functools import reduce
 from itertools import combinations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from assay.functions.columns import col, columns_of, number
@@ -147,7 +147,7 @@ def near_duplicate_share(df: DataFrame, names: list[str] | None = None, rows: in
     names = names or columns_of(df, "numeric")
     own = complete_rows(df, names).withColumn("h", F.xxhash64(*map(col, names))).orderBy("h", *map(col, names)).limit(rows)
     moments = own.agg(*(F.avg(col(n)).alias(f"a{i}") for i, n in enumerate(names)), *((F.coalesce(F.stddev_samp(col(n)), F.lit(0.0)) + 1e-10).alias(f"s{i}") for i, n in enumerate(names)))
-    z = own.crossJoin(F.broadcast(moments)).select(F.monotonically_increasing_id().alias("i"), F.array(*((col(n) - F.col(f"a{k}")) / F.col(f"s{k}") for k, n in enumerate(names))).alias("z"))
+    z = own.crossJoin(F.broadcast(moments)).select(F.row_number().over(Window.orderBy("h", *map(col, names))).alias("i"), F.array(*((col(n) - F.col(f"a{k}")) / F.col(f"s{k}") for k, n in enumerate(names))).alias("z"))
     z = z.sparkSession.createDataFrame(z.collect(), z.schema)  # at most ``rows`` rows
     one, two = z.alias("one"), z.alias("two")
     far = one.join(two, F.col("one.i") < F.col("two.i")).select(F.sqrt(F.aggregate(F.zip_with("one.z", "two.z", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x)).alias("d"))

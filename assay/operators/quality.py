@@ -26,6 +26,8 @@ def meta_features(df: DataFrame, target: str | None = None, noise_ratio: float =
         one = one.crossJoin(numeric.variance_variation(df, names)).crossJoin(numeric.histogram_entropy(df, names).agg(F.coalesce(F.avg("entropy"), F.lit(0.0)).alias("mean_entropy")))
     else:
         one = one.crossJoin(zero("mean_abs_skewness", "mean_abs_kurtosis", "outlier_ratio", "redundancy_ratio", "mean_abs_r", "std_abs_r", "near_duplicate_ratio", "variance_cv", "mean_entropy"))
+    spectrum = numeric.intrinsic_dimension(df, names)
+    one = one.withColumns({"dimension_ratio": F.lit(spectrum["dimension_ratio"]), "spectral_noise": F.lit(spectrum["noise_ratio"])})
     if target:
         one = one.crossJoin(categorical.class_balance(df, target))
     else:
@@ -58,8 +60,7 @@ def bootstrap(df: DataFrame, key: str, replicates: int = REPLICATES, rows: int =
     cells, interquartile outliers of the first five numeric columns, and repeated rows. A resample of r rows is r draws of a
     place among all rows; draws are hash formulas and meet the numbered rows in one join for all replicates."""
     names = columns_of(df, "numeric")[:LIGHT_COLUMNS]
-    groups = 256
-    own = df.select(F.pmod(F.xxhash64(col(key)), F.lit(groups)).alias("g"), col(key).alias("__key"), (sum((F.when(is_missing(df, c), 1.0).otherwise(0.0) for c in df.columns), F.lit(0.0)) / len(df.columns)).alias("gaps"), *(number(df, n).alias(f"x{i}") for i, n in enumerate(names)))
+    own = df.select(F.conv(F.substring(F.md5(col(key).cast("string")), 1, 2), 16, 10).cast("int").alias("g"), col(key).alias("__key"), (sum((F.when(is_missing(df, c), 1.0).otherwise(0.0) for c in df.columns), F.lit(0.0)) / len(df.columns)).alias("gaps"), *(number(df, n).alias(f"x{i}") for i, n in enumerate(names)))
     sizes = own.groupBy("g").agg(F.count("*").alias("k"))
     before = sizes.withColumn("before", F.sum("k").over(Window.orderBy("g")) - F.col("k")).select("g", "before")  # one row a group
     numbered = own.join(F.broadcast(before), "g").withColumn("at", F.row_number().over(Window.partitionBy("g").orderBy("__key")) - 1 + F.col("before"))
@@ -67,7 +68,7 @@ def bootstrap(df: DataFrame, key: str, replicates: int = REPLICATES, rows: int =
     spark = df.sparkSession
     size = min(rows, n)
     draws = spark.range(replicates).select(F.col("id").cast("int").alias("replicate")).crossJoin(spark.range(size).select(F.col("id").alias("draw")))
-    draws = draws.withColumn("at", F.pmod(F.xxhash64("replicate", "draw", F.lit(seed)), F.lit(max(1, n))))
+    draws = draws.withColumn("at", F.conv(F.substring(F.md5(F.concat_ws("|", F.col("replicate").cast("string"), F.col("draw").cast("string"), F.lit(str(seed)))), 1, 13), 16, 10).cast("long") % F.lit(max(1, n)))
     drawn = draws.join(numbered, "at")
     fences = [F.percentile(f"x{i}", F.array(F.lit(0.25), F.lit(0.75))).alias(f"q{i}") for i in range(len(names))]
     one = drawn.groupBy("replicate").agg(F.count("*").alias("n"), F.count_distinct("at").alias("different"), F.avg("gaps").alias("missing_cells"), *fences)

@@ -420,45 +420,80 @@ def minhash_signature(spark, d):
     return signed.select("s_suppkey", F.posexplode("sig").alias("k", "value")).withColumn("made", F.lit(True))
 
 
-@query(f"SELECT a.s_suppkey AS a, b.s_suppkey AS b, round(len(list_intersect(a.tokens, b.tokens)) / len(list_distinct(list_concat(a.tokens, b.tokens))), 6) AS jaccard FROM {TOKENS} a JOIN {TOKENS} b ON a.s_suppkey < b.s_suppkey")
-def token_jaccard(spark, d):
-    own = table(spark, d, "supplier")
-    own = own.select("s_suppkey", near_duplicates.row_tokens(own, [S_TEXT]).alias("tokens"))
-    one, two = own.alias("one"), own.alias("two")
-    return rounded(one.join(two, F.col("one.s_suppkey") < F.col("two.s_suppkey")).select(F.col("one.s_suppkey").alias("a"), F.col("two.s_suppkey").alias("b"), (F.size(F.array_intersect("one.tokens", "two.tokens")) / F.size(F.array_union("one.tokens", "two.tokens"))).alias("jaccard")))
-
-
-P_COLUMNS = ["p_name", "p_brand", "p_type", "p_size", "p_retailprice"]
-
-
-@query()
+def tokens_sql(name: str, key: str, columns: list[str]) -> str:
+    """(key, tokens) of a table's rows, over several columns."""
+    parts = []
+    for c in columns:
+        v = f"lower(trim({c}::VARCHAR))"
+        grams = f"list_transform(range(1, length({v}) + 3), lambda i: '{c}:' || substr('__' || {v} || '__', i::BIGINT, 3))"
+        words = f"CASE WHEN length({v}) > 10 THEN list_transform(list_filter(regexp_split_to_array({v}, '\\s+'), lambda w: length(w) > 2), lambda w: '{c}:word:' || w) ELSE []::VARCHAR[] END"
+        parts.append(f"CASE WHEN {c} IS NULL THEN ['{c}:__NULL__'] WHEN {v} = '' THEN ['{c}:__EMPTY__'] ELSE list_concat({grams}, {words}) END")
+    return f"(SELECT {key} AS key, list_distinct(flatten([{', '.join(parts)}])) AS tokens FROM {name})"
+
+
+def text_similarity_sql(c: str) -> str:
+    grams = lambda v: f"list_distinct(CASE WHEN length({v}) >= 3 THEN list_transform(range(1, length({v}) - 1), lambda i: substr({v}, i::BIGINT, 3)) ELSE [{v}] END)"
+    x, y = grams(f"lower(trim(x.{c}))"), grams(f"lower(trim(y.{c}))")
+    return f"CASE WHEN x.{c} IS NULL AND y.{c} IS NULL THEN 1.0 WHEN x.{c} IS NULL OR y.{c} IS NULL THEN 0.0 WHEN x.{c} = y.{c} THEN 1.0 ELSE len(list_intersect({x}, {y}))::DOUBLE / len(list_distinct(list_concat({x}, {y}))) END::DOUBLE"
+
+
+def number_similarity_sql(c: str) -> str:
+    far = f"coalesce(abs(x.{c}::DOUBLE - y.{c}::DOUBLE) / nullif(greatest(abs(x.{c}::DOUBLE), abs(y.{c}::DOUBLE)), 0), 0.0)"
+    return f"CASE WHEN x.{c} IS NULL AND y.{c} IS NULL THEN 1.0 WHEN x.{c} IS NULL OR y.{c} IS NULL THEN 0.0 WHEN x.{c} = y.{c} THEN 1.0 ELSE 1 - least({far}, 1.0) END::DOUBLE"
+
+
+P_TEXTS, P_NUMBERS = ["p_name", "p_brand", "p_type"], ["p_size", "p_retailprice"]
+P_COLUMNS = P_TEXTS + P_NUMBERS
+_ROW = f"md5(concat_ws('|', {', '.join(f'coalesce({c}::VARCHAR, chr(1))' for c in P_COLUMNS)}))"
+LSH = f"""WITH firsts AS (SELECT {_ROW} AS mark, min(p_partkey) AS first FROM part GROUP BY 1),
+copies AS (SELECT first AS a, p_partkey AS b, 1.0::DOUBLE AS estimate FROM part JOIN firsts ON mark = {_ROW} WHERE p_partkey <> first),
+h AS (SELECT key, list_transform(tokens, lambda t: ('0x' || substr(md5(t), 1, 8))::BIGINT) AS h FROM {tokens_sql("part", "p_partkey", P_COLUMNS)} WHERE key IN (SELECT first FROM firsts)),
+sigs AS MATERIALIZED (SELECT key, list_transform(range(128), lambda k: list_min(list_transform(h, lambda x: (((k + 1) * 7919003 % 536870912 * 2 + 1) * x + (k + 1) * 104395301 % 4294967311) % 4294967311))) AS sig FROM h),
+banded AS MATERIALIZED (SELECT key, band, sig[band * 4 + 1 : band * 4 + 4] AS slice FROM sigs, range(32) r(band)),
+met AS (SELECT DISTINCT o.key AS a, t.key AS b FROM banded o JOIN banded t ON o.band = t.band AND o.slice = t.slice AND o.key < t.key),
+agreed AS (SELECT a, b, len(list_filter(range(1, 129), lambda i: o.sig[i] = t.sig[i])) / 128 AS estimate FROM met JOIN sigs o ON o.key = a JOIN sigs t ON t.key = b),
+lsh AS (SELECT * FROM agreed WHERE estimate >= 0.8 * 0.8 UNION ALL SELECT * FROM copies)"""
+_LISTED = lambda test: "array_to_string(list_filter([" + ", ".join(f"CASE WHEN s{i} {test} THEN '{c}' END" for i, c in enumerate(P_COLUMNS)) + "], lambda z: z IS NOT NULL), '|')"
+NEAR_PAIRS = f"""{LSH}, sims AS (SELECT a, b, {", ".join(f"{(text_similarity_sql if c in P_TEXTS else number_similarity_sql)(c)} AS s{i}" for i, c in enumerate(P_COLUMNS))} FROM lsh JOIN part x ON x.p_partkey = a JOIN part y ON y.p_partkey = b),
+near AS (SELECT a, b, (0.0 + s0 + s1 + s2 + s3 + s4) / 5 AS exact, {_LISTED(">= 0.99")} AS matching, {_LISTED("< 0.5")} AS differing FROM sims WHERE (0.0 + s0 + s1 + s2 + s3 + s4) / 5 >= 0.8),
+pairs AS (SELECT a, b, round(exact, 4) AS similarity, matching, differing FROM near)"""
+NEAR_CLUSTERS = NEAR_PAIRS.replace("WITH ", "WITH RECURSIVE ", 1) + """, e AS MATERIALIZED (SELECT a, b FROM pairs UNION SELECT b, a FROM pairs), n AS (SELECT DISTINCT a FROM e),
+reach(node, low) USING KEY (node) AS (SELECT a, a FROM n UNION SELECT e.b, min(reach.low) FROM reach JOIN e ON reach.node = e.a JOIN recurring.reach AS now ON now.node = e.b WHERE reach.low < now.low GROUP BY e.b),
+held AS (SELECT node, low AS cluster FROM reach),
+clusters AS (SELECT cluster, size, n_pairs, mean_similarity FROM (SELECT cluster, count(*) AS size FROM held GROUP BY 1) JOIN (SELECT cluster, count(*) AS n_pairs, round(avg(similarity), 4) AS mean_similarity FROM pairs JOIN held ON a = node GROUP BY 1) USING (cluster))"""
+
+
+@query(f"{LSH} SELECT a, b, round(estimate, 6) AS estimate FROM lsh")
 def lsh_candidates(spark, d):
     return rounded(near_duplicates.candidates(table(spark, d, "part"), "p_partkey", P_COLUMNS))
 
 
-@query()
+@query(f"{NEAR_PAIRS} SELECT * FROM pairs")
 def near_dup_pairs(spark, d):
     return near_duplicates.pairs(table(spark, d, "part"), "p_partkey", P_COLUMNS)
 
 
-@query()
+@query(f"{NEAR_CLUSTERS} SELECT * FROM clusters")
 def near_dup_clusters(spark, d):
     return near_duplicates.clusters(saved(near_dup_pairs(spark, d), "pairs"))
 
 
-@query()
+@query(f"{NEAR_CLUSTERS}, told AS (SELECT (SELECT count(*) FROM pairs) AS total_pairs, (SELECT count(*) FROM held) AS affected_rows, (SELECT count(*) FROM held) / (SELECT count(*) FROM part) AS ratio, (SELECT count(*) FROM clusters) AS cluster_count) SELECT total_pairs, affected_rows, round(ratio, 5) AS near_duplicate_ratio, cluster_count, CASE WHEN ratio = 0 THEN 'none' WHEN ratio < 0.005 THEN 'low' WHEN ratio < 0.02 THEN 'medium' ELSE 'high' END AS risk_level FROM told")
 def near_dup_summary(spark, d):
     return near_duplicates.summary(table(spark, d, "part"), saved(near_dup_pairs(spark, d), "pairs"))
 
 
-@query()
+@query(f"{NEAR_PAIRS} " + union(f"SELECT '{c}' AS \"column\", coalesce(round(avg(list_contains(string_split(matching, '|'), '{c}')::INT), 4), 0.0) AS contribution FROM pairs" for c in P_COLUMNS))
 def column_contribution(spark, d):
     return near_duplicates.contributions(near_dup_pairs(spark, d), P_COLUMNS)
 
 
-@query("WITH RECURSIVE l AS (SELECT DISTINCT l_orderkey AS a, -l_suppkey AS b FROM lineitem WHERE l_quantity = 50), e AS (SELECT a, b FROM l UNION SELECT b, a FROM l), n AS (SELECT DISTINCT a FROM e), r(node, far) AS (SELECT a, a FROM n UNION SELECT r.node, e.b FROM r JOIN e ON r.far = e.a) SELECT node, min(far) AS component FROM r GROUP BY node")
+LINKS = "(SELECT DISTINCT l_orderkey AS a, -l_suppkey AS b FROM lineitem)"
+
+
+@query(f"WITH RECURSIVE l AS MATERIALIZED {LINKS}, e AS MATERIALIZED (SELECT a, b FROM l UNION ALL SELECT b, a FROM l), n AS (SELECT DISTINCT a FROM e), reach(node, low) USING KEY (node) AS (SELECT a, a FROM n UNION SELECT e.b, min(reach.low) FROM reach JOIN e ON reach.node = e.a JOIN recurring.reach AS now ON now.node = e.b WHERE reach.low < now.low GROUP BY e.b) SELECT node, low AS component FROM reach")
 def connected_components(spark, d):
-    links = table(spark, d, "lineitem").where("l_quantity = 50").select(F.col("l_orderkey").alias("a"), (-F.col("l_suppkey")).alias("b"))
+    links = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("a"), (-F.col("l_suppkey")).alias("b"))
     return components(links, "a", "b")
 
 
@@ -476,7 +511,20 @@ def meta_features(spark, d):
     return rounded(quality.meta_features(table(spark, d, "orders"), "o_orderstatus"))
 
 
-@query()
+O_GAPS = " + ".join(f"({c} IS NULL)::INT" for c in ("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"))
+_OUT = " + ".join(f"coalesce(o{i}, 0)" for i in range(3))
+BOOTSTRAP = f"""WITH numbered AS MATERIALIZED (SELECT *, ({O_GAPS}) / 6 AS gaps, row_number() OVER (ORDER BY ('0x' || substr(md5(o_orderkey::VARCHAR), 1, 2))::INT, o_orderkey) - 1 AS place FROM orders),
+size AS (SELECT count(*) AS n FROM orders),
+draws AS (SELECT r.replicate, ('0x' || substr(md5(r.replicate::VARCHAR || '|' || d.draw::VARCHAR || '|42'), 1, 13))::BIGINT % n AS place FROM range(30) r(replicate), range(500) d(draw), size WHERE d.draw < n),
+drawn AS MATERIALIZED (SELECT replicate, place, gaps, o_orderkey::DOUBLE AS x0, o_custkey::DOUBLE AS x1, o_totalprice::DOUBLE AS x2 FROM draws JOIN numbered USING (place)),
+fences AS (SELECT replicate, count(*) AS n, count(DISTINCT place) AS different, avg(gaps) AS missing, {", ".join(f"quantile_cont(x{i}, 0.25) AS l{i}, quantile_cont(x{i}, 0.75) AS h{i}" for i in range(3))} FROM drawn GROUP BY replicate),
+told AS (SELECT replicate, any_value(n) AS n, any_value(different) AS different, any_value(missing) AS missing, {", ".join(f"avg(CASE WHEN h{i} > l{i} THEN (x{i} < l{i} - 1.5 * (h{i} - l{i}) OR x{i} > h{i} + 1.5 * (h{i} - l{i}))::INT END) AS o{i}" for i in range(3))} FROM drawn JOIN fences f USING (replicate) GROUP BY replicate),
+parts AS (SELECT greatest(0, 1 - 2 * missing) AS completeness, 1 - different / n AS repeated, CASE WHEN coalesce(o0, o1, o2) IS NULL THEN 0 ELSE ({_OUT}) / ((o0 IS NOT NULL)::INT + (o1 IS NOT NULL)::INT + (o2 IS NOT NULL)::INT) END AS outliers FROM told),
+scores AS (SELECT greatest(0, least(1, 0.25 * completeness + 0.2 * greatest(0, 1 - 3 * repeated) + 0.3 * greatest(0, 1 - 0.5 * outliers) + 0.15 * greatest(0, 1 - 5 * repeated) + 0.1)) AS score FROM parts)
+SELECT round(quantile_cont(score, 0.025), 6) AS low, round(quantile_cont(score, 0.975), 6) AS high FROM scores"""
+
+
+@query(BOOTSTRAP)
 def bootstrap_ci(spark, d):
     return rounded(quality.interval(quality.bootstrap(table(spark, d, "orders"), "o_orderkey")))
 
@@ -534,16 +582,19 @@ def cl_agreement(spark, d):
 @query()
 def label_noise_ensemble(spark, d):
     own = table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id").withColumn("half", F.length("text") / 2)
-    probs, *_ = label_noise.out_of_fold(own, "doc_id", "toxic", ["n_chars", "half", "quality"], k=3)
+    probs, *_ = label_noise.out_of_fold(own, "doc_id", "toxic", ["n_chars", "half", "quality"])
     return label_noise.noise_scores(probs)
 
 
 @query()
 def iforest_scores(spark, d):
-    return anomalies.isolation_forest(table(spark, d, "lineitem").withColumn("k", F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")), "k", ["l_quantity", "l_extendedprice", "l_discount", "l_tax"], trees=100)
+    return anomalies.isolation_forest(table(spark, d, "lineitem").withColumn("k", F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")), "k", ["l_quantity", "l_extendedprice", "l_discount", "l_tax"])
 
 
-@query()
+PCA = "WITH s AS (SELECT avg(o_custkey) AS ma, stddev_pop(o_custkey) AS sa, avg(o_totalprice) AS mb, stddev_pop(o_totalprice) AS sb, corr(o_custkey, o_totalprice) AS r FROM orders), e AS (SELECT o_orderkey, pow(((o_custkey - ma) / sa - CASE WHEN r < 0 THEN -1 ELSE 1 END * (o_totalprice - mb) / sb) / 2, 2) AS error FROM orders, s), t AS (SELECT quantile_cont(error, 0.95) AS threshold FROM e)"
+
+
+@query(f"{PCA} SELECT o_orderkey, round(error, 6) AS error, round(threshold, 6) AS threshold, error >= threshold AS high FROM e, t")
 def pca_reconstruction(spark, d):
     own = table(spark, d, "orders")
     return rounded(anomalies.high_errors(anomalies.pca_errors(own, "o_orderkey", ["o_custkey", "o_totalprice"]), "o_orderkey").drop("squares"))
@@ -552,12 +603,24 @@ def pca_reconstruction(spark, d):
 @query()
 def autoencoder_error(spark, d):
     own = table(spark, d, "orders")
-    return rounded(anomalies.error_summary(anomalies.high_errors(anomalies.autoencoder_errors(own, "o_orderkey", ["o_custkey", "o_totalprice"], rows=2000, epochs=20), "o_orderkey")))
+    return rounded(anomalies.error_summary(anomalies.high_errors(anomalies.autoencoder_errors(own, "o_orderkey", ["o_custkey", "o_totalprice"]), "o_orderkey")))
+
+
+_FENCED = union(f"SELECT avg((x < q1 - 1.5 * (q3 - q1) OR x > q3 + 1.5 * (q3 - q1))::INT) AS r FROM (SELECT {c}::DOUBLE AS x FROM orders), (SELECT quantile_cont({c}::DOUBLE, 0.25) AS q1, quantile_cont({c}::DOUBLE, 0.75) AS q3 FROM orders)" for c in O_NUMBERS)
+_SCORE = lambda v: f"CASE WHEN {v} > 0.2 THEN 3 WHEN {v} > 0.1 THEN 2 WHEN {v} > 0.05 THEN 1 ELSE 0 END"
 
 
-@query("SELECT 'high' AS overall_risk, 7::BIGINT AS total_issues")
+@query(f"""WITH d AS (SELECT coalesce(sum(n) FILTER (n > 1), 0) / sum(n) AS ratio, count(*) FILTER (n > 1) AS groups FROM (SELECT count(*) AS n FROM documents GROUP BY text)),
+m AS (SELECT {" + ".join(f"(count(*) > count({c}))::INT" for c in ("doc_id", "lang", "source", "n_chars", "quality", "toxic"))} AS gaps FROM {LABELLED}),
+o AS (SELECT avg(r) AS ratio FROM ({_FENCED})),
+s AS (SELECT [CASE WHEN d.ratio = 0 THEN 0 WHEN d.ratio < 0.001 THEN 1 WHEN d.ratio < 0.01 THEN 2 ELSE 3 END, {_SCORE("round(d.ratio, 5)")}, {_SCORE("o.ratio")}] AS scores, (round(d.ratio, 5) > 0)::INT + groups + gaps + (o.ratio > 0)::INT AS total FROM d, m, o),
+l AS (SELECT (list_max(scores) + list_avg(scores)) / 2 AS level, total FROM s)
+SELECT CASE WHEN level >= 3.5 THEN 'critical' WHEN level >= 2.5 THEN 'high' WHEN level >= 1.5 THEN 'medium' WHEN level >= 0.5 THEN 'low' ELSE 'none' END AS overall_risk, total::BIGINT AS total_issues FROM l""")
 def risk_rollup(spark, d):
-    given = {"exact_duplicates": {"duplicate_ratio": 0.12, "duplicate_groups": 3, "risk_level": "high"}, "missing_values": {"num_columns_with_missing": 2}, "outliers": {"outlier_ratio": 0.3}}
+    repeated = duplicates.summary(table(spark, d, "documents"), ["text"]).first()
+    gaps = profile.missing(labelled(spark, d)).where("n_missing > 0").count()
+    outliers = numeric.iqr_outliers(table(spark, d, "orders"), O_NUMBERS).agg(F.avg("outlier_ratio")).first()[0]
+    given = {"exact_duplicates": {k: repeated[k] for k in ("duplicate_ratio", "duplicate_groups", "risk_level")}, "missing_values": {"num_columns_with_missing": gaps}, "outliers": {"outlier_ratio": outliers}}
     return spark.createDataFrame([(summary.overall_risk(given), summary.total_issues(given))], "overall_risk string, total_issues long")
 
 

@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import io
+import re
+import zipfile
 from collections import Counter
+from datetime import datetime, timedelta
 from pathlib import PurePosixPath
+from xml.etree import ElementTree
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,11 +44,56 @@ def infer_types(texts: DataFrame) -> DataFrame:
     return texts.select(*out)
 
 
-def read_excel(spark: SparkSession, path: str) -> DataFrame:
-    """Through pandas and openpyxl on the driver: a workbook is one small file."""
-    import pandas as pd
+SHEET = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
+#: Built-in number formats of dates and times.
+DATE_FORMATS = {*range(14, 23), *range(45, 48)}
+
 
-    return spark.createDataFrame(pd.read_excel(path, engine="openpyxl"))
+def read_excel(spark: SparkSession, path: str) -> DataFrame:
+    """The first sheet, under a header, on the driver: a workbook is one small file. Types are inferred as in CSV; dates
+    are cells with a built-in or spelled-out date format."""
+    raw = bytes(spark.read.format("binaryFile").load(path).select("content").first()[0])
+    rows = sheet_rows(raw)
+    if not rows:
+        return spark.createDataFrame([], T.StructType([]))
+    width = max(map(len, rows))
+    names = [v if v is not None else f"column_{i}" for i, v in enumerate(rows[0] + [None] * (width - len(rows[0])))]
+    texts = [tuple(None if v in MISSING_TEXTS else v for v in r + [None] * (width - len(r))) for r in rows[1:]]
+    return infer_types(spark.createDataFrame(texts, T.StructType([T.StructField(n, T.StringType()) for n in names])))
+
+
+def sheet_rows(raw: bytes) -> list[list[str | None]]:
+    with zipfile.ZipFile(io.BytesIO(raw)) as book:
+        parts = set(book.namelist())
+        shared = ["".join(t.text or "" for t in x.iter(f"{SHEET}t")) for x in ElementTree.fromstring(book.read("xl/sharedStrings.xml")).iter(f"{SHEET}si")] if "xl/sharedStrings.xml" in parts else []
+        dates: list[bool] = []
+        if "xl/styles.xml" in parts:
+            styles = ElementTree.fromstring(book.read("xl/styles.xml"))
+            own = {int(f.get("numFmtId")) for f in styles.iter(f"{SHEET}numFmt") if re.search("[ymdh]", re.sub(r'"[^"]*"|\[[^\]]*\]', "", f.get("formatCode", "").lower()))}
+            dates = [int(x.get("numFmtId", 0)) in DATE_FORMATS | own for cells in styles.iter(f"{SHEET}cellXfs") for x in cells.iter(f"{SHEET}xf")]
+        sheet = ElementTree.fromstring(book.read(min((p for p in parts if re.fullmatch(r"xl/worksheets/sheet\d+\.xml", p)), key=lambda p: (len(p), p))))
+    rows: list[list[str | None]] = []
+    for row in sheet.iter(f"{SHEET}row"):
+        rows += [[] for _ in range(int(row.get("r", len(rows) + 1)) - 1 - len(rows))]
+        values: list[str | None] = []
+        for cell in row.iter(f"{SHEET}c"):
+            place = 0
+            for c in re.match("[A-Z]*", cell.get("r", ""))[0]:
+                place = 26 * place + ord(c) - 64
+            values += [None] * (place - 1 - len(values))
+            kind, v = cell.get("t", "n"), cell.find(f"{SHEET}v")
+            value = "".join(t.text or "" for t in cell.iter(f"{SHEET}t")) if kind == "inlineStr" else None if v is None else v.text
+            if value is not None and kind == "s":
+                value = shared[int(value)]
+            elif value is not None and kind == "b":
+                value = "true" if value == "1" else "false"
+            elif value is not None and kind == "n":
+                style = int(cell.get("s", 0))
+                if style < len(dates) and dates[style]:
+                    value = str(datetime(1899, 12, 30) + timedelta(seconds=round(float(value) * 86400)))
+            values.append(value)
+        rows.append(values)
+    return [r for r in rows if any(v is not None for v in r)]
 
 
 READERS = {

@@ -114,3 +114,51 @@ def test_explainer_falls_back():
 def test_value_texts():
     assert html.value_text("duplicate_ratio", 0.25, 8) == "25.0% (2 of 8 rows)"
     assert html.markdown("**a** b\n- c") == "<b>a</b> b<br><ul><li>c</li></ul>"
+
+
+def test_permutation_test_on_a_small_table(spark):
+    rows = [(i, i % 2 if i >= 3 else 1 - i % 2, [0.95, 0.05] if i % 2 == 0 else [0.05, 0.95]) for i in range(40)]
+    probs = spark.createDataFrame(rows, "key long, label int, p array<double>")
+    got = label_noise.permutation_test(probs)
+    assert got["p_value"] == 0 and got["significant"] and 0.3 < got["null_mean"] < 0.7 and got["effect_size"] < -2
+    moved = label_noise.shuffled_labels(probs.select("key", "label"), 4, rows_each=7)
+    by = {}
+    for r in moved.collect():
+        by.setdefault(r["round"], {})[r["key"]] = r["label"]
+    assert all(sorted(x) == list(range(40)) and sum(x.values()) == sum(r[1] for r in rows) for x in by.values()) and len({tuple(sorted(x.items())) for x in by.values()}) == 4
+    refit = label_noise.permutation_test(probs, rounds=5, refit=lambda labels: labels.join(probs.select("key", "p"), "key"))
+    assert refit["p_value"] == 0
+    assert label_noise.permutation_test(probs, rounds=4)["p_value"] is None
+
+
+def test_components_like_union_find(spark):
+    import random
+
+    r = random.Random(2)
+    links = [(r.randrange(300), r.randrange(300)) for _ in range(200)] + [(1000 + i, 1001 + i) for i in range(40)]
+    parent = {x: x for link in links for x in link}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in links:
+        x, y = sorted((root(a), root(b)))
+        parent[y] = x
+    alone = {a for a, b in links if a == b} - {x for a, b in links if a != b for x in (a, b)}
+    got = {x["node"]: x["component"] for x in components(spark.createDataFrame(links, "a long, b long"), "a", "b").collect()}
+    assert got == {x: root(x) for x in parent if x not in alone}
+
+
+def test_near_duplicate_bands_in_blocks(spark):
+    rows = [(f"k{i:03d}", f"the same long text with number {i % 3}", float(i % 2)) for i in range(30)] + [(f"z{i}", f"something else {i * 7919}", 100.0 * i) for i in range(10)]
+    df = spark.createDataFrame(rows, "key string, t string, x double")
+    whole, parts = (sorted(map(tuple, near_duplicates.candidates(df, "key", ["t", "x"], block=b).collect())) for b in (512, 2))
+    assert whole == parts and len(whole) == len(set(whole)) > 20 and all(a < b for a, b, _ in whole)
+
+
+def test_intrinsic_dimension_is_among_the_features(spark):
+    df = spark.createDataFrame([(float(i), 2.0 * i, float(i * i % 17)) for i in range(50)], "a double, b double, c double")
+    got = quality.meta_features(df).first()
+    assert got["dimension_ratio"] == pytest.approx(2 / 3) and got["spectral_noise"] == pytest.approx(0)

@@ -94,6 +94,8 @@ def test_detected_patterns(spark, good, kind):
 
 def test_date_pairs_by_name():
     assert constraints.date_pairs(["start_date", "end_date", "x"]) == [("start_date", "end_date")]
+    assert constraints.date_pairs(["o_order_date", "ShipDate", "created_at", "updatedAt"]) == [("created_at", "updatedAt"), ("o_order_date", "ShipDate")]
+    assert constraints.date_pairs(["calendar_date", "vendor_date", "reorder_at", "membership", "start", "end"]) == []
 
 
 def test_empty_table(spark):
@@ -112,3 +114,30 @@ def test_csv_round_trip(spark, tmp_path):
     with pytest.raises(ValueError):
         Source.open(spark, "t.unknown")
     assert Source.open(spark, pd.DataFrame({"a": [1]})).frame.count() == 1
+
+
+@pytest.mark.parametrize("value, kind", [("2020-01-01 10:00:00", "date_iso"), ("2020-01-01", "phone"), ("555-1234", "phone"), ("a.b-c@x-y.org", "email"), ("HTTP://a.org/x y", "url"), ("0123456789", "phone"), ("0123456789ab", None), ("6F9619FF-8B86-D011-B42D-00C04FC964FF", "uuid")])
+def test_kinds_of_values(spark, value, kind):
+    got = constraints.detected_patterns(spark.createDataFrame([(value,)] * 3, "s string")).collect()
+    assert [r.pattern for r in got] == [kind] * (kind is not None)
+
+
+def test_json_and_orc(spark, tmp_path):
+    (tmp_path / "t.json").write_text('[{"a": 1, "b": "x"}, {"a": 2, "b": null}]')
+    assert sorted(tuple(r) for r in Source.open(spark, str(tmp_path / "t.json")).frame.select("a", "b").collect()) == [(1, "x"), (2, None)]
+    spark.range(3).write.orc(str(tmp_path / "t.orc"))
+    assert sorted(r.id for r in Source.from_orc(spark, str(tmp_path / "t.orc")).frame.collect()) == [0, 1, 2]
+
+
+def test_excel(spark, tmp_path):
+    import zipfile
+
+    space = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
+    cells = '<row r="1"><c r="A1" t="s"><v>0</v></c><c r="B1" t="inlineStr"><is><t>b</t></is></c><c r="D1" t="str"><v>d</v></c></row><row r="3"><c r="A3"><v>1</v></c><c r="B3" t="b"><v>1</v></c><c r="D3" s="1"><v>43831.5</v></c></row><row r="4"><c r="A4"><v>2.5</v></c><c r="D4" t="s"><v>1</v></c></row>'
+    with zipfile.ZipFile(tmp_path / "t.xlsx", "w") as z:
+        z.writestr("xl/worksheets/sheet1.xml", f"<worksheet {space}><sheetData>{cells}</sheetData></worksheet>")
+        z.writestr("xl/sharedStrings.xml", f"<sst {space}><si><t>a</t></si><si><t>NA</t></si></sst>")
+        z.writestr("xl/styles.xml", f'<styleSheet {space}><cellXfs><xf numFmtId="0"/><xf numFmtId="14"/></cellXfs></styleSheet>')
+    frame = Source.open(spark, str(tmp_path / "t.xlsx")).frame
+    assert dict(frame.dtypes) == {"a": "double", "b": "boolean", "column_2": "string", "d": "timestamp_ntz"}
+    assert [(r.a, r.b, str(r.d)) for r in frame.orderBy("a").collect()] == [(1.0, True, "2020-01-01 12:00:00"), (2.5, None, "None")]
