@@ -9,9 +9,15 @@ import zipfile
 from pyspark.sql import SparkSession
 
 
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
 def ship(spark: SparkSession) -> None:
-    """Gives the executors this package, once for each context, so that their workers can import it."""
+    """Gives the executors this package, once for each context, so that their workers can import it; and bounds the batches
+    that go to them by bytes, where the session has no bound: rows may be long texts."""
     context = spark.sparkContext
+    if spark.conf.get(BATCH_BYTES).rstrip("b") in ("67108864", str((1 << 31) - 1)):  # the defaults
+        spark.conf.set(BATCH_BYTES, str(8 << 20))
     if getattr(context, "_assay_shipped", False):
         return
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))

@@ -41,7 +41,8 @@ def remove(spark: SparkSession, path: str) -> None:
 
 
 def saved(df: DataFrame, name: str) -> DataFrame:
-    """df written once to the shared folder and read again: later steps neither repeat its work nor depend on executors."""
+    """df written once to the shared folder and read again: later steps neither repeat its work nor depend on executors.
+    Row groups are small, as each task holds one in memory."""
     path = new_path(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "zstd").option("parquet.block.size", 1 << 24).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
