@@ -24,7 +24,7 @@ from pyarrow import fs, ipc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from assay.llm.common import new_path, saved, ship, text_of
+from assay.llm.common import id_text, new_path, saved, ship, text_of, with_id
 from assay.llm.tokens import encoder
 
 AT_ONCE = 1000
@@ -120,7 +120,7 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str, end_id: int, rule
     """Writes the shards below folder. Returns (shard, path, n_docs, n_tokens), already computed; shard follows doc_id."""
     ship(docs.sparkSession)
     own = docs.select(F.col(id_column).cast("long").alias("doc_id"), text_of(text_column).alias("text"))
-    own = own.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    own = own.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text").withColumn("doc_id", id_text("doc_id"))
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
@@ -128,7 +128,7 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str, end_id: int, rule
         encode, writer, n, path = encoder(tokenizer, rule), None, 0, f"{folder}/{uuid.uuid4().hex}.arrow"
         end = np.array([end_id], dtype="<u4").tobytes()
         for batch in batches:
-            ids, texts = batch["doc_id"].astype(object).where(batch["doc_id"].notna(), None).tolist(), batch["text"].tolist()
+            ids, texts = batch["doc_id"].tolist(), batch["text"].tolist()
             for at in range(0, len(texts), AT_ONCE):
                 writer = writer or ShardWriter(path, length, rows, dtype)
                 for doc_id, found in zip(ids[at : at + AT_ONCE], encode.encode(texts[at : at + AT_ONCE]), strict=True):
@@ -151,14 +151,14 @@ def read_shards(shards: DataFrame) -> DataFrame:
             for path, base in zip(batch["path"], batch["base"], strict=True):
                 out: list[tuple] = []
                 for doc_id, start, ids in Shard(path).documents():
-                    out.append((doc_id, base + start, len(ids), zlib.crc32(ids.astype("<u4").tobytes())))
+                    out.append((None if doc_id is None else str(doc_id), base + start, len(ids), zlib.crc32(ids.astype("<u4").tobytes())))
                     if len(out) == 10_000:
-                        yield pd.DataFrame(out, columns=["doc_id", "start", "n_tokens", "ids_crc32"]).astype({"doc_id": "Int64"})
+                        yield pd.DataFrame(out, columns=["doc_id", "start", "n_tokens", "ids_crc32"])
                         out = []
-                yield pd.DataFrame(out, columns=["doc_id", "start", "n_tokens", "ids_crc32"]).astype({"doc_id": "Int64"})
+                yield pd.DataFrame(out, columns=["doc_id", "start", "n_tokens", "ids_crc32"])
 
     tasks = int(shards.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return own.repartition(tasks, "path").mapInPandas(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return with_id(own.repartition(tasks, "path").mapInPandas(read, "doc_id string, start long, n_tokens long, ids_crc32 long"), "doc_id")
 
 
 def token_files(docs: DataFrame, tokenizer: str, end_id: int = 2, **options) -> DataFrame:

@@ -5,9 +5,11 @@ from __future__ import annotations
 
 import bisect
 import ctypes
+import gc
 from collections.abc import Callable
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,7 +17,7 @@ from assay.functions.graph import components
 from assay.functions.shipping import ship
 from assay.functions.storage import new_path, saved, shared_folder
 
-__all__ = ["WORD", "components", "new_path", "range_bounds", "range_number", "reversed_host", "saved", "shared_folder", "ship", "text_of", "url_host", "url_path", "worker_cache"]
+__all__ = ["WORD", "components", "id_text", "new_path", "range_bounds", "range_number", "reversed_host", "saved", "shared_folder", "ship", "text_of", "trim_worker", "url_host", "url_path", "with_id", "worker_cache"]
 
 #: Words are runs of anything but the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -37,6 +39,13 @@ def worker_cache(owner: str, key: tuple, make: Callable[[], object]) -> object:
 def release_worker() -> None:
     """Forgets what this worker kept and gives free memory back."""
     _held.clear()
+    trim_worker()
+
+
+def trim_worker() -> None:
+    """Gives memory that this worker has freed back to the machine; Arrow's from now on too."""
+    pa.set_memory_pool(pa.system_memory_pool())
+    gc.collect()
     try:
         ctypes.CDLL(None).malloc_trim(0)
     except (AttributeError, OSError):  # another C library
@@ -47,6 +56,16 @@ def text_of(name: str = "text") -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 
 
+def id_text(name: str) -> Column:
+    """An id on its way through pandas, where whole numbers beside nulls would become floating and lose digits."""
+    return F.col(name).cast("long").cast("string")
+
+
+def with_id(df: DataFrame, name: str) -> DataFrame:
+    """df with such a text as a long again."""
+    return df.withColumn(name, F.col(name).cast("long"))
+
+
 def url_host(url: Column) -> Column:
     """What is after the first :// up to /, ?, # or the end, A-Z in lower case; empty without ://."""
     host = F.regexp_extract(F.coalesce(url, F.lit("")), r"(?s)^.*?://([^/?#]*)", 1)

@@ -20,7 +20,6 @@ table gives no rows. Columns other than the id, the vector and the label are not
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from assay.llm.common import components, saved, ship
+from assay.llm.common import components, id_text, saved, ship, with_id
 
 
 def bucket_numbers(vectors: np.ndarray, tables: int, width: int, step: float, seed: int) -> np.ndarray:
@@ -136,26 +135,25 @@ def compare_runs(batches: Iterator[pd.DataFrame], least: float) -> Iterator[pd.D
 def link_vectors(vectors: DataFrame, least: float = 0.93, tables: int = 24, width: int = 8, step: float = 1.5, seed: int = 11, block: int = 1024, id_column: str = "vec_id", vector_column: str = "embedding", label_column: str = "label") -> DataFrame:
     """Returns vec_id, n_links, component_id and kept, a row for each row of vectors."""
     ship(vectors.sparkSession)
-    own = vectors.select(F.col(id_column).cast("long").alias("vec_id"), F.col(vector_column).cast("array<double>").alias("vector"), F.col(label_column).cast("string").alias("label"))
+    own = vectors.select(id_text(id_column).alias("vec_id"), F.col(vector_column).cast("array<double>").alias("vector"), F.col(label_column).cast("string").alias("label"))
 
     def scale(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             units = [unit(v) for v in batch["vector"]]
-            yield pd.DataFrame({"vec_id": batch["vec_id"].astype("Int64"), "label": batch["label"], "vector": [None if u is None else u.astype("<f8").tobytes() for u in units]})
+            yield pd.DataFrame({"vec_id": batch["vec_id"], "label": batch["label"], "vector": [None if u is None else u.astype("<f8").tobytes() for u in units]})
 
-    rows = saved(own.mapInPandas(scale, "vec_id long, label string, vector binary"), "vectors")
+    rows = saved(with_id(own.mapInPandas(scale, "vec_id string, label string, vector binary"), "vec_id"), "vectors")
     usable = F.col("vector").isNotNull() & F.col("label").isNotNull()
     reps = rows.where(usable).groupBy("label", "vector").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"))
 
     def hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for size, part in batch.groupby(batch["vector"].map(len)):
+            for _, part in batch.groupby(batch["vector"].map(len)):
                 units = np.frombuffer(b"".join(part["vector"]), "<f8").reshape(len(part), -1)
                 keys = bucket_numbers(units, tables, width, step, seed)
-                labels = np.array([zlib.crc32(f"{x}|{size}".encode()) for x in part["label"]], np.int64)
-                yield pd.DataFrame({"rep": part["rep"], "copies": part["copies"], "label": part["label"], "vector": part["vector"], "kind": labels, "keys": [k.astype("<i8").tobytes() for k in keys], "buckets": list(keys)})
+                yield pd.DataFrame({"rep": part["rep"], "copies": part["copies"], "label": part["label"], "vector": part["vector"], "keys": [k.astype("<i8").tobytes() for k in keys], "buckets": list(keys)})
 
-    reps = saved(reps.mapInPandas(hashed, "rep long, copies long, label string, vector binary, kind long, keys binary, buckets array<long>"), "hashed")
+    reps = saved(reps.mapInPandas(hashed, "rep long, copies long, label string, vector binary, keys binary, buckets array<long>"), "hashed")
     placed = reps.select("rep", "label", F.length("vector").alias("bytes"), F.posexplode("buckets").alias("table", "bucket"))
     sizes = placed.groupBy("label", "bytes", "table", "bucket").count().where("count > 1")
     sizes = saved(sizes.withColumn("blocks", F.ceil(F.col("count") / block)), "buckets")

@@ -22,22 +22,22 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from assay.llm.common import saved, ship, text_of
+from assay.llm.common import id_text, saved, ship, text_of, with_id
 from assay.llm.tokens import encoder
 
 AT_ONCE = 1000
-PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
+PIECE = "doc_id string, piece int, start long, length long, ids_crc32 long"
 
 
 def pieces_of(docs: DataFrame, tokenizer: str, rule: str = "words", end_id: int = 0, capacity: int = 2048, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32) of all documents."""
     ship(docs.sparkSession)
-    own = docs.select(F.col(id_column).cast("long").alias("doc_id"), text_of(text_column).alias("text"))
+    own = docs.select(id_text(id_column).alias("doc_id"), text_of(text_column).alias("text"))
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encode, end = encoder(tokenizer, rule), np.array([end_id], dtype="<u4").tobytes()
         for batch in batches:
-            doc_ids, texts = batch["doc_id"].astype("Int64").tolist(), batch["text"].tolist()
+            doc_ids, texts = batch["doc_id"].tolist(), batch["text"].tolist()
             for at in range(0, len(texts), AT_ONCE):
                 out = []
                 for doc_id, ids in zip(doc_ids[at : at + AT_ONCE], encode.encode(texts[at : at + AT_ONCE]), strict=True):
@@ -45,9 +45,9 @@ def pieces_of(docs: DataFrame, tokenizer: str, rule: str = "words", end_id: int
                     for k, a in enumerate(range(0, len(ids), 4 * capacity)):
                         part = ids[a : a + 4 * capacity]
                         out.append((doc_id, k, a // 4, len(part) // 4, zlib.crc32(part)))
-                yield pd.DataFrame(out, columns=["doc_id", "piece", "start", "length", "ids_crc32"]).astype({"doc_id": "Int64"})
+                yield pd.DataFrame(out, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return own.mapInPandas(cut, PIECE)
+    return with_id(own.mapInPandas(cut, PIECE), "doc_id")
 
 
 def bin_kinds(counts: dict[int, int], capacity: int) -> list[tuple[list[int], int]]:
@@ -120,7 +120,7 @@ def pack_pieces(pieces: DataFrame, capacity: int = 2048, rows_each: int = 1000)
     sums = sums.select("length", "part", before.alias("before"))
     number = F.row_number().over(Window.partitionBy("length", "part").orderBy("doc_id", "piece", "ids_crc32")) - 1
     own = own.withColumn("number", number).join(sums, ["length", "part"])
-    own = own.select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("number") + F.col("before")).alias("number"))
+    own = own.select(id_text("doc_id").alias("doc_id"), "piece", "start", "length", "ids_crc32", (F.col("number") + F.col("before")).alias("number"))
 
     def put(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held = slots.value
@@ -134,9 +134,9 @@ def pack_pieces(pieces: DataFrame, capacity: int = 2048, rows_each: int = 1000)
                 since = numbers[rows] - kind[:, 0]
                 sequence[rows] = kind[:, 1] + since // kind[:, 2]
                 offset[rows] = kind[:, 3] + since % kind[:, 2] * length
-            yield batch.drop(columns="number").assign(sequence_id=sequence, offset=offset).astype({"doc_id": "Int64"})
+            yield batch.drop(columns="number").assign(sequence_id=sequence, offset=offset)
 
-    return own.mapInPandas(put, f"{PIECE}, sequence_id long, offset long")
+    return with_id(own.mapInPandas(put, f"{PIECE}, sequence_id long, offset long"), "doc_id")
 
 
 def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, **options) -> DataFrame:

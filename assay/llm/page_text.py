@@ -39,7 +39,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from assay.llm.common import range_bounds, range_number, saved, ship, url_host, url_path
+from assay.llm.common import id_text, range_bounds, range_number, saved, ship, url_host, url_path
 
 TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)""", re.S)
 ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
@@ -420,8 +420,8 @@ def extract_pages(pages: DataFrame, rows_each: int = 2048, reach: int = 4, broad
     spark = pages.sparkSession
     ship(spark)
     url = F.col(url_column).cast("string")
-    own = pages.select(F.col(id_column).cast("long").alias("page_id"), url.alias("url"), F.coalesce(F.col(html_column).cast("string"), F.lit("")).alias("html"), url_host(url).alias("host"), url_path(url).alias("path"))
-    own = own.withColumn("key", F.concat("host", F.lit("\x01"), "path", F.lit("\x01"), F.coalesce(F.col("page_id").cast("string"), F.lit("")))).drop("path")
+    own = pages.select(id_text(id_column).alias("page_id"), url.alias("url"), F.coalesce(F.col(html_column).cast("string"), F.lit("")).alias("html"), url_host(url).alias("host"), url_path(url).alias("path"))
+    own = own.withColumn("key", F.concat("host", F.lit("\x01"), "path", F.lit("\x01"), F.coalesce("page_id", F.lit("")))).drop("path")
 
     def number(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -436,14 +436,13 @@ def extract_pages(pages: DataFrame, rows_each: int = 2048, reach: int = 4, broad
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             found = [lines_of(page) for page in batch["html"]]
-            out = batch[["page_id", "url", "key"]].assign(page_id=batch["page_id"].astype("Int64"))
-            yield out.assign(at=[line_number_of(Numbers.of(p).packed()) for p in found], lines=[[None if kind == BOILER else line for line, kind in p] for p in found])
+            yield batch[["page_id", "url", "key"]].assign(at=[line_number_of(Numbers.of(p).packed()) for p in found], lines=[[None if kind == BOILER else line for line, kind in p] for p in found])
 
-    texts = own.mapInPandas(read, "page_id long, url string, key string, at long, lines array<string>")
+    texts = own.mapInPandas(read, "page_id string, url string, key string, at long, lines array<string>")
     size = deleted.agg(F.sum(F.length("key") + 4 * F.size("deleted") + 32)).first()[0] or 0
     texts = texts.join(F.broadcast(deleted) if size <= broadcast_bytes else deleted, ["key", "at"], "left")
     kept = F.when(F.col("deleted").isNull(), F.col("lines")).otherwise(F.filter("lines", lambda _, i: ~F.array_contains("deleted", i)))
-    texts = texts.select("page_id", "url", F.array_join(F.filter(kept, lambda x: x.isNotNull()), "\n\n").alias("text"), F.coalesce(F.array_size("deleted"), F.lit(0)).cast("long").alias("n_shared"))
+    texts = texts.select(F.col("page_id").cast("long").alias("page_id"), "url", F.array_join(F.filter(kept, lambda x: x.isNotNull()), "\n\n").alias("text"), F.coalesce(F.array_size("deleted"), F.lit(0)).cast("long").alias("n_shared"))
     return texts.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), "n_shared")
 
 

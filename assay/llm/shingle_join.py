@@ -38,7 +38,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from assay.llm.common import components, saved, ship, text_of, worker_cache
+from assay.llm.common import components, saved, ship, text_of, trim_worker, worker_cache
 
 #: Shingles of its prefix that each row carries.
 HEAD = 24
@@ -259,6 +259,7 @@ def linked(docs: DataFrame, percent: int = 75, words: int = 5, most_depth: int =
     hot = spark.sparkContext.broadcast(hot_shingles(kept, n_marks, words, hot_sample, hot_share))
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        trim_worker()
         for batch in batches:
             for at in range(0, len(batch), 2000):
                 part = batch.iloc[at : at + 2000]
@@ -271,6 +272,7 @@ def linked(docs: DataFrame, percent: int = 75, words: int = 5, most_depth: int =
     some = some.where("length(some) > 0").groupBy("doc_id").agg(F.max("n").alias("n"), F.collect_list("some").alias("some"))
 
     def keep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        trim_worker()
         for batch in batches:
             out = []
             for doc_id, n, parts in zip(batch["doc_id"].tolist(), batch["n"].tolist(), batch["some"], strict=True):
@@ -303,6 +305,7 @@ def linked(docs: DataFrame, percent: int = 75, words: int = 5, most_depth: int =
     ties = [f"{c}{j}" for c in ("leader", "shared") for j in range(hashes)]
 
     def prefixes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        trim_worker()
         for batch in batches:
             for at in range(0, len(batch), 1000):
                 part = batch.iloc[at : at + 1000]
@@ -339,6 +342,7 @@ def crossing(batches: Iterator[pd.DataFrame], percent: int, hashes: int) -> Iter
     both's prefixes of the smaller depth, if they can link: what they share is bounded by how many of their shingles other
     documents have too, and, beside the same leader, by what one shares with it and what the other has beyond it. A pair
     that the first shingles of both, which each row carries, show to meet at an earlier shingle is left to that one."""
+    trim_worker()
     held: list[pd.DataFrame] = []
 
     def pairs(part: pd.DataFrame) -> Iterator[pd.DataFrame]:
@@ -403,6 +407,7 @@ def measured(pairs: DataFrame, sets: DataFrame, percent: int, prefixed: bool = F
     both = pairs.join(side("b"), "b").join(side("a"), "a")
 
     def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        trim_worker()
         for batch in batches:
             shared = []
             for x, y, short_x, short_y, k_x, k_y in zip(*(batch[c] for c in ("shingles_a", "shingles_b", "short_a", "short_b", "depth_a", "depth_b")), strict=True):

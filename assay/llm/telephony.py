@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from assay.llm.common import saved, ship, text_of
+from assay.llm.common import id_text, saved, ship, text_of, with_id
 
 MULAW, ALAW, IMA = 7, 6, 17
 RATE = 8000
@@ -158,7 +158,7 @@ def features(pcm: np.ndarray) -> str:
 def store_payloads(docs: DataFrame, unit: int = 576, kind: int = MULAW, rate: int = RATE, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """(doc_id, n_bytes, media): each text's UTF-8, filled with 255 to a positive multiple of unit, as a WAVE file."""
     ship(docs.sparkSession)
-    own = docs.select(F.col(id_column).cast("long").alias("doc_id"), text_of(text_column).alias("text"))
+    own = docs.select(id_text(id_column).alias("doc_id"), text_of(text_column).alias("text"))
 
     def put(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -166,9 +166,9 @@ def store_payloads(docs: DataFrame, unit: int = 576, kind: int = MULAW, rate: in
                 part = batch.iloc[at : at + 1000]
                 raw = [t.encode() for t in part["text"]]
                 media = [wave_file(x + b"\xff" * (-len(x) % unit if x else unit), kind, rate) for x in raw]
-                yield pd.DataFrame({"doc_id": part["doc_id"].astype("Int64"), "n_bytes": np.array([len(x) for x in raw], np.int64), "media": media})
+                yield pd.DataFrame({"doc_id": part["doc_id"], "n_bytes": np.array([len(x) for x in raw], np.int64), "media": media})
 
-    return own.mapInPandas(put, "doc_id long, n_bytes long, media binary")
+    return with_id(own.mapInPandas(put, "doc_id string, n_bytes long, media binary"), "doc_id")
 
 
 def decode(stored: DataFrame, to_rate: int = 16_000, media_column: str = "media") -> DataFrame:
@@ -213,9 +213,10 @@ def describe(stored: DataFrame, to_rate: int = 16_000, block: int = 36) -> DataF
             first += n
             out.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(media), hashlib.sha256(media).hexdigest(), "mulaw={} alaw={} ima={}".format(*said)))
         columns = ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
-        return pd.concat([part[["doc_id", "n_bytes"]].reset_index(drop=True).astype({"doc_id": "Int64"}), pd.DataFrame(out, columns=columns)], axis=1)
+        return pd.concat([part[["doc_id", "n_bytes"]].reset_index(drop=True), pd.DataFrame(out, columns=columns)], axis=1)
 
-    return stored.mapInPandas(run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    own = stored.select(id_text("doc_id").alias("doc_id"), "n_bytes", "media")
+    return with_id(own.mapInPandas(run, "doc_id string, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"), "doc_id")
 
 
 def media_table(docs: DataFrame) -> DataFrame:

@@ -33,7 +33,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from assay.llm.common import saved, ship, text_of, worker_cache
+from assay.llm.common import release_worker, saved, ship, text_of, trim_worker, worker_cache
 
 SIGNS = 28  # between words, a to z, any other letter
 OTHER = 27
@@ -301,7 +301,7 @@ def pieces_of(text: str) -> list[str]:
 class Reader:
     """The words of texts, restored. Words of short pieces are kept for the next texts, ``most_kept`` at most."""
 
-    def __init__(self, decoder: Decoder, most_kept: int = 300_000, longest_kept: int = 64):
+    def __init__(self, decoder: Decoder, most_kept: int = 150_000, longest_kept: int = 64):
         self.decoder, self.most, self.longest, self.kept = decoder, most_kept, longest_kept, {}
 
     def restored(self, pieces: set[str]) -> dict[str, list[str]]:
@@ -344,7 +344,7 @@ def single_runs(singles: list[tuple[int, str]]) -> list[str]:
     return out
 
 
-def in_chunks(texts: list[str], most: int = 2_000_000) -> Iterator[list[str]]:
+def in_chunks(texts: list[str], most: int = 1_000_000) -> Iterator[list[str]]:
     """texts by about ``most`` characters."""
     chunk, n = [], 0
     for t in texts:
@@ -375,6 +375,11 @@ class Scorer:
             self._inside = {w[a:b] for w in self.words for a in range(len(w)) for b in range(a, len(w) + 1)}
         return self._reader
 
+    def forget(self) -> None:
+        """Leaves this worker's memory to later stages."""
+        self._reader = None
+        release_worker()
+
     def hits(self, texts: list[str]) -> list[dict[int, int]]:
         """How often each text has each word, counting words in two or more pieces (st upid)."""
         reader = self.reader()
@@ -508,8 +513,10 @@ def score_column(model: Scorer, text: Column) -> Column:
 
     @F.pandas_udf("double")
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        trim_worker()
         for texts in batches:
             yield texts.map(model.scores(texts.tolist())).astype("float64")
+        model.forget()
 
     return score(text)
 

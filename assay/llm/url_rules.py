@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from assay.llm.common import range_bounds, range_number, reversed_host, ship, url_host, url_path
+from assay.llm.common import id_text, range_bounds, range_number, reversed_host, ship, url_host, url_path, with_id
 
 FIRST, NESTED, PAST = "\x01", "\x02", "\x03"
 
@@ -80,15 +80,15 @@ def judge_urls(pages: DataFrame, rules: DataFrame, id_column: str = "page_id", u
     own = pages.select(F.col(id_column).cast("long").alias("page_id"), url_host(url).alias("host"), url_path(url).alias("path"))
     own = own.withColumn("key", F.concat(reversed_host(F.col("host")), F.lit(FIRST), "path", F.lit(FIRST), F.coalesce(F.col("page_id").cast("string"), F.lit("")), F.lit(FIRST), F.xxhash64("page_id", "path").cast("string")))
     bounds = range_bounds(own, "key", rows_each)
-    own = own.withColumn("part", range_number(bounds, F.col("key"))).select("part", "key", F.lit(1).alias("kind"), "page_id", "host", "path", F.lit(None).cast("string").alias("verdict"))
+    own = own.withColumn("part", range_number(bounds, F.col("key"))).select("part", "key", F.lit(1).alias("kind"), id_text("page_id").alias("page_id"), "host", "path", F.lit(None).cast("string").alias("verdict"))
 
     lower = F.translate("host", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")  # as in urls
     name = reversed_host(lower)
     held = rules.where(F.coalesce("host", F.lit("")) != "").select(F.concat(name, F.lit(FIRST)).alias("key"), lower.alias("host"), F.coalesce("path", F.lit("")).alias("path"), "verdict").distinct()
     held = held.withColumn("last", F.concat(F.expr("substring(key, 1, length(key) - 1)"), F.lit(PAST)))
     held = held.withColumn("part", F.explode(F.sequence(range_number(bounds, F.col("key")), range_number(bounds, F.col("last")))))
-    held = held.select("part", "key", F.lit(0).alias("kind"), F.lit(None).cast("long").alias("page_id"), "host", "path", "verdict")
+    held = held.select("part", "key", F.lit(0).alias("kind"), F.lit(None).cast("string").alias("page_id"), "host", "path", "verdict")
 
     both = own.union(held)
     both = both.repartition(max(1, len(bounds) + 1), "part").sortWithinPartitions("part", "key", "kind")
-    return both.mapInPandas(lambda batches: sweep(batches, default), "page_id long, host string, path string, rule string, verdict string")
+    return with_id(both.mapInPandas(lambda batches: sweep(batches, default), "page_id string, host string, path string, rule string, verdict string"), "page_id")
