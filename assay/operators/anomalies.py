@@ -15,7 +15,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from assay.functions.columns import col
+from assay.functions.ranks import exact_quantiles
 from assay.functions.shipping import ship
+from assay.functions.storage import saved
 from assay.operators.numeric import standardised
 
 TREES, LEAF_SAMPLE, CUT = 200, 256, 0.5
@@ -97,8 +99,9 @@ def isolation_forest(df: DataFrame, key: str, names: list[str], trees: int = TRE
     out = scaled.select(col(key), score(*map(col, names)).alias("score"))
     if percentile is None:
         return out.withColumn("outlier", F.col("score") > CUT)
-    edge = out.agg(F.percentile("score", F.lit(percentile / 100)).alias("edge"))
-    return out.crossJoin(F.broadcast(edge)).select(col(key), "score", (F.col("score") >= F.col("edge")).alias("outlier"))
+    out = saved(out, "scores")
+    edge = exact_quantiles(out, [F.col("score")], [percentile / 100])[0][0]
+    return out.select(col(key), "score", (F.col("score") >= F.lit(edge)).alias("outlier"))
 
 
 class Autoencoder:
@@ -189,8 +192,9 @@ def pca_errors(df: DataFrame, key: str, names: list[str], share: float = 0.5) ->
 
 def high_errors(errors: DataFrame, key: str, percentile: float = 95) -> DataFrame:
     """errors with threshold (a percentile of all) and high (at or above it)."""
-    edge = errors.agg(F.percentile("error", F.lit(percentile / 100)).alias("threshold"))
-    return errors.crossJoin(F.broadcast(edge)).withColumn("high", F.col("error") >= F.col("threshold"))
+    errors = saved(errors, "errors")  # made by a model, and read more than once
+    edge = exact_quantiles(errors, [F.col("error")], [percentile / 100])[0][0]
+    return errors.withColumn("threshold", F.lit(edge).cast("double")).withColumn("high", F.col("error") >= F.col("threshold"))
 
 
 def error_summary(high: DataFrame) -> DataFrame:

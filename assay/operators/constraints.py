@@ -40,7 +40,9 @@ def rows_of(df: DataFrame, checks: list[tuple[str, str, str, str, Column]]) -> D
         return df.sparkSession.createDataFrame([], RESULT)
     one = df.agg(F.count("*").alias("n"), *(F.count_if(c[4]).alias(f"c{i}") for i, c in enumerate(checks)))
     rows = F.array(*(F.struct(F.lit(c[0]).alias("check"), F.lit(c[1]).alias("constraint_type"), F.lit(c[2]).alias("columns"), F.lit(c[3]).alias("severity"), F.col(f"c{i}").alias("n_violations")) for i, c in enumerate(checks)))
-    return _finished(one.select("n", F.inline(rows)).withColumnRenamed("n", "n_rows"))
+    out = _finished(one.select("n", F.inline(rows)).withColumnRenamed("n", "n_rows"))
+    out.broken = {(c[0], c[2]): c[4] for c in checks}  # for examples
+    return out
 
 
 def _finished(df: DataFrame) -> DataFrame:
@@ -296,6 +298,13 @@ def null_statistics(df: DataFrame) -> DataFrame:
     return missing(df).select("column", "n_missing", F.round("missing_ratio", 4).alias("null_ratio"))
 
 
+def examples(df: DataFrame, key: str, results: list[DataFrame], found: list, most: int = 5, rules: int = 20) -> dict[str, list]:
+    """By check and columns: the keys of the first rows that break a rule, for the first ``rules`` rules in found."""
+    broken = {k: c for r in results for k, c in getattr(r, "broken", {}).items()}
+    some = [(r["check"], r["columns"]) for r in found if (r["check"], r["columns"]) in broken][:rules]
+    return {f"{check}:{columns}": [r[0] for r in first_rows(df, broken[check, columns], key, [], most).collect()] for check, columns in some}
+
+
 def first_rows(df: DataFrame, broken: Column, key: str, names: list[str], most: int = 5) -> DataFrame:
     """The first rows by key that break a rule."""
     return df.where(broken).orderBy(col(key)).limit(most).select(col(key), *map(col, names))

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from assay.functions.columns import col, columns_of, number
+from assay.functions.ranks import exact_quantiles
 from assay.functions.storage import saved
 
 FLAG, LARGE, SAMPLE, PERMUTATIONS = 0.5, 20_000, 10_000, 20
@@ -102,11 +103,11 @@ def out_of_fold(df: DataFrame, key: str, target: str, names: list[str] | None =
     from pyspark.ml.functions import vector_to_array
 
     names = [n for n in names or columns_of(df, "numeric") if n not in (target, key)]
-    medians = df.agg(*(F.median(number(df, n)).alias(f"m{i}") for i, n in enumerate(names)))
+    medians = exact_quantiles(df, [number(df, n) for n in names], [0.5])
     labels = [r[0] for r in df.where(col(target).isNotNull()).select(col(target)).distinct().orderBy(col(target)).collect()]
     place = F.create_map(*chain.from_iterable((F.lit(v), F.lit(i)) for i, v in enumerate(labels)))
-    own = df.where(col(target).isNotNull()).crossJoin(F.broadcast(medians))
-    own = own.select(col(key).alias("key"), F.element_at(place, col(target)).cast("int").alias("label"), *(F.coalesce(number(df, n), F.col(f"m{i}"), F.lit(0.0)).alias(f"x{i}") for i, n in enumerate(names)))
+    own = df.where(col(target).isNotNull())
+    own = own.select(col(key).alias("key"), F.element_at(place, col(target)).cast("int").alias("label"), *(F.coalesce(number(df, n), F.lit(medians[i][0]).cast("double"), F.lit(0.0)).alias(f"x{i}") for i, n in enumerate(names)))
     n = own.count()
     large = n > LARGE
     k = k or (3 if large else 5)

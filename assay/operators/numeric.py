@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from assay.functions.columns import col, columns_of, number
+from assay.functions.ranks import exact_quantiles
 from assay.operators.profile import high_cardinality
 
 REACH, CORRELATED, HIGH_RATIO, HIGH_UNIQUE = 1.5, 0.9, 0.85, 50
@@ -40,9 +41,12 @@ def by_column(df: DataFrame, names: list[str], measures) -> DataFrame:
 def standardised(df: DataFrame, names: list[str], impute: str = "mean", keep: list[str] | None = None, sample: bool = False) -> DataFrame:
     """Missing values by mean or (exact) median, then (x - mean) / deviation; population deviation unless sample; a
     deviation of 0 counts as 1."""
-    middle = F.avg if impute == "mean" else F.median
-    sums = df.agg(*(middle(number(df, n)).alias(f"m{i}") for i, n in enumerate(names)))
-    filled = df.crossJoin(F.broadcast(sums)).select(*map(col, keep or []), *(F.coalesce(number(df, n), F.col(f"m{i}")).alias(f"x{i}") for i, n in enumerate(names)))
+    if impute == "mean":
+        own = df.crossJoin(F.broadcast(df.agg(*(F.avg(number(df, n)).alias(f"m{i}") for i, n in enumerate(names)))))
+        middle = [F.col(f"m{i}") for i in range(len(names))]
+    else:
+        own, middle = df, [F.lit(q[0]).cast("double") for q in exact_quantiles(df, [number(df, n) for n in names], [0.5])]
+    filled = own.select(*map(col, keep or []), *(F.coalesce(number(df, n), m).alias(f"x{i}") for i, (n, m) in enumerate(zip(names, middle, strict=True))))
     deviation = F.stddev_samp if sample else F.stddev_pop
     moments = filled.agg(*(F.avg(f"x{i}").alias(f"a{i}") for i in range(len(names))), *(deviation(F.col(f"x{i}")).alias(f"s{i}") for i in range(len(names))))
     scaled = filled.crossJoin(F.broadcast(moments))
@@ -53,15 +57,14 @@ def iqr_outliers(df: DataFrame, names: list[str] | None = None) -> DataFrame:
     """(column, q1, q3, n, n_outliers, outlier_ratio): values strictly beyond 1.5 interquartile ranges."""
     names = names or columns_of(df, "numeric")
     own = df.select(*(number(df, n).alias(n) for n in names))
-    fences = own.agg(*(F.percentile(col(n), F.array(F.lit(0.25), F.lit(0.75))).alias(f"q{i}") for i, n in enumerate(names)))
-    both = own.crossJoin(F.broadcast(fences))  # one row
+    fences = exact_quantiles(own, [col(n) for n in names], [0.25, 0.75])
 
     def measures(i: int, n: str) -> Column:
-        low, high = F.get(F.col(f"q{i}"), F.lit(0)), F.get(F.col(f"q{i}"), F.lit(1))
+        low, high = (F.lit(x).cast("double") for x in fences[i])
         out = (col(n) < low - REACH * (high - low)) | (col(n) > high + REACH * (high - low))
         return F.struct(F.lit(n).alias("column"), F.first(low).alias("q1"), F.first(high).alias("q3"), F.count(col(n)).alias("n"), F.count_if(out).alias("n_outliers")).alias(f"c{i}")
 
-    rows = both.agg(*(measures(i, n) for i, n in enumerate(names))).select(F.inline(F.array(*(F.col(f"c{i}") for i in range(len(names))))))
+    rows = own.agg(*(measures(i, n) for i, n in enumerate(names))).select(F.inline(F.array(*(F.col(f"c{i}") for i in range(len(names))))))
     return rows.withColumn("outlier_ratio", F.coalesce(F.try_divide(F.col("n_outliers"), F.col("n")), F.lit(0.0)))
 
 

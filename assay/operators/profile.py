@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from assay.functions.columns import as_rows, col, columns_of, comparable, is_missing, number
+from assay.functions.ranks import exact_quantiles, literals
 
 IDENTIFIER_RATIO, IDENTIFIER_UNIQUE, LOW_UNIQUE = 0.98, 50, 20
 PERCENTS = (0.01, 0.05, 0.5, 0.95, 0.99)
@@ -67,13 +68,23 @@ def high_cardinality(df: DataFrame, names: list[str], most_ratio: float, least_u
     return known.where((ratio > most_ratio) & (F.col("n_unique") >= least_unique)).select("column", "n_unique", F.round(ratio, 4).alias("unique_ratio"))
 
 
+def likely_identifiers(df: DataFrame, names: list[str] | None = None, above: float = 0.9) -> list[str]:
+    """Columns that say which row it is, by name (id or name in it) or as nearly all values differ; of no use to explain."""
+    names = names or df.columns
+    called = [n for n in names if "id" in n.lower() or "name" in n.lower()]
+    rest = [n for n in names if n not in called]
+    different = {r["column"] for r in cardinality(df, rest).where(F.col("n_unique") > above * F.col("n_rows")).collect()} if rest else set()
+    return [n for n in names if n in called or n in different]
+
+
 def describe(df: DataFrame, approximate: bool = False) -> DataFrame:
     """(column, n, mean, std, min, p1, p5, p50, p95, p99, max) of numeric columns; sample deviation, linear percentiles."""
     names = columns_of(df, "numeric")
     sums = []
+    exact = [] if approximate else exact_quantiles(df, [number(df, n) for n in names], list(PERCENTS))
     for i, n in enumerate(names):
         x = number(df, n)
-        percents = F.percentile_approx(x, list(PERCENTS), 10_000) if approximate else F.percentile(x, F.array(*map(F.lit, PERCENTS)))
+        percents = F.percentile_approx(x, list(PERCENTS), 10_000) if approximate else literals(exact[i])
         sums += [F.struct(F.lit(n).alias("column"), F.count(x).alias("n"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"), F.min(x).alias("min"), percents.alias("p"), F.max(x).alias("max")).alias(f"c{i}")]
     if not names:
         return df.sparkSession.createDataFrame([], "column string, n long, mean double, std double, min double, p1 double, p5 double, p50 double, p95 double, p99 double, max double")

@@ -12,7 +12,7 @@ from dataclasses import dataclass, field, fields
 
 from pyspark.sql import DataFrame, SparkSession
 
-from assay.functions.columns import columns_of, strings_of
+from assay.functions.columns import col, columns_of, strings_of
 from assay.functions.storage import saved
 from assay.operators import anomalies, categorical, constraints, duplicates, label_noise, near_duplicates, numeric, profile, quality, summary
 from assay.report import html
@@ -128,7 +128,7 @@ class NearDuplicates(Component):
         found = context.tables["near_duplicate_pairs"] = saved(near_duplicates.pairs(context.frame, context.key, names, **options), "pairs")
         out = near_duplicates.summary(context.frame, found).first().asDict()
         top = sorted(rows(near_duplicates.contributions(found, names)), key=lambda r: -r["contribution"])[:5]
-        return out | {"top_contributing_columns": top, "recommendations": near_duplicates.recommendations(out["near_duplicate_ratio"], out["cluster_count"])}
+        return out | {"top_contributing_columns": top, "implications": near_duplicates.implications(out["near_duplicate_ratio"], out["total_pairs"]), "recommendations": near_duplicates.recommendations(out["near_duplicate_ratio"], out["cluster_count"])}
 
 
 @register
@@ -144,7 +144,11 @@ class Outliers(Component):
         n, k = scores.count(), flagged.count()
         why = numeric.deviations(context.frame, [context.key], names)
         context.tables["outlier_reasons"] = flagged.join(why.withColumnRenamed("score", "deviation"), context.key)
-        return {"outlier_ratio": round(k / n, 5) if n else 0.0, "threshold": anomalies.CUT, "skipped_columns": gone, "example_outliers": rows(context.tables["outlier_reasons"].orderBy(context.key).limit(3))}
+        first = rows(context.tables["outlier_reasons"].orderBy(context.key).limit(3))
+        shown = [c for c in context.names if c != context.key]
+        shown = [c for c in shown if c not in profile.likely_identifiers(context.frame, shown)][:10]
+        values = rows(context.frame.where(col(context.key).isin([r[context.key] for r in first])).select(col(context.key), *map(col, shown))) if first else []
+        return {"outlier_ratio": round(k / n, 5) if n else 0.0, "threshold": anomalies.CUT, "skipped_columns": gone, "example_outliers": first, "example_values": values}
 
 
 @register
@@ -166,12 +170,22 @@ class Reconstruction(Component):
     name = "reconstruction"
 
     def analyze(self, context, **options):
-        names, gone = numeric.usable_columns(context.frame.select(*[c for c in context.names if c != context.key]))
+        df, n = context.frame.select(*[c for c in context.names if c != context.key]), context.frame.count()
+        if not n:
+            raise Skipped("the table is empty")
+        if not columns_of(df, "numeric"):
+            raise Skipped("no numeric column")
+        if n < 10:
+            raise Skipped("fewer than ten rows")
+        names, gone = numeric.usable_columns(df)
         if len(names) < 2:
             raise Skipped("fewer than two usable numeric columns")
-        if context.frame.count() < 10:
-            raise Skipped("fewer than ten rows")
-        errors = saved(anomalies.autoencoder_errors(context.frame, context.key, names, **options), "errors")
+        frame = context.frame
+        if not options.pop("impute", True):
+            frame = frame.na.drop(subset=names)
+            if numeric.complete_rows(df, names).count() < 10:
+                raise Skipped("fewer than ten complete rows")
+        errors = saved(anomalies.autoencoder_errors(frame, context.key, names, **options), "errors")
         high = context.tables["reconstruction_errors"] = anomalies.high_errors(errors, context.key)
         return anomalies.error_summary(high).first().asDict() | {"skipped_columns": gone, "example_explanations": rows(anomalies.error_examples(high, context.key, names))[:3]}
 
@@ -225,7 +239,7 @@ class Constraints(Component):
         broken = context.tables["violations"] = saved(numeric.union_all(parts), "violations")
         context.tables["dependencies"] = found
         score = c.consistency(broken).first().asDict()
-        return score | {"total_functional_dependencies": found.count() + n_pairs, "unique_columns": [r["column"] for r in c.unique_columns(df).collect()], "detected_patterns": rows(c.detected_patterns(df)) if strings_of(df) else [], "failed_rules": rows(broken.where("status = 'failed'").select("columns", "reason")), "example_violations": rows(broken.where("n_violations > 0").select("check", "columns", "severity", "n_violations").limit(5)), "recommendations": c.recommendations(score)}
+        return score | {"total_functional_dependencies": found.count() + n_pairs, "unique_columns": [r["column"] for r in c.unique_columns(df).collect()], "detected_patterns": rows(c.detected_patterns(df)) if strings_of(df) else [], "failed_rules": rows(broken.where("status = 'failed'").select("columns", "reason")), "example_violations": rows(broken.where("n_violations > 0").select("check", "columns", "severity", "n_violations").limit(5)), "violation_rows": c.examples(context.frame, context.key, parts, broken.where("n_violations > 0").collect(), 5), "recommendations": c.recommendations(score)}
 
 
 @register
@@ -244,7 +258,7 @@ class Quality(Component):
         held = meta.first().asDict()
         found = quality.issues(held, severity)
         low, high = quality.interval(quality.bootstrap(context.frame.select(context.key, *[c for c in context.names if c != context.key]), context.key, weights=weights)).first()
-        return {"data_readiness_score": round(one.pop("score"), 4), "confidence_interval": [low, high], "dimension_scores": one, "n_quality_issues": len(found), "high_severity_issues": sum(x["severity"] == "high" for x in found), "issues": found, "top_recommendations": quality.recommendations(held, severity)[:3], "key_meta_features": held | numeric.intrinsic_dimension(df)}
+        return {"data_readiness_score": round(one.pop("score"), 4), "confidence_interval": [low, high], "dimension_scores": one, "n_quality_issues": len(found), "high_severity_issues": sum(x["severity"] == "high" for x in found), "issues": found, "top_recommendations": quality.recommendations(held, severity)[:3], "key_meta_features": held}
 
 
 @register

@@ -4,6 +4,7 @@ import math
 
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from assay.operators import categorical, constraints, duplicates, numeric, profile
 from assay.sources.readers import Source
@@ -141,3 +142,29 @@ def test_excel(spark, tmp_path):
     frame = Source.open(spark, str(tmp_path / "t.xlsx")).frame
     assert dict(frame.dtypes) == {"a": "double", "b": "boolean", "column_2": "string", "d": "timestamp_ntz"}
     assert [(r.a, r.b, str(r.d)) for r in frame.orderBy("a").collect()] == [(1.0, True, "2020-01-01 12:00:00"), (2.5, None, "None")]
+
+
+def test_exact_quantiles(spark):
+    import numpy as np
+
+    from assay.functions.ranks import exact_quantiles
+
+    r = np.random.default_rng(3)
+    columns = [r.normal(size=3000), r.integers(0, 3, 3000).astype(float), np.full(3000, 7.0)]
+    rows = [(float(a), None if i % 3 == 0 else float(b), float(c), None) for i, (a, b, c) in enumerate(zip(*columns, strict=True))]
+    df = spark.createDataFrame(rows, "a double, b double, c double, d double")
+    shares = [0.0, 0.01, 0.25, 0.5, 0.95, 1.0]
+    got = exact_quantiles(df, [F.col(c) for c in "abcd"], shares)
+    for name, found in zip("abc", got, strict=False):
+        held = [x for x in (row["abcd".index(name)] for row in rows) if x is not None]
+        assert found == pytest.approx(list(np.quantile(held, shares)), rel=1e-12, abs=1e-12)
+    assert got[3] == [None] * 6
+    assert exact_quantiles(df.limit(0), [F.col("a")], [0.5]) == [[None]]
+    assert exact_quantiles(spark.range(1), [F.col("id")], [0.1, 0.9]) == [[0.0, 0.0]]
+
+
+def test_likely_identifiers_and_examples(spark):
+    df = spark.createDataFrame([(i, f"n{i}", i % 3, -1.0 if i == 4 else 0.5, f"c{i}") for i in range(40)], "k long, full_name string, kind int, tax_rate double, code string")
+    assert profile.likely_identifiers(df, ["full_name", "kind", "tax_rate", "code"]) == ["full_name", "code"]
+    found = constraints.ranges(df.select("tax_rate"))
+    assert constraints.examples(df, "k", [found], found.collect()) == {f"{found.first().check}:tax_rate": [4]}
