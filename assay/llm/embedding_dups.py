@@ -13,8 +13,11 @@ one task and none is cut short. A pair that meets in several tables counts in th
 vectors' bucket numbers tell: no table of pairs is made or shuffled, only each vector's count and, for components, the
 smallest id that it reaches in each block.
 
+Vectors travel as they are given (four bytes a component for floats), with the bucket numbers of earlier tables alone.
+
 Null labels, and vectors that are null, empty, zero or hold null or non-finite components link with nothing; vectors of
-different lengths never link. Repeated rows with one id are linked as any equal vectors are; each row is returned. An empty
+different lengths never link; neither do rows with a null id. Repeated rows with one id are linked as any equal vectors
+are; each row is returned. An empty
 table gives no rows. Columns other than the id, the vector and the label are not read.
 """
 
@@ -26,6 +29,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from assay.llm.common import components, id_text, saved, ship, with_id
 
@@ -43,18 +47,21 @@ def bucket_numbers(vectors: np.ndarray, tables: int, width: int, step: float, se
     return out.view(np.int64)
 
 
-def unit(values) -> np.ndarray | None:
-    """The vector scaled to length 1, in double precision; None if it can't be."""
+def usable(values) -> np.ndarray | None:
+    """The vector's components; None if it can't be scaled to length 1."""
     if values is None or not len(values):
         return None
     x = np.array([np.nan if v is None else v for v in values] if isinstance(values, list) else values, dtype=np.float64)
     if not np.isfinite(x).all():
         return None
-    top = np.abs(x).max()
-    if top == 0:
-        return None
-    x = x / top
-    return x / np.sqrt(x @ x)
+    return x if x.any() else None
+
+
+def unit_rows(raw: list[bytes], kind: str) -> np.ndarray:
+    """Stored vectors of one length, each scaled to length 1 in double precision."""
+    x = np.frombuffer(b"".join(raw), kind).reshape(len(raw), -1).astype(np.float64)
+    x /= np.abs(x).max(axis=1, keepdims=True)
+    return x / np.sqrt(np.einsum("ij,ij->i", x, x))[:, None]
 
 
 def smallest_reachable(near: np.ndarray, first: np.ndarray, second: np.ndarray) -> list[tuple[int, int]]:
@@ -94,15 +101,14 @@ def compare(table: int, one: slice, other: slice, ids: np.ndarray, copies: np.nd
     return links, smallest_reachable(near, ids[one], ids[other])
 
 
-def compare_runs(batches: Iterator[pd.DataFrame], least: float) -> Iterator[pd.DataFrame]:
+def compare_runs(batches: Iterator[pd.DataFrame], least: float, kind: str) -> Iterator[pd.DataFrame]:
     """Over rows sorted by run (a bucket's pair of blocks). Rows (a, b, links): counts have b null; the others links 0."""
     held: list[pd.DataFrame] = []
 
     def done(part: pd.DataFrame) -> Iterator[pd.DataFrame]:
         for _, same in part.groupby(part["vector"].map(len), sort=False):
             ids, copies = same["rep"].to_numpy(), same["copies"].to_numpy().astype(np.float64)
-            vectors = np.frombuffer(b"".join(same["vector"]), "<f8").reshape(len(same), -1)
-            keys = np.frombuffer(b"".join(same["keys"]), "<i8").reshape(len(same), -1)
+            vectors, raw_keys = unit_rows(same["vector"].tolist(), kind), same["keys"].tolist()
             run, block, low, high, table = (same[c].to_numpy() for c in ("run", "block", "low", "high", "table"))
             cuts = np.flatnonzero(np.append(True, run[1:] != run[:-1]))
             counts, links = [], []
@@ -112,7 +118,9 @@ def compare_runs(batches: Iterator[pd.DataFrame], least: float) -> Iterator[pd.D
                 else:  # sorted by block
                     middle = a + int((block[a:b] == low[a]).sum())
                     one, other = slice(a, middle), slice(middle, b)
-                c, n = compare(int(table[a]), one, other, ids, copies, vectors, keys, least)
+                keys = np.frombuffer(b"".join(raw_keys[a:b]), "<i8").reshape(b - a, -1)  # of earlier tables alone
+                here = [slice(x.start - a, x.stop - a) for x in (one, other)]
+                c, n = compare(int(table[a]), *here, ids[a:b], copies[a:b], vectors[a:b], keys, least)
                 counts += c
                 links += n
             rows = [(i, None, n) for i, n in counts] + [(i, j, 0) for i, j in links]
@@ -135,21 +143,22 @@ def compare_runs(batches: Iterator[pd.DataFrame], least: float) -> Iterator[pd.D
 def link_vectors(vectors: DataFrame, least: float = 0.93, tables: int = 24, width: int = 8, step: float = 1.5, seed: int = 11, block: int = 1024, id_column: str = "vec_id", vector_column: str = "embedding", label_column: str = "label") -> DataFrame:
     """Returns vec_id, n_links, component_id and kept, a row for each row of vectors."""
     ship(vectors.sparkSession)
+    # As they are given, in four bytes where that is all they have.
+    kind = "<f4" if vectors.schema[vector_column].dataType == T.ArrayType(T.FloatType(), vectors.schema[vector_column].dataType.containsNull) else "<f8"
     own = vectors.select(id_text(id_column).alias("vec_id"), F.col(vector_column).cast("array<double>").alias("vector"), F.col(label_column).cast("string").alias("label"))
 
     def scale(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            units = [unit(v) for v in batch["vector"]]
-            yield pd.DataFrame({"vec_id": batch["vec_id"], "label": batch["label"], "vector": [None if u is None else u.astype("<f8").tobytes() for u in units]})
+            found = [usable(v) for v in batch["vector"]]
+            yield pd.DataFrame({"vec_id": batch["vec_id"], "label": batch["label"], "vector": [None if x is None else x.astype(kind).tobytes() for x in found]})
 
     rows = saved(with_id(own.mapInPandas(scale, "vec_id string, label string, vector binary"), "vec_id"), "vectors")
-    usable = F.col("vector").isNotNull() & F.col("label").isNotNull()
-    reps = rows.where(usable).groupBy("label", "vector").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"))
+    reps = rows.where("vector is not null and label is not null and vec_id is not null").groupBy("label", "vector").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"))
 
     def hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for _, part in batch.groupby(batch["vector"].map(len)):
-                units = np.frombuffer(b"".join(part["vector"]), "<f8").reshape(len(part), -1)
+                units = unit_rows(part["vector"].tolist(), kind)
                 keys = bucket_numbers(units, tables, width, step, seed)
                 yield pd.DataFrame({"rep": part["rep"], "copies": part["copies"], "label": part["label"], "vector": part["vector"], "keys": [k.astype("<i8").tobytes() for k in keys], "buckets": list(keys)})
 
@@ -161,11 +170,11 @@ def link_vectors(vectors: DataFrame, least: float = 0.93, tables: int = 24, widt
     meet = meet.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")))
     meet = meet.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     meet = meet.select("rep", "label", "bytes", "table", "bucket", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
-    meet = meet.join(reps.select("rep", "copies", "vector", "keys"), "rep")
+    meet = meet.join(reps.select("rep", "copies", "vector", "keys"), "rep").withColumn("keys", F.expr("substring(keys, 1, 8 * table)"))
     meet = meet.withColumn("run", F.xxhash64("label", "bytes", "table", "bucket", "low", "high")).drop("label", "bytes", "bucket")
     tasks = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     meet = meet.repartition(tasks, "run").sortWithinPartitions("run", "block", "rep")
-    found = meet.mapInPandas(lambda batches: compare_runs(batches, least), "a long, b long, links long")
+    found = meet.mapInPandas(lambda batches: compare_runs(batches, least, kind), "a long, b long, links long")
     found = saved(found, "found")
     counts = found.where("links > 0").groupBy(F.col("a").alias("rep")).agg(F.sum("links").alias("links"))
     parts = components(found.where("b is not null"), "a", "b").withColumnRenamed("node", "rep")
@@ -173,5 +182,5 @@ def link_vectors(vectors: DataFrame, least: float = 0.93, tables: int = 24, widt
     known = reps.select("rep", "label", "vector", "copies").join(counts, "rep", "left").join(parts, "rep", "left")
     known = known.select("label", "vector", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
     out = rows.join(known, ["label", "vector"], "left")
-    component = F.coalesce("component_id", "vec_id")
-    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(False)).alias("kept"))
+    component = F.when(F.col("vec_id").isNotNull(), F.coalesce("component_id", "vec_id"))
+    return out.select("vec_id", F.when(F.col("vec_id").isNull(), 0).otherwise(F.coalesce("n_links", F.lit(0))).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(False)).alias("kept"))
