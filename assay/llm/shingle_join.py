@@ -267,6 +267,7 @@ def linked(docs: DataFrame, percent: int = 75, words: int = 5, most_depth: int =
                 yield pd.DataFrame(list(deal(part["doc_id"].astype(np.int64).tolist(), sets, buckets, hot.value)), columns=["bucket", "docs", "sizes", "counts", "shingles", "hots", "hot"])
 
     dealt = kept.mapInPandas(cut, "bucket long, docs binary, sizes binary, counts binary, shingles binary, hots binary, hot binary")
+    dealt = dealt.repartition(-(-buckets // 4), "bucket")  # tasks of one size, however large the table
     some = saved(dealt.groupBy("bucket").applyInPandas(counted, "doc_id long, n long, home boolean, some binary"), "counted")
     sizes = some.where("home").select(F.col("doc_id").alias("rep"), "n")
     some = some.where("length(some) > 0").groupBy("doc_id").agg(F.max("n").alias("n"), F.collect_list("some").alias("some"))
