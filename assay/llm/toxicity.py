@@ -318,16 +318,20 @@ class Reader:
                 odd[p] = strip_and_sort(p)
         said = self.restored({x for _, x in odd.values() if x})
         for p, (plain, x) in odd.items():
-            odd[p] = plain + [w for w in said[x] if w not in plain] if x else plain
+            odd[p] = plain + [w for w in said[x] if w not in plain and LETTERS[OTHER] not in w] if x else plain
         if len(kept) + len(odd) > self.most:
             self.kept = {}
         self.kept.update((p, words) for p, words in odd.items() if len(p) <= self.longest)
         return out | odd
 
     def words(self, texts: list[str]) -> list[list[str]]:
-        """Of each text, without words that are joined from longer pieces."""
+        """Of each text, to learn from: without words that are joined from longer pieces, and of words with accents only what
+        is written, as their other readings may be no words at all."""
         cut = [pieces_of(t) for t in texts]
         known = self.words_by_piece(set().union(*cut))
+        for p in known:
+            if not p.isascii() and (inner := p.strip(EDGE)).isalpha() and not any(c in ALIKE for c in inner):
+                known[p] = [inner]
         runs = [single_runs([(i, p) for i, p in enumerate(c) if len(p) == 1]) for c in cut]
         said = self.restored({r for found in runs for r in found})
         return [[w for p in c for w in known.get(p, (p,))] + [w for r in found for w in said[r]] for c, found in zip(cut, runs, strict=True)]
