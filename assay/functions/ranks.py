@@ -25,7 +25,8 @@ def exact_quantiles(df: DataFrame, values: list[Column], shares: list[float], ma
         for j, s in enumerate(shares):
             if n := seen[f"n{i}"]:
                 low, high = seen[f"e{i}"][2 * j : 2 * j + 2]
-                brackets[i, j] = (s * (n - 1), seen[f"a{i}"] if s <= margin else low, seen[f"z{i}"] if s >= 1 - margin else high)
+                narrow = n * (margin - 1 / accuracy) > 4  # the margin covers the sketch's error and neighbours
+                brackets[i, j] = (s * (n - 1), low if narrow and s > margin else seen[f"a{i}"], high if narrow and s < 1 - margin else seen[f"z{i}"])
     if not brackets:
         return [[None] * len(shares) for _ in values]
     below = own.agg(*(F.count_if(F.col(f"v{i}") < low).alias(f"b{i}_{j}") for (i, j), (_, low, _) in brackets.items())).first()

@@ -159,6 +159,9 @@ def test_exact_quantiles(spark):
         held = [x for x in (row["abcd".index(name)] for row in rows) if x is not None]
         assert found == pytest.approx(list(np.quantile(held, shares)), rel=1e-12, abs=1e-12)
     assert got[3] == [None] * 6
+    for n in (2, 12, 500, 1999, 2400):
+        found = exact_quantiles(spark.range(n), [F.col("id")], shares)[0]
+        assert found == pytest.approx(list(np.quantile(np.arange(n), shares)), rel=1e-12, abs=1e-12), n
     assert exact_quantiles(df.limit(0), [F.col("a")], [0.5]) == [[None]]
     assert exact_quantiles(spark.range(1), [F.col("id")], [0.1, 0.9]) == [[0.0, 0.0]]
 
