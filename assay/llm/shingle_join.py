@@ -169,13 +169,14 @@ def deal(doc_ids: list[int], sets: list[np.ndarray], buckets: int, hot: np.ndarr
     for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(flat)], strict=True):
         if a < b:
             who, n = np.unique(owner[a:b], return_counts=True)
-            yield int(bucket[a]), ids[who].tobytes(), sizes[who].tobytes(), n.astype(np.int32).tobytes(), flat[a:b].tobytes(), np.zeros(len(who), np.int32).tobytes(), b""
+            yield int(bucket[a]), ids[who].tobytes(), sizes[who].tobytes(), n.astype(np.int32).tobytes(), flat[a:b].tobytes(), b"", b""
 
 
 def counted(pdf: pd.DataFrame) -> pd.DataFrame:
     """One bucket: rows (doc_id, n, home, some) of documents with shingles that more than one document has, with the counts
     of their documents, and of those whose home this bucket is."""
-    ids, sizes, counts, hots = (np.frombuffer(b"".join(pdf[c]), t) for c, t in (("docs", "<i8"), ("sizes", "<i4"), ("counts", "<i4"), ("hots", "<i4")))
+    ids, sizes, counts = (np.frombuffer(b"".join(pdf[c]), t) for c, t in (("docs", "<i8"), ("sizes", "<i4"), ("counts", "<i4")))
+    hots = np.frombuffer(b"".join(h or bytes(len(d) // 2) for h, d in zip(pdf["hots"], pdf["docs"], strict=True)), "<i4")
     flat, hot = np.frombuffer(b"".join(pdf["shingles"]), "<u8"), np.frombuffer(b"".join(pdf["hot"]), PAIR)
     order = np.argsort(flat, kind="stable")
     ordered = flat[order]
@@ -228,7 +229,7 @@ def link_documents(docs: DataFrame, **options) -> DataFrame:
     return linked(docs, **options)[0].select("doc_id", "n_shingles", "component_id")
 
 
-def linked(docs: DataFrame, percent: int = 75, words: int = 5, most_depth: int = 16, hashes: int = 3, shingles_each: int = 1 << 18, hot_sample: int = 4000, hot_share: float = 0.005, broadcast_ids: int = 1 << 20, id_column: str = "doc_id", text_column: str = "text") -> tuple[DataFrame, bool]:
+def linked(docs: DataFrame, percent: int = 75, words: int = 5, most_depth: int = 16, hashes: int = 3, shingles_each: int = 1 << 20, hot_sample: int = 4000, hot_share: float = 0.005, broadcast_ids: int = 1 << 20, id_column: str = "doc_id", text_column: str = "text") -> tuple[DataFrame, bool]:
     """doc_id, mark (of the text), n_shingles, component_id and part (equal within a component), a row for each row of docs;
     and whether some id may have several texts."""
     spark = docs.sparkSession
@@ -237,7 +238,7 @@ def linked(docs: DataFrame, percent: int = 75, words: int = 5, most_depth: int =
     marks = saved(own.select("doc_id", F.md5("text").alias("mark"), F.length("text").cast("long").alias("length")), "marks")
     firsts = saved(marks.groupBy("mark").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.max("length").alias("length")), "firsts")
     n_marks, text_length = firsts.agg(F.count("*"), F.sum("length")).first()
-    buckets = max(64, -(-(text_length or 0) // (6 * shingles_each)))  # about one shingle for six characters
+    buckets = max(8, -(-(text_length or 0) // (6 * shingles_each)))  # about one shingle for six characters
 
     # Rows that are not their group's representative go before any text is dealt.
     extra = saved(marks.join(firsts.where("copies > 1"), "mark").where("doc_id > rep").select("doc_id").distinct(), "copies")
@@ -267,7 +268,7 @@ def linked(docs: DataFrame, percent: int = 75, words: int = 5, most_depth: int =
                 yield pd.DataFrame(list(deal(part["doc_id"].astype(np.int64).tolist(), sets, buckets, hot.value)), columns=["bucket", "docs", "sizes", "counts", "shingles", "hots", "hot"])
 
     dealt = kept.mapInPandas(cut, "bucket long, docs binary, sizes binary, counts binary, shingles binary, hots binary, hot binary")
-    dealt = dealt.repartition(-(-buckets // 4), "bucket")  # tasks of one size, however large the table
+    dealt = dealt.repartition(buckets, "bucket")  # tasks of one size, however large the table
     some = saved(dealt.groupBy("bucket").applyInPandas(counted, "doc_id long, n long, home boolean, some binary"), "counted")
     sizes = some.where("home").select(F.col("doc_id").alias("rep"), "n")
     some = some.where("length(some) > 0").groupBy("doc_id").agg(F.max("n").alias("n"), F.collect_list("some").alias("some"))
