@@ -7,7 +7,7 @@ a memory-mapped reader reaches it without copying or reading the rest. A second
 .index.arrow, has (doc_id, start, n_tokens) of its documents. A task that is run again writes files of its own name; only
 those of the run that counted are read.
 
-Null texts are empty: only the end id. Null ids come first. Rows with equal ids are ordered by text, each is a document.
+Null texts are empty: only the end id. Very long texts run over as many sequences as they need. Null ids come first. Rows with equal ids are ordered by text, each is a document.
 An empty table gives no rows. Columns other than the id and the text are not read.
 """
 

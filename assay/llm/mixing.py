@@ -8,7 +8,7 @@ of about ``fan`` documents of a source fold this way into one undecided residual
 again, level by level, so that a source with a third of all rows is a tree of small tasks. The last residual of a source is
 rounded by its own odds: a source's words miss its target by less than one document.
 
-Sizes: words between white space; null and empty texts have size 0, take 0 words and are rounded on their own. Sources are
+Sizes: words between white space; null and empty texts have size 0, take 0 words and are rounded on their own; very long texts are counted whole. Sources are
 ranked by code point, null last, and weigh 5, 2, 1, repeating. Repeated rows count as documents of their own. All draws
 come from the md5 of a seed, the level, the id and the number of the repeat, so reruns agree. An empty table gives an empty
 result. Columns other than the id, the text and the source are not read, except by ``take_mix``.
