@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-import textwrap
-
 from pyspark.sql import DataFrame, SparkSession
 
-from assay.llm import arrow_shards, embedding_dups, licenses, mixing, packing, page_text, shingle_join, telephony, toxicity, url_rules
+from assay.llm import arrow_shards, embedding_dups, licenses, mixing, packing, page_text, secret_scan, shingle_join, telephony, toxicity, url_rules
 from assay.llm.tokens import tokenizer_path
 
 RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
@@ -57,30 +55,15 @@ def op10_arrow_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return arrow_shards.token_files(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_page_text, op2_telephony, op3_toxicity, op4_mixing, op5_url_rules, op6_packing, op7_licenses, op8_shingle_join, op9_embedding_dups, op10_arrow_shards)}
-
-
-def quoted(text: str) -> str:
-    return "'" + text.replace("'", "''") + "'"
+def op11_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.scan_secrets(table(spark, sf_dir, "documents"))
 
 
-def license_layouts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Known licences as files have them: under a title and copyright lines, as a comment, in capitals, wrapped."""
-    return licenses.scan_licenses(spark.createDataFrame(list(enumerate(layouts())), "doc_id long, text string"))
+QUERIES = {f.__name__: f for f in (op1_page_text, op2_telephony, op3_toxicity, op4_mixing, op5_url_rules, op6_packing, op7_licenses, op8_shingle_join, op9_embedding_dups, op10_arrow_shards, op11_secrets)}
 
 
-def layouts() -> list[str]:
-    out = []
-    for name, body in sorted(licenses.KNOWN.items()):
-        out.append(f"{licenses.TITLES[name][0]}\n\nCopyright (c) 1999-2024, Some One <one@example.org>\nAll rights reserved.\n\n{body}\n")
-        out.append("\n".join(f" * {line}" for line in f"Copyright 2001 by Some One\n\n{body}".split("\n")))
-        out.append(body.upper().replace('"', "\u201c"))
-        out.append(textwrap.fill(body, 40))
-        out.append(body + " More.")
-    return out
-
-
-QUERIES["license_layouts"] = license_layouts
+def quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
 
 
 def licenses_sql(own: str) -> str:
@@ -114,5 +97,5 @@ fits AS (
   FROM own JOIN rules ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path) GROUP BY ALL)
 SELECT own.page_id, own.host, own.path, fits.rule, coalesce(fits.verdict, 'allow') AS verdict FROM own LEFT JOIN fits ON own.page_id = fits.page_id""",
     "op7_licenses": licenses_sql("SELECT doc_id, text FROM documents"),
-    "license_layouts": licenses_sql("SELECT * FROM (VALUES " + ", ".join(f"({i}, {quoted(x)})" for i, x in enumerate(layouts())) + ") AS l(doc_id, text)"),
+    "op11_secrets": secret_scan.secrets_sql(),
 }

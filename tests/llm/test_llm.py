@@ -579,8 +579,20 @@ def test_titles_and_wrapped_lines_of_licenses(spark):
     assert got == {0: "MIT", 1: "BSD-3-Clause", 2: "Unlicense", 3: "BSD-3-Clause"}
 
 
+def layouts():
+    """Known licences as files have them: under a title and copyright lines, as a comment, in capitals, wrapped, longer."""
+    out = []
+    for name, body in sorted(licenses.KNOWN.items()):
+        out.append(f"{licenses.TITLES[name][0]}\n\nCopyright (c) 1999-2024, Some One <one@example.org>\nAll rights reserved.\n\n{body}\n")
+        out.append("\n".join(f" * {line}" for line in f"Copyright 2001 by Some One\n\n{body}".split("\n")))
+        out.append(body.upper().replace('"', "\u201c"))
+        out.append(textwrap.fill(body, 40))
+        out.append(body + " More.")
+    return out
+
+
 def test_common_layouts_of_licenses(spark):
-    got = {r.doc_id: r.license for r in queries.license_layouts(spark, "").collect()}
+    got = {r.doc_id: r.license for r in licenses.scan_licenses(docs_of(spark, layouts())).collect()}
     want = [name if k < 4 else None for name in sorted(licenses.KNOWN) for k in range(5)]
     assert [got[i] for i in range(len(want))] == want
     marked = licenses.KNOWN["BSD-2-Clause"]
