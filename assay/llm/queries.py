@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from assay.llm import arrow_shards, embedding_dups, lexical_search, licenses, mixing, packing, page_text, secret_scan, shingle_join, telephony, toxicity, url_rules
+from assay.llm import arrow_shards, embedding_dups, lexical_search, licenses, mixing, packing, page_text, secret_scan, shingle_join, telephony, token_alignment, toxicity, url_rules
 from assay.llm.tokens import tokenizer_path
 
 RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
@@ -59,11 +59,15 @@ def op11_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan_secrets(table(spark, sf_dir, "documents"))
 
 
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_alignment.align(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model"))
+
+
 def op13_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_page_text, op2_telephony, op3_toxicity, op4_mixing, op5_url_rules, op6_packing, op7_licenses, op8_shingle_join, op9_embedding_dups, op10_arrow_shards, op11_secrets, op13_search)}
+QUERIES = {f.__name__: f for f in (op1_page_text, op2_telephony, op3_toxicity, op4_mixing, op5_url_rules, op6_packing, op7_licenses, op8_shingle_join, op9_embedding_dups, op10_arrow_shards, op11_secrets, op12_alignment, op13_search)}
 
 
 def quoted(text: str) -> str:
