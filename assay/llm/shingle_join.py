@@ -11,14 +11,16 @@ Steps, none of which collects documents or pairs to the driver or caps a list:
 
 1. Equal texts become one representative (the smallest id), before anything is compared.
 2. Shingles are dealt by hash to buckets, as binary blocks of one batch of documents and bucket each, where their document
-   counts are found. Those that a sample of documents shows to be common (half a percent or more) have their counts
-   estimated from it and stay with their documents, so no bucket grows with one shingle; any counts that all documents
-   agree on serve, as they only order shingles and price prefixes. A shingle of one document can't match: a document with as many of these as its prefix is long has no
+   counts are found. Those that a sample of documents shows to be in HOT_FLOOR or more (or in a millionth part of the
+   corpus's shingles, if that is more, so that there are at most about a million of them) have their counts estimated from it
+   and stay with their documents; the sample is as large a share of all documents as finding them takes, so no bucket grows
+   with one shingle. Any counts that all documents agree on serve, as they only order shingles and price prefixes. A shingle of one document can't match: a document with as many of these as its prefix is long has no
    partner and goes. Others keep the shingles with counts over 1 alone, which is all that order, prefix and intersection need.
 3. Documents that share a min-hash are verified against the one among them with the fewest shingles of its own, the most
    central one: rows in proportion to documents, which ties most groups of near copies together. Components follow.
 4. Prefixes are joined, but only across components, as links inside one change nothing, and where the shingles that a
-   document shares with any other could be enough; shingles whose documents are all in one component go before the join. So a group of near copies, however large, makes no pairs.
+   document shares with any other could be enough; shingles whose documents are all in one component go before the join. So a group of near copies, however large, makes no
+   pairs. The rows of a shingle of many components are cut into blocks, and each pair of blocks is a group of its own.
 5. Pairs whose prefixes match often enough are verified on the kept shingles; links of both kinds give the components.
 
 Null, empty and wordless texts have no shingles and link with nothing; with fewer than five words the whole sequence is
@@ -43,6 +45,11 @@ from assay.llm.common import components, saved, ship, text_of, trim_worker, work
 #: Shingles of its prefix that each row carries.
 HEAD = 24
 PAIR = np.dtype([("shingle", "<u8"), ("documents", "<u4")])
+#: Documents of a shingle, at least, from which on it stays with them; hot ones, about, at most; how many documents of the
+#: sample one of them is expected in.
+HOT_FLOOR, MOST_HOT, HOT_SEEN = 2048, 1 << 20, 40
+#: Prefix rows of one shingle that are compared at once.
+CROSS_BLOCK = 1024
 #: Bytes of text that are hashed at once.
 BLOCK = 1 << 20
 BASE = 0x9E3779B97F4A7C15 | 1
@@ -206,8 +213,10 @@ def hot_shingles(docs: DataFrame, n: int, words: int, sample: int, share: float)
             yield pd.DataFrame({"shingle": flat.view(np.int64), "n": many.astype(np.int64)})
 
     some = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(every)) == 0).select("text")
-    found = some.mapInPandas(seen, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n")).where(F.col("n") >= max(20, share * min(n, sample))).collect()
-    out = np.array([(r[0] & ((1 << 64) - 1), min(r[1] * every, (1 << 32) - 1)) for r in found], PAIR)
+    found = some.mapInPandas(seen, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n")).where(F.col("n") >= max(20, share * min(n, sample))).toPandas()
+    out = np.empty(len(found), PAIR)
+    out["shingle"] = found["shingle"].to_numpy(np.int64).view(np.uint64)
+    out["documents"] = np.minimum(found["n"].to_numpy(np.int64) * every, (1 << 32) - 1)
     return out[np.argsort(out["shingle"])]
 
 
@@ -229,7 +238,7 @@ def link_documents(docs: DataFrame, **options) -> DataFrame:
     return linked(docs, **options)[0].select("doc_id", "n_shingles", "component_id")
 
 
-def linked(docs: DataFrame, percent: int = 75, words: int = 5, most_depth: int = 16, hashes: int = 3, shingles_each: int = 1 << 20, hot_sample: int = 4000, hot_share: float = 0.005, broadcast_ids: int = 1 << 20, id_column: str = "doc_id", text_column: str = "text") -> tuple[DataFrame, bool]:
+def linked(docs: DataFrame, percent: int = 75, words: int = 5, most_depth: int = 16, hashes: int = 3, shingles_each: int = 1 << 20, hot_sample: int | None = None, hot_share: float | None = None, broadcast_ids: int = 1 << 20, id_column: str = "doc_id", text_column: str = "text") -> tuple[DataFrame, bool]:
     """doc_id, mark (of the text), n_shingles, component_id and part (equal within a component), a row for each row of docs;
     and whether some id may have several texts."""
     spark = docs.sparkSession
@@ -238,7 +247,11 @@ def linked(docs: DataFrame, percent: int = 75, words: int = 5, most_depth: int =
     marks = saved(own.select("doc_id", F.md5("text").alias("mark"), F.length("text").cast("long").alias("length")), "marks")
     firsts = saved(marks.groupBy("mark").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.max("length").alias("length")), "firsts")
     n_marks, text_length = firsts.agg(F.count("*"), F.sum("length")).first()
-    buckets = max(64, -(-(text_length or 0) // (6 * shingles_each)))  # about one shingle for six characters
+    n_shingles = (text_length or 0) // 6  # about
+    buckets = max(128, -(-n_shingles // shingles_each))
+    most = max(HOT_FLOOR, n_shingles // MOST_HOT)
+    hot_sample = hot_sample or max(1, -(-HOT_SEEN * n_marks // most))
+    hot_share = hot_share or most / max(1, n_marks)
 
     # Rows that are not their group's representative go before any text is dealt.
     extra = saved(marks.join(firsts.where("copies > 1"), "mark").where("doc_id > rep").select("doc_id").distinct(), "copies")
@@ -321,10 +334,14 @@ def linked(docs: DataFrame, percent: int = 75, words: int = 5, most_depth: int =
 
     ahead = placed.select("doc_id", "component", "n", "common", "short", "depth", "shingles", *ties).mapInPandas(prefixes, "shingle long, level int, place int, head binary, doc_id long, component long, n long, common long, depth int, " + ", ".join(f"{t} long" for t in ties))
     ahead = saved(ahead, "prefixes")
-    across = ahead.groupBy("shingle").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("shingle")
-    ahead = ahead.join(saved(across, "across"), "shingle", "left_semi")
+    across = ahead.groupBy("shingle").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("many")).where("x <> y").select("shingle", F.ceil(F.col("many") / CROSS_BLOCK).cast("int").alias("blocks"))
+    ahead = ahead.join(saved(across, "across"), "shingle")
+    # A row meets its own block's rows, and those of each other block of its shingle in a group of the two.
+    block = F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")
+    ahead = ahead.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
+    ahead = ahead.withColumn("low", F.least("block", "other")).withColumn("high", F.greatest("block", "other")).drop("other")
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ahead = ahead.repartition(tasks, "shingle").sortWithinPartitions("shingle", "component", "doc_id")
+    ahead = ahead.repartition(tasks, "shingle", "low", "high").sortWithinPartitions("shingle", "low", "high", "component", "doc_id")
     met = ahead.mapInPandas(lambda batches: crossing(batches, percent, hashes), "a long, b long")
     pairs = met.distinct()
     links = links.union(measured(saved(pairs, "candidates"), left, percent, True).where("linked").select("a", "b"))
@@ -339,8 +356,12 @@ def linked(docs: DataFrame, percent: int = 75, words: int = 5, most_depth: int =
     return out.select("doc_id", "mark", F.col("n").alias("n_shingles"), component.alias("component_id"), "part"), torn
 
 
+#: What the rows of ``crossing`` that meet have in common.
+GROUP = ("shingle", "low", "high")
+
+
 def crossing(batches: Iterator[pd.DataFrame], percent: int, hashes: int) -> Iterator[pd.DataFrame]:
-    """Over rows sorted by shingle and component: the pairs of documents of different components that share a shingle in
+    """Over rows sorted by shingle, pair of blocks and component: the pairs of documents of different components that share a shingle in
     both's prefixes of the smaller depth, if they can link: what they share is bounded by how many of their shingles other
     documents have too, and, beside the same leader, by what one shares with it and what the other has beyond it. A pair
     that the first shingles of both, which each row carries, show to meet at an earlier shingle is left to that one."""
@@ -348,13 +369,14 @@ def crossing(batches: Iterator[pd.DataFrame], percent: int, hashes: int) -> Iter
     held: list[pd.DataFrame] = []
 
     def pairs(part: pd.DataFrame) -> Iterator[pd.DataFrame]:
-        shingle = part["shingle"].to_numpy()
+        keys = [part[c].to_numpy() for c in GROUP]
+        block, between = part["block"].to_numpy(), keys[1] != keys[2]
         doc, comp, n, common, level, depth, place = (part[c].to_numpy() for c in ("doc_id", "component", "n", "common", "level", "depth", "place"))
         head = np.frombuffer(b"".join(part["head"]), "<i8").reshape(-1, HEAD)
         ties = [(part[f"leader{j}"].to_numpy(), part[f"shared{j}"].to_numpy()) for j in range(hashes)]
-        new_shingle = np.append(True, shingle[1:] != shingle[:-1])
+        new_shingle = np.append(True, np.any([k[1:] != k[:-1] for k in keys], axis=0))
         new_comp = new_shingle | np.append(True, comp[1:] != comp[:-1])
-        # Each row meets all rows of its shingle that come after its own component.
+        # Each row meets all rows of its group that come after its own component, and of two blocks the other one's.
         ends = np.append(np.flatnonzero(new_shingle)[1:], len(part))[np.cumsum(new_shingle) - 1]
         own_end = np.append(np.flatnonzero(new_comp)[1:], len(part))[np.cumsum(new_comp) - 1]
         many = ends - own_end
@@ -362,6 +384,8 @@ def crossing(batches: Iterator[pd.DataFrame], percent: int, hashes: int) -> Iter
             rows = np.repeat(np.arange(at.start, at.stop), many[at])
             starts = np.repeat(own_end[at] - np.append(0, np.cumsum(many[at])[:-1]), many[at])
             others = starts + np.arange(len(rows))
+            apart = ~between[rows] | (block[rows] != block[others])
+            rows, others = rows[apart], others[apart]
             most = np.minimum(common[rows], common[others])
             for leader, shared in ties:
                 beside = np.minimum(shared[rows] + common[others] - shared[others], shared[others] + common[rows] - shared[rows])
@@ -381,8 +405,7 @@ def crossing(batches: Iterator[pd.DataFrame], percent: int, hashes: int) -> Iter
     for batch in batches:
         if not len(batch):
             continue
-        last = batch["shingle"].iloc[-1]
-        tail = batch["shingle"].to_numpy() == last
+        tail = np.all([batch[c].to_numpy() == batch[c].iloc[-1] for c in GROUP], axis=0)
         if tail.all():
             held.append(batch)
             continue

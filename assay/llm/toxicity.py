@@ -11,7 +11,8 @@ typical words and the cheapest path joins them; pieces with signs in them are jo
 The score is a logistic regression on how often a text has each of the words that are typical of toxic texts, disguised or
 not. Words are chosen and weights fitted on labelled rows whose crc32(doc_id as text) mod 5 is not 0, at most ``most_rows``
 of them by a hash of the id (the bound also lets them be broadcast); equal texts count once for each label. The words are
-ranked by distributed counts; the driver gets at most ``most_rows`` rows of word numbers and ``most_words`` words.
+ranked by distributed counts; the driver gets at most ``most_rows`` rows of word numbers, and the words that three or more
+of their toxic rows have, and others seldom.
 
 Null and empty texts have the score of a text without any such word. Repeated rows and ids each get a row. Without
 labelled rows, all scores are 0; with one label only, they are its smoothed share. Very long texts and pieces are read
@@ -471,7 +472,7 @@ def held_out(doc_id: Column) -> Column:
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))), F.lit(5)) == 0
 
 
-def fit(docs: DataFrame, labels: DataFrame, most_rows: int = 20_000, most_words: int = 256, least_z: float = 4.0, id_column: str = "doc_id", text_column: str = "text") -> Scorer:
+def fit(docs: DataFrame, labels: DataFrame, most_rows: int = 20_000, least_z: float = 4.0, id_column: str = "doc_id", text_column: str = "text") -> Scorer:
     ship(docs.sparkSession)
     grams = {r[0]: r[1] for r in count_grams(docs, text_column).collect()}  # at most SIGNS ** 3
     known = labels.select(F.col("doc_id").cast("long").alias("k"), F.col("toxic").cast("int").alias("toxic")).where(F.col("toxic").isin(0, 1) & F.col("k").isNotNull() & ~held_out(F.col("k"))).distinct()
@@ -498,7 +499,7 @@ def fit(docs: DataFrame, labels: DataFrame, most_rows: int = 20_000, most_words:
     share = (F.col("n0") + F.col("n1") + 1.0) / (n0 + n1 + 2)
     gap = (F.col("n1") + share) / (n1 + 1) - (F.col("n0") + share) / (n0 + 1)
     z = gap / F.sqrt(share * (1 - share) * (1 / (n1 + 1) + 1 / (n0 + 1)))
-    chosen = counts.withColumn("z", z).where((F.col("z") >= least_z) & (F.col("n1") >= 3)).orderBy(F.desc("z"), "word").limit(most_words)
+    chosen = counts.withColumn("z", z).where((F.col("z") >= least_z) & (F.col("n1") >= 3))
     lexicon = sorted(r[0] for r in chosen.select("word").collect())
     model = Scorer(grams, lexicon, np.zeros(len(lexicon) + 2))
 
