@@ -27,6 +27,7 @@ import hashlib
 import os
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -39,13 +40,23 @@ from assay.llm.tokens import BYTE_SIGNS
 
 #: Pieces that a worker keeps in each of two generations, and their longest; pairs that are broadcast.
 KEPT, LONGEST, HOT = 100_000, 48, 1 << 20
+#: Characters of texts that are aligned at once.
+AT_ONCE = 4_000_000
 #: White space but blanks and line feeds, and what some libraries take for it.
-RARE_SPACE = re.compile(r"[\x00-\x09\x0b-\x1f\x7f-\xa0\xad ᠎ -‏ -  -⁯　﻿]|\A[ \n]|[ \n]\Z|[ \n][ \n]")
+RARE_ASCII = [chr(c) for c in (*range(0x0A), *range(0x0B, 0x20), 0x7F)]
+RARE = [chr(c) for c in (*range(0x80, 0xA1), 0xAD, 0x1680, 0x180E, *range(0x2000, 0x2010), *range(0x2028, 0x2030), *range(0x205F, 0x2070), 0x3000, 0xFEFF)]
 #: Where a text with other white space is cut.
 CUT = re.compile(r"(?<=[!-~À-ɏ])(?= [!-~À-ɏ])")
 SPACE_SIGN = "\u2581"
 
 
+def has_certain_cuts(text: str) -> bool:
+    """Whether its white space is single blanks and line feeds between other signs."""
+    if not text or text[0] in " \n" or text[-1] in " \n" or "  " in text or "\n\n" in text or " \n" in text or "\n " in text:
+        return False
+    return not any(c in text for c in RARE_ASCII) and (text.isascii() or not any(c in text for c in RARE))
+
+
 class Pair:
     """Two tokenizers, A byte-level, B with a space before the text; and what each id stands for in bytes."""
 
@@ -64,6 +75,8 @@ class Pair:
         for i in range(self.b.get_piece_size()):
             piece = self.b.id_to_piece(i)
             self.bytes_b.append(bytes([int(piece[3:5], 16)]) if self.b.is_byte(i) else piece.replace(SPACE_SIGN, " ").encode())
+        #: Ids as text with what can follow them: a token of the same group and side, or else the other side, or a group.
+        self.said = {k: np.array([f"{i}{k[1]}" for i in range(len(x))], object) for k, x in (("a,", self.bytes_a), ("a|", self.bytes_a), ("b,", self.bytes_b), ("b;", self.bytes_b))}
         self.length_a, self.length_b = (np.array(list(map(len, x)), np.int64) for x in (self.bytes_a, self.bytes_b))
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size()) if not self.b.is_byte(i)]
         #: Whether B's pieces allow the cuts: none holds a line feed, none a blank after another sign.
@@ -73,8 +86,19 @@ class Pair:
 
     def encode(self, sources: list[str]) -> tuple[list[list[int]], list[list[int]]]:
         """Ids of sources as they are, which begin with a blank or a line feed. B adds a blank of its own: it stands for the
-        source's, or is a token before a line feed that isn't the source's."""
-        a = [x.ids for x in self.a.encode_batch_fast(sources, add_special_tokens=False)]
+        source's, or is a token before a line feed that isn't the source's. A blank and letters are one word of A, which its
+        model takes without the library's cutting."""
+        a: list[list[int] | None] = []
+        tokenize, rest = self.a.model.tokenize, []
+        for i, s in enumerate(sources):
+            word = s[1:]
+            if s[0] == " " and word.isalpha() and (word.isascii() or max(word) <= "\u024f"):
+                a.append([x.id for x in tokenize("\u0120" + (word if word.isascii() else word.encode().decode("latin-1").translate(BYTE_SIGNS)))])
+            else:
+                a.append(None)
+                rest.append(i)
+        for i, x in zip(rest, self.a.encode_batch_fast([sources[i] for i in rest], add_special_tokens=False), strict=True):
+            a[i] = x.ids
         b = self.b.encode([s[1:] if s[0] == " " else s for s in sources], num_threads=1)
         return a, [ids if s[0] == " " else ids[1:] for s, ids in zip(sources, b, strict=True)]
 
@@ -87,26 +111,28 @@ class Pair:
 
         All sources' tokens are one column a side. Sources follow each other, so the sum of lengths is also the source."""
         all_a, all_b = self.encode(sources)
-        good = [self.is_whole(s, a, b) for s, a, b in zip(sources, all_a, all_b, strict=True)]
-        all_a = [x if ok else [] for x, ok in zip(all_a, good, strict=True)]
-        all_b = [x if ok else [] for x, ok in zip(all_b, good, strict=True)]
-        ids_a, ids_b = (np.array([i for x in xs for i in x], np.int64) for xs in (all_a, all_b))
+        good = [True] * len(sources)
+        if not self.is_whole("".join(sources), list(chain.from_iterable(all_a)), list(chain.from_iterable(all_b))):
+            good = [self.is_whole(s, a, b) for s, a, b in zip(sources, all_a, all_b, strict=True)]
+            all_a = [x if ok else [] for x, ok in zip(all_a, good, strict=True)]
+            all_b = [x if ok else [] for x, ok in zip(all_b, good, strict=True)]
+        many = [np.fromiter(map(len, xs), np.int64, len(xs)) for xs in (all_a, all_b)]
+        ids_a, ids_b = (np.fromiter(chain.from_iterable(xs), np.int64, int(n.sum())) for xs, n in zip((all_a, all_b), many, strict=True))
         ends_a, ends_b = np.cumsum(self.length_a[ids_a]), np.cumsum(self.length_b[ids_b])
         cuts = np.intersect1d(ends_a, ends_b, assume_unique=True)
         ends = np.union1d(ends_a, ends_b)  # each is the end of what one token of A and one of B share
-        codes = (ids_a[np.searchsorted(ends_a, ends)] * len(self.bytes_b) + ids_b[np.searchsorted(ends_b, ends)]).astype("<i4")
-        last_a, last_b = np.searchsorted(ends_a, cuts) + 1, np.searchsorted(ends_b, cuts) + 1  # each group's tokens end here
-        counts = [np.cumsum([0, *map(len, xs)]) for xs in (all_a, all_b)]
-        source_ends = np.append(0, ends_a)[counts[0]]
-        groups, links = np.searchsorted(cuts, source_ends, side="right"), np.searchsorted(ends, source_ends, side="right")
-        text_a, text_b = list(map(str, ids_a.tolist())), list(map(str, ids_b.tolist()))
-        to_a, to_b = last_a.tolist(), last_b.tolist()
-        said = [f"{','.join(text_a[i:k])}|{','.join(text_b[j:m])}" for i, k, j, m in zip([0, *to_a], to_a, [0, *to_b], to_b, strict=False)]
-        groups, links = groups.tolist(), links.tolist()
-        out = []
-        for i, ok in enumerate(good):
-            out.append((len(all_a[i]), len(all_b[i]), groups[i + 1] - groups[i], ";".join(said[groups[i] : groups[i + 1]]), codes[links[i] : links[i + 1]].tobytes()) if ok else None)
-        return out
+        codes = (ids_a[np.searchsorted(ends_a, ends)] * len(self.bytes_b) + ids_b[np.searchsorted(ends_b, ends)]).astype("<i4").tobytes()
+        number_a, number_b = np.searchsorted(cuts, ends_a), np.searchsorted(cuts, ends_b)  # of each token's group
+        last_a, last_b = cuts[number_a] == ends_a, cuts[number_b] == ends_b
+        order = np.argsort(np.concatenate([2 * number_a, 2 * number_b + 1]), kind="stable")
+        said_a, said_b = np.where(last_a, self.said["a|"][ids_a], self.said["a,"][ids_a]), np.where(last_b, self.said["b;"][ids_b], self.said["b,"][ids_b])
+        said = np.concatenate([said_a, said_b])[order].tolist()
+        stops = [np.append(0, np.cumsum(n)) for n in many]
+        source_ends = np.append(0, ends_a)[stops[0]]
+        groups, links = np.searchsorted(cuts, source_ends, side="right"), np.searchsorted(ends, source_ends, side="right") * 4
+        n_groups, tokens, links = np.diff(groups).tolist(), (stops[0] + stops[1]).tolist(), links.tolist()
+        rows = zip(good, many[0].tolist(), many[1].tolist(), n_groups, tokens[:-1], tokens[1:], links[:-1], links[1:], strict=True)
+        return [(a, b, g, "".join(said[i:j]), codes[x:y]) if ok else None for ok, a, b, g, i, j, x, y in rows]
 
     def known(self, sources: list[str]) -> list[tuple]:
         out = [self.kept.get(s) or self.older.get(s) for s in sources]
@@ -123,7 +149,7 @@ class Pair:
 
     def pieces(self, texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
         """The different pieces of texts, the place among them of each text's pieces in order, and where each text's begin."""
-        sure = [self.cuts and bool(t) and not RARE_SPACE.search(t) for t in texts]
+        sure = [self.cuts and has_certain_cuts(t) for t in texts]
         lists = pc.split_pattern(pc.replace_substring(pa.array([t if ok else "" for t, ok in zip(texts, sure, strict=True)], pa.large_string()), "\n", " \n"), " ")
         held = lists.flatten().dictionary_encode()
         sources = [p if p[:1] == "\n" else f" {p}" for p in held.dictionary.to_pylist()]
@@ -141,33 +167,42 @@ class Pair:
                 parts.append(np.array([place.setdefault(s, len(place)) for s in own]))
         return list(place), np.concatenate([which[:0], *parts]), np.cumsum([0, *map(len, parts)])
 
-    def align(self, texts: list[str]) -> dict[str, list]:
-        """Columns of the result of texts; codes and times are lists of distinct pairs and their numbers of links."""
+    def align(self, texts: list[str]) -> dict[str, object]:
+        """Columns of the result of texts. codes and times are one array for all: distinct pairs and their numbers of links
+        by text, of which ``ends`` tells where each text's end."""
         sources, which, starts = self.pieces(texts)
+        owner = np.repeat(np.arange(len(texts)), np.diff(starts))
         used = np.unique(which)
-        info = dict(zip(used.tolist(), self.known([sources[i] for i in used.tolist()]), strict=True))
-        nothing = (0, 0, 0, "", b"")
-        each = [info.get(i) or nothing for i in range(len(sources))]
-        bad = np.array([i in info and info[i] is None for i in range(len(sources))], bool)
-        said = [x[3] for x in each]
-        numbers = np.array([x[:3] for x in each], np.int64).reshape(-1, 3)
-        sizes = np.array([len(x[4]) // 4 for x in each], np.int64)
-        flat, at = np.frombuffer(b"".join(x[4] for x in each), "<i4"), np.cumsum(sizes) - sizes
-        out: dict[str, list] = {k: [] for k in ("n_a", "n_b", "n_groups", "n_links", "groups_sha256", "codes", "times")}
-        for i in range(len(texts)):
-            own = which[starts[i] : starts[i + 1]]
-            if not texts[i] or bad[own].any():
-                own = own[:0]
-            n_a, n_b, n_groups = numbers[own].sum(0).tolist()
-            many, times = np.unique(own, return_counts=True)
-            width = sizes[many]
-            places = np.repeat(at[many] - np.cumsum(width) + width, width) + np.arange(int(width.sum()))
-            codes, of = np.unique(flat[places], return_inverse=True)
-            number = np.bincount(of, weights=np.repeat(times, width), minlength=len(codes)).astype(np.int32)
-            digest = hashlib.sha256(";".join([said[k] for k in own.tolist()]).encode()).hexdigest() if n_a else ""
-            for k, v in zip(out, (n_a, n_b, n_groups, int(number.sum()), digest, codes, number), strict=True):
-                out[k].append(v)
-        return out
+        info: list[tuple | None] = [(0, 0, 0, "", b"")] * len(sources)
+        for i, x in zip(used.tolist(), self.known([sources[i] for i in used.tolist()]), strict=True):
+            info[i] = x
+        bad = np.array([x is None for x in info], bool)
+        without = np.array([not t or SPACE_SIGN in t for t in texts], bool)
+        without[owner[bad[which]]] = True
+        kept = ~without[owner]
+        which, owner = which[kept], owner[kept]
+        numbers = np.array([x[:3] if x else (0, 0, 0) for x in info], np.int64).reshape(-1, 3)
+        sizes = np.array([len(x[4]) // 4 if x else 0 for x in info], np.int64)
+        flat, at = np.frombuffer(b"".join(x[4] for x in info if x), "<i4"), np.cumsum(sizes) - sizes
+        stops = np.searchsorted(owner, np.arange(len(texts) + 1))
+        sums = np.vstack([np.zeros((1, 3), np.int64), np.cumsum(numbers[which], axis=0)])
+        n_a, n_b, n_groups = np.diff(sums[stops], axis=0).T
+        said = [x[3] if x else "" for x in info]
+        places, cuts = which.tolist(), stops.tolist()
+        digests = [hashlib.sha256("".join([said[k] for k in places[i:j]])[:-1].encode()).hexdigest() if j > i else "" for i, j in zip(cuts, cuts[1:], strict=False)]
+        # A text's different pieces and how often it has them, then its different pairs and their links.
+        each, times = np.unique(owner * max(1, len(sources)) + which, return_counts=True)
+        owner, piece = np.divmod(each, max(1, len(sources)))
+        width = sizes[piece]
+        spread = np.repeat(at[piece] - np.cumsum(width) + width, width) + np.arange(int(width.sum()))
+        keys = (np.repeat(owner, width) << 31) | flat[spread]
+        order = np.argsort(keys, kind="stable")
+        keys, times = keys[order], np.repeat(times, width)[order]
+        first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])[: len(keys)])
+        links = np.add.reduceat(times, first) if len(first) else times
+        ends = np.searchsorted(keys[first], np.arange(1, len(texts) + 1) << 31)
+        total = np.diff(np.append(0, np.cumsum(links))[np.append(0, ends)])
+        return {"n_a": n_a, "n_b": n_b, "n_groups": n_groups, "n_links": total, "groups_sha256": digests, "codes": (keys[first] & ((1 << 31) - 1)).astype(np.int32), "times": links.astype(np.int32), "ends": ends}
 
 
 def pair_of(path_a: str, path_b: str) -> Pair:
@@ -177,8 +212,15 @@ def pair_of(path_a: str, path_b: str) -> Pair:
 EACH = "row long, id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, codes array<int>, times array<int>"
 
 
-def lists_of(parts: list[np.ndarray]) -> pa.Array:
-    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, parts)]), pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int32), *parts]).astype(np.int32)))
+def parts_of(texts: list[str]) -> Iterator[slice]:
+    """Runs of texts with about AT_ONCE characters together."""
+    at = n = 0
+    for i, t in enumerate(texts):
+        if n and n + len(t) > AT_ONCE:
+            yield slice(at, i)
+            at, n = i, 0
+        n += len(t)
+    yield slice(at, len(texts))
 
 
 def align_each(docs: DataFrame, path_a: str, path_b: str, id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -188,10 +230,14 @@ def align_each(docs: DataFrame, path_a: str, path_b: str, id: str = "doc_id", te
         pair = pair_of(path_a, path_b)
         for batch in batches:
             row, own, texts = batch.columns
-            got = pair.align(texts.to_pylist())
-            columns = [row, own, *[pa.array(got[k], pa.int64()) for k in ("n_a", "n_b", "n_groups", "n_links")], pa.array(got["groups_sha256"], pa.string())]
-            columns += [lists_of(got["codes"]), lists_of(got["times"])]
-            yield pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in EACH.split(", ")])
+            texts = texts.to_pylist()
+            for part in parts_of(texts):
+                got = pair.align(texts[part])
+                columns = [x.slice(part.start, part.stop - part.start) for x in (row, own)]
+                columns += [*[pa.array(got[k], pa.int64()) for k in ("n_a", "n_b", "n_groups", "n_links")], pa.array(got["groups_sha256"], pa.string())]
+                offsets = pa.array(np.append(0, got["ends"]), pa.int32())
+                columns += [pa.ListArray.from_arrays(offsets, pa.array(got[k])) for k in ("codes", "times")]
+                yield pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in EACH.split(", ")])
 
     ship(docs.sparkSession)
     own = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id).cast("long").alias("id"), text_of(text).alias("text"))
