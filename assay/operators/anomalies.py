@@ -1,7 +1,8 @@
 """Models that Spark does not have: isolation forest, autoencoder and principal-component reconstruction.
 
-Each is fitted on a bounded sample of rows by hash (a documented parameter) and applied to all rows in Arrow batches; what
-is broadcast is the fitted model, whose size follows the parameters alone.
+The forest's trees are grown on 256 rows each, drawn by hash from all rows, as many as the trees need; the autoencoder is
+trained on all rows, in shards that keep their rows whatever the partitions are. Models are applied to all rows in Arrow
+batches; what is broadcast is the fitted model, whose size follows the parameters alone.
 """
 
 from __future__ import annotations
@@ -30,13 +31,14 @@ def path_length(n) -> np.ndarray:
 
 
 def grow(x: np.ndarray, random: np.random.Generator) -> dict[str, np.ndarray]:
-    """One isolation tree as arrays: feature (-1 in leaves), cut, left and right child, and depth plus path of leaves."""
+    """One isolation tree as arrays: feature (-1 in leaves), cut, left and right child, depth plus path of leaves, and the
+    rows that came to a node."""
     deepest = math.ceil(math.log2(max(2, len(x))))
     nodes: list[list] = []
 
     def add(rows: np.ndarray, depth: int) -> int:
         me = len(nodes)
-        nodes.append([-1, 0.0, 0, 0, depth + float(path_length(len(rows)))])
+        nodes.append([-1, 0.0, 0, 0, depth + float(path_length(len(rows))), len(rows)])
         wide = np.flatnonzero(rows.max(axis=0) > rows.min(axis=0)) if len(rows) > 1 and depth < deepest else []
         if len(wide):
             f = int(random.choice(wide))
@@ -49,24 +51,87 @@ def grow(x: np.ndarray, random: np.random.Generator) -> dict[str, np.ndarray]:
 
     add(x, 0)
     a = np.array(nodes)
-    return {"feature": a[:, 0].astype(int), "cut": a[:, 1], "left": a[:, 2].astype(int), "right": a[:, 3].astype(int), "path": a[:, 4]}
-
-
-def forest_scores(trees: list[dict], size: int, x: np.ndarray) -> np.ndarray:
-    """2 ** (-mean path / path_length(size)): near 1 for rows that are soon alone."""
-    total = np.zeros(len(x))
-    for t in trees:
-        at = np.zeros(len(x), int)
-        while True:
-            f = t["feature"][at]
-            inner = np.flatnonzero(f >= 0)
-            if not len(inner):
-                break
-            here = at[inner]
-            low = x[inner, f[inner]] <= t["cut"][here]
-            at[inner] = np.where(low, t["left"][here], t["right"][here])
-        total += t["path"][at]
-    return 2.0 ** (-total / len(trees) / max(float(path_length(size)), 1e-12))
+    return {"feature": a[:, 0].astype(int), "cut": a[:, 1], "left": a[:, 2].astype(int), "right": a[:, 3].astype(int), "path": a[:, 4], "rows": a[:, 5]}
+
+
+def packed(trees: list[dict]) -> dict[str, np.ndarray]:
+    """All trees in one set of arrays, with their roots."""
+    starts = np.cumsum([0, *(len(t["cut"]) for t in trees[:-1])])
+    out = {k: np.concatenate([t[k] for t in trees]) for k in ("feature", "cut", "path")}
+    out |= {k: np.concatenate([t[k] + at for t, at in zip(trees, starts, strict=True)]) for k in ("left", "right")}
+    leaf = out["feature"] < 0
+    here = np.arange(len(leaf))
+    out["left"], out["right"] = np.where(leaf, here, out["left"]), np.where(leaf, here, out["right"])  # leaves stay where they are
+    return out | {"feature": np.maximum(out["feature"], 0), "roots": starts, "depth": np.array(max(math.ceil(math.log2(max(2, t["rows"][0]))) for t in trees))}
+
+
+def forest_scores(held: dict[str, np.ndarray], size: int, x: np.ndarray, at_once: int = 2048) -> np.ndarray:
+    """2 ** (-mean path / path_length(size)): near 1 for rows that are soon alone. All rows of a part go down all trees
+    together, a level at a time."""
+    out = np.empty(len(x))
+    for a in range(0, len(x), at_once):
+        part = x[a : a + at_once]
+        rows = np.arange(len(part))[:, None]
+        at = np.tile(held["roots"], (len(part), 1))
+        for _ in range(int(held["depth"])):
+            at = np.where(part[rows, held["feature"][at]] <= held["cut"][at], held["left"][at], held["right"][at])
+        out[a : a + at_once] = held["path"][at].mean(axis=1)
+    return 2.0 ** (-out / max(float(path_length(size)), 1e-12))
+
+
+def boxes(tree: dict[str, np.ndarray]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, float]]:
+    """Each leaf as (features, low, high, shares, path): the intervals (low, high] of the features on its way, and which
+    share of the rows a feature's cuts let through."""
+    out = []
+
+    def walk(node: int, held: dict[int, tuple[float, float, float]]) -> None:
+        f = int(tree["feature"][node])
+        if f < 0:
+            names = sorted(held)
+            out.append((np.array(names, int), *(np.array([held[n][k] for n in names]) for k in range(3)), float(tree["path"][node])))
+            return
+        low, high, share = held.get(f, (-math.inf, math.inf, 1.0))
+        cut = float(tree["cut"][node])
+        for child, own in ((int(tree["left"][node]), (low, min(high, cut))), (int(tree["right"][node]), (max(low, cut), high))):
+            walk(child, held | {f: (*own, share * tree["rows"][child] / tree["rows"][node])})
+
+    walk(0, {})
+    return out
+
+
+def shares_of(inside: np.ndarray, shares: np.ndarray) -> np.ndarray:
+    """Shapley values, before the leaf's path, of the game in which a coalition's worth is the product of 1 or 0 for its
+    features (inside) and of the shares for the others. A feature's value weighs coalitions of the others by size, so the
+    polynomial whose coefficients sum them by size is enough: polynomial in the features, not all of their subsets."""
+    many, d = inside.shape
+    weights = np.array([math.factorial(k) * math.factorial(d - 1 - k) / math.factorial(d) for k in range(d)])
+    out = np.empty((many, d))
+    for f in range(d):
+        sums = np.zeros((many, d))
+        sums[:, 0] = 1.0
+        for done, g in enumerate(g for g in range(d) if g != f):
+            grown = sums[:, : done + 2] * shares[g]
+            grown[:, 1:] += sums[:, : done + 1] * inside[:, g, None]
+            sums[:, : done + 2] = grown
+        out[:, f] = (inside[:, f] - shares[f]) * (sums @ weights)
+    return out
+
+
+def path_attributions(trees: list[dict], x: np.ndarray) -> np.ndarray:
+    """For each row and feature its part in the mean path length's difference from the path expected without any feature
+    known (where cuts on unknown features are passed in proportion to the rows grown on). A leaf is worked out once for each
+    different set of its features that rows fulfil."""
+    out = np.zeros(x.shape)
+    for tree in trees:
+        for features, low, high, shares, path in boxes(tree):
+            if not len(features):
+                continue
+            own = x[:, features]
+            inside = (own > low) & (own <= high)
+            code, which = np.unique(inside @ (1 << np.arange(len(features))), return_inverse=True)
+            kinds = (code[:, None] >> np.arange(len(features))) & 1
+            out[:, features] += path * shares_of(kinds.astype(float), shares)[which]
+    return out / len(trees)
 
 
 def sample_of(scaled: DataFrame, key: str, names: list[str], rows: int) -> np.ndarray:
@@ -77,18 +142,23 @@ def sample_of(scaled: DataFrame, key: str, names: list[str], rows: int) -> np.nd
     return held.to_numpy(float)
 
 
-def isolation_forest(df: DataFrame, key: str, names: list[str], trees: int = TREES, rows: int = 20_000, seed: int = 42, percentile: float | None = None) -> DataFrame:
-    """(key, score, outlier): outliers score above 0.5, or at or above a percentile of all scores. Each tree is grown on 256
-    of the sampled rows."""
-    ship(df.sparkSession)
-    scaled = standardised(df, names, keep=[key])
-    sample = sample_of(scaled, key, names, rows)
+def fit_forest(scaled: DataFrame, key: str, names: list[str], trees: int = TREES, rows: int | None = None, seed: int = 42) -> tuple[list[dict], int]:
+    """The trees, and on how many rows each was grown. They are dealt from trees * 256 rows of the table by hash (``rows``
+    sets another number), which is all that so many trees can hold."""
+    sample = sample_of(scaled, key, names, rows or trees * LEAF_SAMPLE)
     random = np.random.default_rng(seed)
     size = min(LEAF_SAMPLE, len(sample))
+    return [grow(sample[random.choice(len(sample), size, replace=False)], random) for _ in range(trees)] if size else [], size
+
+
+def isolation_forest(df: DataFrame, key: str, names: list[str], trees: int = TREES, rows: int | None = None, seed: int = 42, percentile: float | None = None) -> DataFrame:
+    """(key, score, outlier): outliers score above 0.5, or at or above a percentile of all scores."""
+    ship(df.sparkSession)
+    scaled = standardised(df, names, keep=[key])
+    grown, size = fit_forest(scaled, key, names, trees, rows, seed)
     if not size:
         return scaled.select(col(key), F.lit(0.0).alias("score"), F.lit(False).alias("outlier"))
-    grown = [grow(sample[random.choice(len(sample), size, replace=False)], random) for _ in range(trees)]
-    sent = df.sparkSession.sparkContext.broadcast((grown, size))
+    sent = df.sparkSession.sparkContext.broadcast((packed(grown), size))
 
     @F.pandas_udf("double")
     def score(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
@@ -104,6 +174,28 @@ def isolation_forest(df: DataFrame, key: str, names: list[str], trees: int = TRE
     return out.select(col(key), "score", (F.col("score") >= F.lit(edge)).alias("outlier"))
 
 
+def forest_attributions(df: DataFrame, key: str, names: list[str], keys: DataFrame | None = None, trees: int = TREES, rows: int | None = None, seed: int = 42, most: int = 5) -> DataFrame:
+    """(key, difference, features): how much shorter (below 0) or longer a row's mean path through the same forest as
+    isolation_forest's is than expected, and the ``most`` features (feature, attribution) that take the largest parts in it,
+    4 decimals, by feature on ties. keys: a table of the keys to explain; by default all."""
+    ship(df.sparkSession)
+    scaled = standardised(df, names, keep=[key])
+    grown, size = fit_forest(scaled, key, names, trees, rows, seed)
+    sent = df.sparkSession.sparkContext.broadcast(grown)
+    asked = scaled.join(keys.select(col(key)).distinct(), key, "left_semi") if keys is not None else scaled
+
+    @F.pandas_udf("array<double>")
+    def parts(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
+        for batch in batches:
+            x = np.column_stack([c.to_numpy(float) for c in batch])
+            yield pd.Series(list(path_attributions(sent.value, x) if size else np.zeros(x.shape)))
+
+    out = asked.select(col(key), parts(*map(col, names)).alias("parts"))
+    pairs = F.zip_with("parts", F.array(*map(F.lit, names)), lambda x, n: F.struct((-F.round(F.abs(x), 4)).alias("order"), n.alias("feature"), F.round(x, 4).alias("attribution")))
+    told = F.transform(F.slice(F.array_sort(pairs), 1, most), lambda p: F.struct(p["feature"].alias("feature"), p["attribution"].alias("attribution")))
+    return out.select(col(key), F.aggregate("parts", F.lit(0.0), lambda s, x: s + x).alias("difference"), told.alias("features"))
+
+
 class Autoencoder:
     """A mirrored network with ReLU layers and a linear last one, trained with Adam on squared error."""
 
@@ -121,15 +213,28 @@ class Autoencoder:
             out.append(np.maximum(x, 0) if i < len(self.w) - 1 else x)
         return out
 
-    def fit(self, x: np.ndarray, epochs: int = 100, batch: int = 32, rate: float = 1e-3, patience: int = 10, held: float = 0.2) -> Autoencoder:
-        order = self.random.permutation(len(x))
-        cut = max(1, int(len(x) * (1 - held)))
-        train, check = x[order[:cut]], x[order[cut:]] if cut < len(x) else x
-        moments = [[np.zeros_like(p) for p in (*self.w, *self.b)] for _ in range(2)]
-        best, kept, waited, step = math.inf, None, 0, 0
+    def vector(self) -> np.ndarray:
+        return np.concatenate([p.ravel() for p in (*self.w, *self.b)])
+
+    def load(self, vector: np.ndarray) -> Autoencoder:
+        at = 0
+        for held in (self.w, self.b):
+            for i, p in enumerate(held):
+                held[i] = vector[at : at + p.size].reshape(p.shape).copy()
+                at += p.size
+        return self
+
+    def loss(self, x: np.ndarray) -> float:
+        """Summed over rows."""
+        return float(((self.layers(x)[-1] - x) ** 2).mean(axis=1).sum())
+
+    def train(self, x: np.ndarray, moments: tuple[np.ndarray, np.ndarray], step: int, epochs: int, batch: int, rate: float) -> tuple[np.ndarray, np.ndarray, int]:
+        """Epochs over shuffled rows; Adam's moments go on from those given, and its step count."""
+        first, second = (m.copy() for m in moments)
         for _ in range(epochs):
-            for at in range(0, len(train), batch):
-                part = train[self.random.integers(0, len(train), min(batch, len(train)))] if at else train[:batch]
+            order = self.random.permutation(len(x))
+            for at in range(0, len(x), batch):
+                part = x[order[at : at + batch]]
                 step += 1
                 outs = self.layers(part)
                 back = 2 * (outs[-1] - part) / part.size
@@ -139,20 +244,74 @@ class Autoencoder:
                     grads_b.insert(0, back.sum(axis=0))
                     if i:
                         back = back @ self.w[i].T * (outs[i] > 0)
-                for k, (p, g) in enumerate(zip((*self.w, *self.b), (*grads_w, *grads_b), strict=True)):
-                    moments[0][k] += 0.1 * (g - moments[0][k])
-                    moments[1][k] += 0.001 * (g * g - moments[1][k])
-                    p -= rate * (moments[0][k] / (1 - 0.9**step)) / (np.sqrt(moments[1][k] / (1 - 0.999**step)) + 1e-8)
-            loss = float(((self.layers(check)[-1] - check) ** 2).mean())
-            if loss < best - 1e-12:
-                best, kept, waited = loss, ([w.copy() for w in self.w], [b.copy() for b in self.b]), 0
-            else:
-                waited += 1
-                if waited >= patience:
-                    break
-        if kept:
-            self.w, self.b = kept
-        return self
+                g = np.concatenate([p.ravel() for p in (*grads_w, *grads_b)])
+                first += 0.1 * (g - first)
+                second += 0.001 * (g * g - second)
+                self.load(self.vector() - rate * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.999**step)) + 1e-8))
+        return first, second, step
+
+
+def sharded(scaled: DataFrame, key: str, names: list[str], rows: int) -> DataFrame:
+    """(shard, n, held): all rows in shards of about ``rows``, by hash of the key and ordered by it, so that a shard's rows
+    and their order don't depend on partitions; each as one block of numbers. Written once, read every round."""
+    shards = max(1, -(-scaled.count() // rows))
+    own = scaled.select(F.pmod(F.xxhash64(col(key)), F.lit(shards)).alias("shard"), F.md5(col(key).cast("string")).alias("place"), *map(col, names))
+
+    def block(pdf: pd.DataFrame) -> pd.DataFrame:
+        x = pdf.sort_values(["place", *names], kind="stable")[names].to_numpy(float)
+        return pd.DataFrame({"shard": pdf["shard"].iloc[:1], "n": [len(x)], "held": [x.tobytes()]})
+
+    return saved(own.groupBy("shard").applyInPandas(block, "shard long, n long, held binary"), "shards")
+
+
+def fit_autoencoder(scaled: DataFrame, key: str, names: list[str], seed: int = 42, epochs: int = 100, local: int = 5, shard_rows: int = 5_000, batch: int = 32, rate: float = 1e-3, patience: int = 2, held: float = 0.2) -> Autoencoder:
+    """Trained on all rows, round by round: every shard goes on from the broadcast weights and Adam's moments for ``local``
+    epochs of mini-batches, and the means of what shards come to, weighted by rows, are the next round's (parallel
+    optimisation by averaging, after Zinkevich et al., 2010, and McMahan et al., 2017). A fifth of each shard tells the loss;
+    the weights with the least are kept, and rounds end after ``patience`` of them without a better one. With one shard this
+    is training in one place. The driver gets one row for each weight."""
+    net = Autoencoder(len(names), seed=seed)
+    shards = sharded(scaled, key, names, shard_rows)
+    state = np.concatenate([net.vector(), np.zeros(2 * len(net.vector()))])
+    size, step, best, kept, waited = len(net.vector()), 0, math.inf, net.vector(), 0
+    width = len(names)
+
+    def round_of(sent, round_: int, epochs_: int, step_: int):
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            total = np.zeros(3 * size + 4)
+            for pdf in batches:
+                for shard, n, block in zip(pdf["shard"], pdf["n"], pdf["held"], strict=True):
+                    x = np.frombuffer(block).reshape(n, width)
+                    order = np.random.default_rng([seed, int(shard)]).permutation(n)
+                    cut = max(1, int(n * (1 - held)))
+                    train, check = x[order[:cut]], x[order[cut:]] if cut < n else x
+                    own = Autoencoder(width, seed=[seed, int(shard), round_]).load(sent.value[:size])
+                    tail = [n, own.loss(check), len(check), 0.0]
+                    first, second, after = own.train(train, (sent.value[size : 2 * size], sent.value[2 * size :]), step_, epochs_, batch, rate)
+                    tail[3] = n * after
+                    total += np.concatenate([n * own.vector(), n * first, n * second, tail])
+            yield pd.DataFrame({"place": np.arange(len(total)), "x": total})
+
+        return run
+
+    context = scaled.sparkSession.sparkContext
+    rounds = -(-epochs // local)
+    for k in range(rounds + 1):  # the last round only tells its loss
+        sent = context.broadcast(state)
+        found = shards.mapInPandas(round_of(sent, k, local if k < rounds else 0, step), "place long, x double").groupBy("place").agg(F.sum("x").alias("x")).toPandas()
+        total = np.zeros(3 * size + 4)
+        total[found["place"].to_numpy(int)] = found["x"].to_numpy(float)
+        rows, loss, checked, steps = total[-4:]
+        if not rows:
+            break
+        if loss / checked < best - 1e-12:
+            best, kept, waited = loss / checked, state[:size].copy(), 0
+        else:
+            waited += 1
+            if waited > patience:
+                break
+        state, step = total[: 3 * size] / rows, int(round(steps / rows))
+    return net.load(kept)
 
 
 def errors_by(df: DataFrame, key: str, names: list[str], rebuild) -> DataFrame:
@@ -170,9 +329,10 @@ def errors_by(df: DataFrame, key: str, names: list[str], rebuild) -> DataFrame:
     return out.select(col(key), (F.aggregate("squares", F.lit(0.0), lambda s, x: s + x) / len(names)).alias("error"), "squares")
 
 
-def autoencoder_errors(df: DataFrame, key: str, names: list[str], rows: int = 5_000, seed: int = 42, **options) -> DataFrame:
-    sample = sample_of(standardised(df, names, keep=[key]), key, names, rows)
-    net = Autoencoder(len(names), seed=seed).fit(sample, **options) if len(sample) else Autoencoder(len(names), seed=seed)
+def autoencoder_errors(df: DataFrame, key: str, names: list[str], seed: int = 42, **options) -> DataFrame:
+    """As errors_by, by an autoencoder trained on all rows; options are those of fit_autoencoder."""
+    ship(df.sparkSession)
+    net = fit_autoencoder(standardised(df, names, keep=[key]), key, names, seed, **options)
     return errors_by(df, key, names, lambda x: net.layers(x)[-1])
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from assay.functions.columns import as_rows, col, comparable
+from assay.functions.storage import saved
 from assay.operators.profile import frequencies, high_null, row_numbers
 
 LEAST_SHARE, FLOOR, FEW, HIGH_RATIO, NULL_WARNING, EXAMPLES = 0.01, 0.001, 5, 0.8, 0.5, 5
@@ -60,15 +61,22 @@ def chi_square(df: DataFrame, names: list[str], correct: bool = True) -> DataFra
     rows = F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), comparable(df, a).cast("string").alias("x"), comparable(df, b).cast("string").alias("y")) for a, b in pairs))
     cells = df.select(F.inline(rows)).where("x is not null and y is not null").groupBy("a", "b", "x", "y").agg(F.count("*").alias("n"))
     by = ["a", "b"]
+    cells = saved(cells, "cells")  # read for its margins too
     xs, ys = cells.groupBy(*by, "x").agg(F.sum("n").alias("nx")), cells.groupBy(*by, "y").agg(F.sum("n").alias("ny"))
-    total = cells.groupBy(*by).agg(F.sum("n").alias("total"))
-    sizes = xs.groupBy(*by).agg(F.count("*").alias("kx")).join(ys.groupBy(*by).agg(F.count("*").alias("ky")), by).join(total, by)
-    grid = xs.join(ys, by).join(cells, [*by, "x", "y"], "left").join(sizes, by)
+    sizes = xs.groupBy(*by).agg(F.count("*").alias("kx"), F.sum("nx").alias("total")).join(ys.groupBy(*by).agg(F.count("*").alias("ky")), by)
+    sizes = sizes.select(*by, "total", ((F.col("kx") - 1) * (F.col("ky") - 1)).alias("dof")).where("dof > 0")
+    sizes = F.broadcast(saved(sizes, "sizes"))  # a row for each pair of columns
     expected = F.col("nx") * F.col("ny") / F.col("total")
     gap = F.abs(F.coalesce("n", F.lit(0)) - expected)
-    dof = (F.col("kx") - 1) * (F.col("ky") - 1)
-    gap = F.when((dof == 1) & F.lit(correct), gap - F.least(F.lit(0.5), gap)).otherwise(gap)
-    return grid.groupBy(*by).agg(F.sum(gap * gap / expected).alias("chi_square"), F.first(dof).alias("dof")).where("dof > 0")
+    # A cell without rows adds its expected count, and all expected counts make the total: only cells with rows are needed.
+    seen = cells.join(xs, [*by, "x"]).join(ys, [*by, "y"]).join(sizes, by)
+    wide = seen.where("dof > 1") if correct else seen
+    out = wide.groupBy(*by).agg((F.first("total") + F.sum(gap * gap / expected - expected)).alias("chi_square"), F.first("dof").alias("dof"))
+    if not correct:
+        return out
+    grid = xs.join(sizes.where("dof = 1"), by).join(ys, by).join(cells, [*by, "x", "y"], "left")  # four cells a pair
+    narrow = gap - F.least(F.lit(0.5), gap)
+    return out.union(grid.groupBy(*by).agg(F.sum(narrow * narrow / expected).alias("chi_square"), F.first("dof").alias("dof")))
 
 
 def chi_square_tail(x: float, dof: int) -> float:

@@ -6,6 +6,7 @@ can't be applied gives a row with status 'failed' and the reason instead of bein
 
 from __future__ import annotations
 
+import re
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
@@ -16,7 +17,7 @@ from assay.operators.numeric import union_all
 from assay.operators.profile import cardinality, frequencies
 
 WEIGHTS = {"CRITICAL": 1.0, "HIGH": 0.8, "MEDIUM": 0.5, "LOW": 0.2, "INFO": 0.1}
-CONFIDENCE, FIRST_ROWS, DETECTED = 0.95, 100, 0.8
+CONFIDENCE, DETECTED = 0.95, 0.8
 RESULT = "check string, constraint_type string, columns string, severity string, n_violations long, n_rows long, violation_ratio double, status string, reason string"
 
 # What values of each kind look like, in the order in which they are tried.
@@ -50,8 +51,17 @@ def _finished(df: DataFrame) -> DataFrame:
     return df.select("check", "constraint_type", "columns", "severity", "n_violations", "n_rows", ratio.alias("violation_ratio"), F.lit("checked").alias("status"), F.lit(None).cast("string").alias("reason"))
 
 
+def listed(names) -> str:
+    """Names joined by commas; a comma of a name is marked, so that they can be told apart again."""
+    return ",".join(n.replace("\\", "\\\\").replace(",", "\\,") for n in names)
+
+
+def unlisted(columns: str) -> tuple[str, ...]:
+    return tuple(re.sub(r"\\(.)", r"\1", x) for x in re.findall(r"(?:[^,\\]|\\.)+", columns))
+
+
 def failed(df: DataFrame, check: str, kind: str, columns: list[str], reason: str) -> DataFrame:
-    return df.sparkSession.createDataFrame([(check, kind, ",".join(columns), "INFO", 0, 0, 0.0, "failed", reason)], RESULT)
+    return df.sparkSession.createDataFrame([(check, kind, listed(columns), "INFO", 0, 0, 0.0, "failed", reason)], RESULT)
 
 
 def uniqueness(df: DataFrame, names: list[str]) -> DataFrame:
@@ -139,13 +149,13 @@ def date_pairs(names: list[str]) -> list[tuple[str, str]]:
     return list(dict.fromkeys(found))
 
 
-def temporal_columns(df: DataFrame, rows: int = FIRST_ROWS) -> list[str]:
-    """Date and time columns, and string columns whose first present values are all dates."""
+def temporal_columns(df: DataFrame, least: float = CONFIDENCE) -> list[str]:
+    """Date and time columns, and string columns of whose present values at least ``least`` are dates: all count, in one
+    aggregation, so gaps and the order of rows change nothing and a few bad dates don't hide the column."""
     times, texts = columns_of(df, "datetime"), strings_of(df)
     if texts:
-        seen = df.select(*map(col, texts)).limit(rows)
-        one = seen.agg(*(F.count(col(n)).alias(f"n{i}") for i, n in enumerate(texts)), *(F.count(F.try_to_timestamp(col(n))).alias(f"t{i}") for i, n in enumerate(texts))).first()
-        times += [n for i, n in enumerate(texts) if one[f"n{i}"] and one[f"n{i}"] == one[f"t{i}"]]
+        one = df.agg(*(F.count(col(n)).alias(f"n{i}") for i, n in enumerate(texts)), *(F.count(F.try_to_timestamp(col(n))).alias(f"t{i}") for i, n in enumerate(texts))).first()
+        times += [n for i, n in enumerate(texts) if one[f"n{i}"] and one[f"t{i}"] >= least * one[f"n{i}"]]
     return times
 
 
@@ -166,14 +176,14 @@ def temporal_stats(df: DataFrame, names: list[str], now: str | None = None) -> D
 
 def date_order(df: DataFrame, pairs: list[tuple[str, str]] | None = None) -> DataFrame:
     pairs = pairs or date_pairs(temporal_columns(df))
-    return rows_of(df, [("date_order", "temporal", f"{a},{b}", "HIGH", as_time(df, a) > as_time(df, b)) for a, b in pairs])
+    return rows_of(df, [("date_order", "temporal", listed([a, b]), "HIGH", as_time(df, a) > as_time(df, b)) for a, b in pairs])
 
 
 def comparison(df: DataFrame, a: str, b: str, operator: str) -> DataFrame:
     names = [n for n in (a, b) if n not in df.columns]
     if names or operator not in COMPARE:
         return failed(df, "comparison", "cross_column", [a, b], f"no column {names[0]}" if names else f"no operator {operator}")
-    return rows_of(df, [("comparison", "cross_column", f"{a},{b}", "HIGH", ~COMPARE[operator](present(df, a), present(df, b)))])
+    return rows_of(df, [("comparison", "cross_column", listed([a, b]), "HIGH", ~COMPARE[operator](present(df, a), present(df, b)))])
 
 
 def sum_rule(df: DataFrame, parts: list[str], total: str, tolerance: float = 0.01) -> DataFrame:
@@ -182,7 +192,7 @@ def sum_rule(df: DataFrame, parts: list[str], total: str, tolerance: float = 0.0
         return failed(df, "sum", "cross_column", [*parts, total], f"no column {names[0]}")
     added = sum((F.coalesce(number(df, n), F.lit(0.0)) for n in parts), F.lit(0.0))
     whole = number(df, total)
-    return rows_of(df, [("sum", "cross_column", ",".join([*parts, total]), "HIGH", F.abs(added - whole) > tolerance * F.greatest(F.abs(whole), F.lit(1.0)))])
+    return rows_of(df, [("sum", "cross_column", listed([*parts, total]), "HIGH", F.abs(added - whole) > tolerance * F.greatest(F.abs(whole), F.lit(1.0)))])
 
 
 def rule(df: DataFrame, given: dict) -> DataFrame:
@@ -236,7 +246,7 @@ def dependencies(df: DataFrame, names: list[str] | None = None, size: int = 1, l
             continue
         groups = df.groupBy(*(comparable(df, d).alias(f"d{i}") for i, d in enumerate(det))).agg(*((F.min(comparable(df, n)) != F.max(comparable(df, n))).alias(f"b{i}") for i, n in enumerate(deps)))
         one = groups.agg(F.count("*").alias("n_groups"), *(F.count_if(F.col(f"b{i}")).alias(f"b{i}") for i in range(len(deps))))
-        rows = F.array(*(F.struct(F.lit(",".join(det)).alias("determinant"), F.lit(n).alias("dependent"), F.col(f"b{i}").alias("n_broken")) for i, n in enumerate(deps)))
+        rows = F.array(*(F.struct(F.lit(listed(det)).alias("determinant"), F.lit(n).alias("dependent"), F.col(f"b{i}").alias("n_broken")) for i, n in enumerate(deps)))
         parts.append(one.select("n_groups", F.inline(rows)))
     if not parts:
         return df.sparkSession.createDataFrame([], "determinant string, dependent string, n_groups long, n_broken long, confidence double")
@@ -247,7 +257,7 @@ def dependencies(df: DataFrame, names: list[str] | None = None, size: int = 1, l
 def dependency_violations(found: DataFrame) -> DataFrame:
     """Dependencies that nearly hold, as violations."""
     own = found.where("n_broken > 0")
-    return own.select(F.lit("functional_dependency").alias("check"), F.lit("functional_dependency").alias("constraint_type"), F.concat_ws(",", "determinant", "dependent").alias("columns"), F.when(F.col("confidence") > 0.99, "LOW").otherwise("MEDIUM").alias("severity"), F.col("n_broken").alias("n_violations"), F.col("n_groups").alias("n_rows"), (1 - F.col("confidence")).alias("violation_ratio"), F.lit("checked").alias("status"), F.lit(None).cast("string").alias("reason"))
+    return own.select(F.lit("functional_dependency").alias("check"), F.lit("functional_dependency").alias("constraint_type"), F.concat_ws(",", "determinant", F.replace(F.replace("dependent", F.lit("\\"), F.lit("\\\\")), F.lit(","), F.lit("\\,"))).alias("columns"), F.when(F.col("confidence") > 0.99, "LOW").otherwise("MEDIUM").alias("severity"), F.col("n_broken").alias("n_violations"), F.col("n_groups").alias("n_rows"), (1 - F.col("confidence")).alias("violation_ratio"), F.lit("checked").alias("status"), F.lit(None).cast("string").alias("reason"))
 
 
 def dependency_examples(df: DataFrame, determinant: str, dependent: str, most: int = 3, values: int = 5) -> DataFrame:
@@ -271,9 +281,16 @@ def consistency(violations: DataFrame) -> DataFrame:
     return one.select(F.round(score, 6).alias("consistency_score"), "total_violations", "critical", "high", "medium", "low", "info", risk.alias("risk_level"))
 
 
+#: Checks whose ``columns`` are listed names; the others have one column's name as it is.
+SEVERAL = ("date_order", "comparison", "sum", "functional_dependency")
+
+
 def column_scores(violations: DataFrame) -> DataFrame:
-    """(column, score): 1 less half of each ratio that a column takes part in, 0 at least; 4 decimals."""
-    own = violations.where("status = 'checked' and n_violations > 0").select(F.explode(F.split("columns", ",")).alias("column"), "violation_ratio")
+    """(column, score): 1 less half of each ratio that a column takes part in, 0 at least; 4 decimals. Rules given as SQL
+    name no columns of their own. Names are told apart at commas that aren't marked as theirs (see ``listed``)."""
+    plain = F.transform(F.regexp_extract_all("columns", F.lit(r"(?:[^,\\]|\\.)+"), F.lit(0)), lambda x: F.regexp_replace(x, r"\\(.)", "$1"))
+    names = F.when(F.col("check").isin(*SEVERAL), plain).otherwise(F.array("columns"))
+    own = violations.where("status = 'checked' and n_violations > 0 and check <> 'sql'").select(F.explode(names).alias("column"), "violation_ratio")
     return own.groupBy("column").agg(F.round(F.greatest(F.lit(0.0), 1 - F.sum(0.5 * F.col("violation_ratio"))), 4).alias("score"))
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from assay.functions.columns import col, columns_of, number
 from assay.functions.ranks import exact_quantiles
+from assay.functions.storage import saved
 from assay.operators.profile import high_cardinality
 
 REACH, CORRELATED, HIGH_RATIO, HIGH_UNIQUE = 1.5, 0.9, 0.85, 50
@@ -167,19 +168,31 @@ def deviations(df: DataFrame, keys: list[str], names: list[str], most: int = 5)
 
 
 def sampled(df: DataFrame, rows: int, key: str, by: str | None = None) -> DataFrame:
-    """About ``rows`` rows, the same ones each time; with ``by``, as many in proportion to each of its values."""
-    order = [F.xxhash64(col(key)), col(key)]
+    """About ``rows`` rows, the same ones each time; with ``by``, as many in proportion to each of its values, of which null
+    is one. A value's rows are those with the least hashes of the key: only rows below a bound that lets some more than
+    enough through are ranked. The bound is raised where it let too few through."""
     if by is None:
-        return df.orderBy(*order).limit(rows)
+        return df.orderBy(F.xxhash64(col(key)), col(key)).limit(rows)
     from assay.operators.profile import row_numbers
 
-    counts = df.groupBy(by).agg(F.count("*").alias("__n"))
-    total = counts.agg(F.sum("__n")).first()[0] or 0
+    place = F.xxhash64(col(key)) / F.lit(2.0**64) + 0.5
+    own = df.select(F.struct("*").alias("row"), col(key).alias("key"), col(by).alias("by"), place.alias("place"))
+    counts = own.groupBy("by").agg(F.count("*").alias("n"))
+    total = counts.agg(F.sum("n")).first()[0] or 0
     if total <= rows:
         return df
-    share = rows / total
-    ranked = df.join(counts, by).withColumn("__r", row_numbers(df, [by], order))
-    return ranked.where(F.col("__r") <= F.greatest(F.lit(1), F.round(F.col("__n") * share))).drop("__n", "__r")
+    quota = F.greatest(F.lit(1), F.round(F.col("n") * (rows / total)))
+    counts = saved(counts.select(F.col("by").alias("stratum"), "n", quota.alias("quota")), "strata")
+    own = own.join(counts, F.col("by").eqNullSafe(F.col("stratum")))
+    slack = 1.0
+    while True:
+        bound = (F.col("quota") + slack * (6 * F.sqrt("quota") + 20)) / F.col("n")
+        low = own.where((F.col("place") <= bound) | (bound >= 1))
+        if low.groupBy("stratum").agg(F.count("*").alias("k"), F.first("quota").alias("quota")).where("k >= quota").count() == counts.count():
+            break
+        slack *= 30
+    ranked = low.withColumn("rank", row_numbers(low, ["stratum"], [F.xxhash64("key"), F.col("key")]))
+    return ranked.where("rank <= quota").select("row.*")
 
 
 def mean_abs(df: DataFrame) -> DataFrame:

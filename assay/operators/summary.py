@@ -31,13 +31,14 @@ def overall_risk(summaries: dict[str, dict]) -> str:
     return next((name for name, least in (("critical", 3.5), ("high", 2.5), ("medium", 1.5), ("low", 0.5)) if level >= least), "none")
 
 
+# From which number on a component's result is a strength or a weakness.
 RULES: tuple[tuple[str, str, Callable[[float], bool], str, Callable[[float], bool], str], ...] = (
-    ("exact_duplicates", "duplicate_ratio", lambda v: v == 0, "No row repeats another.", lambda v: v > 0.01, "Rows repeat each other."),
-    ("missing_values", "num_columns_with_missing", lambda v: v == 0, "No value is missing.", lambda v: v > 3, "Values are missing in several columns."),
-    ("outliers", "outlier_ratio", lambda v: v < 0.05, "Few rows stand out from the others.", lambda v: v > 0.1, "Many rows stand out from the others."),
+    ("exact_duplicates", "duplicate_ratio", lambda v: v == 0, "No row repeats another.", lambda v: v > 0.05, "Rows repeat each other."),
+    ("missing_values", "num_columns_with_missing", lambda v: v <= 2, "Values are missing in two columns at most.", lambda v: v > 2, "Values are missing in several columns."),
+    ("outliers", "outlier_ratio", lambda v: v < 0.05, "Few rows stand out from the others.", lambda v: v > 0.2, "Many rows stand out from the others."),
     ("label_noise", "noise_ratio", lambda v: v < 0.05, "Labels agree with what the columns say.", lambda v: v > 0.1, "Many labels are doubtful."),
-    ("near_duplicates", "near_duplicate_ratio", lambda v: v < 0.005, "Rows are clearly different from each other.", lambda v: v > 0.02, "Many rows nearly repeat others."),
-    ("constraints", "consistency_score", lambda v: v >= 0.95, "Constraints hold.", lambda v: v < 0.85, "Constraints are broken."),
+    ("near_duplicates", "near_duplicate_ratio", lambda v: False, "", lambda v: v > 0.1, "Many rows nearly repeat others."),
+    ("constraints", "total_violations", lambda v: v == 0, "Constraints hold.", lambda v: v > 5, "Several constraints are broken."),
     ("quality", "data_readiness_score", lambda v: v >= 0.8, "The table is ready for use.", lambda v: v < 0.6, "The table is not ready for use."),
 )
 

@@ -11,6 +11,7 @@ from collections.abc import Callable
 from dataclasses import dataclass, field, fields
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from assay.functions.columns import col, columns_of, strings_of
 from assay.functions.storage import saved
@@ -127,42 +128,58 @@ class NearDuplicates(Component):
             raise Skipped("no column beside the key")
         found = context.tables["near_duplicate_pairs"] = saved(near_duplicates.pairs(context.frame, context.key, names, **options), "pairs")
         out = near_duplicates.summary(context.frame, found).first().asDict()
-        top = sorted(rows(near_duplicates.contributions(found, names)), key=lambda r: -r["contribution"])[:5]
-        return out | {"top_contributing_columns": top, "implications": near_duplicates.implications(out["near_duplicate_ratio"], out["total_pairs"]), "recommendations": near_duplicates.recommendations(out["near_duplicate_ratio"], out["cluster_count"])}
+        every = sorted(rows(near_duplicates.contributions(found, names)), key=lambda r: -r["contribution"])  # a row for each column
+        facts = out | {"n_rows": context.frame.count()}
+        texts = []
+        if context.config.explain:
+            top = found.orderBy(F.desc("similarity"), "a", "b").limit(3).collect()
+            held = {r[context.key]: r.asDict() for r in context.frame.where(col(context.key).isin([k for r in top for k in (r.a, r.b)])).collect()} if top else {}  # at most six rows
+            texts = [Explainer.shared().near_duplicate(held[r.a], held[r.b], r.similarity, [m for m in r.matching.split("|") if m]) for r in top]
+        return out | {"top_contributing_columns": every[:5], "implications": near_duplicates.implications(facts, every), "recommendations": near_duplicates.recommendations(out["near_duplicate_ratio"], facts), "example_texts": texts}
 
 
 @register
 class Outliers(Component):
     name = "outliers"
 
-    def analyze(self, context, **options):
+    def analyze(self, context, attribute=True, **options):
+        """attribute: outliers are explained by what features do to their paths in the forest, else by deviations."""
         names, gone = numeric.usable_columns(context.frame.select(*[c for c in context.names if c != context.key]))
         if not names:
             raise Skipped("no numeric column")
         scores = context.tables["outlier_scores"] = saved(anomalies.isolation_forest(context.frame, context.key, names, **options), "scores")
         flagged = scores.where("outlier")
         n, k = scores.count(), flagged.count()
-        why = numeric.deviations(context.frame, [context.key], names)
-        context.tables["outlier_reasons"] = flagged.join(why.withColumnRenamed("score", "deviation"), context.key)
-        first = rows(context.tables["outlier_reasons"].orderBy(context.key).limit(3))
+        if attribute:
+            fitted = {k: v for k, v in options.items() if k in ("trees", "rows", "seed")}
+            why = anomalies.forest_attributions(context.frame, context.key, names, flagged.select(context.key), **fitted)
+        else:
+            why = numeric.deviations(context.frame, [context.key], names).withColumnRenamed("score", "deviation")
+        context.tables["outlier_reasons"] = flagged.join(why, context.key)
+        first = rows(context.tables["outlier_reasons"].orderBy(context.key).limit(3)) if k else []
         shown = [c for c in context.names if c != context.key]
         shown = [c for c in shown if c not in profile.likely_identifiers(context.frame, shown)][:10]
         values = rows(context.frame.where(col(context.key).isin([r[context.key] for r in first])).select(col(context.key), *map(col, shown))) if first else []
-        return {"outlier_ratio": round(k / n, 5) if n else 0.0, "threshold": anomalies.CUT, "skipped_columns": gone, "example_outliers": first, "example_values": values}
+        by_key = {v[context.key]: v for v in values}
+        texts = [Explainer.shared().outlier({c: x for c, x in by_key[r[context.key]].items() if c != context.key}, r["score"], {f["feature"]: f["attribution" if attribute else "deviation"] for f in r["features"]}) for r in first] if context.config.explain else []
+        return {"outlier_ratio": round(k / n, 5) if n else 0.0, "threshold": anomalies.CUT, "skipped_columns": gone, "example_outliers": first, "example_values": values, "example_texts": texts}
 
 
 @register
 class CategoricalOutliers(Component):
     name = "categorical_outliers"
 
-    def analyze(self, context, **options):
+    def analyze(self, context, chi_square=False, null_above=categorical.NULL_WARNING, examples=categorical.EXAMPLES, **options):
+        """options: those of ``categorical.shares``, for all tables."""
         df = context.frame.select(*context.names)
         names = columns_of(df, "categorical", "datetime")
         if not names:
             return {"outlier_ratio": 0.0, "n_columns": 0, "skipped_columns": [], "example_outliers": []}
         context.tables["rare_values"] = categorical.rare_values(df, names, **options)
-        pairs = categorical.dependent_pairs(df, names) if options.get("chi_square") else []
-        return categorical.outlier_ratio(df, names).first().asDict() | {"skipped_columns": rows(categorical.skipped(df, names)), "warnings": rows(categorical.warnings(df, names)), "dependent_pairs": pairs, "example_outliers": rows(categorical.rare_examples(context.frame, names, context.key))[:5]}
+        gone = rows(categorical.skipped(df, names, options.get("most_ratio", categorical.HIGH_RATIO)))
+        used = [n for n in names if n not in {r["column"] for r in gone}]
+        pairs = categorical.dependent_pairs(df, used) if chi_square and len(used) > 1 else []
+        return categorical.outlier_ratio(df, names, **options).first().asDict() | {"skipped_columns": gone, "warnings": rows(categorical.warnings(df, names, null_above)), "dependent_pairs": pairs, "example_outliers": rows(categorical.rare_examples(context.frame, names, context.key, examples, **options))[:examples]}
 
 
 @register
@@ -187,7 +204,9 @@ class Reconstruction(Component):
                 raise Skipped("fewer than ten complete rows")
         errors = saved(anomalies.autoencoder_errors(frame, context.key, names, **options), "errors")
         high = context.tables["reconstruction_errors"] = anomalies.high_errors(errors, context.key)
-        return anomalies.error_summary(high).first().asDict() | {"skipped_columns": gone, "example_explanations": rows(anomalies.error_examples(high, context.key, names))[:3]}
+        some = rows(anomalies.error_examples(high, context.key, names))[:3]
+        texts = [Explainer.shared().anomaly(r["error"], {f["feature"]: f["squared_error"] for f in r["features"]}) for r in some] if context.config.explain else []
+        return anomalies.error_summary(high).first().asDict() | {"skipped_columns": gone, "example_explanations": some, "example_texts": texts}
 
 
 @register
@@ -198,7 +217,7 @@ class LabelNoise(Component):
         target = context.config.target_column
         if why := label_noise.why_skipped(context.frame.select(*context.names), target):
             raise Skipped(why)
-        df = numeric.sampled(context.frame, label_noise.SAMPLE, context.key, target)
+        df = numeric.sampled(context.frame.where(col(target).isNotNull()), label_noise.SAMPLE, context.key, target)
         probs, votes, labels, warned = label_noise.out_of_fold(df, context.key, target, [n for n in columns_of(df, "numeric") if n in context.names], **options)
         scores = context.tables["label_noise_scores"] = label_noise.noise_scores(probs)
         joint = saved(label_noise.confident_joint(probs, len(labels)), "joint")
@@ -233,13 +252,20 @@ class Constraints(Component):
         parts.append(c.dependency_violations(found))
         n_pairs = 0
         if max_determinant > 1 and len(names) > 2:
-            known = {((r["determinant"],), r["dependent"]) for r in found.collect()}  # pairs of columns
+            known = {(c.unlisted(r["determinant"]), r["dependent"]) for r in found.collect()}  # pairs of columns
             context.tables["dependencies_of_two"] = two = saved(c.dependencies(df, names, 2, known=known), "dependencies")
             n_pairs = two.count()
         broken = context.tables["violations"] = saved(numeric.union_all(parts), "violations")
         context.tables["dependencies"] = found
         score = c.consistency(broken).first().asDict()
-        return score | {"total_functional_dependencies": found.count() + n_pairs, "unique_columns": [r["column"] for r in c.unique_columns(df).collect()], "detected_patterns": rows(c.detected_patterns(df)) if strings_of(df) else [], "failed_rules": rows(broken.where("status = 'failed'").select("columns", "reason")), "example_violations": rows(broken.where("n_violations > 0").select("check", "columns", "severity", "n_violations").limit(5)), "violation_rows": c.examples(context.frame, context.key, parts, broken.where("n_violations > 0").collect(), 5), "recommendations": c.recommendations(score)}
+        texts = [n for n in strings_of(df) if n not in times]
+        if texts:
+            context.tables["rare_spellings"] = c.rare_values(df, texts)
+        context.tables["column_scores"] = c.column_scores(broken)
+        nearly = [r for r in found.where("n_broken > 0").orderBy(F.desc("confidence"), "determinant", "dependent").limit(3).collect() if len(c.unlisted(r["determinant"])) == 1]
+        shown = {f"{r['determinant']} -> {r['dependent']}": rows(c.dependency_examples(df, c.unlisted(r["determinant"])[0], r["dependent"])) for r in nearly}
+        told = {"temporal_statistics": rows(c.temporal_stats(df, times, now)) if times else [], "rare_values": rows(context.tables["rare_spellings"].limit(20)) if texts else [], "dependency_examples": shown, "column_scores": rows(context.tables["column_scores"])}
+        return score | told | {"total_functional_dependencies": found.count() + n_pairs, "unique_columns": [r["column"] for r in c.unique_columns(df).collect()], "detected_patterns": rows(c.detected_patterns(df)) if strings_of(df) else [], "failed_rules": rows(broken.where("status = 'failed'").select("columns", "reason")), "example_violations": rows(broken.where("n_violations > 0").select("check", "columns", "severity", "n_violations").orderBy(F.desc("n_violations"), "check", "columns").limit(5)), "violation_rows": c.examples(context.frame, context.key, parts, broken.where("n_violations > 0").collect(), 5), "recommendations": c.recommendations(score)}
 
 
 @register
@@ -327,9 +353,10 @@ class Analyzer:
         return self.source.info()
 
     def generate_report(self, path: str | None = None) -> str:
-        return html.write(self.context.results, path or self.config.output_path, self.config.report_title)
+        self.written = path or self.config.output_path
+        return html.write(self.context.results, self.written, self.config.report_title)
 
     def open_report(self) -> None:
         import webbrowser
 
-        webbrowser.open(self.config.output_path)
+        webbrowser.open(getattr(self, "written", self.config.output_path))

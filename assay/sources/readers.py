@@ -96,10 +96,33 @@ def sheet_rows(raw: bytes) -> list[list[str | None]]:
     return [r for r in rows if any(v is not None for v in r)]
 
 
+COLUMNS_OF_ROWS = "map<string,map<string,string>>"
+
+
+def read_json(spark: SparkSession, path: str, **options) -> DataFrame:
+    """Records, or a document that has each column as an object of row names and values. The latter is turned round: cells
+    are exploded and grouped again by row; a column gets the narrowest of long, double, boolean and string that holds all of
+    its values."""
+    plain = spark.read.options(**{"multiLine": True} | options).json
+    if str(options.get("multiLine", True)).lower() != "true":
+        return plain(path)
+    text = spark.read.text(path, wholetext=True)
+    whole = text.select("value", F.input_file_name().alias("file"), F.from_json("value", COLUMNS_OF_ROWS).alias("columns"))
+    turned = F.col("value").rlike(r"^\s*\{") & ~F.col("value").rlike(r"^\s*\{[^\n]*\}\s*\n\s*\{") & (F.size("columns") > 0) & F.forall(F.map_values("columns"), lambda m: m.isNotNull())
+    if not whole.agg(F.coalesce(F.bool_and(F.coalesce(turned, F.lit(False))), F.lit(False))).first()[0]:
+        return plain(path)
+    cells = whole.select("file", F.explode("columns").alias("column", "rows")).select("file", "column", F.posexplode("rows").alias("place", "row", "value"))
+    seen = cells.groupBy("column").agg(*(F.bool_and(F.col("value").isNull() | ok).alias(kind) for kind, ok in (("long", F.col("value").try_cast("long").isNotNull() & ~F.col("value").contains(".")), ("double", F.col("value").try_cast("double").isNotNull()), ("boolean", F.lower("value").isin("true", "false")))), F.count("value").alias("n"))
+    kinds = {r["column"]: next((k for k in ("long", "double", "boolean") if r["n"] and r[k]), "string") for r in seen.collect()}  # a row for each column
+    order = whole.select(F.posexplode(F.map_keys("columns")).alias("place", "column")).groupBy("column").agg(F.min("place").alias("place")).orderBy("place", "column").collect()
+    rows = cells.groupBy("file", "row").agg(*(F.first(F.when(F.col("column") == r["column"], F.col("value")), ignorenulls=True).try_cast(kinds.get(r["column"], "string")).alias(r["column"]) for r in order))
+    return rows.drop("file", "row") if not {"file", "row"} & set(kinds) else rows.select(*(rows[len(rows.columns) - len(order) + i] for i in range(len(order))))
+
+
 READERS = {
     ".csv": read_csv,
     ".parquet": lambda spark, path, **o: spark.read.options(**o).parquet(path),
-    ".json": lambda spark, path, **o: spark.read.options(**{"multiLine": True} | o).json(path),
+    ".json": read_json,
     ".orc": lambda spark, path, **o: spark.read.options(**o).orc(path),
     ".xlsx": read_excel,
 }
