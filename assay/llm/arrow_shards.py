@@ -1,13 +1,15 @@
 """Token ids as Arrow IPC files of fixed-size-list batches, and back.
 
-Documents are dealt to shards by ranges of doc_id, sorted, and each shard is one stream of ids cut into sequences of equal
+Documents are dealt to shards by ranges of doc_id and a hash of the text, as many as the texts' bytes make at ``shard_bytes``
+each, and sorted; each shard is one stream of ids cut into sequences of equal
 length: a file with the columns ids (fixed_size_list<uint16 or uint32>[length]) and mask (fixed_size_list<bool>[length], a
 bit for each id, false where the last sequence is filled up; lengths are multiples of 8), in batches of ``rows`` sequences. Sequence i is row i % rows of batch i // rows, so
 a memory-mapped reader reaches it without copying or reading the rest. A second file of the shard, with the ending
 .index.arrow, has (doc_id, start, n_tokens) of its documents. A task that is run again writes files of its own name; only
 those of the run that counted are read.
 
-Null texts are empty: only the end id. Very long texts run over as many sequences as they need. Null ids come first. Rows with equal ids are ordered by text, each is a document.
+Null texts are empty: only the end id. Very long texts run over as many sequences as they need. Null ids come first. Rows with equal ids are ordered by a
+hash of the text and by the text; each is a document, and they can be in several shards, so no id makes a shard large.
 An empty table gives no rows. Columns other than the id and the text are not read.
 """
 
@@ -28,6 +30,7 @@ from assay.llm.common import id_text, new_path, saved, ship, text_of, with_id
 from assay.llm.tokens import encoder
 
 AT_ONCE = 1000
+INDEX_ROWS = 65536
 
 
 def place(uri: str) -> tuple[fs.FileSystem, str]:
@@ -47,11 +50,16 @@ class ShardWriter:
         self.file = ipc.new_file(self.sink, self.schema)
         self.waiting, self.held, self.total = [], 0, 0
         self.index: list[tuple] = []
+        self.index_schema = pa.schema([(k, pa.int64()) for k in ("doc_id", "start", "n_tokens")])
+        self.index_sink = self.store.open_output_stream(f"{path}.index.arrow")
+        self.index_file = ipc.new_file(self.index_sink, self.index_schema)
 
     def add(self, doc_id, ids: np.ndarray) -> None:
         if len(ids) and int(ids.max()) > np.iinfo(self.dtype).max:
             raise ValueError(f"an id is too large for {self.dtype}")
         self.index.append((doc_id, self.total, len(ids)))
+        if len(self.index) == INDEX_ROWS:
+            self.flush_index()
         self.waiting.append(ids.astype(self.dtype))
         self.held += len(ids)
         self.total += len(ids)
@@ -70,13 +78,17 @@ class ShardWriter:
             self.file.write_batch(pa.record_batch(columns, schema=self.schema))
         self.waiting, self.held = [flat] if len(flat) else [], len(flat)
 
+    def flush_index(self) -> None:
+        columns = [pa.array([x[i] for x in self.index], pa.int64()) for i in range(3)]
+        self.index_file.write_batch(pa.record_batch(columns, schema=self.index_schema))
+        self.index = []
+
     def close(self) -> int:
         self.flush(True)
-        self.file.close()
-        self.sink.close()
-        table = pa.table({k: pa.array([x[i] for x in self.index], pa.int64()) for i, k in enumerate(("doc_id", "start", "n_tokens"))})
-        with self.store.open_output_stream(f"{self.path}.index.arrow") as sink, ipc.new_file(sink, table.schema) as file:
-            file.write_table(table, max_chunksize=65536)
+        if self.index:
+            self.flush_index()
+        for x in (self.file, self.sink, self.index_file, self.index_sink):
+            x.close()
         return self.total
 
 
@@ -116,11 +128,13 @@ class Shard:
                 yield doc_id, start, np.concatenate(parts) if len(parts) > 1 else parts[0]
 
 
-def write_shards(docs: DataFrame, folder: str, tokenizer: str, end_id: int, rule: str = "bytes", length: int = 2048, rows: int = 64, dtype: str = "uint16", id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def write_shards(docs: DataFrame, folder: str, tokenizer: str, end_id: int, rule: str = "bytes", length: int = 2048, rows: int = 64, dtype: str = "uint16", shard_bytes: int = 1 << 24, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """Writes the shards below folder. Returns (shard, path, n_docs, n_tokens), already computed; shard follows doc_id."""
     ship(docs.sparkSession)
     own = docs.select(F.col(id_column).cast("long").alias("doc_id"), text_of(text_column).alias("text"))
-    own = own.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text").withColumn("doc_id", id_text("doc_id"))
+    shards = max(1, -(-(own.agg(F.sum(F.octet_length("text") + 64)).first()[0] or 0) // shard_bytes))
+    own = own.withColumn("place", F.xxhash64("text")).repartitionByRange(shards, "doc_id", "place")
+    own = own.sortWithinPartitions("doc_id", "place", "text").select(id_text("doc_id").alias("doc_id"), "text")
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext

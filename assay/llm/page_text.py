@@ -13,7 +13,8 @@ Differencing alone is wrong where articles of a host share passages, and it can'
 page to page. So shared lines are deleted unless structure proves them text: lines in a heading, paragraph, list, quote,
 table or the like within an article element (or, without one, a main element) stay. Lines in elements that aren't article
 text (by tag, role, class or id) always go, and if a page has an article or main element, lines outside it go. If only class
-names and ids speak against all text of an article, they are not believed.
+names and ids speak against all text of an article, they are not believed. Within an article, ids of headings, paragraphs
+and the like don't count, as they are made from the text, and others only if all of their words are such names.
 
 What is aligned and moved between machines are 64-bit numbers of lines, with their lengths; texts stay where they are read,
 and are joined with the deleted places at the end (broadcast if these are few, else by page).
@@ -57,6 +58,9 @@ STARTS = ("advert", "breadcrumb", "comment", "cookie", "navig", "newsletter", "s
 TITLES = {"article", "content", "entry", "post", "story"}
 # Words that make a class name tell of a state (with-sidebar, comments-open), not of what an element is.
 STATE_STARTS, STATE_ENDS = {"has", "hide", "is", "no", "show", "with", "without"}, {"closed", "disabled", "enabled", "hidden", "off", "on", "open"}
+# Words of ids that articles have for their own sections as well, and words that only say what kind of element it is.
+UNCERTAIN = {"alert", "announcement", "copyright", "discussion", "notice", "notices", "promotion", "recommended", "related", "replies", "reply", "respond", "search", "share", "sharing", "skip", "social", "subscription"}
+STRUCTURE = {"area", "bar", "block", "body", "box", "container", "content", "form", "inner", "list", "main", "outer", "panel", "section", "thread", "top", "bottom", "wrap", "wrapper"}
 PROVEN = {"blockquote", "caption", "dd", "dt", "figcaption", "h1", "h2", "h3", "h4", "h5", "h6", "li", "p", "pre", "td", "th", "tr"}
 ARTICLE, PLAIN, BOILER = 2, 1, 0
 AT_ONCE = 256
@@ -82,7 +86,10 @@ def marked(name: str, attributes: str, within: bool, by_name: bool = True) -> bo
             words = re.findall(r"[a-z]+", re.sub(r"(?<=[a-z])(?=[A-Z])", " ", token).lower())
             if not words or len(words) > 1 and (words[0] in STATE_STARTS or words[-1] in STATE_ENDS):
                 continue
-            if any(w in MARKS or w.startswith(STARTS) for w in words):
+            marks = [w in MARKS or w.startswith(STARTS) for w in words]
+            if key == "id" and within and (name in PROVEN or name == "section" and set(words) <= UNCERTAIN | STRUCTURE or not all(m or w in STRUCTURE for w, m in zip(words, marks, strict=True))):
+                continue  # a heading's or section's own name
+            if any(marks):
                 against = True
             titled |= not set(words) - TITLES or name in ("article", "main") and bool(TITLES & set(words))
             header |= "header" in words
