@@ -8,14 +8,17 @@ from __future__ import annotations
 from collections.abc import Callable
 from itertools import chain
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from assay.functions.columns import col, columns_of, number
 from assay.functions.ranks import exact_quantiles
+from assay.functions.shipping import ship
 from assay.functions.storage import saved
 
-FLAG, LARGE, SAMPLE, PERMUTATIONS = 0.5, 20_000, 10_000, 20
+FLAG, LARGE, SAMPLE, PERMUTATIONS, MOST_CLASSES = 0.5, 20_000, 10_000, 20, 1000
 
 
 def own_p() -> Column:
@@ -87,27 +90,38 @@ def noise_type(matrix: list[list[float]]) -> tuple[str, float]:
     return "instance_dependent", 0.6
 
 
-def folds(df: DataFrame, k: int, seed: int = 42, size: int = 64) -> DataFrame:
-    """df (key, label, ...) with fold: each label's rows dealt in turn by hash, in groups so that no label is one task."""
+def folds(df: DataFrame, k: int, seed: int = 42, size: int | None = None, rows_each: int = 10_000) -> DataFrame:
+    """df (key, label, ...) with fold: each label's rows dealt in turn by hash, in groups of about rows_each (``size`` sets
+    their number), so that no label is one task."""
+    size = size or max(1, df.count() // rows_each)
     mark = F.xxhash64("key", F.lit(seed))
     group = F.pmod(mark, F.lit(size))
     place = F.row_number().over(Window.partitionBy("label", group).orderBy(mark, "key"))
     return df.withColumn("fold", F.pmod(place + group, F.lit(k)).cast("int"))
 
 
-def out_of_fold(df: DataFrame, key: str, target: str, names: list[str] | None = None, k: int | None = None, seed: int = 42, calibrate: bool = False) -> tuple[DataFrame, DataFrame, list[str], list[str]]:
-    """(probabilities, votes, label names, warnings) of an ensemble of Spark ML classifiers, each row by models that have
-    not seen it. Large tables get three folds and two classifiers. Rows without a label are left out."""
-    from pyspark.ml.classification import GBTClassifier, LogisticRegression, MultilayerPerceptronClassifier, RandomForestClassifier
-    from pyspark.ml.feature import StandardScaler, VectorAssembler
-    from pyspark.ml.functions import vector_to_array
-
+def prepared(df: DataFrame, key: str, target: str, names: list[str] | None = None) -> tuple[DataFrame, list, list[str]]:
+    """(key, label, x0, x1, ...) of the labelled rows, gaps filled with medians; the labels in order, and the columns' names."""
     names = [n for n in names or columns_of(df, "numeric") if n not in (target, key)]
+    labels = [r[0] for r in df.where(col(target).isNotNull()).select(col(target)).distinct().limit(MOST_CLASSES + 1).collect()]
+    if len(labels) > MOST_CLASSES:
+        raise ValueError(f"more than {MOST_CLASSES} different labels")
+    labels.sort()
     medians = exact_quantiles(df, [number(df, n) for n in names], [0.5])
-    labels = [r[0] for r in df.where(col(target).isNotNull()).select(col(target)).distinct().orderBy(col(target)).collect()]
     place = F.create_map(*chain.from_iterable((F.lit(v), F.lit(i)) for i, v in enumerate(labels)))
     own = df.where(col(target).isNotNull())
-    own = own.select(col(key).alias("key"), F.element_at(place, col(target)).cast("int").alias("label"), *(F.coalesce(number(df, n), F.lit(medians[i][0]).cast("double"), F.lit(0.0)).alias(f"x{i}") for i, n in enumerate(names)))
+    return own.select(col(key).alias("key"), F.element_at(place, col(target)).cast("int").alias("label"), *(F.coalesce(number(df, n), F.lit(medians[i][0]).cast("double"), F.lit(0.0)).alias(f"x{i}") for i, n in enumerate(names))), labels, names
+
+
+def out_of_fold(df: DataFrame, key: str, target: str, names: list[str] | None = None, k: int | None = None, seed: int = 42, calibrate: bool = True, boosts: int = 100) -> tuple[DataFrame, DataFrame, list[str], list[str]]:
+    """(probabilities, votes, label names, warnings) of an ensemble of Spark ML classifiers, each row by models that have
+    not seen it. Large tables get three folds and two classifiers, and aren't calibrated; a logistic regression isn't either.
+    With more than two labels, boosting is one against the rest. Rows without a label are left out."""
+    from pyspark.ml.classification import GBTClassifier, LogisticRegression, MultilayerPerceptronClassifier, OneVsRest, RandomForestClassifier
+    from pyspark.ml.feature import StandardScaler, VectorAssembler
+    from pyspark.ml.functions import vector_to_array
+
+    own, labels, names = prepared(df, key, target, names)
     n = own.count()
     large = n > LARGE
     k = k or (3 if large else 5)
@@ -118,20 +132,27 @@ def out_of_fold(df: DataFrame, key: str, target: str, names: list[str] | None =
     models = [("forest", RandomForestClassifier(numTrees=50 if large else 100, maxDepth=8 if large else 10, minInstancesPerNode=10 if large else 5, **forest)), ("logistic", LogisticRegression(labelCol="label", maxIter=500 if large else 1000))]
     if not large:
         models.append(("perceptron", MultilayerPerceptronClassifier(labelCol="label", layers=[len(names), 64, 32, len(labels)], seed=seed)))
-        if len(labels) == 2:
-            models.append(("boosted", GBTClassifier(maxIter=100, maxDepth=5, stepSize=0.1, **forest)))
+        boosted = GBTClassifier(maxIter=boosts, maxDepth=5, stepSize=0.1, **forest)
+        models.append(("boosted", boosted if len(labels) == 2 else OneVsRest(classifier=boosted, featuresCol="raw", labelCol="label", parallelism=2)))
     warned, made = [], []
     for name, model in models:
         try:
             parts = []
             for fold in range(k):
                 fitted = model.fit(ready.where(F.col("fold") != fold))
-                out = fitted.transform(ready.where(F.col("fold") == fold)).select("key", "label", vector_to_array("probability").alias("p"))
-                parts.append(calibrated(fitted, ready.where(F.col("fold") != fold), out) if calibrate and len(labels) == 2 else out)
+                told = fitted.transform(ready.where(F.col("fold") == fold))
+                if "probability" not in told.columns:  # margins of each label against the rest
+                    p = normalised(F.transform(vector_to_array("rawPrediction"), lambda m: 1 / (1 + F.exp(-2 * m))))
+                else:
+                    p = vector_to_array("probability")
+                parts.append(told.select("key", "label", "fold", p.alias("p")))
             every = parts[0]
             for x in parts[1:]:
                 every = every.union(x)
-            made.append(saved(every, f"probs-{name}"))
+            every = saved(every, f"probs-{name}")
+            if calibrate and name != "logistic" and not large:
+                every = saved(calibrated(every, k, len(labels)), f"calibrated-{name}")
+            made.append(every.select("key", "label", "p"))
         except Exception as e:  # one classifier that can't be fitted leaves the others
             warned.append(f"{name}: {type(e).__name__}")
     if not made:
@@ -144,15 +165,109 @@ def out_of_fold(df: DataFrame, key: str, target: str, names: list[str] | None =
     return saved(joint.select("key", "label", mean.alias("p")), "probs"), votes, labels, warned
 
 
-def calibrated(fitted, training: DataFrame, out: DataFrame) -> DataFrame:
-    """The second label's probability through an isotonic regression on the training rows."""
-    from pyspark.ml.functions import vector_to_array
-    from pyspark.ml.regression import IsotonicRegression
-
-    seen = fitted.transform(training).select(F.col("label").cast("double").alias("label"), vector_to_array("probability")[1].alias("features"))
-    curve = IsotonicRegression().fit(seen)
-    own = curve.transform(out.withColumn("features", F.get("p", F.lit(1))))
-    return own.select("key", "label", F.array(1 - F.col("prediction"), F.col("prediction")).alias("p"))
+def normalised(p: Column) -> Column:
+    """Parts of 1; equal ones where all are 0."""
+    total = F.aggregate(p, F.lit(0.0), lambda s, x: s + x)
+    return F.transform(p, lambda x: F.when(total > 0, x / total).otherwise(F.lit(1.0) / F.size(p)))
+
+
+def isotonic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """The non-decreasing values at sorted x that are nearest to y (pooling of adjacent violators)."""
+    level: list[list[float]] = []  # (mean, weight, how many)
+    for v, w in zip(y.tolist(), weight.tolist(), strict=True):
+        level.append([v, w, 1])
+        while len(level) > 1 and level[-2][0] >= level[-1][0]:
+            v2, w2, n2 = level.pop()
+            v1, w1, n1 = level[-1]
+            level[-1] = [(v1 * w1 + v2 * w2) / (w1 + w2), w1 + w2, n1 + n2]
+    return np.repeat([v for v, _, _ in level], [n for _, _, n in level])
+
+
+def calibrated(probs: DataFrame, k: int, classes: int, steps: int = 2000) -> DataFrame:
+    """probs (key, label, fold, p) by one isotonic curve for each fold and label, normalised. A fold's curves are fitted on the
+    out-of-fold probabilities of the other folds, so they have seen neither its rows nor a model's training rows. Curves are
+    made of the shares of rows with the label in ``steps`` steps of probability; one job fits all of them."""
+    ship(probs.sparkSession)
+    each = probs.select("fold", "label", F.posexplode("p").alias("class", "x"))
+    binned = each.groupBy("fold", "class", F.round(F.col("x") * steps).cast("int").alias("step")).agg(F.count("*").alias("n"), F.count_if(F.col("label") == F.col("class")).alias("hits"))
+    other = F.explode(F.filter(F.sequence(F.lit(0), F.lit(k - 1)), lambda f: f != F.col("fold"))).alias("fold")
+    sums = binned.select(other, "class", "step", "n", "hits").groupBy("fold", "class", "step").agg(F.sum("n").alias("n"), F.sum("hits").alias("hits"))
+
+    def curve(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("step")
+        y = isotonic(pdf["step"].to_numpy(float), (pdf["hits"] / pdf["n"]).to_numpy(float), pdf["n"].to_numpy(float))
+        return pd.DataFrame({"fold": pdf["fold"].iloc[:1], "class": pdf["class"].iloc[:1], "xs": [pdf["step"].to_numpy(float) / steps], "ys": [y]})
+
+    found = sums.groupBy("fold", "class").applyInPandas(curve, "fold int, class int, xs array<double>, ys array<double>").collect()  # at most steps points for each fold and label
+    curves = {(r["fold"], r["class"]): (np.array(r.xs), np.array(r.ys)) for r in found}
+    sent = probs.sparkSession.sparkContext.broadcast(curves)
+
+    @F.pandas_udf("array<double>")
+    def apply(fold: pd.Series, p: pd.Series) -> pd.Series:
+        x = np.stack(p.tolist()) if len(p) else np.zeros((0, classes))
+        out, own = x.copy(), fold.to_numpy()
+        for f in np.unique(own):
+            for c in range(classes):
+                if (f, c) in sent.value:
+                    out[own == f, c] = np.interp(x[own == f, c], *sent.value[f, c])
+        total = out.sum(1, keepdims=True)
+        return pd.Series(list(np.where(total > 0, out / np.where(total > 0, total, 1), 1 / classes)))
+
+    return probs.select("key", "label", "fold", apply("fold", "p").alias("p"))
+
+
+def one_against_rest(x: np.ndarray, y: np.ndarray, classes: int, penalty: float = 1.0, rounds: int = 12) -> np.ndarray:
+    """Weights of a logistic regression of each label against the rest, by Newton's method with a ridge; x ends with ones."""
+    out, ridge = np.zeros((x.shape[1], classes)), np.diag([*[penalty] * (x.shape[1] - 1), 1e-6])
+    for c in range(classes):
+        w, t = out[:, c], (y == c).astype(float)
+        for _ in range(rounds):
+            p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+            step = np.linalg.solve((x * (p * (1 - p) + 1e-6)[:, None]).T @ x + ridge, x.T @ (t - p) - ridge @ w)
+            w += step
+            if np.abs(step).max() < 1e-5:
+                break
+    return out
+
+
+def refitted_ratio(x: np.ndarray, y: np.ndarray, classes: int, k: int, seed, flag: float) -> float:
+    """The share of flagged rows by out-of-fold probabilities of a logistic regression on x and its squares."""
+    order = np.random.default_rng(seed).permutation(len(y))
+    fold = np.empty(len(y), int)
+    for c in range(classes):
+        own = order[y[order] == c]
+        fold[own] = np.arange(len(own)) % k
+    p = np.zeros((len(y), classes))
+    for f in range(k):
+        train, rest = fold != f, fold == f
+        if not rest.any():
+            continue
+        middle, wide = x[train].mean(0), x[train].std(0)
+        z = (x - middle) / np.where(wide > 0, wide, 1.0)
+        z = np.column_stack([z, np.clip(z, -4, 4) ** 2 - 1, np.ones(len(z))])
+        margin = 1 / (1 + np.exp(-np.clip(z[rest] @ one_against_rest(z[train], y[train], classes), -30, 30)))
+        p[rest] = margin / margin.sum(1, keepdims=True)
+    own = p[np.arange(len(y)), y]
+    others = np.where(np.arange(classes) == y[:, None], -1.0, p).max(1)
+    return float((np.maximum(others, 0) - own + 1 - own > flag).mean())
+
+
+def refitted_permutations(own: DataFrame, classes: int, rounds: int = PERMUTATIONS, k: int = 5, flag: float = FLAG, seed: int = 42) -> dict[int, float]:
+    """The share of flagged rows for the labels as they are (-1) and for each shuffle of them (0, 1, ...), each by models
+    fitted on those labels alone. own (key, label, x0, ...) is a bounded sample; a round is a group, all in one job."""
+    ship(own.sparkSession)
+    own = saved(own, "permute")
+    names = [c for c in own.columns if c.startswith("x")]
+    moved = shuffled_labels(own.select("key", "label"), rounds).union(own.select(F.lit(-1), "key", "label"))
+    rows = moved.join(own.select("key", F.array(*names).alias("x")), "key").select("round", "key", "label", "x")
+
+    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("key", kind="stable")
+        round_ = int(pdf["round"].iloc[0])
+        ratio = refitted_ratio(np.stack(pdf["x"].tolist()).astype(float), pdf["label"].to_numpy(int), classes, k, [seed, round_ + 1], flag)
+        return pd.DataFrame({"round": [round_], "ratio": [ratio]})
+
+    return {r["round"]: r["ratio"] for r in rows.groupBy("round").applyInPandas(fit, "round int, ratio double").collect()}
 
 
 def shuffled_labels(own: DataFrame, rounds: int, rows_each: int = 10_000, seed: int = 42) -> DataFrame:
@@ -196,6 +311,18 @@ def permutation_test(probs: DataFrame, rounds: int = PERMUTATIONS, least: int =
                 continue
     if len(found) < least:
         return nothing
+    return compared(observed, found)
+
+
+def refit_test(own: DataFrame, classes: int, rounds: int = PERMUTATIONS, least: int = 5) -> dict:
+    """As permutation_test, by models that are fitted again for each shuffle and, to be compared, for the labels as they are."""
+    if rounds < least:
+        return {"p_value": None, "significant": None, "null_mean": None, "null_std": None, "effect_size": None}
+    found = refitted_permutations(own, classes, rounds)
+    return compared(found.pop(-1), list(found.values()))
+
+
+def compared(observed: float, found: list[float]) -> dict:
     mean = sum(found) / len(found)
     spread = (sum((x - mean) ** 2 for x in found) / len(found)) ** 0.5
     p = sum(x <= observed for x in found) / len(found)
@@ -208,4 +335,4 @@ def why_skipped(df: DataFrame, target: str | None, least_rows: int = 10) -> str
     if not [n for n in columns_of(df, "numeric") if n != target]:
         return "no numeric feature"
     n, classes = df.where(col(target).isNotNull()).agg(F.count("*"), F.count_distinct(col(target))).first()
-    return "too few rows" if n < least_rows else "fewer than two classes" if classes < 2 else None
+    return "too few rows" if n < least_rows else "fewer than two classes" if classes < 2 else f"more than {MOST_CLASSES} classes" if classes > MOST_CLASSES else None

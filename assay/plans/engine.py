@@ -218,7 +218,8 @@ class LabelNoise(Component):
         if why := label_noise.why_skipped(context.frame.select(*context.names), target):
             raise Skipped(why)
         df = numeric.sampled(context.frame.where(col(target).isNotNull()), label_noise.SAMPLE, context.key, target)
-        probs, votes, labels, warned = label_noise.out_of_fold(df, context.key, target, [n for n in columns_of(df, "numeric") if n in context.names], **options)
+        names, permute = [n for n in columns_of(df, "numeric") if n in context.names], options.pop("permute", True)
+        probs, votes, labels, warned = label_noise.out_of_fold(df, context.key, target, names, **options)
         scores = context.tables["label_noise_scores"] = label_noise.noise_scores(probs)
         joint = saved(label_noise.confident_joint(probs, len(labels)), "joint")
         matrix = [[0.0] * len(labels) for _ in labels]
@@ -227,8 +228,13 @@ class LabelNoise(Component):
         kind, sure = label_noise.noise_type(matrix)
         n = probs.count()
         k = scores.where("flagged").count()
-        test = label_noise.permutation_test(probs) if 0 < k and n <= label_noise.LARGE and options.get("permute", True) else {"p_value": None, "effect_size": None}
-        return {"noise_ratio": round(k / n, 4), "noisy_rows": k, "noise_type": kind, "type_confidence": sure, "agreement": label_noise.agreement(votes).first()[0], "class_noise": {str(labels[r["label"]]): r["noise_rate"] for r in label_noise.class_noise(probs).collect()}, "noisy_examples": [r["key"] for r in scores.where("flagged").orderBy("key").limit(20).collect()], "mean_self_transition": sum(matrix[i][i] for i in range(len(labels))) / len(labels), "warnings": warned, **test}
+        test = label_noise.refit_test(label_noise.prepared(df, context.key, target, names)[0], len(labels)) if k and n <= label_noise.LARGE and permute else {"p_value": None, "effect_size": None}
+        told = []
+        if context.config.explain:
+            for r in probs.join(scores.where("flagged").select("key", "score"), "key").orderBy(F.desc("score"), "key").limit(3).collect():
+                likely = max((i for i in range(len(labels)) if i != r["label"]), key=lambda i: r["p"][i])
+                told.append(Explainer.shared().label_noise(labels[r["label"]], labels[likely], r["score"]))
+        return {"noise_ratio": round(k / n, 4), "noisy_rows": k, "noise_type": kind, "type_confidence": sure, "agreement": label_noise.agreement(votes).first()[0], "class_noise": {str(labels[r["label"]]): r["noise_rate"] for r in label_noise.class_noise(probs).collect()}, "noisy_examples": [r["key"] for r in scores.where("flagged").orderBy("key").limit(20).collect()], "mean_self_transition": sum(matrix[i][i] for i in range(len(labels))) / len(labels), "warnings": warned, "example_texts": told, **test}
 
 
 @register
