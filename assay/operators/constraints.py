@@ -18,6 +18,8 @@ from assay.operators.profile import cardinality, frequencies
 
 WEIGHTS = {"CRITICAL": 1.0, "HIGH": 0.8, "MEDIUM": 0.5, "LOW": 0.2, "INFO": 0.1}
 CONFIDENCE, DETECTED = 0.95, 0.8
+#: Candidate columns beyond which dependencies are first sketched; bits of a sketch's register number; deviations of safety.
+WIDE, SKETCH_BITS, SURE = 16, 12, 6
 RESULT = "check string, constraint_type string, columns string, severity string, n_violations long, n_rows long, violation_ratio double, status string, reason string"
 
 # What values of each kind look like, in the order in which they are tried.
@@ -237,11 +239,13 @@ def dependency_candidates(df: DataFrame) -> list[str]:
 def dependencies(df: DataFrame, names: list[str] | None = None, size: int = 1, least: float = CONFIDENCE, known: set[tuple[tuple, str]] = frozenset()) -> DataFrame:
     """(determinant, dependent, n_groups, n_broken, confidence): groups of equal determinants (missing ones are a group)
     in which a dependent has one value at most. One aggregation for each determinant finds all its dependents: a group
-    breaks the dependency where the least and the greatest value differ. Known dependencies of parts are left out."""
+    breaks the dependency where the least and the greatest value differ. Known dependencies of parts are left out, and of
+    tables with more than WIDE candidate columns those that sketches rule out (see ``plausible``)."""
     names = names or dependency_candidates(df)
     parts = []
+    some = plausible(df, names, size, least, known) if len(names) > WIDE else None
     for det in combinations(names, size):
-        deps = [n for n in names if n not in det and not any(((d,), n) in known for d in det)]
+        deps = [n for n in names if n not in det and not any(((d,), n) in known for d in det) and (some is None or (det, n) in some)]
         if not deps:
             continue
         groups = df.groupBy(*(comparable(df, d).alias(f"d{i}") for i, d in enumerate(det))).agg(*((F.min(comparable(df, n)) != F.max(comparable(df, n))).alias(f"b{i}") for i, n in enumerate(deps)))
@@ -254,6 +258,49 @@ def dependencies(df: DataFrame, names: list[str] | None = None, size: int = 1, l
     return every.where(F.col("confidence") >= least).select("determinant", "dependent", "n_groups", "n_broken", "confidence")
 
 
+def sketched(df: DataFrame, sets: list[tuple[str, ...]], at_once: int = 400) -> dict[tuple[str, ...], float]:
+    """About how many different values each set of columns has, missing ones being one; a scan for each ``at_once`` sets."""
+    out: dict[tuple[str, ...], float] = {}
+    for at in range(0, len(sets), at_once):
+        part = sets[at : at + at_once]
+        marks = [F.hll_sketch_estimate(F.hll_sketch_agg(F.xxhash64(*(F.coalesce(comparable(df, n).cast("string"), F.lit("\x00")) for n in s)), F.lit(SKETCH_BITS))).alias(f"s{i}") for i, s in enumerate(part)]
+        found = df.agg(*marks).first()
+        out |= {s: float(found[i] or 0) for i, s in enumerate(part)}
+    return out
+
+
+def plausible(df: DataFrame, names: list[str], size: int, least: float, known: set[tuple[tuple, str]] = frozenset()) -> set[tuple[tuple[str, ...], str]]:
+    """The dependencies (columns, column) that may hold for a share ``least`` of groups, by sketches of distinct counts.
+
+    If X has g groups and X with A has p, the p - g values beyond one for each group are in groups that break X -> A, at most
+    |A| - 1 in each: if (p - g) / (|A| - 1) is above the share that may break, the dependency is out. Counts are taken SURE
+    deviations of a sketch in the dependency's favour. Sets grow by a column a level: as a set has no fewer values than its
+    parts, sketches of pairs rule out most sets of three before these are sketched."""
+    margin = SURE * 1.04 / 2 ** (SKETCH_BITS / 2)
+    high, low = lambda x: x * (1 + margin), lambda x: x * (1 - margin)
+    counts = sketched(df, [(n,) for n in names] + list(combinations(names, 2)))
+    of = lambda *s: counts[tuple(sorted(s, key=names.index))]
+
+    def may(groups: float, pairs: float, values: float) -> bool:
+        return low(pairs) - high(groups) <= (1 - least) * high(groups) * max(1.0, high(values) - 1)
+
+    if size == 1:
+        return {((x,), a) for x in names for a in names if a != x and may(of(x), of(x, a), of(a))}
+    open_ = []
+    for det in combinations(names, size):
+        for a in names:
+            if a in det or any(((d,), a) in known for d in det):
+                continue
+            parts = [of(d, a) for d in det]
+            if size > 2 or may(of(*det), max(parts), of(a)):
+                open_.append((det, a))
+    if size > 2:
+        return set(open_)
+    triples = list(dict.fromkeys(tuple(sorted((*det, a), key=names.index)) for det, a in open_))
+    counts |= sketched(df, triples)
+    return {(det, a) for det, a in open_ if may(of(*det), of(*det, a), of(a))}
+
+
 def dependency_violations(found: DataFrame) -> DataFrame:
     """Dependencies that nearly hold, as violations."""
     own = found.where("n_broken > 0")

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from assay.functions.columns import col, columns_of, is_missing, number
+from assay.functions.storage import saved
 from assay.operators import categorical, duplicates, numeric, profile
 
 WEIGHTS = {"completeness": 0.25, "consistency": 0.20, "accuracy": 0.30, "uniqueness": 0.15, "validity": 0.10}
@@ -55,21 +56,29 @@ def composite(weights: dict[str, float] | None = None) -> Column:
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), mean))
 
 
-def bootstrap(df: DataFrame, key: str, replicates: int = REPLICATES, rows: int = BOOTSTRAP_ROWS, weights: dict[str, float] | None = None, seed: int = 42) -> DataFrame:
+def bootstrap(df: DataFrame, key: str, replicates: int = REPLICATES, rows: int = BOOTSTRAP_ROWS, weights: dict[str, float] | None = None, seed: int = 42, rows_each: int = 250_000) -> DataFrame:
     """(replicate, score): scores of resamples with replacement, from the features that a resample gives cheaply: missing
     cells, interquartile outliers of the first five numeric columns, and repeated rows. A resample of r rows is r draws of a
-    place among all rows; draws are hash formulas and meet the numbered rows in one join for all replicates."""
+    place among all rows, in order of a hash and the key; draws are hash formulas. Rows are sorted into ranges of about
+    ``rows_each``; a place is a range and a place in it, and the rows drawn are read from the written ranges by these two."""
     names = columns_of(df, "numeric")[:LIGHT_COLUMNS]
     own = df.select(F.conv(F.substring(F.md5(col(key).cast("string")), 1, 2), 16, 10).cast("int").alias("g"), col(key).alias("__key"), (sum((F.when(is_missing(df, c), 1.0).otherwise(0.0) for c in df.columns), F.lit(0.0)) / len(df.columns)).alias("gaps"), *(number(df, n).alias(f"x{i}") for i, n in enumerate(names)))
-    sizes = own.groupBy("g").agg(F.count("*").alias("k"))
-    before = sizes.withColumn("before", F.sum("k").over(Window.orderBy("g")) - F.col("k")).select("g", "before")  # one row a group
-    numbered = own.join(F.broadcast(before), "g").withColumn("at", F.row_number().over(Window.partitionBy("g").orderBy("__key")) - 1 + F.col("before"))
-    n = df.count()
-    spark = df.sparkSession
+    n, spark = df.count(), df.sparkSession
+    ranges = own.repartitionByRange(max(1, n // rows_each), "g", "__key").sortWithinPartitions("g", "__key")
+    # The number that Spark gives is that of the range, shifted by 33 bits, and the place in it.
+    numbered = saved(ranges.withColumn("at", F.monotonically_increasing_id()).drop("g", "__key"), "ranges")
+    sizes = sorted(tuple(r) for r in numbered.groupBy(F.shiftright("at", 33).alias("range")).agg(F.count("*").alias("n")).collect())  # a row for each range
+    starts, at = [], 0
+    for own_number, size in sizes:
+        starts.append((at, own_number))
+        at += size
+    held = F.array(*(F.struct(F.lit(a).cast("long").alias("start"), F.lit(r).cast("long").alias("range")) for a, r in starts)) if starts else F.array().cast("array<struct<start:bigint,range:bigint>>")
     size = min(rows, n)
     draws = spark.range(replicates).select(F.col("id").cast("int").alias("replicate")).crossJoin(spark.range(size).select(F.col("id").alias("draw")))
     draws = draws.withColumn("at", F.conv(F.substring(F.md5(F.concat_ws("|", F.col("replicate").cast("string"), F.col("draw").cast("string"), F.lit(str(seed)))), 1, 13), 16, 10).cast("long") % F.lit(max(1, n)))
-    drawn = draws.join(numbered, "at")
+    own_range = F.element_at(F.filter(held, lambda s: s["start"] <= F.col("at")), -1)
+    draws = draws.withColumn("own", own_range).withColumn("at", F.shiftleft(F.col("own.range"), 33) + F.col("at") - F.col("own.start")).drop("own")
+    drawn = saved(numbered.join(F.broadcast(draws), "at"), "drawn")  # replicates * rows draws
     fences = [F.percentile(f"x{i}", F.array(F.lit(0.25), F.lit(0.75))).alias(f"q{i}") for i in range(len(names))]
     one = drawn.groupBy("replicate").agg(F.count("*").alias("n"), F.count_distinct("at").alias("different"), F.avg("gaps").alias("missing_cells"), *fences)
     both = drawn.join(F.broadcast(one), "replicate")  # a row for each replicate

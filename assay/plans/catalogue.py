@@ -593,9 +593,9 @@ def iforest_scores(spark, d):
 
 @query()
 def forest_attributions(spark, d):
-    own = table(spark, d, "orders")
-    scores = saved(anomalies.isolation_forest(own, "o_orderkey", O_NUMBERS), "scores")
-    return anomalies.forest_attributions(own, "o_orderkey", O_NUMBERS, scores.where("outlier").select("o_orderkey"))
+    own, names = table(spark, d, "orders"), ["o_custkey", "o_totalprice"]
+    scores = saved(anomalies.isolation_forest(own, "o_orderkey", names), "scores")
+    return anomalies.forest_attributions(own, "o_orderkey", names, scores.where("outlier").select("o_orderkey"))
 
 
 PCA = "WITH s AS (SELECT avg(o_custkey) AS ma, stddev_pop(o_custkey) AS sa, avg(o_totalprice) AS mb, stddev_pop(o_totalprice) AS sb, corr(o_custkey, o_totalprice) AS r FROM orders), e AS (SELECT o_orderkey, pow(((o_custkey - ma) / sa - CASE WHEN r < 0 THEN -1 ELSE 1 END * (o_totalprice - mb) / sb) / 2, 2) AS error FROM orders, s), t AS (SELECT quantile_cont(error, 0.95) AS threshold FROM e)"
