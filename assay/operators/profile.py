@@ -43,10 +43,15 @@ def memory(df: DataFrame) -> DataFrame:
     return one.select(F.inline(rows))
 
 
-def cardinality(df: DataFrame, names: list[str] | None = None) -> DataFrame:
+def cardinality(df: DataFrame, names: list[str] | None = None, approximate: bool = False) -> DataFrame:
     """(column, n_rows, n_present, n_unique, uniqueness_ratio, potential_identifier, low_cardinality). Distinct counts go
-    through the table ``DISTINCT_AT_ONCE`` columns at a time, as each of them multiplies the rows."""
+    through the table ``DISTINCT_AT_ONCE`` columns at a time, as each of them multiplies the rows; approximate ones are
+    sketches of all columns in one pass."""
     names = names or df.columns
+    if approximate:
+        from assay.operators.sketches import approximate_cardinality
+
+        return judged(approximate_cardinality(df, names))
     parts = []
     for at in range(0, len(names), DISTINCT_AT_ONCE):
         some = names[at : at + DISTINCT_AT_ONCE]
@@ -55,7 +60,10 @@ def cardinality(df: DataFrame, names: list[str] | None = None) -> DataFrame:
             sums += [F.count(comparable(df, n)).alias(f"p{i}"), F.count_distinct(comparable(df, n)).alias(f"u{i}")]
         rows = F.array(*(F.struct(F.lit(n).alias("column"), F.lit(at + i).alias("position"), F.col(f"p{i}").alias("n_present"), F.col(f"u{i}").alias("n_unique")) for i, n in enumerate(some)))
         parts.append(df.agg(*sums).select("n_rows", F.inline(rows)))
-    every = reduce(DataFrame.union, parts)
+    return judged(reduce(DataFrame.union, parts))
+
+
+def judged(every: DataFrame) -> DataFrame:
     ratio = F.coalesce(F.round(F.try_divide(F.col("n_unique"), F.col("n_rows")), 5), F.lit(0.0))
     exact = F.coalesce(F.try_divide(F.col("n_unique"), F.col("n_rows")), F.lit(0.0))
     return every.select("column", "n_rows", "n_present", "n_unique", ratio.alias("uniqueness_ratio"), ((exact > IDENTIFIER_RATIO) & (F.col("n_unique") > IDENTIFIER_UNIQUE)).alias("potential_identifier"), (F.col("n_unique") < LOW_UNIQUE).alias("low_cardinality"))

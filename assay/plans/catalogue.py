@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from assay.functions.graph import components
 from assay.functions.storage import saved
-from assay.operators import anomalies, categorical, constraints, duplicates, label_noise, near_duplicates, numeric, profile, quality, summary
+from assay.operators import anomalies, categorical, constraints, duplicates, label_noise, near_duplicates, numeric, profile, quality, sketches, summary
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -591,6 +591,21 @@ def iforest_scores(spark, d):
     return anomalies.isolation_forest(table(spark, d, "lineitem").withColumn("k", F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")), "k", ["l_quantity", "l_extendedprice", "l_discount", "l_tax"])
 
 
+@query(union(f"SELECT '{c}' AS \"column\", count(*) AS n_rows, count({c}) AS n_present, round(avg({c}::DOUBLE), 6) AS mean, min({c})::DOUBLE AS least, max({c})::DOUBLE AS greatest, TRUE AS near FROM lineitem" for c in L_NUMBERS))
+def sketched_profile(spark, d):
+    """near: distinct counts within 4 standard errors of the exact ones, percentiles within 2 % of ranks."""
+    own = sketches.sketched_profile(spark, f"{d}/lineitem.parquet").where(F.col("column").isin(L_NUMBERS))
+    exact = profile.cardinality(table(spark, d, "lineitem"), L_NUMBERS).select("column", F.col("n_unique").alias("unique"))
+    from assay.functions.ranks import exact_quantiles
+
+    sides = exact_quantiles(table(spark, d, "lineitem"), [F.col(c).cast("double") for c in L_NUMBERS], [x for p in sketches.PERCENTS for x in (max(0.0, p - 0.02), min(1.0, p + 0.02))])
+    ends = F.element_at(F.create_map(*(x for c, s in zip(L_NUMBERS, sides, strict=True) for x in (F.lit(c), F.array(*map(F.lit, s))))), F.col("column"))
+    near = F.abs(F.col("n_unique") - F.col("unique")) <= 4 * 1.04 / 2 ** (sketches.BITS / 2) * F.col("unique")
+    for k, p in enumerate(sketches.PERCENTS):
+        near &= F.col(f"p{round(100 * p)}").between(F.get(ends, F.lit(2 * k)), F.get(ends, F.lit(2 * k + 1)))
+    return rounded(own.join(exact, "column").select("column", "n_rows", "n_present", "mean", "least", "greatest", near.alias("near")))
+
+
 @query()
 def forest_attributions(spark, d):
     own, names = table(spark, d, "orders"), ["o_custkey", "o_totalprice"]

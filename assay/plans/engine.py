@@ -19,6 +19,7 @@ from assay.operators import anomalies, categorical, constraints, duplicates, lab
 from assay.report import html
 from assay.report.explain import Explainer
 from assay.sources.readers import Source, with_row_id
+from assay.sources.results import ResultStore
 
 
 @dataclass
@@ -355,6 +356,10 @@ class Analyzer:
     def table(self, name: str) -> DataFrame:
         return self.context.tables[name]
 
+    def save(self, folder: str, run: str | None = None) -> str:
+        """Writes all results and tables as one run of a ResultStore, whose name is returned."""
+        return ResultStore(self.context.frame.sparkSession, folder).save(self.context.results, self.context.tables, run)
+
     def info(self) -> dict:
         return self.source.info()
 
