@@ -183,6 +183,8 @@ def forest_attributions(df: DataFrame, key: str, names: list[str], keys: DataFra
     grown, size = fit_forest(scaled, key, names, trees, rows, seed)
     sent = df.sparkSession.sparkContext.broadcast(grown)
     asked = scaled.join(keys.select(col(key)).distinct(), key, "left_semi") if keys is not None else scaled
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    asked = asked.repartition(tasks, key)  # narrow rows, much work for each
 
     @F.pandas_udf("array<double>")
     def parts(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
