@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from assay.functions.graph import components
 from assay.functions.storage import saved
-from assay.operators import anomalies, categorical, constraints, duplicates, label_noise, near_duplicates, numeric, profile, quality, sketches, summary
+from assay.operators import anomalies, categorical, constraints, dense_duplicates, duplicates, label_noise, near_duplicates, numeric, profile, quality, sketches, summary
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -606,6 +606,11 @@ def sketched_profile(spark, d):
     return rounded(own.join(exact, "column").select("column", "n_rows", "n_present", "mean", "least", "greatest", near.alias("near")))
 
 
+@query()
+def dense_near_duplicates(spark, d):
+    return rounded(dense_duplicates.dense_pairs(table(spark, d, "documents").withColumn("row", F.concat_ws("-", "doc_id", F.crc32("text"))), "row", ["text", "lang"]))
+
+
 @query()
 def forest_attributions(spark, d):
     own, names = table(spark, d, "orders"), ["o_custkey", "o_totalprice"]
