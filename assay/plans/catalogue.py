@@ -608,7 +608,7 @@ def sketched_profile(spark, d):
 
 @query()
 def dense_near_duplicates(spark, d):
-    return rounded(dense_duplicates.dense_pairs(table(spark, d, "documents").withColumn("row", F.concat_ws("-", "doc_id", F.crc32("text"))), "row", ["text", "lang"]))
+    return rounded(dense_duplicates.dense_pairs(table(spark, d, "part"), "p_partkey", ["p_name", "p_brand", "p_type"]))
 
 
 @query()
