@@ -7,7 +7,8 @@ and each kind of bin is used as often as the counts allow. So the corpus is pack
 driver holds no more than the histogram and the kinds of bins. Pieces are then numbered within their length (common
 lengths in many groups, so none is one task) and the number says which bin of which kind, and where in it.
 
-Only documents longer than the capacity are cut, into pieces of the capacity; the last may be shorter. Null texts are
+Pieces of equal length go by id, piece and checksum; which of equal ones is first makes no difference. Only documents longer
+than the capacity are cut, into pieces of the capacity; the last may be shorter. Null texts are
 empty: one piece with the end id alone. Repeated rows and ids are each packed. An empty table gives no rows. Columns other
 than the id and the text are not read.
 """
