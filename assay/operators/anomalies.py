@@ -65,17 +65,20 @@ def packed(trees: list[dict]) -> dict[str, np.ndarray]:
     return out | {"feature": np.maximum(out["feature"], 0), "roots": starts, "depth": np.array(max(math.ceil(math.log2(max(2, t["rows"][0]))) for t in trees))}
 
 
-def forest_scores(held: dict[str, np.ndarray], size: int, x: np.ndarray, at_once: int = 2048) -> np.ndarray:
+def forest_scores(held: dict[str, np.ndarray], size: int, x: np.ndarray, at_once: int = 64) -> np.ndarray:
     """2 ** (-mean path / path_length(size)): near 1 for rows that are soon alone. All rows of a part go down all trees
     together, a level at a time."""
     out = np.empty(len(x))
+    feature, children = held["feature"].astype(np.int32), np.stack([held["left"], held["right"]], axis=1).astype(np.int32).ravel()
+    roots, width = held["roots"].astype(np.int32), x.shape[1]
     for a in range(0, len(x), at_once):
-        part = x[a : a + at_once]
-        rows = np.arange(len(part))[:, None]
-        at = np.tile(held["roots"], (len(part), 1))
+        part = np.ascontiguousarray(x[a : a + at_once])
+        values, starts = part.ravel(), (np.arange(len(part), dtype=np.int32) * width)[:, None]
+        at = np.tile(roots, (len(part), 1))
         for _ in range(int(held["depth"])):
-            at = np.where(part[rows, held["feature"][at]] <= held["cut"][at], held["left"][at], held["right"][at])
-        out[a : a + at_once] = held["path"][at].mean(axis=1)
+            right = values.take(starts + feature.take(at)) > held["cut"].take(at)
+            at = children.take(2 * at + right)
+        out[a : a + at_once] = held["path"].take(at).mean(axis=1)
     return 2.0 ** (-out / max(float(path_length(size)), 1e-12))
 
 
