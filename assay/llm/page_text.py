@@ -6,7 +6,8 @@ its nearest neighbour by longest common subsequence; lines that both have are th
 A neighbour that is a copy says nothing about the site and is passed over for the next. Copies have equal unmarked texts, or
 nine tenths of the page's text in lines that are rare on the host (that no more than half of its different texts have).
 Pages with equal texts side by side count as one place. Pages up to ``reach`` places away are looked at first; hosts with a
-page that has only copies there are read again with a longer reach, until a page that isn't a copy or the host's end.
+page that has only copies there are read again with a longer reach, until a page that isn't a copy or the host's end. Of
+copies side by side those are passed over together that lack no more than a tenth of the page's rare text between them.
 Ranges also get the pages of their first and last host that lie beyond their bounds, so results don't depend on the bounds.
 
 Differencing alone is wrong where articles of a host share passages, and it can't see adverts or comments that differ from
@@ -31,9 +32,10 @@ from __future__ import annotations
 import hashlib
 import html as entities
 import re
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections import Counter, defaultdict, deque
 from collections.abc import Hashable, Iterator
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pandas as pd
@@ -64,6 +66,7 @@ STRUCTURE = {"area", "bar", "block", "body", "box", "container", "content", "for
 PROVEN = {"blockquote", "caption", "dd", "dt", "figcaption", "h1", "h2", "h3", "h4", "h5", "h6", "li", "p", "pre", "td", "th", "tr"}
 ARTICLE, PLAIN, BOILER = 2, 1, 0
 AT_ONCE = 256
+AT_HAND = 4  # places on either side whose pages are compared one by one before lines are looked up
 WIDER = 8  # how many times as far pages are looked for if all nearer ones are copies
 SITE, NEAR, OWN = 0, 1, 2
 LINE = np.dtype([("number", "<i8"), ("size", "<i4"), ("kind", "u1")])
@@ -325,35 +328,115 @@ class Run:
         self.number, self.rows = number, []
 
 
-def is_copy(run: Run, rare: dict[int, int], other: Run, page: Numbers) -> bool:
-    """Whether another page has nine tenths of the text that is rare on the host, or all of the unmarked text."""
-    if run.number == other.number:
-        return True
+class Places:
+    """Where lines that several pages have stand in a row of pages, as stretches of places side by side that have them."""
+
+    def __init__(self, pages: list[Numbers]):
+        self.stretches: dict[int, tuple[list[int], list[int]]] = {}
+        sets = [set(p.numbers) for p in pages]
+        times = Counter(line for lines in sets for line in lines)
+        for at, lines in enumerate(sets):
+            for line in lines:
+                if times[line] < 2:
+                    continue
+                starts, ends = self.stretches.setdefault(line, ([], []))
+                if ends and ends[-1] == at:
+                    ends[-1] = at + 1
+                else:
+                    starts.append(at)
+                    ends.append(at + 1)
+
+    def lacking(self, line: int, at: int) -> int:
+        """The first place from at on that hasn't the line."""
+        starts, ends = self.stretches.get(line, ((), ()))
+        k = bisect_right(starts, at) - 1
+        return max(at, ends[k]) if k >= 0 else at
+
+    def first_other(self, rare: dict[int, int], at: int, end: int) -> int:
+        """The first place from at to end that lacks more than a tenth of the rare text; end if there is none. Places are
+        passed over together as long as all lines that any of them lacks are no more than a tenth."""
+        total, never = sum(rare.values()), sum(n for line, n in rare.items() if line not in self.stretches)
+        if not rare or 10 * never > total:
+            return at
+        gaps = [(self.lacking(line, at), line) for line in rare if line in self.stretches]
+        heapify(gaps)
+        while gaps:
+            met, lacked = [], never
+            while gaps and 10 * lacked <= total:
+                at, line = heappop(gaps)
+                lacked += rare[line]
+                met.append((at, line))
+            if 10 * lacked <= total or at >= end:
+                return end
+            while gaps and gaps[0][0] == at:
+                met.append(heappop(gaps))
+            if 10 * (never + sum(rare[line] for _, line in met if self.lacking(line, at) == at)) > total:
+                return at
+            for _, line in met:
+                heappush(gaps, (self.lacking(line, at + 1), line))
+        return end
+
+
+class Nearest:
+    """Finds the nearest place whose page is not a copy, up to reach places away on either side; the left one of two."""
+
+    def __init__(self, runs: list[Run], reach: int):
+        self.reach, self.n = reach, len(runs)
+        self.before, self.after = [r.rows[-1][1] for r in reversed(runs)], [r.rows[0][1] for r in runs]  # as met on the way
+        self.sides: tuple[Places, Places] | None = None
+
+    def other(self, i: int, rare: dict[int, int]) -> Numbers | None:
+        total = sum(rare.values())
+        for d in range(1, min(self.reach, AT_HAND) + 1):
+            for pages, at in ((self.before, self.n - 1 - i + d), (self.after, i + d)):
+                if at < self.n and (not rare or 10 * lacking(rare, pages[at]) > total):
+                    return pages[at]
+        if self.reach <= AT_HAND:
+            return None
+        if self.sides is None:
+            self.sides = Places(self.before), Places(self.after)
+        here = self.n - 1 - i
+        ends = [min(self.n, at + self.reach + 1) for at in (here, i)]
+        left, right = (side.first_other(rare, at + AT_HAND + 1, end) for side, at, end in zip(self.sides, (here, i), ends, strict=True))
+        if left < ends[0] and (left - here <= right - i or right >= ends[1]):
+            return self.before[left]
+        return self.after[right] if right < ends[1] else None
+
+
+def lacking(rare: dict[int, int], page: Numbers) -> int:
+    """How much of the rare text a page hasn't; no more than a tenth makes it a copy, as do equal unmarked texts."""
     there = set(page.numbers)
-    return bool(rare) and 10 * sum(n for line, n in rare.items() if line in there) >= 9 * sum(rare.values())
+    return sum(n for line, n in rare.items() if line not in there)
+
+
+def texts_near(runs: list[Run], reach: int, first: int, end: int) -> Iterator[int]:
+    """How many different texts there are up to reach places around each of the runs first to end."""
+    held = Counter(r.number for r in runs[max(0, first - reach) : first + reach])
+    for i in range(first, end):
+        if i + reach < len(runs):
+            held[runs[i + reach].number] += 1
+        yield len(held)
+        if i >= reach:
+            gone = runs[i - reach].number
+            held[gone] -= 1
+            if not held[gone]:
+                del held[gone]
 
 
 def differenced(runs: list[Run], common: set[int], texts: int, reach: int, first: int, end: int) -> Iterator[tuple[tuple, list[int], bool]]:
     """(row, places of deleted lines, settled) of the pages of runs first to end. Not settled: all texts up to reach places
-    away are copies, and the host has more."""
-    for i in range(first, end):
-        run = runs[i]
-        page = run.rows[0][1]
+    away are copies, and the host has more. Neighbouring runs differ in their texts."""
+    nearest = Nearest(runs, reach)
+    for i, seen in zip(range(first, end), texts_near(runs, reach, first, end), strict=True):
+        page = runs[i].rows[0][1]
         rare: Counter[int] = Counter()
         for line, kind, size in zip(page.numbers, page.kinds, page.sizes, strict=True):
             if kind != BOILER and line not in common:
                 rare[line] += size
-        near = sorted((j for j in range(max(0, i - reach), min(len(runs), i + reach + 1)) if j != i), key=lambda j: (abs(j - i), j))
-        other = None
-        for j in near:
-            there = runs[j].rows[-1 if j < i else 0][1]
-            if not is_copy(run, rare, runs[j], there):
-                other = there.numbers
-                break
-        settled = other is not None or len({runs[j].number for j in near} | {run.number}) >= texts
-        for row, page in run.rows:
-            shared = common_lines(page.numbers, other) if other is not None else []
-            yield row, [k for k in shared if page.kinds[k] == PLAIN], settled
+        found = nearest.other(i, rare)
+        for row, page in runs[i].rows:
+            shared = common_lines(page.numbers, found.numbers) if found else []
+            yield row, [k for k in shared if page.kinds[k] == PLAIN], found is not None or seen >= texts
 
 
 def runs_of(pages: list[Numbers]) -> list[Run]:
@@ -465,7 +548,8 @@ def deleted_lines(numbered: DataFrame, rows_each: int, reach: int) -> DataFrame:
     sites = saved(sizes.join(common, "host", "left"), "sites")
 
     def extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Holds no more than AT_ONCE runs of pages and their neighbours."""
+        """Holds no more than AT_ONCE runs of pages, or as many as half the reach, and their neighbours."""
+        step = max(AT_ONCE, wide // 2)  # lines are looked up in a table of all runs held: fewer of them with a longer reach
         runs: list[Run] = []
         common: set[int] = set()
         at, first, texts = None, 0, 0
@@ -484,7 +568,7 @@ def deleted_lines(numbered: DataFrame, rows_each: int, reach: int) -> DataFrame:
                     common, texts = set() if lines is None else set(lines), int(n)
                     continue
                 if not runs or runs[-1].number != number:
-                    if len(runs) >= first + AT_ONCE + wide:
+                    if len(runs) >= first + step + wide:
                         end = len(runs) - wide
                         yield done(end)
                         keep = max(0, end - wide)
