@@ -104,36 +104,84 @@ def boxes(tree: dict[str, np.ndarray]) -> list[tuple[np.ndarray, np.ndarray, np.
 
 def shares_of(inside: np.ndarray, shares: np.ndarray) -> np.ndarray:
     """Shapley values, before the leaf's path, of the game in which a coalition's worth is the product of 1 or 0 for its
-    features (inside) and of the shares for the others. A feature's value weighs coalitions of the others by size, so the
-    polynomial whose coefficients sum them by size is enough: polynomial in the features, not all of their subsets."""
+    features (inside) and of the shares (of all rows, or of each) for the others. A feature's value weighs coalitions of the
+    others by size, so the polynomial whose coefficients sum them by size is enough: polynomial in the features, not all of
+    their subsets."""
     many, d = inside.shape
+    shares = np.broadcast_to(shares, inside.shape)
     weights = np.array([math.factorial(k) * math.factorial(d - 1 - k) / math.factorial(d) for k in range(d)])
     out = np.empty((many, d))
     for f in range(d):
         sums = np.zeros((many, d))
         sums[:, 0] = 1.0
         for done, g in enumerate(g for g in range(d) if g != f):
-            grown = sums[:, : done + 2] * shares[g]
+            grown = sums[:, : done + 2] * shares[:, g, None]
             grown[:, 1:] += sums[:, : done + 1] * inside[:, g, None]
             sums[:, : done + 2] = grown
-        out[:, f] = (inside[:, f] - shares[f]) * (sums @ weights)
+        out[:, f] = (inside[:, f] - shares[:, f]) * (sums @ weights)
     return out
 
 
+def worked_out(tree: dict[str, np.ndarray], width: int) -> dict:
+    """A tree for attributions: its cuts by feature; for each interval between them and each leaf the bits of the leaf's
+    features that it fulfils (the last interval is that of unknown values, which fulfil none); and for each leaf the values
+    of every set of its features, from places[leaf] on."""
+    leaves = [x for x in boxes(tree) if len(x[0])]
+    cuts = {f: np.unique(tree["cut"][tree["feature"] == f]) for f in sorted({int(f) for f in tree["feature"] if f >= 0})}
+    codes = {f: np.zeros((len(c) + 2, len(leaves)), np.int32) for f, c in cuts.items()}
+    places, kinds = np.zeros(len(leaves), np.int32), {}
+    at = 0
+    for i, (features, low, high, _, _) in enumerate(leaves):
+        for bit, f in enumerate(features.tolist()):
+            first = 0 if low[bit] == -math.inf else np.searchsorted(cuts[f], low[bit]) + 1
+            codes[f][first : np.searchsorted(cuts[f], high[bit]) + 1, i] = 1 << bit  # all cuts are below infinity
+        places[i] = at
+        at += 1 << len(features)
+        kinds.setdefault(len(features), []).append(i)
+    values = np.zeros((at, width))
+    for k, some in kinds.items():  # leaves with equally many features at once
+        sets = (np.arange(1 << k)[:, None] >> np.arange(k)) & 1
+        found = shares_of(np.tile(sets, (len(some), 1)).astype(float), np.repeat([leaves[i][3] for i in some], 1 << k, axis=0))
+        for j, i in enumerate(some):
+            values[places[i] : places[i] + (1 << k), leaves[i][0]] = leaves[i][4] * found[j << k : (j + 1) << k]
+    return {"cuts": cuts, "codes": codes, "places": places, "values": values, "cells": math.prod(len(c) + 2 for c in cuts.values())}
+
+
+def cell_values(held: dict, at: list[np.ndarray], at_once: int = 1024) -> np.ndarray:
+    """Sums over leaves for rows whose features are in the intervals ``at``."""
+    out = np.empty((len(at[0]), held["values"].shape[1]))
+    columns = np.ascontiguousarray(held["values"].T)
+    for a in range(0, len(out), at_once):
+        code = held["places"] + sum(c[i[a : a + at_once]] for c, i in zip(held["codes"].values(), at, strict=True))
+        for f, column in enumerate(columns):
+            out[a : a + at_once, f] = column.take(code).sum(axis=1)
+    return out
+
+
+def tree_attributions(held: dict, x: np.ndarray, few: int = 1 << 13) -> np.ndarray:
+    """Rows between the same cuts have the same values: they are worked out for each different cell of rows once, or, in a
+    tree of few cells, for all cells."""
+    if not held["cuts"]:
+        return np.zeros(x.shape)
+    at = [np.where(x[:, f] > -math.inf, np.searchsorted(c, x[:, f]), len(c) + 1) for f, c in held["cuts"].items()]
+    shape = [len(c) + 2 for c in held["cuts"].values()]
+    if held["cells"] > 1 << 62:
+        return cell_values(held, at)
+    cell = np.ravel_multi_index(at, shape)
+    if held["cells"] <= few:
+        if "table" not in held:
+            held["table"] = cell_values(held, list(np.unravel_index(np.arange(held["cells"]), shape)))
+        return held["table"].take(cell, axis=0)
+    _, first, which = np.unique(cell, return_index=True, return_inverse=True)
+    return cell_values(held, [i[first] for i in at])[which]
+
+
 def path_attributions(trees: list[dict], x: np.ndarray) -> np.ndarray:
     """For each row and feature its part in the mean path length's difference from the path expected without any feature
-    known (where cuts on unknown features are passed in proportion to the rows grown on). A leaf is worked out once for each
-    different set of its features that rows fulfil."""
+    known (where cuts on unknown features are passed in proportion to the rows grown on). Trees may be worked out already."""
     out = np.zeros(x.shape)
     for tree in trees:
-        for features, low, high, shares, path in boxes(tree):
-            if not len(features):
-                continue
-            own = x[:, features]
-            inside = (own > low) & (own <= high)
-            code, which = np.unique(inside @ (1 << np.arange(len(features))), return_inverse=True)
-            kinds = (code[:, None] >> np.arange(len(features))) & 1
-            out[:, features] += path * shares_of(kinds.astype(float), shares)[which]
+        out += tree_attributions(tree if "cells" in tree else worked_out(tree, x.shape[1]), x)
     return out / len(trees)
 
 
@@ -185,15 +233,16 @@ def forest_attributions(df: DataFrame, key: str, names: list[str], keys: DataFra
     scaled = standardised(df, names, keep=[key])
     grown, size = fit_forest(scaled, key, names, trees, rows, seed)
     sent = df.sparkSession.sparkContext.broadcast(grown)
-    asked = scaled.join(keys.select(col(key)).distinct(), key, "left_semi") if keys is not None else scaled
+    asked = scaled.join(keys.select(col(key)).distinct().hint("merge"), key, "left_semi") if keys is not None else scaled  # as many as there are
     tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     asked = asked.repartition(tasks, key)  # narrow rows, much work for each
 
     @F.pandas_udf("array<double>")
     def parts(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
+        held = [worked_out(tree, len(names)) for tree in sent.value]
         for batch in batches:
             x = np.column_stack([c.to_numpy(float) for c in batch])
-            yield pd.Series(list(path_attributions(sent.value, x) if size else np.zeros(x.shape)))
+            yield pd.Series(list(path_attributions(held, x) if size else np.zeros(x.shape)))
 
     out = asked.select(col(key), parts(*map(col, names)).alias("parts"))
     pairs = F.zip_with("parts", F.array(*map(F.lit, names)), lambda x, n: F.struct((-F.round(F.abs(x), 4)).alias("order"), n.alias("feature"), F.round(x, 4).alias("attribution")))
