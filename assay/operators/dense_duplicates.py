@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from assay.functions.columns import col, comparable, strings_of
+from assay.functions.columns import col, comparable, shuffled, strings_of
 from assay.functions.shipping import ship
 from assay.functions.storage import saved
 from assay.operators.near_duplicates import row_tokens
@@ -44,7 +44,7 @@ def dense_pairs(df: DataFrame, key: str, names: list[str] | None = None, cosine:
     ship(df.sparkSession)
     own = df.select(col(key).alias("key"), F.transform(row_tokens(df, names), lambda t: F.xxhash64(t)).alias("hashes"), F.md5(F.to_json(F.struct(*(comparable(df, c).alias(f"c{i}") for i, c in enumerate(names))))).alias("mark"))
     firsts = own.groupBy("mark").agg(F.min("key").alias("first"))
-    copies = own.join(firsts, "mark").where("key <> first").select(F.col("first").alias("a"), F.col("key").alias("b"), F.lit(1.0).alias("cosine"))
+    copies = shuffled(own.select("key", "mark"), firsts, "mark").where("key <> first").select(F.col("first").alias("a"), F.col("key").alias("b"), F.lit(1.0).alias("cosine"))
     kind = next(f.dataType.simpleString() for f in own.schema.fields if f.name == "key")
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -52,14 +52,14 @@ def dense_pairs(df: DataFrame, key: str, names: list[str] | None = None, cosine:
             x = vectors([np.asarray(h, np.int64) for h in batch["hashes"]], width)
             yield pd.DataFrame({"key": batch["key"], "x": [v.tobytes() for v in x], "places": list(buckets(x, tables, bits, seed))})
 
-    reps = own.join(firsts, (own["mark"] == firsts["mark"]) & (F.col("key") == F.col("first"))).where(F.size("hashes") > 0).select("key", "hashes")
+    reps = shuffled(own, firsts, (own["mark"] == firsts["mark"]) & (F.col("key") == F.col("first"))).where(F.size("hashes") > 0).select("key", "hashes")
     reps = saved(reps.mapInPandas(place, f"key {kind}, x binary, places array<long>"), "vectors")
     placed = reps.select("key", F.posexplode("places").alias("t", "bucket"))
     sizes = placed.groupBy("t", "bucket").agg(F.count("*").alias("rows")).where("rows > 1")
     sizes = saved(sizes.select("t", "bucket", F.ceil(F.col("rows") / block).alias("blocks")), "buckets")
-    meet = placed.join(sizes, ["t", "bucket"]).withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")))
+    meet = shuffled(placed, sizes, ["t", "bucket"]).withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")))
     meet = meet.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    meet = meet.select("key", "t", "bucket", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high")).join(reps, "key")
+    meet = shuffled(meet.select("key", "t", "bucket", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high")), reps, "key")
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("key", kind="stable")

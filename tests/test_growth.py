@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pytest
 
-from assay.operators import anomalies
+from assay.operators import anomalies, dense_duplicates, near_duplicates
 from pyspark.sql import functions as F
 
 
@@ -38,3 +38,10 @@ def test_forest_values_are_worked_out_once_for_all_rows(monkeypatch):
 def test_keys_to_explain_are_not_broadcast(spark):
     df = parts_table(spark).withColumn("y", F.col("x") * 1.5)
     assert "BroadcastHashJoin" not in plan(anomalies.forest_attributions(df, "k", ["x", "y"], df.where("x > 3").select("k"), trees=3))
+
+
+def test_near_duplicates_broadcast_no_rows(spark):
+    df = parts_table(spark)
+    for found in (near_duplicates.candidates(df, "k", ["s", "x"]), near_duplicates.pairs(df, "k", ["s", "x"]), dense_duplicates.dense_pairs(df, "k", ["s"])):
+        assert "BroadcastHashJoin" not in plan(found) and found.count() > 0
+    assert "BroadcastHashJoin" not in plan(near_duplicates.clusters(near_duplicates.pairs(df, "k", ["s", "x"])))
