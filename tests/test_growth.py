@@ -5,6 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pytest
 
+from assay.functions import graph
 from assay.operators import anomalies, dense_duplicates, near_duplicates
 from pyspark.sql import functions as F
 
@@ -45,3 +46,16 @@ def test_near_duplicates_broadcast_no_rows(spark):
     for found in (near_duplicates.candidates(df, "k", ["s", "x"]), near_duplicates.pairs(df, "k", ["s", "x"]), dense_duplicates.dense_pairs(df, "k", ["s"])):
         assert "BroadcastHashJoin" not in plan(found) and found.count() > 0
     assert "BroadcastHashJoin" not in plan(near_duplicates.clusters(near_duplicates.pairs(df, "k", ["s", "x"])))
+
+
+def test_components_in_as_many_parts_as_there_are_links(spark):
+    links = spark.range(300).select((F.col("id") % 100 + 1000).alias("a"), F.floor(F.col("id") / 60).alias("b")).union(spark.range(50).select((F.col("id") + 5000).alias("a"), F.lit(9000).alias("b")))
+    want = None
+    for rows, many in ((1 << 20, 1 << 17), (20, 1 << 17), (20, 8)):  # one part; many; and hubs whose links stay where they are
+        got = sorted(map(tuple, graph.components(links, "a", "b", rows=rows, many=many).collect()))
+        want = want or got
+        assert got == want and len({c for _, c in got}) == 2
+    both = links.select(F.col("b").alias("u"), F.col("a").alias("v"))
+    assert "BroadcastHashJoin" not in plan(graph.tied(both, both, 4, 1000))
+    hubs = plan(graph.tied(both, both, 4, 20))
+    assert "BroadcastHashJoin" in hubs and "SortMergeJoin" in hubs
