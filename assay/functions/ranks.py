@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import math
 from bisect import bisect_right
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -90,8 +91,9 @@ def ranked_values(own: DataFrame, ranks: list[list[int]], pivots: list[list[floa
 
 
 def placed(own: DataFrame, spans: list[tuple[tuple[int, float, float, int], list[float]]]) -> DataFrame:
-    """(k, code, x) of the values within each span k: code 0 below the first pivot, 1 at it, 2 between it and the next, ..."""
-    rows = []
+    """(k, code, x) of the values within each span k: code 0 below the first pivot, 1 at it, 2 between it and the next, ...
+    A column is read by itself, and its rows are not multiplied: spans of a column don't overlap."""
+    by_column: dict[int, list] = {}
     for k, ((i, low, high, _), pivots) in enumerate(spans):
         x = F.col(f"v{i}")
         within = x.isNotNull()
@@ -100,8 +102,12 @@ def placed(own: DataFrame, spans: list[tuple[tuple[int, float, float, int], list
         if high < math.inf:
             within &= x < high
         code = sum(((x >= p).cast("int") + (x > p).cast("int") for p in pivots), F.lit(0))
-        rows.append(F.when(within, F.struct(F.lit(k).alias("k"), code.alias("code"), x.alias("x"))))
-    return own.select(F.explode(F.array(*rows)).alias("r")).where("r is not null").select("r.*")
+        by_column.setdefault(i, []).append((within, F.lit(k), code))
+    rows = []
+    for i, some in by_column.items():
+        k, code = (reduce(lambda case, s, n=n: case.when(s[0], s[n]), some[1:], F.when(some[0][0], some[0][n])) for n in (1, 2))
+        rows.append(own.select(k.alias("k"), code.alias("code"), F.col(f"v{i}").alias("x")).where("k is not null"))
+    return reduce(DataFrame.union, rows)
 
 
 def literals(found: list[float | None]) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pytest
 
-from assay.functions import graph
+from assay.functions import graph, ranks
 from assay.operators import anomalies, dense_duplicates, near_duplicates
 from pyspark.sql import functions as F
 
@@ -59,3 +59,12 @@ def test_components_in_as_many_parts_as_there_are_links(spark):
     assert "BroadcastHashJoin" not in plan(graph.tied(both, both, 4, 1000))
     hubs = plan(graph.tied(both, both, 4, 20))
     assert "BroadcastHashJoin" in hubs and "SortMergeJoin" in hubs
+
+
+def test_ranks_are_counted_without_multiplied_rows(spark):
+    own = spark.range(1000).select((F.col("id") % 100).cast("double").alias("v0"), F.when(F.col("id") % 2 == 0, F.col("id").cast("double")).alias("v1"))
+    spans = [((0, -np.inf, 10.0, 0), [3.0]), ((1, 100.0, 200.0, 0), [150.0]), ((0, 50.0, np.inf, 0), [])]
+    found = ranks.placed(own, spans)
+    assert "Generate" not in plan(found)
+    got = {(r.k, r.code): r["count"] for r in found.groupBy("k", "code").count().collect()}
+    assert got == {(0, 0): 30, (0, 1): 10, (0, 2): 60, (2, 0): 490, (1, 0): 24, (1, 1): 1, (1, 2): 24}
