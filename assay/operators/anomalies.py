@@ -12,6 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -251,99 +252,127 @@ def forest_attributions(df: DataFrame, key: str, names: list[str], keys: DataFra
 
 
 class Autoencoder:
-    """A mirrored network with ReLU layers and a linear last one, trained with Adam on squared error."""
+    """A mirrored network with ReLU layers and a linear last one, trained with Adam on squared error; or, side by side, as many
+    networks as there are rows of parameters."""
 
     def __init__(self, width: int, factors: tuple[float, ...] = (0.5, 0.25), seed: int = 42):
         sizes = [width, *(max(4, int(width * f)) for f in factors)]
         sizes += sizes[-2::-1]
+        self.shapes = list(zip(sizes[:-1], sizes[1:], strict=True))
         self.random = np.random.default_rng(seed)
-        self.w = [self.random.normal(0, math.sqrt(2 / a), (a, b)) for a, b in zip(sizes[:-1], sizes[1:], strict=True)]
-        self.b = [np.zeros(s) for s in sizes[1:]]
+        self.load(np.concatenate([*(self.random.normal(0, math.sqrt(2 / a), a * b) for a, b in self.shapes), np.zeros(sum(sizes[1:]))]))
 
-    def layers(self, x: np.ndarray) -> list[np.ndarray]:
+    def parts(self, vectors: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        """Weights and biases as views of vectors."""
+        ends = np.cumsum([*(a * b for a, b in self.shapes), *(b for _, b in self.shapes)])[:-1]
+        split = np.split(vectors, ends, axis=-1)
+        many, lead = len(self.shapes), vectors.shape[:-1]
+        return [p.reshape(*lead, *shape) for p, shape in zip(split[:many], self.shapes, strict=True)], [p.reshape(*lead, 1, -1) for p in split[many:]]
+
+    def layers(self, x: np.ndarray, first: int | None = None) -> list[np.ndarray]:
+        """What the layers give, x included; of networks side by side the ``first`` ones."""
         out = [x]
         for i, (w, b) in enumerate(zip(self.w, self.b, strict=True)):
-            x = x @ w + b
+            x = x @ w[:first] + b[:first]
             out.append(np.maximum(x, 0) if i < len(self.w) - 1 else x)
         return out
 
-    def vector(self) -> np.ndarray:
-        return np.concatenate([p.ravel() for p in (*self.w, *self.b)])
-
-    def load(self, vector: np.ndarray) -> Autoencoder:
-        at = 0
-        for held in (self.w, self.b):
-            for i, p in enumerate(held):
-                held[i] = vector[at : at + p.size].reshape(p.shape).copy()
-                at += p.size
+    def load(self, vectors: np.ndarray) -> Autoencoder:
+        self.vectors = vectors.copy()
+        self.w, self.b = self.parts(self.vectors)
         return self
 
     def loss(self, x: np.ndarray) -> float:
         """Summed over rows."""
         return float(((self.layers(x)[-1] - x) ** 2).mean(axis=1).sum())
 
-    def train(self, x: np.ndarray, moments: tuple[np.ndarray, np.ndarray], step: int, epochs: int, batch: int, rate: float) -> tuple[np.ndarray, np.ndarray, int]:
-        """Epochs over shuffled rows; Adam's moments go on from those given, and its step count."""
-        first, second = (m.copy() for m in moments)
+    def train(self, blocks: list[np.ndarray], randoms: list[np.random.Generator], moments: np.ndarray, step: int, epochs: int, batch: int, rate: float) -> tuple[np.ndarray, np.ndarray]:
+        """Trains one network for each block of rows: parameters and Adam's moments, a row each, and step counts. Epochs go
+        over a block's shuffled rows in batches. A network gets its own batches alone, but all take their step at once, as
+        single steps of small networks are mostly the interpreter's time. Blocks with more batches come first, so that those
+        which have one left are the first ones; a last batch is filled up with rows that weigh nothing."""
+        width, many = self.shapes[0][0], len(blocks)
+        steps = [-(-len(x) // batch) for x in blocks]
+        turn = sorted(range(many), key=lambda i: -steps[i])
+        left = [sum(s > at for s in steps) for at in range(steps[turn[0]])]
+        x, sizes = np.zeros((len(left), many, batch, width)), np.full((len(left), many, batch, 1), np.inf)
+        for i, own in enumerate(turn):
+            n = len(blocks[own])
+            counts = np.minimum(batch, n - batch * np.arange(steps[own]))
+            for at, size in enumerate(counts):
+                sizes[at, i, :size] = size * width
+        self.load(np.tile(self.vectors, (many, 1)))
+        first, second = (np.tile(m, (many, 1)) for m in moments)
+        done, g = np.full((many, 1), step), np.empty_like(first)
+        grads_w, grads_b = self.parts(g)
         for _ in range(epochs):
-            order = self.random.permutation(len(x))
-            for at in range(0, len(x), batch):
-                part = x[order[at : at + batch]]
-                step += 1
-                outs = self.layers(part)
-                back = 2 * (outs[-1] - part) / part.size
-                grads_w, grads_b = [], []
+            for i, own in enumerate(turn):
+                rows = np.zeros((steps[own] * batch, width))
+                rows[: len(blocks[own])] = blocks[own][randoms[own].permutation(len(blocks[own]))]
+                x[: steps[own], i] = rows.reshape(-1, batch, width)
+            for part, size, k in zip(x, sizes, left, strict=True):
+                done[:k] += 1
+                outs = self.layers(part[:k], k)
+                back = 2 * (outs[-1] - part[:k]) / size[:k]
                 for i in range(len(self.w) - 1, -1, -1):
-                    grads_w.insert(0, outs[i].T @ back)
-                    grads_b.insert(0, back.sum(axis=0))
+                    np.matmul(outs[i].swapaxes(1, 2), back, out=grads_w[i][:k])
+                    np.sum(back, axis=1, keepdims=True, out=grads_b[i][:k])
                     if i:
-                        back = back @ self.w[i].T * (outs[i] > 0)
-                g = np.concatenate([p.ravel() for p in (*grads_w, *grads_b)])
-                first += 0.1 * (g - first)
-                second += 0.001 * (g * g - second)
-                self.load(self.vector() - rate * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.999**step)) + 1e-8))
-        return first, second, step
+                        back = back @ self.w[i][:k].swapaxes(1, 2) * (outs[i] > 0)
+                first[:k] += 0.1 * (g[:k] - first[:k])
+                second[:k] += 0.001 * (g[:k] * g[:k] - second[:k])
+                self.vectors[:k] -= rate * (first[:k] / (1 - 0.9 ** done[:k])) / (np.sqrt(second[:k] / (1 - 0.999 ** done[:k])) + 1e-8)
+        back_in_order = np.argsort(turn)
+        return np.hstack([self.vectors, first, second])[back_in_order], done[back_in_order, 0]
 
 
 def sharded(scaled: DataFrame, key: str, names: list[str], rows: int) -> DataFrame:
     """(shard, n, held): all rows in shards of about ``rows``, by hash of the key and ordered by it, so that a shard's rows
     and their order don't depend on partitions; each as one block of numbers. Written once, read every round."""
     shards = max(1, -(-scaled.count() // rows))
-    own = scaled.select(F.pmod(F.xxhash64(col(key)), F.lit(shards)).alias("shard"), F.md5(col(key).cast("string")).alias("place"), *map(col, names))
+    columns = [f"x{i}" for i in range(len(names))]
+    own = scaled.select(F.pmod(F.xxhash64(col(key)), F.lit(shards)).alias("shard"), F.md5(col(key).cast("string")).alias("place"), *(col(n).alias(c) for n, c in zip(names, columns, strict=True)))
 
-    def block(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = pdf.sort_values(["place", *names], kind="stable")[names].to_numpy(float)
-        return pd.DataFrame({"shard": pdf["shard"].iloc[:1], "n": [len(x)], "held": [x.tobytes()]})
+    def block(rows: pa.Table) -> pa.Table:
+        x = np.column_stack(rows.sort_by([(n, "ascending") for n in ["place", *columns]]).select(columns).columns)
+        return pa.table({"shard": rows["shard"].slice(0, 1), "n": [len(x)], "held": [x.astype(float).tobytes()]})
 
-    return saved(own.groupBy("shard").applyInPandas(block, "shard long, n long, held binary"), "shards")
+    return saved(own.groupBy("shard").applyInArrow(block, "shard long, n long, held binary"), "shards")
 
 
-def fit_autoencoder(scaled: DataFrame, key: str, names: list[str], seed: int = 42, epochs: int = 100, local: int = 5, shard_rows: int = 5_000, batch: int = 32, rate: float = 1e-3, patience: int = 2, held: float = 0.2) -> Autoencoder:
+def fit_autoencoder(scaled: DataFrame, key: str, names: list[str], seed: int = 42, epochs: int = 100, local: int = 5, shard_rows: int = 5_000, batch: int = 32, rate: float = 1e-3, patience: int = 2, held: float = 0.2, together: int = 128) -> Autoencoder:
     """Trained on all rows, round by round: every shard goes on from the broadcast weights and Adam's moments for ``local``
     epochs of mini-batches, and the means of what shards come to, weighted by rows, are the next round's (parallel
     optimisation by averaging, after Zinkevich et al., 2010, and McMahan et al., 2017). A fifth of each shard tells the loss;
     the weights with the least are kept, and rounds end after ``patience`` of them without a better one. With one shard this
-    is training in one place. The driver gets one row for each weight."""
+    is training in one place. A task takes the steps of up to ``together`` shards at once, which are in one Arrow batch (bounded
+    by bytes) anyway; no shard's result depends on which. The driver gets one row for each weight."""
     net = Autoencoder(len(names), seed=seed)
     shards = sharded(scaled, key, names, shard_rows)
-    state = np.concatenate([net.vector(), np.zeros(2 * len(net.vector()))])
-    size, step, best, kept, waited = len(net.vector()), 0, math.inf, net.vector(), 0
+    state = np.concatenate([net.vectors, np.zeros(2 * len(net.vectors))])
+    size, step, best, kept, waited = len(net.vectors), 0, math.inf, net.vectors.copy(), 0
     width = len(names)
 
     def round_of(sent, round_: int, epochs_: int, step_: int):
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             total = np.zeros(3 * size + 4)
+            net = Autoencoder(width)
             for pdf in batches:
-                for shard, n, block in zip(pdf["shard"], pdf["n"], pdf["held"], strict=True):
-                    x = np.frombuffer(block).reshape(n, width)
-                    order = np.random.default_rng([seed, int(shard)]).permutation(n)
-                    cut = max(1, int(n * (1 - held)))
-                    train, check = x[order[:cut]], x[order[cut:]] if cut < n else x
-                    own = Autoencoder(width, seed=[seed, int(shard), round_]).load(sent.value[:size])
-                    tail = [n, own.loss(check), len(check), 0.0]
-                    first, second, after = own.train(train, (sent.value[size : 2 * size], sent.value[2 * size :]), step_, epochs_, batch, rate)
-                    tail[3] = n * after
-                    total += np.concatenate([n * own.vector(), n * first, n * second, tail])
+                for at in range(0, len(pdf), together):
+                    some = pdf.iloc[at : at + together]
+                    net.load(sent.value[:size])
+                    blocks, tails = [], []
+                    for shard, n, block in zip(some["shard"], some["n"], some["held"], strict=True):
+                        x = np.frombuffer(block).reshape(n, width)
+                        order = np.random.default_rng([seed, int(shard)]).permutation(n)
+                        cut = max(1, int(n * (1 - held)))
+                        check = x[order[cut:]] if cut < n else x
+                        blocks.append(x[order[:cut]])
+                        tails.append([n, net.loss(check), len(check)])
+                    randoms = [Autoencoder(width, seed=[seed, int(shard), round_]).random for shard in some["shard"]]
+                    after, done = net.train(blocks, randoms, sent.value[size:].reshape(2, size), step_, epochs_, batch, rate)
+                    weights = some["n"].to_numpy(float)
+                    total += np.concatenate([weights @ after, np.sum(tails, axis=0), [weights @ done]])
             yield pd.DataFrame({"place": np.arange(len(total)), "x": total})
 
         return run

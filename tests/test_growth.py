@@ -68,3 +68,18 @@ def test_ranks_are_counted_without_multiplied_rows(spark):
     assert "Generate" not in plan(found)
     got = {(r.k, r.code): r["count"] for r in found.groupBy("k", "code").count().collect()}
     assert got == {(0, 0): 30, (0, 1): 10, (0, 2): 60, (2, 0): 490, (1, 0): 24, (1, 1): 1, (1, 2): 24}
+
+
+def test_shards_are_trained_side_by_side_with_their_own_results(monkeypatch):
+    r = np.random.default_rng(6)
+    blocks = [r.normal(size=(n, 3)) for n in (130, 64, 7, 200, 1)]
+    moments, layers, calls = r.random((2, len(anomalies.Autoencoder(3).vectors))) * 1e-3, anomalies.Autoencoder.layers, []
+
+    def trained(some):
+        return anomalies.Autoencoder(3, seed=9).train([blocks[i] for i in some], [np.random.default_rng(i) for i in some], moments, 4, 3, 32, 1e-2)
+
+    alone = [trained([i]) for i in range(len(blocks))]
+    monkeypatch.setattr(anomalies.Autoencoder, "layers", lambda self, *a: calls.append(1) or layers(self, *a))
+    found, done = trained(range(len(blocks)))
+    assert len(calls) == 3 * 7  # steps of the longest block, not of all
+    assert found == pytest.approx(np.concatenate([v for v, _ in alone]), abs=1e-12) and list(done) == [4 + 3 * k for k in (5, 2, 1, 7, 1)]
