@@ -15,6 +15,7 @@ from assay.functions.ranks import exact_quantiles, literals
 IDENTIFIER_RATIO, IDENTIFIER_UNIQUE, LOW_UNIQUE = 0.98, 50, 20
 PERCENTS = (0.01, 0.05, 0.5, 0.95, 0.99)
 DISTINCT_AT_ONCE = 8
+WHOLE = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
 
 
 def shape(df: DataFrame) -> DataFrame:
@@ -44,23 +45,27 @@ def memory(df: DataFrame) -> DataFrame:
 
 
 def cardinality(df: DataFrame, names: list[str] | None = None, approximate: bool = False) -> DataFrame:
-    """(column, n_rows, n_present, n_unique, uniqueness_ratio, potential_identifier, low_cardinality). Distinct counts go
-    through the table ``DISTINCT_AT_ONCE`` columns at a time, as each of them multiplies the rows; approximate ones are
-    sketches of all columns in one pass."""
+    """(column, n_rows, n_present, n_unique, uniqueness_ratio, potential_identifier, low_cardinality). Columns of a type are
+    counted ``DISTINCT_AT_ONCE`` at a time: each value becomes a narrow row (position, value), and equal ones are put together
+    before they are dealt. Approximate counts are sketches of all columns in one pass."""
     names = names or df.columns
     if approximate:
         from assay.operators.sketches import approximate_cardinality
 
         return judged(approximate_cardinality(df, names))
-    parts = []
-    for at in range(0, len(names), DISTINCT_AT_ONCE):
-        some = names[at : at + DISTINCT_AT_ONCE]
-        sums = [F.count("*").alias("n_rows")]
-        for i, n in enumerate(some):
-            sums += [F.count(comparable(df, n)).alias(f"p{i}"), F.count_distinct(comparable(df, n)).alias(f"u{i}")]
-        rows = F.array(*(F.struct(F.lit(n).alias("column"), F.lit(at + i).alias("position"), F.col(f"p{i}").alias("n_present"), F.col(f"u{i}").alias("n_unique")) for i, n in enumerate(some)))
-        parts.append(df.agg(*sums).select("n_rows", F.inline(rows)))
-    return judged(reduce(DataFrame.union, parts))
+    own = df.select(*(comparable(df, n).alias(str(i)) for i, n in enumerate(names)))
+    own = own.select(*(F.col(f.name).cast("long").alias(f.name) if isinstance(f.dataType, WHOLE) else f.name for f in own.schema.fields))
+    kinds: dict[str, list[str]] = {}
+    for f in own.schema.fields:
+        kinds.setdefault(f.dataType.json(), []).append(f.name)
+    listed = F.array(*map(F.lit, names))
+    parts = [df.sparkSession.range(0, len(names), 1, 1).select(F.col("id").cast("string").alias("position"), *(F.lit(0).cast("long").alias(n) for n in ("n_rows", "n_present", "n_unique")))]  # tables without rows, too
+    for some in kinds.values():
+        for at in range(0, len(some), DISTINCT_AT_ONCE):
+            values = own.unpivot([], some[at : at + DISTINCT_AT_ONCE], "position", "value").groupBy("position", "value").agg(F.count("*").alias("n"))
+            parts.append(values.select("position", F.col("n").alias("n_rows"), F.when(F.col("value").isNotNull(), F.col("n")).otherwise(0).alias("n_present"), F.col("value").isNotNull().cast("long").alias("n_unique")).groupBy("position").agg(*(F.sum(n).alias(n) for n in ("n_rows", "n_present", "n_unique"))))
+    every = reduce(DataFrame.union, parts).groupBy(F.col("position").cast("int").alias("position")).agg(*(F.sum(n).alias(n) for n in ("n_rows", "n_present", "n_unique")))
+    return judged(every.coalesce(1).sortWithinPartitions("position").withColumn("column", F.get(listed, F.col("position"))))
 
 
 def judged(every: DataFrame) -> DataFrame:

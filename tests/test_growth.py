@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pytest
 
 from assay.functions import graph, ranks
-from assay.operators import anomalies, dense_duplicates, near_duplicates
+from assay.operators import anomalies, dense_duplicates, near_duplicates, profile
 from pyspark.sql import functions as F
 
 
@@ -83,3 +85,18 @@ def test_shards_are_trained_side_by_side_with_their_own_results(monkeypatch):
     found, done = trained(range(len(blocks)))
     assert len(calls) == 3 * 7  # steps of the longest block, not of all
     assert found == pytest.approx(np.concatenate([v for v, _ in alone]), abs=1e-12) and list(done) == [4 + 3 * k for k in (5, 2, 1, 7, 1)]
+
+
+def test_distinct_values_are_counted_in_narrow_rows(spark):
+    nan = float("nan")
+    rows = [(i % 5, i, [i % 2], {"a": i % 3}, nan if i % 4 == 0 else float(i % 2), -0.0 if i % 2 else 0.0, None, f"t{i % 7}", i % 2 == 0, (i % 2, None)) for i in range(40)]
+    df = spark.createDataFrame(rows, "s short, id long, many array<int>, m map<string,int>, `x.y` double, zero double, none int, t string, b boolean, own struct<p:int,q:string>")
+    df = df.withColumn("money", F.col("id").cast("decimal(9,2)")).withColumn("day", F.date_add(F.lit("2024-01-01").cast("date"), F.col("s").cast("int")))
+    found = profile.cardinality(df)
+    wide = [out.count(",") + 1 for out in re.findall(r"Expand \[\[.*\]\], \[(.*)\]", plan(found))]
+    assert wide and max(wide) == 2  # position and value: a row does not hold all columns counted
+    got = [(r["column"], r.n_rows, r.n_present, r.n_unique) for r in found.collect()]
+    assert got == [(n, 40, *p) for n, p in zip(df.columns, [(40, 5), (40, 40), (40, 2), (40, 3), (30, 2), (40, 1), (0, 0), (40, 7), (40, 2), (40, 2), (40, 40), (40, 5)], strict=True)]
+    assert [(r["column"], r.n_rows, r.n_present, r.n_unique, r.uniqueness_ratio) for r in profile.cardinality(df.limit(0), ["id", "t"]).collect()] == [("id", 0, 0, 0, 0.0), ("t", 0, 0, 0, 0.0)]
+    columns = spark.range(20).select(*((F.col("id") % (i + 1)).alias(f"c{i}") for i in range(11)))
+    assert [r.n_unique for r in profile.cardinality(columns).collect()] == list(range(1, 12))
