@@ -50,6 +50,41 @@ def test_near_duplicates_broadcast_no_rows(spark):
     assert "BroadcastHashJoin" not in plan(near_duplicates.clusters(near_duplicates.pairs(df, "k", ["s", "x"])))
 
 
+def test_signatures_do_not_travel_to_bands(spark):
+    nan = float("nan")
+    rows = [(i, ["Ünïté of Wörds and 日本語\tLong  ones", " X ", "", None, "a\u00a0b"][i % 5], [i % 3, None][i % 7 == 0], [1.5, nan, -0.0][i % 3], i % 2 == 0, [i % 2, i % 4]) for i in range(60)]
+    df = spark.createDataFrame(rows, "k long, s string, x int, y double, z boolean, m array<int>").withColumn("d", (F.col("k") % 5).cast("decimal(9,2)"))
+    names = df.columns[1:]
+    sigs = {r.k: np.array(r.sig) for r in df.select("k", near_duplicates.signatures(near_duplicates.token_hashes(near_duplicates.row_tokens(df, names))).alias("sig")).collect()}
+    texts = df.select("k", *(near_duplicates.value_text(df, c).cast("binary").alias(c) for c in names)).collect()
+    for r in texts:
+        least = np.min([near_duplicates.value_minima(c, None if r[c] is None else bytes(r[c]), 128) for c in names], axis=0)
+        assert (least == sigs[r.k]).all()
+    found = near_duplicates.candidates(df, "k", names)
+    assert "sig#" not in plan(found)
+    bands = {k: s.reshape(32, 4) for k, s in sigs.items()}
+    first = {}
+    for r in texts:
+        first.setdefault(tuple(r[1:]), r.k)
+    want = {(first[tuple(r[1:])], r.k, 1.0) for r in texts if first[tuple(r[1:])] != r.k}
+    for a in first.values():
+        want |= {(a, b, (sigs[a] == sigs[b]).mean()) for b in first.values() if a < b and (bands[a] == bands[b]).all(axis=1).any() and (sigs[a] == sigs[b]).mean() >= 0.64}
+    got = [tuple(r) for r in found.collect()]
+    assert set(got) == want and len(got) == len(want) > 60
+    assert near_duplicates.met(df, "k", names, block=7)[0].count() == sum(w[0] in first.values() and w[1] in first.values() for w in want)
+
+
+def test_bands_by_tiles_and_pair_by_pair_agree():
+    r = np.random.default_rng(3)
+    short = r.integers(0, 3, (128, 300)).astype(np.uint8)
+    for a, b, c, d in ((0, 300, 0, 300), (10, 190, 190, 300)):
+        start = np.arange(300) + 1 if a == c else np.full(300, c)
+        many = np.where((np.arange(300) >= a) & (np.arange(300) < b), d - start, 0)
+        few, wide = ({(x, y) for one, two in found for x, y in zip(one.tolist(), two.tolist(), strict=True)} for found in (near_duplicates.likely_of_few(short, start, many, 50), near_duplicates.likely_of_many(short, a, b, c, d, 50)))
+        same = (short[:, a:b, None] == short[:, None, c:d]).sum(axis=0)
+        assert few == wide == {(i + a, j + c) for i, j in zip(*np.nonzero(same >= 50), strict=True) if i + a < j + c}
+
+
 def test_components_in_as_many_parts_as_there_are_links(spark):
     links = spark.range(300).select((F.col("id") % 100 + 1000).alias("a"), F.floor(F.col("id") / 60).alias("b")).union(spark.range(50).select((F.col("id") + 5000).alias("a"), F.lit(9000).alias("b")))
     want = None
