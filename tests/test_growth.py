@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from assay.functions import graph, ranks
@@ -98,6 +99,22 @@ def test_components_in_as_many_parts_as_there_are_links(spark):
     assert "BroadcastHashJoin" in hubs and "SortMergeJoin" in hubs
 
 
+def test_nodes_that_hang_on_one_take_no_part_in_rounds(spark, monkeypatch):
+    r = np.random.default_rng(4)
+    links = [(int(a), int(b)) for a, b in r.integers(0, 400, (150, 2))] + [(k % 20, 1000 + k) for k in range(500)] + [(5000, 4999), (6000, 6001), (6000, 6001), (7, 7), (8001, 8000), (8002, 8000)]
+    df = spark.createDataFrame(links, "a long, b long")
+    want = sorted(map(tuple, graph.components(df, "a", "b").collect()))
+    seen, made = [], graph.components
+    monkeypatch.setattr(graph, "components", lambda links, *a: seen.append(links.count()) or made(links, *a))
+    assert sorted(map(tuple, graph.hung_components(df, "a", "b").collect())) == want
+    assert len(seen) == 1 and seen[0] < 150
+    tables = [pa.RecordBatch.from_pydict({"a": [a for a, _ in links[i : i + 50]], "b": [b for _, b in links[i : i + 50]]}) for i in range(0, len(links), 50)]
+    for rows in (60, 10000):
+        left = [(x, y) for t in graph.forests(iter(tables), rows) for x, y in zip(*t.to_pydict().values(), strict=True)]
+        assert rows == 60 or len(left) < len({x for link in links for x in link})
+        assert sorted(map(tuple, made(spark.createDataFrame(left, "a long, b long"), "a", "b").collect())) == want
+
+
 def test_ranks_are_counted_without_multiplied_rows(spark):
     own = spark.range(1000).select((F.col("id") % 100).cast("double").alias("v0"), F.when(F.col("id") % 2 == 0, F.col("id").cast("double")).alias("v1"))
     spans = [((0, -np.inf, 10.0, 0), [3.0]), ((1, 100.0, 200.0, 0), [150.0]), ((0, 50.0, np.inf, 0), [])]
