@@ -11,10 +11,10 @@ Steps, none of which collects documents or pairs to the driver or caps a list:
 
 1. Equal texts become one representative (the smallest id), before anything is compared.
 2. Shingles are dealt by hash to buckets, as binary blocks of one batch of documents and bucket each, where their document
-   counts are found. Those that a sample of documents shows to be in HOT_FLOOR or more (or in a millionth part of the
-   corpus's shingles, if that is more, so that there are at most about a million of them) have their counts estimated from it
-   and stay with their documents; the sample is as large a share of all documents as finding them takes, so no bucket grows
-   with one shingle. Any counts that all documents agree on serve, as they only order shingles and price prefixes. A shingle of one document can't match: a document with as many of these as its prefix is long has no
+   counts are found. Those in HOT_FLOOR documents or more (or in a millionth part of the corpus's shingles, if that is more,
+   so that there are at most about a million of them) are counted before, over all documents, and stay with these, so no
+   bucket grows with one shingle: first all shingles in cells, about two for each that may be hot, then those of full cells
+   one by one. A shingle of one document can't match: a document with as many of these as its prefix is long has no
    partner and goes. Others keep the shingles with counts over 1 alone, which is all that order, prefix and intersection need.
 3. Documents that share a min-hash are verified against the one among them with the fewest shingles of its own, the most
    central one: rows in proportion to documents, which ties most groups of near copies together. Components follow.
@@ -45,9 +45,8 @@ from assay.llm.common import components, saved, ship, text_of, trim_worker, work
 #: Shingles of its prefix that each row carries.
 HEAD = 24
 PAIR = np.dtype([("shingle", "<u8"), ("documents", "<u4")])
-#: Documents of a shingle, at least, from which on it stays with them; hot ones, about, at most; how many documents of the
-#: sample one of them is expected in.
-HOT_FLOOR, MOST_HOT, HOT_SEEN = 2048, 1 << 20, 40
+#: Documents of a shingle, at least, from which on it stays with them; hot ones, about, at most; cells that travel together.
+HOT_FLOOR, MOST_HOT, CELLS = 2048, 1 << 20, 1 << 14
 #: Prefix rows of one shingle that are compared at once.
 CROSS_BLOCK = 1024
 #: Bytes of text that are hashed at once.
@@ -201,25 +200,58 @@ def counted(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"doc_id": ids[rows], "n": np.abs(sizes[rows]).astype(np.int64), "home": sizes[rows] < 0, "some": some})
 
 
-def hot_shingles(docs: DataFrame, n: int, words: int, sample: int, share: float) -> np.ndarray:
-    """PAIRs, sorted: shingles that at least ``share`` of about ``sample`` documents (by hash of the id) have, with their
-    documents estimated. There are no more of them than the mean size of a set / share."""
-    every = max(1, n // sample)
+def hot_shingles(docs: DataFrame, n: int, words: int, cells: int, share: float) -> np.ndarray:
+    """PAIRs, sorted: all shingles that at least ``share`` of the n documents have, with their documents, each document
+    counted. There are no more of them than the mean size of a set / share. Shingles are counted by cells first, those of
+    cells with enough documents one by one."""
+    least = max(2, int(np.ceil(share * n - 1e-6)))
+    if n < least:
+        return np.empty(0, PAIR)
+    texts = docs.select("text")
 
-    def seen(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def sets(batches: Iterator[pd.DataFrame]) -> Iterator[np.ndarray]:
+        trim_worker()
         for batch in batches:
-            sets = shingle_sets(batch["text"].tolist(), words)
-            flat, many = np.unique(np.concatenate(sets), return_counts=True) if sets else (np.zeros(0, np.uint64), np.zeros(0))
+            for at in range(0, len(batch), 2000):
+                yield np.concatenate(shingle_sets(batch["text"].iloc[at : at + 2000].tolist(), words))
+
+    def in_cells(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        many = np.zeros(cells, np.uint32)
+        for flat in sets(batches):
+            where, some = np.unique(cell_of(flat, cells), return_counts=True)
+            many[where] += some.astype(np.uint32)
+        for at in range(0, cells, CELLS):
+            if many[at : at + CELLS].any():
+                yield pd.DataFrame({"at": [at], "many": [many[at : at + CELLS].tobytes()]})
+
+    def full(part: pd.DataFrame) -> pd.DataFrame:
+        many = sum(np.frombuffer(x, "<u4").astype(np.int64) for x in part["many"])
+        return pd.DataFrame({"cell": part["at"].iloc[0] + np.flatnonzero(many >= least)})
+
+    found = texts.mapInPandas(in_cells, "at long, many binary").groupBy("at").applyInPandas(full, "cell long").toPandas()
+    if not len(found):
+        return np.empty(0, PAIR)
+    may = np.zeros(cells, bool)
+    may[found["cell"].to_numpy()] = True
+    sent = docs.sparkSession.sparkContext.broadcast(np.packbits(may))
+
+    def alone(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        may = np.unpackbits(sent.value, count=cells).astype(bool)
+        for flat in sets(batches):
+            flat, many = np.unique(flat[may[cell_of(flat, cells)]], return_counts=True)
             yield pd.DataFrame({"shingle": flat.view(np.int64), "n": many.astype(np.int64)})
 
-    some = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(every)) == 0).select("text")
-    found = some.mapInPandas(seen, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n")).where(F.col("n") >= max(20, share * min(n, sample))).toPandas()
+    found = texts.mapInPandas(alone, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n")).where(F.col("n") >= least).toPandas()
     out = np.empty(len(found), PAIR)
     out["shingle"] = found["shingle"].to_numpy(np.int64).view(np.uint64)
-    out["documents"] = np.minimum(found["n"].to_numpy(np.int64) * every, (1 << 32) - 1)
+    out["documents"] = np.minimum(found["n"].to_numpy(np.int64), (1 << 32) - 1)
     return out[np.argsort(out["shingle"])]
 
 
+def cell_of(shingles: np.ndarray, cells: int) -> np.ndarray:
+    return ((shingles >> np.uint64(32)) % np.uint64(cells)).astype(np.int64)
+
+
 def needed(n: int, percent: int) -> int:
     """The least intersection of a set of n with any it links to."""
     return -(-percent * n // 100)
@@ -240,7 +272,8 @@ def link_documents(docs: DataFrame, **options) -> DataFrame:
 
 def linked(docs: DataFrame, percent: int = 75, words: int = 5, most_depth: int = 16, hashes: int = 3, shingles_each: int = 1 << 20, hot_sample: int | None = None, hot_share: float | None = None, broadcast_ids: int = 1 << 20, id_column: str = "doc_id", text_column: str = "text") -> tuple[DataFrame, bool]:
     """doc_id, mark (of the text), n_shingles, component_id and part (equal within a component), a row for each row of docs;
-    and whether some id may have several texts."""
+    and whether some id may have several texts. Hot shingles are counted in all documents; hot_sample, which once told how many
+    to estimate them from, is still taken and not used."""
     spark = docs.sparkSession
     ship(spark)
     own = docs.select(F.col(id_column).cast("long").alias("doc_id"), text_of(text_column).alias("text"))
@@ -250,7 +283,7 @@ def linked(docs: DataFrame, percent: int = 75, words: int = 5, most_depth: int =
     n_shingles = (text_length or 0) // 6  # about
     buckets = max(128, -(-n_shingles // shingles_each))
     most = max(HOT_FLOOR, n_shingles // MOST_HOT)
-    hot_sample = hot_sample or max(1, -(-HOT_SEEN * n_marks // most))
+    cells = 1 << max(10, (2 * n_shingles // most).bit_length())
     hot_share = hot_share or most / max(1, n_marks)
 
     # Rows that are not their group's representative go before any text is dealt.
@@ -270,7 +303,7 @@ def linked(docs: DataFrame, percent: int = 75, words: int = 5, most_depth: int =
         loose = loose.join(own_node, (loose["mark"] == own_node["mark"]) & (F.col("doc_id") == F.col("rep"))).select(F.col("own").alias("doc_id"), "text")
         kept = kept.join(ids, "doc_id", "left_anti").union(loose).dropDuplicates(["doc_id"])
     kept = kept.where("doc_id is not null")  # before pandas, which would make other ids floating
-    hot = spark.sparkContext.broadcast(hot_shingles(kept, n_marks, words, hot_sample, hot_share))
+    hot = spark.sparkContext.broadcast(hot_shingles(kept, n_marks, words, cells, hot_share))
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         trim_worker()

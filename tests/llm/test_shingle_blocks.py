@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+from collections import Counter
 
 import pytest
 
@@ -42,6 +43,17 @@ def test_components(spark, monkeypatch, block, floor):
     assert len(set(got.values())) > 20
 
 
+def test_hot_shingles_are_counted_in_all_documents(spark):
+    texts = dict(enumerate(corpus()))
+    held = Counter(x for t in texts.values() for x in shingle_join.shingle_sets([t])[0].tolist())
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
+    for cells in (7, 40, 1 << 12):  # few cells are all full
+        for least in (5, 30, 200):
+            got = shingle_join.hot_shingles(docs, len(texts), 5, cells, least / len(texts))
+            assert list(zip(got["shingle"].tolist(), got["documents"].tolist(), strict=True)) == sorted((x, n) for x, n in held.items() if n >= least)
+    assert len([n for n in held.values() if n >= 5]) > 20
+
+
 def test_blocks_meet_once(spark):
     """Every pair of rows of a shingle is in one group, and is met there."""
     import pandas as pd
